@@ -1,16 +1,18 @@
 """All registered queries: name → Spark callable and name → DuckDB SQL."""
 from __future__ import annotations
 
-from . import profile_queries, profile_sql
+from . import explore_queries, profile_queries, profile_sql
 
 
 def spark_queries() -> dict:
     out = {}
     out.update(profile_queries.SPARK)
+    out.update(explore_queries.SPARK)
     return out
 
 
 def oracle_queries() -> dict:
     out = {}
     out.update(profile_sql.SQL)
+    out.update(explore_queries.SQL)
     return out
