@@ -13,7 +13,7 @@ def _c(col) -> Column:
 
 def to_timestamp_mixed(col, formats=DATE_FORMATS) -> Column:
     """Text → TIMESTAMP, trying each layout in order per value; bad → NULL."""
-    text = F.trim(_c(col).cast("string"))
+    text = F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")
     parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
     return F.when(text.isNotNull() & (text != "") & ~text.isin(EXCEL_ERRORS), parsed)
 
@@ -30,7 +30,7 @@ def as_timestamp(col, dtype) -> Column:
 
 def is_date_text(col) -> Column:
     """Header-scorer date test: ≥ 6 characters, not all digits, parses."""
-    text = F.trim(_c(col).cast("string"))
+    text = F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")
     return (F.length(text) >= 6) & ~text.rlike(r"^[0-9]+$") & to_timestamp_mixed(text).isNotNull()
 
 

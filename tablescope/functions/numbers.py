@@ -23,7 +23,7 @@ def to_number(col) -> Column:
     The shape check runs before the cast so Java's ``5d``/``5f`` suffixes,
     ``NaN`` and ``Infinity`` never count as numbers.
     """
-    text = F.trim(_c(col).cast("string"))
+    text = F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")
     bare = strip_number_text(text)
     ok = text.isNotNull() & ~text.isin(EXCEL_ERRORS) & bare.rlike(NUMBER_SHAPE_PATTERN)
     return F.when(ok, bare.try_cast("double"))

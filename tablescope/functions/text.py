@@ -11,9 +11,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def strip_ws(col) -> Column:
+    """Remove leading and trailing whitespace of any kind (Python's ``str.strip``)."""
+    return F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")
+
+
 def clean_text(col) -> Column:
     """Trim; blank or a spreadsheet error cell → NULL."""
-    t = F.trim(_c(col).cast("string"))
+    t = strip_ws(col)
     return F.when((t != "") & ~t.isin(EXCEL_ERRORS), t)
 
 

@@ -1,13 +1,14 @@
 """All registered queries: name → Spark callable and name → DuckDB SQL."""
 from __future__ import annotations
 
-from . import explore_queries, profile_queries, profile_sql
+from . import explore_queries, ingest_queries, profile_queries, profile_sql
 
 
 def spark_queries() -> dict:
     out = {}
     out.update(profile_queries.SPARK)
     out.update(explore_queries.SPARK)
+    out.update(ingest_queries.SPARK)
     return out
 
 
@@ -15,4 +16,5 @@ def oracle_queries() -> dict:
     out = {}
     out.update(profile_sql.SQL)
     out.update(explore_queries.SQL)
+    out.update(ingest_queries.SQL)
     return out
