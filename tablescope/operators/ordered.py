@@ -63,7 +63,7 @@ def select_ranks(values: DataFrame, targets: DataFrame, key: str = "column_name"
 
 def floored_running_sum(df: DataFrame, order: list[str], delta: str, floor: float = 0.0,
                         partition: list[str] | None = None, n_rows: int | None = None,
-                        rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                        rows_per_range: int = ROWS_PER_RANGE, out: str = "value") -> DataFrame:
     """Running value that starts at ``floor``, adds ``delta`` in ``order`` and is
     clamped at ``floor`` after every step (``v = max(v + d, floor)``).
 
@@ -71,7 +71,7 @@ def floored_running_sum(df: DataFrame, order: list[str], delta: str, floor: floa
     ``floor + S - least(0, min over the prefix of S)``, which only needs
     prefix sums and prefix minima, so it can be
     computed per range partition and stitched together with per-partition
-    offsets. Adds ``running`` (plain) and ``value`` (floored).
+    offsets. Adds ``running`` (plain) and ``out`` (clamped, default ``value``).
     """
     part = list(partition or [])
     r = range_frozen(df, part, order, n_rows, rows_per_range)
@@ -94,5 +94,5 @@ def floored_running_sum(df: DataFrame, order: list[str], delta: str, floor: floa
     prefix_min = F.least(F.coalesce(F.col("_min_before"), F.lit(float("inf"))),
                          F.col("_off") + F.col("_lmin"))
     value = F.lit(floor) + running - F.least(F.lit(0.0), prefix_min)
-    return (joined.withColumn("running", running).withColumn("value", value)
+    return (joined.withColumn("running", running).withColumn(out, value)
             .drop("_ls", "_lmin", "_off", "_min_before", "_pid"))
