@@ -1,6 +1,6 @@
 """Pearson correlation over numeric columns, pairwise-complete.
 
-One aggregate pass computes every pair i ≤ j (chunked for very wide tables).
+One aggregate pass computes every pair i ≤ j from a long (pair, x, y) form.
 ``corr`` itself is not used: under ANSI mode it raises on a constant column;
 ``try_divide(covar_samp, stddev_samp·stddev_samp)`` gives NULL there, which
 becomes 0 as in the reference (also on the diagonal of a constant column).
@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import as_number, fround
 
-PAIRS_PER_PASS = 600
-
-
-def _pair_exprs(i: int, j: int, tag: str):
-    x = F.col(f"_x{i}")
-    y = F.col(f"_x{j}")
-    xm = F.when(y.isNotNull(), x)
-    ym = F.when(x.isNotNull(), y)
-    r = F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))
-    return r.alias(tag)
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,23 +22,22 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     if len(columns) < 2:
         return spark.createDataFrame([], schema)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    # numeric views computed once per row, not once per pair
-    views = df.select(*[as_number(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"_x{i}")
-                        for i, c in enumerate(columns)])
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        wide = views.agg(*[_pair_exprs(i, j, f"r{i}_{j}") for i, j in chunk])
-        structs = []
-        for i, j in chunk:
-            val = F.coalesce(F.nanvl(F.col(f"r{i}_{j}"), F.lit(None).cast("double")), F.lit(0.0))
-            structs.append(F.struct(F.lit(i).alias("pos_x"), F.lit(j).alias("pos_y"), val.alias("r")))
-            if i != j:
-                structs.append(F.struct(F.lit(j).alias("pos_x"), F.lit(i).alias("pos_y"), val.alias("r")))
-        parts.append(wide.select(F.inline(F.array(*structs))))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    views = [as_number(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]
+    # long form: one (pair, x, y) row per cell pair, three aggregates per pair;
+    # partial aggregation leaves one row per pair and task before the shuffle
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pos_x"), F.lit(j).alias("pos_y"), views[i].alias("x"), views[j].alias("y"))
+        for i, j in pairs])))
+    x, y = F.col("x"), F.col("y")
+    xm = F.when(y.isNotNull(), x)
+    ym = F.when(x.isNotNull(), y)
+    r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(xm) * F.stddev_samp(ym))
+    upper = cells.groupBy("pos_x", "pos_y").agg(r.alias("r"))
+    val = F.coalesce(F.nanvl(F.col("r"), F.lit(None).cast("double")), F.lit(0.0))
+    mirrored = F.when(F.col("pos_x") != F.col("pos_y"),
+                      F.struct(F.col("pos_y").alias("pos_x"), F.col("pos_x").alias("pos_y"), val.alias("r")))
+    both = F.array(F.struct(F.col("pos_x").alias("pos_x"), F.col("pos_y").alias("pos_y"), val.alias("r")), mirrored)
+    long = upper.select(F.inline(F.filter(both, lambda e: e.isNotNull())))
     names = F.array(*[F.lit(c) for c in columns])
     return long.select(F.element_at(names, F.col("pos_x") + 1).alias("col_x"),
                        F.element_at(names, F.col("pos_y") + 1).alias("col_y"),

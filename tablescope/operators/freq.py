@@ -9,6 +9,7 @@ distinct value instead of once per cell.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,9 +59,11 @@ def _cell_struct(df: DataFrame, name: str, pos: int) -> Column:
                     s.alias("s"), i.alias("i"), d.alias("d"), t.alias("t"))
 
 
-def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def frequency_table(df: DataFrame, columns: list[str] | None = None, persist: bool = False) -> DataFrame:
     """``(column, pos, kind, value, num, ts, cnt)`` for every distinct value.
 
+    ``persist=True`` keeps it (memory, spilling to disk) for plans that read
+    it many times; lost blocks are recomputed from the scan.
     ``value`` is the text pandas would print, ``num`` the lenient numeric view
     (NULL when not a number), ``ts`` the timestamp view. Null cells form one
     row with ``value IS NULL``. NaN counts as null.
@@ -81,8 +84,9 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFram
            .when(kind == "string", to_number(F.col("s"))))
     ts = (F.when(kind == "timestamp", F.col("t"))
           .when((kind == "string") & date_like, to_timestamp_mixed(F.col("s"))))
-    return grouped.select("column_name", "pos", "kind", value.alias("value"), num.alias("num"),
-                          ts.alias("ts"), "cnt")
+    out = grouped.select("column_name", "pos", "kind", value.alias("value"), num.alias("num"),
+                         ts.alias("ts"), "cnt")
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
 
 def numeric_frequencies(freq: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -3,14 +3,17 @@
 A window with no partition key (or one key holding a third of the rows)
 runs in a single task. Both helpers here instead range-partition the data
 (Spark samples the key to balance the partitions), freeze the partition id
-with a reliable checkpoint, aggregate one small row per partition, prefix-sum
-those few rows, and broadcast the offsets back. Per-task work is bounded by
+by persisting that one shuffled result (a recomputed block comes from the same
+shuffle dependency, so it lands in the same partition; ``reliable=True``
+writes a checkpoint to the shared folder instead), aggregate one small row per
+partition, prefix-sum those few rows, and broadcast the offsets back. Per-task work is bounded by
 the partition size whatever the skew of the grouping key.
 """
 from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +26,19 @@ def _range_partitions(n_rows: int | None, rows_per_range: int) -> int:
     return max(1, int(math.ceil(n_rows / rows_per_range)))
 
 
+def freeze(df: DataFrame, reliable: bool = False) -> DataFrame:
+    """Pin a result whose partition ids must not change between its uses."""
+    if reliable:
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def range_frozen(df: DataFrame, by: list[str], order: list[str], n_rows: int | None = None,
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                 rows_per_range: int = ROWS_PER_RANGE, reliable: bool = False) -> DataFrame:
     """Range-partition on ``by + order`` and freeze the partition id as ``_pid``."""
     parts = _range_partitions(n_rows, rows_per_range)
     ranged = df.repartitionByRange(parts, *[F.col(c) for c in by + order])
-    return ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    return freeze(ranged.withColumn("_pid", F.spark_partition_id()), reliable)
 
 
 def select_ranks(values: DataFrame, targets: DataFrame, key: str = "column_name", order: str = "num",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import as_number, as_timestamp
+from .ordered import freeze
 
 
 def sort_key(df: DataFrame, by: str) -> Column:
@@ -46,8 +47,7 @@ def with_positions(df: DataFrame, orders: list[Column], name: str = "position",
                    n_rows: int | None = None) -> DataFrame:
     """1-based position in ``orders`` for every row, computed per range partition."""
     parts = max(1, math.ceil((n_rows or 0) / 2_000_000))
-    ranged = df.repartitionByRange(parts, *orders).withColumn("_pid", F.spark_partition_id()) \
-        .checkpoint(eager=True)
+    ranged = freeze(df.repartitionByRange(parts, *orders).withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn("_lp", F.row_number().over(Window.partitionBy("_pid").orderBy(*orders)))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_off", F.coalesce(

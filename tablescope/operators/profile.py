@@ -51,18 +51,16 @@ def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
         schema = "column string, n bigint, min double, max double, mean double, variance double, " \
                  "std_dev double, skewness double, kurtosis double"
         return df.sparkSession.createDataFrame([], schema)
-    aggs = []
-    for i, c in enumerate(columns):
-        x = as_number(F.col(f"`{c}`"), df.schema[c].dataType)
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-                 F.avg(x).alias(f"av{i}"), F.var_samp(x).alias(f"vr{i}"), F.stddev_samp(x).alias(f"sd{i}"),
-                 F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}")]
-    wide = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"mn{i}").alias("mn"),
-                        F.col(f"mx{i}").alias("mx"), F.col(f"av{i}").alias("av"), F.col(f"vr{i}").alias("vr"),
-                        F.col(f"sd{i}").alias("sd"), F.col(f"sk{i}").alias("sk"), F.col(f"ku{i}").alias("ku"))
-               for i, c in enumerate(columns)]
-    long = wide.select(F.inline(F.array(*structs)))
+    # long form: one (column, x) row per cell, then 8 aggregates per column;
+    # the generated code does not grow with the number of columns
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), as_number(F.col(f"`{c}`"), df.schema[c].dataType).alias("x"))
+        for c in columns])))
+    x = F.col("x")
+    long = cells.groupBy("column_name").agg(
+        F.count(x).alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx"), F.avg(x).alias("av"),
+        F.var_samp(x).alias("vr"), F.stddev_samp(x).alias("sd"), F.skewness(x).alias("sk"),
+        F.kurtosis(x).alias("ku"))
     n = F.col("n").cast("double")
     skew = F.col("sk") * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("ku") + 6)
@@ -76,13 +74,42 @@ def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def quantiles(freq: DataFrame, columns: list[str], ps=QUARTILES, rows_per_range: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles ``(column, p, value)`` (pandas' default).
+# per-column distinct numbers up to which the exact percentile aggregate (a
+# value → count map per column) is used; larger columns use rank selection
+PERCENTILE_MAP_MAX = 1_000_000
 
-    For ``h = (n-1)·p`` the two neighbouring order statistics are located with
-    a distributed weighted rank selection, never by gathering a column.
+
+def quantiles(freq: DataFrame, columns: list[str], ps=QUARTILES, rows_per_range: int | None = None,
+              map_max: int = PERCENTILE_MAP_MAX) -> DataFrame:
+    """Exact linear-interpolated quantiles ``(column_name, p, value)`` (pandas' default).
+
+    Columns with at most ``map_max`` distinct numbers: Spark's exact weighted
+    ``percentile`` over the frequency table (its buffer is bounded by
+    ``map_max`` entries). Larger columns: the two order statistics around
+    ``h = (n-1)·p`` are found by distributed rank selection, never by
+    gathering a column into one task.
     """
+    if not columns:
+        return freq.sparkSession.createDataFrame([], "column_name string, p double, value double")
     fnum = numeric_frequencies(freq, columns).select("column_name", "num", "cnt")
+    distinct = {r[0]: r[1] for r in fnum.groupBy("column_name").count().collect()}
+    small = [c for c in columns if distinct.get(c, 0) <= map_max]
+    large = [c for c in columns if distinct.get(c, 0) > map_max]
+    parts = []
+    if small:
+        pct = F.percentile(F.col("num"), F.array(*[F.lit(float(p)) for p in ps]), F.col("cnt"))
+        agg = fnum.where(F.col("column_name").isin(small)).groupBy("column_name").agg(pct.alias("_q"))
+        parts.append(agg.select("column_name", F.inline(F.arrays_zip(
+            F.array(*[F.lit(float(p)) for p in ps]).alias("p"), F.col("_q").alias("value")))))
+    if large:
+        parts.append(_quantiles_by_rank(fnum.where(F.col("column_name").isin(large)), ps, rows_per_range))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _quantiles_by_rank(fnum: DataFrame, ps, rows_per_range: int | None) -> DataFrame:
     counts = fnum.groupBy("column_name").agg(F.sum("cnt").alias("n"))
     h = (F.col("n") - 1) * F.col("p")
     targets = (counts.select("column_name", "n", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p"))
@@ -123,7 +150,7 @@ def outlier_counts(freq: DataFrame, columns: list[str], quarts: DataFrame) -> Da
 
 def numeric_stats(df: DataFrame, columns: list[str], freq: DataFrame | None = None) -> DataFrame:
     """A7-A13 for the given numeric columns, one row per column."""
-    f = freq if freq is not None else frequency_table(df, columns)
+    f = freq if freq is not None else frequency_table(df, columns, persist=True)
     mom = numeric_moments(df, columns)
     qs = quantiles(f, columns)
     q = qs.groupBy("column_name").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)

@@ -118,7 +118,7 @@ UNION ALL SELECT 'numeric', 'o_totalprice', 0, NULL, min(o_totalprice), max(o_to
 UNION ALL SELECT 'date', 'o_orderdate', 0, strftime(min(o_orderdate), '%Y-%m-%d') || ' .. ' || strftime(max(o_orderdate), '%Y-%m-%d'), NULL, NULL FROM orders""")
 def q_facets(spark, sf):
     df = load(spark, sf, "orders")
-    freq = frequency_table(df)
+    freq = frequency_table(df, persist=True)
     types = collect_types(column_types(df, freq=freq))
     num = [t["column_name"] for t in types if t["is_numeric"]]
     dat = [t["column_name"] for t in types if t["is_date"]]
@@ -393,7 +393,7 @@ def q_chart_heatmap(spark, sf):
 def q_chart_points(spark, sf):
     """Every recommended chart of orders (all families stacked)."""
     df = load(spark, sf, "orders")
-    freq = frequency_table(df)
+    freq = frequency_table(df, persist=True)
     types = collect_types(column_types(df, freq=freq))
     num = ch.chart_columns(types)["numeric"]
     return ch.chart_points(df, types, [F.col("o_orderkey")], correlation(df, num), freq)
@@ -432,7 +432,7 @@ def q_custom_boxplot(spark, sf):
 def q_insights(spark, sf):
     """I1-I6 over lineitem with derived missing values."""
     df = lineitem_nulls(spark, sf)
-    freq = frequency_table(df)
+    freq = frequency_table(df, persist=True)
     types_df = column_types(df, freq=freq)
     types = collect_types(types_df)
     num = [t["column_name"] for t in types if t["is_numeric"] and not t["is_id"]]

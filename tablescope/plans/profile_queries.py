@@ -41,25 +41,25 @@ LINEITEM_NULLS_SQL = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
 # ---------------------------------------------------------------- Spark side
 def q_dataset_summary(spark, sf):
     df = load(spark, sf, "orders")
-    freq = frequency_table(df)
+    freq = frequency_table(df, persist=True)
     return dataset_summary(df, column_types(df, freq=freq), freq).drop("estimated_mb")
 
 
 def q_dataset_summary_nulls(spark, sf):
     df = lineitem_nulls(spark, sf)
-    freq = frequency_table(df)
+    freq = frequency_table(df, persist=True)
     return dataset_summary(df, column_types(df, freq=freq), freq).drop("estimated_mb")
 
 
 def q_duplicate_rows(spark, sf):
     df = load(spark, sf, "orders").select("o_orderstatus", "o_orderpriority")
-    freq = frequency_table(df)
+    freq = frequency_table(df, persist=True)
     return dataset_summary(df, column_types(df, freq=freq), freq).select("total_rows", "duplicate_rows")
 
 
 def q_estimated_bytes(spark, sf):
     df = load(spark, sf, "orders")
-    freq = frequency_table(df)
+    freq = frequency_table(df, persist=True)
     return dataset_summary(df, column_types(df, freq=freq), freq).select("estimated_mb")
 
 
@@ -69,13 +69,14 @@ def q_null_and_distinct(spark, sf):
 
 def q_numeric_stats(spark, sf):
     df = load(spark, sf, "lineitem")
-    return numeric_moments(df, numeric_columns_of(df)).drop("n")
+    return numeric_moments(df, numeric_columns_of(df, frequency_table(df, persist=True))).drop("n")
 
 
 def q_quantiles(spark, sf):
     df = load(spark, sf, "lineitem")
-    cols = numeric_columns_of(df)
-    st = numeric_stats(df, cols)
+    freq = frequency_table(df, persist=True)
+    cols = numeric_columns_of(df, freq)
+    st = numeric_stats(df, cols, freq)
     return st.select("column_name", "q1", "median", "q3", "iqr")
 
 
@@ -94,7 +95,7 @@ def q_mode(spark, sf):
 
 def q_outliers(spark, sf):
     df = load(spark, sf, "lineitem")
-    freq = frequency_table(df, LINEITEM_NUM)
+    freq = frequency_table(df, LINEITEM_NUM, persist=True)
     return outlier_counts(freq, LINEITEM_NUM, quantiles(freq, LINEITEM_NUM))
 
 
@@ -134,7 +135,7 @@ def q_date_range(spark, sf):
 
 def q_correlation(spark, sf):
     df = load(spark, sf, "lineitem")
-    return correlation(df, numeric_columns_of(df))
+    return correlation(df, numeric_columns_of(df, frequency_table(df, persist=True)))
 
 
 def q_correlation_with_nulls(spark, sf):
@@ -177,7 +178,7 @@ def q_column_types_text(spark, sf):
 def q_column_profile(spark, sf):
     """Flagship: one row per column with type, counts and numeric statistics."""
     df = load(spark, sf, "lineitem")
-    freq = frequency_table(df)
+    freq = frequency_table(df, persist=True)
     types = column_types(df, freq=freq)
     cols = [t["column_name"] for t in collect_types(types) if t["is_numeric"] and not t["is_id"]]
     stats = numeric_stats(df, cols, freq)
