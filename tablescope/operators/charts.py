@@ -15,6 +15,7 @@ from ..functions.constants import (BAR_HORIZONTAL_OVER, BAR_TOP_N, CHART_MEASURE
 from .freq import frequency_table
 from .groups import category_counts, group_sums, top_n_with_others
 from .profile import histogram, quantiles
+from .reshape import unpivot_structs
 from .timeseries import resample_sums
 
 CHART_COLUMNS = ["chart_id", "type", "category", "title", "x_label", "y_label", "series",
@@ -137,11 +138,11 @@ def scatter_charts(df: DataFrame, num_cols: list[str], order: list[Column],
     pairs = [(a, b) for i, a in enumerate(num_cols) for b in num_cols[i + 1:]]
     if not pairs:
         return None
-    okey = F.struct(*order).alias("_o")
-    arr = F.array(*[F.struct(F.lit(a).alias("cx"), F.lit(b).alias("cy"),
-                             as_number(F.col(f"`{a}`"), df.schema[a].dataType).alias("x"),
-                             as_number(F.col(f"`{b}`"), df.schema[b].dataType).alias("y")) for a, b in pairs])
-    rows = df.select(okey, F.inline(arr)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    okey = F.struct(*order)
+    rows = unpivot_structs(df, [F.struct(okey.alias("_o"), F.lit(a).alias("cx"), F.lit(b).alias("cy"),
+                                         as_number(F.col(f"`{a}`"), df.schema[a].dataType).alias("x"),
+                                         as_number(F.col(f"`{b}`"), df.schema[b].dataType).alias("y"))
+                                for a, b in pairs]).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     w = Window.partitionBy("cx", "cy").orderBy("_o")
     first = rows.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= points)
     first = first.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cx", "cy"))).where(F.col("_n") >= 3)

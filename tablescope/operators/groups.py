@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import as_number, safe, value_text
 from ..functions.constants import OTHERS_LABEL
+from .reshape import unpivot_structs
 
 
 def _label(df: DataFrame, name: str, null_label: str | None):
@@ -23,11 +24,9 @@ def group_sums(df: DataFrame, categories: list[str], measures: list[str],
     """``(cat_column, measure, label, value)``: Σ measure per category value over
     rows where the measure is present; a group with no present value is absent.
     Null categories are dropped unless ``null_label`` names them."""
-    cats = F.array(*[F.struct(F.lit(c).alias("cat_column"), _label(df, c, null_label).alias("label"))
-                     for c in categories])
     nums = [as_number(F.col(f"`{m}`"), df.schema[m].dataType).alias(f"_m{i}") for i, m in enumerate(measures)]
-    rows = df.select(F.explode(cats).alias("_c"), *nums).select("_c.cat_column", "_c.label",
-                                                                *[f"_m{i}" for i in range(len(measures))])
+    rows = unpivot_structs(df, [F.struct(F.lit(c).alias("cat_column"), _label(df, c, null_label).alias("label"),
+                                         *nums) for c in categories])
     rows = rows.where(F.col("label").isNotNull())
     agg = rows.groupBy("cat_column", "label").agg(
         *[F.sum(f"_m{i}").alias(f"_s{i}") for i in range(len(measures))],
@@ -40,9 +39,8 @@ def group_sums(df: DataFrame, categories: list[str], measures: list[str],
 
 def category_counts(df: DataFrame, categories: list[str], null_label: str | None = None) -> DataFrame:
     """``(cat_column, label, value)`` row counts per category value."""
-    cats = F.array(*[F.struct(F.lit(c).alias("cat_column"), _label(df, c, null_label).alias("label"))
-                     for c in categories])
-    rows = df.select(F.explode(cats).alias("_c")).select("_c.cat_column", "_c.label")
+    rows = unpivot_structs(df, [F.struct(F.lit(c).alias("cat_column"), _label(df, c, null_label).alias("label"))
+                                for c in categories])
     return (rows.where(F.col("label").isNotNull()).groupBy("cat_column", "label")
             .agg(F.count(F.lit(1)).cast("double").alias("value")))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import as_number, as_timestamp, safe
 from ..functions.dates import monday_week_number, week_end_sunday
+from .reshape import unpivot_structs
 
 
 def _bin_end(ts, gran):
@@ -40,7 +41,7 @@ def resample_sums(df: DataFrame, pairs: list[tuple[str, str]], digits: int | Non
         structs.append(F.struct(F.lit(d).alias("date_column"), F.lit(m).alias("measure"),
                                 as_timestamp(F.col(f"`{d}`"), df.schema[d].dataType).alias("ts"),
                                 as_number(F.col(f"`{m}`"), df.schema[m].dataType).alias("v")))
-    rows = df.select(F.inline(F.array(*structs))).where(F.col("ts").isNotNull() & F.col("v").isNotNull())
+    rows = unpivot_structs(df, structs).where(F.col("ts").isNotNull() & F.col("v").isNotNull())
     keys = ["date_column", "measure"]
     span = rows.groupBy(*keys).agg(F.min("ts").alias("mn"), F.max("ts").alias("mx"))
     days = F.floor((F.unix_micros("mx") - F.unix_micros("mn")) / F.lit(86_400_000_000))
