@@ -28,6 +28,9 @@ def type_signals(freq: DataFrame) -> DataFrame:
     """Per column: counts of values passing each type test (weighted by cnt)."""
     v = F.col("value")
     nn = v.isNotNull()
+    # the text tests can only fire on text-like columns: checked first, so
+    # typed numbers and timestamps skip every regex
+    txt = F.col("kind").isin("string", "boolean", "other") & nn
     low = F.lower(F.trim(v))
     is_ts_kind = F.col("kind") == "timestamp"
     time_any = F.when(is_ts_kind, (F.hour("ts") != 0) | (F.minute("ts") != 0) | (F.second("ts") != 0)) \
@@ -37,18 +40,18 @@ def type_signals(freq: DataFrame) -> DataFrame:
         _wsum(nn).alias("non_null"),
         F.count(v).alias("unique_count"),
         _wsum(F.col("num").isNotNull()).alias("num_ok"),
-        _wsum(nn & v.contains("%")).alias("pct_n"),
-        _wsum(nn & v.rlike(CURRENCY_CHAR_PATTERN)).alias("cur_n"),
+        _wsum(txt & v.contains("%")).alias("pct_n"),
+        _wsum(txt & v.rlike(CURRENCY_CHAR_PATTERN)).alias("cur_n"),
         F.coalesce(F.min(F.when(F.col("num").isNotNull(), F.col("num") % 1 == 0)), F.lit(False))
         .alias("all_integral"),
         _wsum(F.col("ts").isNotNull()).alias("date_ok"),
         F.coalesce(F.max(F.when(F.col("ts").isNotNull(), time_any)), F.lit(False)).alias("has_time"),
-        _wsum(nn & low.isin(BOOLEAN_TOKENS)).alias("bool_n"),
-        _wsum(nn & v.rlike(EMAIL_PATTERN)).alias("email_n"),
-        _wsum(nn & v.rlike(IMAGE_URL_PATTERN)).alias("image_n"),
-        _wsum(nn & v.rlike(FILE_URL_PATTERN)).alias("file_n"),
-        _wsum(nn & v.rlike(URL_PATTERN)).alias("url_n"),
-        _wsum(nn & v.rlike(PHONE_PATTERN)).alias("phone_n"),
+        _wsum(txt & low.isin(BOOLEAN_TOKENS)).alias("bool_n"),
+        _wsum(txt & v.rlike(EMAIL_PATTERN)).alias("email_n"),
+        _wsum(txt & v.rlike(IMAGE_URL_PATTERN)).alias("image_n"),
+        _wsum(txt & v.rlike(FILE_URL_PATTERN)).alias("file_n"),
+        _wsum(txt & v.rlike(URL_PATTERN)).alias("url_n"),
+        _wsum(txt & v.rlike(PHONE_PATTERN)).alias("phone_n"),
     )
 
 

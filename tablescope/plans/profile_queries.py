@@ -213,3 +213,30 @@ SPARK = {
     "column_types_text": q_column_types_text,
     "column_profile": q_column_profile,
 }
+
+
+def _lineitem_analysis(spark, sf):
+    from .analyze import analyze
+    return analyze(load(spark, sf, "lineitem"), order=["l_orderkey", "l_linenumber"])
+
+
+def q_report_summary(spark, sf):
+    """S10 Executive Summary of lineitem (the timing row is NULL)."""
+    from .report import report_summary
+    return report_summary(_lineitem_analysis(spark, sf)["summary"]).where(F.col("ord") < 9)
+
+
+def q_report_columns(spark, sf):
+    """S10 Column Details of lineitem."""
+    from .report import report_columns
+    return report_columns(_lineitem_analysis(spark, sf)["columns"])
+
+
+def q_report_matrix(spark, sf):
+    """S10 Correlation Matrix of lineitem (pivoted)."""
+    from .report import report_matrix
+    return report_matrix(correlation(load(spark, sf, "lineitem"), LINEITEM_NUM), LINEITEM_NUM)
+
+
+SPARK.update({"report_summary": q_report_summary, "report_columns": q_report_columns,
+              "report_matrix": q_report_matrix})

@@ -272,3 +272,38 @@ SELECT 'ts' AS column_name,
     "column_types_url": types_query("(SELECT page_id, url FROM pages)", {"page_id": "integral", "url": "string"}),
     "column_types_text": types_query(text_table_sql(), TEXT_KINDS),
 }
+
+
+def _report_sql():
+    cols = list(LINEITEM_KINDS)
+    summ = summary_sql("lineitem", LINEITEM_KINDS)
+    est = " + ".join(f"coalesce(sum(strlen({c})), 0)" for c, k in LINEITEM_KINDS.items() if k == "string")
+    fixed = 8 * 8 + 4  # eight 8-byte columns, one INT column
+    metrics = [("Total Rows", "total_rows"), ("Total Columns", "total_columns"), ("Missing Values", "missing_values"),
+               ("Missing Values %", "missing_percentage"), ("Duplicate Rows", "duplicate_rows"),
+               ("Memory Usage (MB)", "estimated_mb"), ("Numeric Columns", "numeric_columns_count"),
+               ("Categorical Columns", "categorical_columns_count"), ("Date Columns", "date_columns_count")]
+    sel = "\nUNION ALL\n".join(f"SELECT {i} AS ord, '{m}' AS metric, CAST({c} AS DOUBLE) AS value FROM s"
+                               for i, (m, c) in enumerate(metrics))
+    summary = f"""WITH s0 AS ({summ}),
+e AS (SELECT round_even(({est} + count(*) * {fixed}) / (1024 * 1024), 3) AS estimated_mb FROM lineitem),
+s AS (SELECT * FROM s0, e)
+{sel}"""
+    details = f"""WITH t AS ({types_sql("lineitem", LINEITEM_KINDS)}),
+n AS ({union(cols, "SELECT '{c}' AS column_name, CAST(round_even((count(*) - count({c})) / greatest(count(*), 1) * 100, 2) AS DOUBLE) AS null_percentage FROM lineitem")}),
+m AS ({union(LINEITEM_NUM, MOMENTS.replace("{t}", "lineitem"))}),
+q AS ({union(LINEITEM_NUM, QUARTS)}),
+md AS ({union(LINEITEM_NUM, MODE)}),
+o AS ({union(LINEITEM_NUM, OUTLIERS)})
+SELECT t.column_name AS "Column", detected_type AS "Type", null_count AS "Null Count", null_percentage AS "Null %",
+  unique_count AS "Unique Values", m.min AS "Min", m.max AS "Max", m.mean AS "Mean", q.median AS "Median",
+  md.mode AS "Mode", m.std_dev AS "Std Dev", q.iqr AS "IQR", o.outliers_count AS "Outliers"
+FROM t JOIN n USING (column_name) LEFT JOIN m USING (column_name) LEFT JOIN q USING (column_name)
+  LEFT JOIN md USING (column_name) LEFT JOIN o USING (column_name)"""
+    corr = corr_sql("lineitem", LINEITEM_NUM)
+    pivot_cols = ", ".join(f"max(CASE WHEN col_y = '{c}' THEN r END) AS {c}" for c in LINEITEM_NUM)
+    matrix = f"SELECT col_x AS column_name, {pivot_cols} FROM ({corr}) GROUP BY col_x"
+    return {"report_summary": summary, "report_columns": details, "report_matrix": matrix}
+
+
+SQL.update(_report_sql())
