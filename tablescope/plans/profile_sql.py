@@ -297,7 +297,7 @@ md AS ({union(LINEITEM_NUM, MODE)}),
 o AS ({union(LINEITEM_NUM, OUTLIERS)})
 SELECT t.column_name AS "Column", detected_type AS "Type", null_count AS "Null Count", null_percentage AS "Null %",
   unique_count AS "Unique Values", m.min AS "Min", m.max AS "Max", m.mean AS "Mean", q.median AS "Median",
-  md.mode AS "Mode", m.std_dev AS "Std Dev", q.iqr AS "IQR", o.outliers_count AS "Outliers"
+  md.mode AS "Mode", m.std_dev AS "Std Dev", q.iqr AS "IQR", CAST(o.outliers_count AS DOUBLE) AS "Outliers"
 FROM t JOIN n USING (column_name) LEFT JOIN m USING (column_name) LEFT JOIN q USING (column_name)
   LEFT JOIN md USING (column_name) LEFT JOIN o USING (column_name)"""
     corr = corr_sql("lineitem", LINEITEM_NUM)

@@ -32,9 +32,13 @@ def report_summary(summary: DataFrame, elapsed_ms: float | None = None) -> DataF
 
 
 def report_columns(columns: DataFrame) -> DataFrame:
-    """Column Details: thirteen columns; statistics NULL for non-numeric columns."""
-    return columns.select(*[(F.col(src) if src in columns.columns else F.lit(None)).alias(name)
-                            for name, src in DETAIL_COLUMNS])
+    """Column Details: thirteen columns; statistics NULL for non-numeric columns
+    (so the outlier count is a DOUBLE, like the other statistics)."""
+    out = []
+    for name, src in DETAIL_COLUMNS:
+        c = F.col(src) if src in columns.columns else F.lit(None)
+        out.append((c.cast("double") if src == "outliers_count" else c).alias(name))
+    return columns.select(*out)
 
 
 def report_matrix(corr_long: DataFrame, columns: list[str]) -> DataFrame:
