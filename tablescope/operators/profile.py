@@ -63,8 +63,9 @@ def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
         F.var_samp(x).alias("vr"), F.stddev_samp(x).alias("sd"), F.skewness(x).alias("sk"),
         F.kurtosis(x).alias("ku"))
     n = F.col("n").cast("double")
-    skew = F.col("sk") * F.sqrt(n * (n - 1)) / (n - 2)
-    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("ku") + 6)
+    # try_divide: ANSI mode raises on division by zero even in an unused CASE branch
+    skew = F.try_divide(F.col("sk") * F.sqrt(n * (n - 1)), n - 2)
+    kurt = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("ku") + 6)
     return long.select(
         "column_name", "n",
         safe("mn", None).alias("min"), safe("mx", None).alias("max"), safe("av", 4).alias("mean"),

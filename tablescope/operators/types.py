@@ -72,7 +72,7 @@ def name_has_currency(name: Column) -> Column:
 def label_types(signals: DataFrame) -> DataFrame:
     """Apply the rule chain to the per-column signals."""
     nn = F.col("non_null")
-    ratio = lambda c: F.col(c) / nn
+    ratio = lambda c: F.try_divide(F.col(c), nn)  # noqa: E731  (NULL for an empty column)
     is_num = (nn > 0) & (ratio("num_ok") >= TYPE_RATIO)
     num_label = (F.when(ratio("pct_n") > SUBLABEL_RATIO, "Percentage")
                  .when((ratio("cur_n") > SUBLABEL_RATIO) | name_has_currency(F.col("column_name")), "Currency")

@@ -32,14 +32,13 @@ def sample_lines(spark: SparkSession, paths, n: int = SNIFF_LINES, encoding: str
 def sniff_files(spark: SparkSession, paths) -> DataFrame:
     """S2/S3 per file: ``(_file, encoding, sep, width)``.
 
-    Encoding: UTF-8 unless the sampled prefix holds undecodable bytes (read as
-    U+FFFD), then latin-1. Separator: the candidate present on the most sampled
+    Encoding: UTF-8 unless a sampled line is not valid UTF-8, then latin-1. Separator: the candidate present on the most sampled
     lines, ties broken by the larger mean count (a one-cell title line does not
     decide it). Width: the widest sampled line's token count.
     """
     lines = sample_lines(spark, paths)
     per_file = lines.groupBy("_file").agg(
-        F.max(F.col("line").contains("�").cast("int")).alias("_bad"),
+        F.max((~F.is_valid_utf8("line")).cast("int")).alias("_bad"),
         *[F.sum(F.when(F.length("line") > F.length(F.regexp_replace("line", _re(s), "")), 1).otherwise(0))
           .alias(f"_h{i}") for i, s in enumerate(SEPARATORS)],
         *[F.avg(F.length("line") - F.length(F.regexp_replace("line", _re(s), ""))).alias(f"_m{i}")
@@ -103,6 +102,29 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
+def list_files(spark: SparkSession, paths) -> DataFrame:
+    """``(path, length)`` of every file under the paths (globs allowed), empty
+    files included. File scans skip zero-length files, so the listing goes
+    through the Hadoop FileSystem API on the driver (one entry per file)."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    conf = sc._jsc.hadoopConfiguration()
+    out = []
+    for p in ([paths] if isinstance(paths, str) else list(paths)):
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        stats = fs.globStatus(hp) or []
+        for st in stats:
+            if st.isDirectory():
+                it = fs.listFiles(st.getPath(), True)
+                while it.hasNext():
+                    f = it.next()
+                    out.append((f.getPath().toString(), int(f.getLen())))
+            else:
+                out.append((st.getPath().toString(), int(st.getLen())))
+    return spark.createDataFrame(out, "path string, length bigint")
+
+
 def inspect_sources(spark: SparkSession, paths, max_bytes: int | None = None) -> DataFrame:
     """``(path, extension, size_bytes, status, reason)`` per file.
 
@@ -112,7 +134,7 @@ def inspect_sources(spark: SparkSession, paths, max_bytes: int | None = None) ->
     """
     from ..functions.constants import MAX_UPLOAD_BYTES
     cap = MAX_UPLOAD_BYTES if max_bytes is None else max_bytes
-    meta = spark.read.format("binaryFile").load(paths).select("path", "length")
+    meta = list_files(spark, paths)
     small = (spark.read.format("binaryFile").load(paths).where(F.col("length") <= cap)
              .select("path", F.hex(F.substring("content", 1, 4)).alias("magic")))
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
