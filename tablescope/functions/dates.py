@@ -11,10 +11,38 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# Shape each layout needs (a superset of what it accepts). A failed parse is
+# costly, so a value only tries the layouts whose shape it has.
+_D2 = r"[0-9]{2}"
+LAYOUT_SHAPES = {
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]": rf"^[0-9]{{4}}-{_D2}-{_D2}T",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]": rf"^[0-9]{{4}}-{_D2}-{_D2} {_D2}:{_D2}:{_D2}",
+    "yyyy-MM-dd HH:mm": rf"^[0-9]{{4}}-{_D2}-{_D2} {_D2}:{_D2}$",
+    "yyyy-MM-dd": rf"^[0-9]{{4}}-{_D2}-{_D2}$",
+    "yyyy/MM/dd[ HH:mm:ss]": rf"^[0-9]{{4}}/{_D2}/{_D2}",
+    "yyyyMMdd": r"^[0-9]{8}$",
+    "M/d/yyyy[ H:mm[:ss]]": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+    "d/M/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    "M-d-yyyy": r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$",
+    "d-M-yyyy": r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$",
+    "M.d.yyyy": r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$",
+    "d.M.yyyy": r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$",
+    "d MMM yyyy": r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}$",
+    "yyyy-MM": rf"^[0-9]{{4}}-{_D2}$",
+}
+
+
 def to_timestamp_mixed(col, formats=DATE_FORMATS) -> Column:
     """Text → TIMESTAMP, trying each layout in order per value; bad → NULL."""
     text = F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    tries = []
+    for f in formats:
+        attempt = F.try_to_timestamp(text, F.lit(f))
+        shape = LAYOUT_SHAPES.get(f)
+        tries.append(F.when(text.rlike(shape), attempt) if shape else attempt)
+    parsed = F.coalesce(*tries)
     return F.when(text.isNotNull() & (text != "") & ~text.isin(EXCEL_ERRORS), parsed)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_number, fround
-from .reshape import spread, unpivot_structs
+from .reshape import unpivot_structs
 
 
 
@@ -26,7 +26,7 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     views = [as_number(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]
     # long form: one (pair, x, y) row per cell pair, three aggregates per pair;
     # partial aggregation leaves one row per pair and task before the shuffle
-    base = spread(df).select(*[v.alias(f"_v{i}") for i, v in enumerate(views)])
+    base = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(views)])
     cells = unpivot_structs(base, [
         F.struct(F.lit(i).alias("pos_x"), F.lit(j).alias("pos_y"), F.col(f"_v{i}").alias("x"),
                  F.col(f"_v{j}").alias("y")) for i, j in pairs])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean_double, py_float_text, to_number, to_timestamp_mixed
-from .reshape import spread, unpivot_structs
+from .reshape import unpivot_structs
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -71,7 +71,7 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, persist: bo
     """
     cols = list(columns) if columns is not None else list(df.columns)
     structs = [_cell_struct(df, c, df.columns.index(c)) for c in cols]
-    cells = unpivot_structs(spread(df), structs)
+    cells = unpivot_structs(df, structs)
     grouped = cells.groupBy("column_name", "pos", "kind", "s", "i", "d", "t").agg(F.count(F.lit(1)).alias("cnt"))
     kind = F.col("kind")
     value = (F.when(kind == "integral", F.col("i").cast("string"))

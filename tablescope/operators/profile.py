@@ -14,7 +14,7 @@ from ..functions import as_number, fround, py_float_text, safe
 from ..functions.constants import TOP_K_VALUES
 from .freq import frequency_table, numeric_frequencies
 from .ordered import select_ranks
-from .reshape import spread, unpivot_structs
+from .reshape import unpivot_structs
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -54,7 +54,7 @@ def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], schema)
     # long form: one (column, x) row per cell, then 8 aggregates per column;
     # the generated code does not grow with the number of columns
-    cells = unpivot_structs(spread(df), [
+    cells = unpivot_structs(df, [
         F.struct(F.lit(c).alias("column_name"), as_number(F.col(f"`{c}`"), df.schema[c].dataType).alias("x"))
         for c in columns])
     x = F.col("x")

@@ -20,10 +20,12 @@ def unpivot_structs(df: DataFrame, structs: list[Column]) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer partitions than task slots one partition per slot.
+    """Give a *scan* with fewer partitions than task slots one partition per slot.
 
     Only small inputs stored in few row groups hit this; a large scan already
-    has more splits than slots and is left as it is.
+    has more splits than slots and is left as it is. Call it on a freshly
+    loaded table only: asking a plan with shuffles for its partitions would
+    run those shuffles.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     try:
