@@ -49,34 +49,59 @@ def category_predicate(df: DataFrame, spec: dict) -> Column:
     return pred
 
 
+def _compare(df: DataFrame, name: str, op: str, bound: Column) -> Column:
+    c = _col(df, name)
+    return c >= bound if op == ">=" else c <= bound
+
+
 def numeric_predicate(df: DataFrame, spec: dict) -> Column:
-    """inclusive bounds on the lenient number; NULL fails."""
+    """inclusive bounds on the lenient number; NULL, NaN and ±Infinity fail.
+
+    On typed numeric columns the bound is compared with the column itself so
+    the comparison reaches the parquet scan (row-group skipping); the NaN and
+    infinity exclusions are separate conjuncts. Text columns compare the
+    parsed number.
+    """
     pred = F.lit(True)
     for name, lim in (spec or {}).items():
         if name not in df.columns or not lim:
             continue
-        num = as_number(_col(df, name), df.schema[name].dataType)
-        if lim.get("min") is not None:
-            pred = pred & F.coalesce(num >= F.lit(float(lim["min"])), F.lit(False))
-        if lim.get("max") is not None:
-            pred = pred & F.coalesce(num <= F.lit(float(lim["max"])), F.lit(False))
+        dtype = df.schema[name].dataType
+        typed = isinstance(dtype, T.NumericType)
+        for key, op in (("min", ">="), ("max", "<=")):
+            if lim.get(key) is None:
+                continue
+            if typed:
+                pred = pred & _compare(df, name, op, F.lit(float(lim[key])).cast(dtype))
+            else:
+                num = as_number(_col(df, name), dtype)
+                pred = pred & (num >= F.lit(float(lim[key])) if op == ">=" else num <= F.lit(float(lim[key])))
+        if typed and isinstance(dtype, (T.FloatType, T.DoubleType)):
+            c = _col(df, name)
+            pred = pred & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
     return pred
 
 
 def date_predicate(df: DataFrame, spec: dict, end_inclusive_day: bool = False) -> Column:
     """inclusive bounds; ``end`` is midnight unless ``end_inclusive_day``;
-    an unparseable bound keeps no rows."""
+    an unparseable bound keeps no rows. The bound is a constant cast to the
+    column's own timestamp type, so typed columns filter at the scan."""
     pred = F.lit(True)
     for name, lim in (spec or {}).items():
         if name not in df.columns or not lim:
             continue
-        ts = as_timestamp(_col(df, name), df.schema[name].dataType)
+        dtype = df.schema[name].dataType
+        typed = isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        col = _col(df, name) if typed else as_timestamp(_col(df, name), dtype)
+        target = dtype if typed else T.TimestampType()
         if lim.get("start"):
-            pred = pred & F.coalesce(ts >= to_timestamp_mixed(F.lit(str(lim["start"]))), F.lit(False))
+            pred = pred & (col >= to_timestamp_mixed(F.lit(str(lim["start"]))).cast(target))
         if lim.get("end"):
             end = to_timestamp_mixed(F.lit(str(lim["end"])))
-            cond = ts < F.date_add(F.to_date(end), 1).cast("timestamp") if end_inclusive_day else ts <= end
-            pred = pred & F.coalesce(cond, F.lit(False))
+            if end_inclusive_day:
+                pred = pred & (col < F.date_add(F.to_date(end), 1).cast("timestamp").cast(target))
+            else:
+                pred = pred & (col <= end.cast(target))
     return pred
 
 
