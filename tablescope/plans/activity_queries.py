@@ -126,3 +126,26 @@ def q_stream_active_sessions(spark, sf):
          .option("checkpointLocation", scratch_path(spark, "sessions-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("event_log_append", "SELECT * FROM events")
+def q_event_log_append(spark, sf):
+    """The log is appended in two batches (before / after mid-month) and read back."""
+    from ..operators.activity import append_events
+    ev = load(spark, sf, "events")
+    path = scratch_path(spark, "event-log")
+    first = F.col("ts") < F.lit(MID).cast("timestamp")
+    append_events(ev.where(first), path)
+    append_events(ev.where(~first), path)
+    return spark.read.parquet(path)
+
+
+@register("stream_event_log", "SELECT * FROM events")
+def q_stream_event_log(spark, sf):
+    """E3 on a stream: every event appended to a parquet log with a checkpoint."""
+    from ..streaming.counters import stream_event_log
+    ev = load(spark, sf, "events")
+    stream = read_events_stream(spark, sf.rstrip('/'), ev.schema, glob="events.parquet")
+    path = scratch_path(spark, "event-log-stream")
+    stream_event_log(stream, path, scratch_path(spark, "event-log-ckpt")).awaitTermination()
+    return spark.read.parquet(path)

@@ -489,3 +489,29 @@ SELECT CAST(row_number() OVER (ORDER BY rule) - 1 AS INTEGER) AS ord, type, seve
 
 
 SQL["insights"] = _insights_sql()
+
+
+def _column_detail_sql() -> str:
+    from .profile_sql import hist_sql
+    hist = hist_sql("orders", ["o_totalprice"])
+    return f"""SELECT 'distribution' AS kind, column_name, bin AS pos, label, CAST(count AS DOUBLE) AS value FROM ({hist})
+UNION ALL
+SELECT 'top', 'o_orderpriority', CAST(r - 1 AS INTEGER), value, CAST(cnt AS DOUBLE) FROM (
+  SELECT o_orderpriority AS value, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS r
+  FROM orders GROUP BY 1) WHERE r <= 10"""
+
+
+@register("column_detail", _column_detail_sql())
+def q_column_detail(spark, sf):
+    """Detail charts of one numeric column (distribution buckets) and one
+    categorical column (top-10 bars)."""
+    df = load(spark, sf, "orders")
+    freq = frequency_table(df, ["o_totalprice", "o_orderpriority"], persist=True)
+    from ..operators.profile import histogram
+    h = histogram(freq, ["o_totalprice"]).select(F.lit("distribution").alias("kind"), "column_name",
+                                                 F.col("bin").alias("pos"), "label",
+                                                 F.col("count").cast("double").alias("value"))
+    t = top_values(freq, ["o_orderpriority"]).select(F.lit("top").alias("kind"), "column_name",
+                                                      (F.col("rank") - 1).alias("pos"), F.col("value").alias("label"),
+                                                      F.col("count").cast("double").alias("value"))
+    return h.unionByName(t)

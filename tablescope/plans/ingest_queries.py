@@ -141,3 +141,12 @@ def q_coerce_text(spark, sf):
   || '","o_orderpriority":"' || o_orderpriority || '"}' AS record FROM orders""")
 def q_to_records(spark, sf):
     return to_records(load(spark, sf, "orders"))
+
+
+@register("csv_semicolon_latin1", f"SELECT {ORDERS} FROM orders")
+def q_csv_semicolon_latin1(spark, sf):
+    """Orders written ';'-separated in latin-1; separator and encoding are sniffed."""
+    path = scratch_path(spark, "orders-latin1")
+    (load(spark, sf, "orders").write.mode("overwrite").option("header", True).option("sep", ";")
+     .option("encoding", "ISO-8859-1").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+    return clean_table(read_delimited(spark, f"{path}/*.csv"))
