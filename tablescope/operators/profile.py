@@ -45,9 +45,52 @@ def null_and_distinct(freq: DataFrame) -> DataFrame:
     return c.select("column_name", "pos", "null_count", pct.alias("null_percentage"), "unique_count")
 
 
-def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A7, A10, A12, A13 from one pass: ``(column, n, min, max, mean, variance,
-    std_dev, skewness, kurtosis)`` with the sample corrections pandas uses."""
+def _finish_moments(long: DataFrame) -> DataFrame:
+    """Sample corrections (pandas' conventions) and rounding of raw moments."""
+    n = F.col("n").cast("double")
+    # try_divide: ANSI mode raises on division by zero even in an unused CASE branch
+    skew = F.try_divide(F.col("sk") * F.sqrt(n * (n - 1)), n - 2)
+    kurt = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("ku") + 6)
+    return long.select(
+        "column_name", "n",
+        safe("mn", None).alias("min"), safe("mx", None).alias("max"), safe("av", 4).alias("mean"),
+        F.when(n > 1, safe("vr", 4)).otherwise(0.0).alias("variance"),
+        F.when(n > 1, safe("sd", 4)).otherwise(0.0).alias("std_dev"),
+        F.when(n > 2, safe(skew, 4)).otherwise(0.0).alias("skewness"),
+        F.when(n > 3, safe(kurt, 4)).otherwise(0.0).alias("kurtosis"),
+    )
+
+
+def weighted_moments(freq: DataFrame, columns: list[str]) -> DataFrame:
+    """Moments from the frequency table (no second scan of the data): means
+    first, then centred power sums weighted by ``cnt`` (two small passes over
+    distinct values, numerically stable)."""
+    fnum = numeric_frequencies(freq, columns)
+    first = fnum.groupBy("column_name").agg(
+        F.sum("cnt").alias("n"), F.min("num").alias("mn"), F.max("num").alias("mx"),
+        (F.sum(F.col("num") * F.col("cnt")) / F.sum("cnt")).alias("av"))
+    d = F.col("num") - F.col("av")
+    w = F.col("cnt")
+    # one row per numeric column: a bounded broadcast
+    central = fnum.join(F.broadcast(first.select("column_name", "av")), "column_name").groupBy("column_name").agg(
+        F.sum(w * d * d).alias("s2"), F.sum(w * d * d * d).alias("s3"), F.sum(w * d * d * d * d).alias("s4"))
+    m = first.join(central, "column_name")
+    n = F.col("n").cast("double")
+    raw = m.select("column_name", "n", "mn", "mx", "av",
+                   F.try_divide(F.col("s2"), n - 1).alias("vr"),
+                   F.sqrt(F.try_divide(F.col("s2"), n - 1)).alias("sd"),
+                   F.try_divide(F.sqrt(n) * F.col("s3"), F.pow(F.col("s2"), 1.5)).alias("sk"),
+                   (F.try_divide(n * F.col("s4"), F.col("s2") * F.col("s2")) - 3).alias("ku"))
+    return _finish_moments(raw)
+
+
+def numeric_moments(df: DataFrame, columns: list[str], freq: DataFrame | None = None) -> DataFrame:
+    """``(column, n, min, max, mean, variance, std_dev,
+    skewness, kurtosis)`` with the sample corrections pandas uses. With a
+    frequency table they come from it (see ``weighted_moments``); otherwise
+    from one direct pass over ``df``."""
+    if freq is not None and columns:
+        return weighted_moments(freq, columns)
     if not columns:
         schema = "column string, n bigint, min double, max double, mean double, variance double, " \
                  "std_dev double, skewness double, kurtosis double"
@@ -62,18 +105,7 @@ def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count(x).alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx"), F.avg(x).alias("av"),
         F.var_samp(x).alias("vr"), F.stddev_samp(x).alias("sd"), F.skewness(x).alias("sk"),
         F.kurtosis(x).alias("ku"))
-    n = F.col("n").cast("double")
-    # try_divide: ANSI mode raises on division by zero even in an unused CASE branch
-    skew = F.try_divide(F.col("sk") * F.sqrt(n * (n - 1)), n - 2)
-    kurt = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("ku") + 6)
-    return long.select(
-        "column_name", "n",
-        safe("mn", None).alias("min"), safe("mx", None).alias("max"), safe("av", 4).alias("mean"),
-        F.when(n > 1, safe("vr", 4)).otherwise(0.0).alias("variance"),
-        F.when(n > 1, safe("sd", 4)).otherwise(0.0).alias("std_dev"),
-        F.when(n > 2, safe(skew, 4)).otherwise(0.0).alias("skewness"),
-        F.when(n > 3, safe(kurt, 4)).otherwise(0.0).alias("kurtosis"),
-    )
+    return _finish_moments(long)
 
 
 # per-column distinct numbers up to which the exact percentile aggregate (a
@@ -82,7 +114,7 @@ PERCENTILE_MAP_MAX = 1_000_000
 
 
 def quantiles(freq: DataFrame, columns: list[str], ps=QUARTILES, rows_per_range: int | None = None,
-              map_max: int = PERCENTILE_MAP_MAX) -> DataFrame:
+              map_max: int = PERCENTILE_MAP_MAX, distinct: dict | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles ``(column_name, p, value)`` (pandas' default).
 
     Columns with at most ``map_max`` distinct numbers: Spark's exact weighted
@@ -94,7 +126,8 @@ def quantiles(freq: DataFrame, columns: list[str], ps=QUARTILES, rows_per_range:
     if not columns:
         return freq.sparkSession.createDataFrame([], "column_name string, p double, value double")
     fnum = numeric_frequencies(freq, columns).select("column_name", "num", "cnt")
-    distinct = {r[0]: r[1] for r in fnum.groupBy("column_name").count().collect()}
+    if distinct is None:  # one row per column; skipped when the type table already has it
+        distinct = {r[0]: r[1] for r in fnum.groupBy("column_name").count().collect()}
     small = [c for c in columns if distinct.get(c, 0) <= map_max]
     large = [c for c in columns if distinct.get(c, 0) > map_max]
     parts = []
@@ -150,11 +183,14 @@ def outlier_counts(freq: DataFrame, columns: list[str], quarts: DataFrame) -> Da
                                    .cast("bigint").alias("outliers_count")))
 
 
-def numeric_stats(df: DataFrame, columns: list[str], freq: DataFrame | None = None) -> DataFrame:
-    """A7-A13 for the given numeric columns, one row per column."""
+def numeric_stats(df: DataFrame, columns: list[str], freq: DataFrame | None = None,
+                  distinct: dict | None = None) -> DataFrame:
+    """A7-A13 for the given numeric columns, one row per column, all from the
+    frequency table (the data is scanned once). ``distinct`` (column → number
+    of distinct values, e.g. from the type table) saves a counting job."""
     f = freq if freq is not None else frequency_table(df, columns, persist=True)
-    mom = numeric_moments(df, columns)
-    qs = quantiles(f, columns)
+    mom = numeric_moments(df, columns, f)
+    qs = quantiles(f, columns, distinct=distinct)
     q = qs.groupBy("column_name").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                                    for p, n in zip(QUARTILES, ("q1", "median", "q3"))])
     out = outlier_counts(f, columns, qs)

@@ -180,8 +180,9 @@ def q_column_profile(spark, sf):
     df = load(spark, sf, "lineitem")
     freq = frequency_table(df, persist=True)
     types = column_types(df, freq=freq)
-    cols = [t["column_name"] for t in collect_types(types) if t["is_numeric"] and not t["is_id"]]
-    stats = numeric_stats(df, cols, freq)
+    rows = collect_types(types)
+    cols = [t["column_name"] for t in rows if t["is_numeric"] and not t["is_id"]]
+    stats = numeric_stats(df, cols, freq, distinct={t["column_name"]: t["unique_count"] for t in rows})
     nd = null_and_distinct(freq).drop("unique_count", "null_count")
     return (types.join(nd, ["column_name", "pos"]).join(stats, "column_name", "left").drop("pos"))
 

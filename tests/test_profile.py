@@ -23,9 +23,11 @@ def _edges_frame(spark):
     return spark.createDataFrame(rows, ", ".join(f"{k} double" for k in groups)), groups
 
 
-def test_moments_match_pandas(spark):
+@pytest.mark.parametrize("from_freq", [False, True])
+def test_moments_match_pandas(spark, from_freq):
     df, groups = _edges_frame(spark)
-    got = {r["column_name"]: r for r in numeric_moments(df, list(groups)).collect()}
+    freq = frequency_table(df) if from_freq else None
+    got = {r["column_name"]: r for r in numeric_moments(df, list(groups), freq).collect()}
     for name, vals in groups.items():
         s = pd.Series([v for v in vals if v is not None])
         r = got[name]
