@@ -56,8 +56,7 @@ def _cell_struct(df: DataFrame, name: str, pos: int) -> Column:
         s = c
     else:
         s = F.to_json(c) if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
-    return F.struct(F.lit(name).alias("column_name"), F.lit(pos).alias("pos"), F.lit(kind).alias("kind"),
-                    s.alias("s"), i.alias("i"), d.alias("d"), t.alias("t"))
+    return F.struct(F.lit(pos).alias("pos"), s.alias("s"), i.alias("i"), d.alias("d"), t.alias("t"))
 
 
 def frequency_table(df: DataFrame, columns: list[str] | None = None, persist: bool = False) -> DataFrame:
@@ -72,7 +71,12 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, persist: bo
     cols = list(columns) if columns is not None else list(df.columns)
     structs = [_cell_struct(df, c, df.columns.index(c)) for c in cols]
     cells = unpivot_structs(df, structs)
-    grouped = cells.groupBy("column_name", "pos", "kind", "s", "i", "d", "t").agg(F.count(F.lit(1)).alias("cnt"))
+    # the column's ordinal is the only per-cell key; name and kind are looked up after
+    grouped = cells.groupBy("pos", "s", "i", "d", "t").agg(F.count(F.lit(1)).alias("cnt"))
+    names = F.array(*[F.lit(c) for c in df.columns])
+    kinds = F.array(*[F.lit(column_kind(f.dataType)) for f in df.schema.fields])
+    grouped = grouped.select(F.element_at(names, F.col("pos") + 1).alias("column_name"), "pos",
+                             F.element_at(kinds, F.col("pos") + 1).alias("kind"), "s", "i", "d", "t", "cnt")
     kind = F.col("kind")
     value = (F.when(kind == "integral", F.col("i").cast("string"))
              .when(kind == "fractional", py_float_text(F.col("d")))
