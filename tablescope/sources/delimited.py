@@ -18,15 +18,54 @@ SEPARATORS = [",", ";", "\t", "|"]
 SNIFF_LINES = HEADER_SCAN_ROWS
 
 
-def sample_lines(spark: SparkSession, paths, n: int = SNIFF_LINES, encoding: str = "UTF-8") -> DataFrame:
-    """``(_file, _ln, line)``: the first ``n`` non-blank lines of every file."""
-    txt = (spark.read.option("encoding", encoding).text(paths)
-           .select(F.col("_metadata.file_path").alias("_file"),
-                   F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_o"),
-                   F.col("value").alias("line")))
-    w = Window.partitionBy("_file").orderBy("_o")
-    return (txt.where(F.trim("line") != "").withColumn("_ln", F.row_number().over(w))
-            .where(F.col("_ln") <= n).drop("_o"))
+PREFIX_BYTES = 64 * 1024
+
+
+def _open_prefix(path: str, nbytes: int) -> bytes:
+    import pyarrow.fs as pafs
+    if path.startswith("file:"):
+        local = path[len("file:"):]
+        while local.startswith("//"):
+            local = local[1:]
+        fs, p = pafs.LocalFileSystem(), local
+    else:
+        fs, p = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(p) as fh:
+        return fh.read(nbytes)
+
+
+def _prefix_lines(batches, n: int, nbytes: int):
+    import pandas as pd
+    for pdf in batches:
+        out = []
+        for path in pdf["path"]:
+            raw = _open_prefix(path, nbytes)
+            parts = raw.split(b"\n")
+            if len(raw) >= nbytes and len(parts) > 1:
+                parts = parts[:-1]  # the last line may be cut
+            k = 0
+            for b in parts:
+                b = b.rstrip(b"\r")
+                try:
+                    text, bad = b.decode("utf-8"), False
+                except UnicodeDecodeError:
+                    text, bad = b.decode("latin-1"), True
+                if not text.strip():
+                    continue
+                k += 1
+                out.append((path, k, text, bad))
+                if k >= n:
+                    break
+        yield pd.DataFrame(out, columns=["_file", "_ln", "line", "_bad"])
+
+
+def sample_lines(spark: SparkSession, paths, n: int = SNIFF_LINES, nbytes: int = PREFIX_BYTES) -> DataFrame:
+    """``(_file, _ln, line, _bad)``: the first ``n`` non-blank lines of every file,
+    read from a bounded prefix of each file (``nbytes``), one task per group of
+    files; ``_bad`` marks a line that is not valid UTF-8."""
+    files = list_files(spark, paths).where(F.col("length") > 0).select("path")
+    return files.mapInPandas(lambda it: _prefix_lines(it, n, nbytes),
+                             "_file string, _ln int, line string, _bad boolean")
 
 
 def sniff_files(spark: SparkSession, paths) -> DataFrame:
@@ -38,7 +77,7 @@ def sniff_files(spark: SparkSession, paths) -> DataFrame:
     """
     lines = sample_lines(spark, paths)
     per_file = lines.groupBy("_file").agg(
-        F.max((~F.is_valid_utf8("line")).cast("int")).alias("_bad"),
+        F.max(F.col("_bad").cast("int")).alias("_bad"),
         *[F.sum(F.when(F.length("line") > F.length(F.regexp_replace("line", _re(s), "")), 1).otherwise(0))
           .alias(f"_h{i}") for i, s in enumerate(SEPARATORS)],
         *[F.avg(F.length("line") - F.length(F.regexp_replace("line", _re(s), ""))).alias(f"_m{i}")
