@@ -29,13 +29,19 @@ def _is_pure_number(v: Column) -> Column:
     return t.rlike(r"^[+-]?([0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)([eE][+-]?[0-9]+)?$") | special
 
 
-def header_scores(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFrame:
+def head_rows(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFrame:
+    """The first ``scan_rows + 1`` rows of every file with their rank ``_rn``
+    (Spark keeps at most that many rows per file in each task)."""
+    w = Window.partitionBy("_file").orderBy("_row_ord")
+    return raw.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= scan_rows + 1)
+
+
+def header_scores(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS, head: DataFrame | None = None) -> DataFrame:
     """Score of every candidate row ``(_file, _rn, _row_ord, score)``; rows that
     do not qualify are absent."""
     cols = data_columns(raw)
     max_cols = len(cols)
-    w = Window.partitionBy("_file").orderBy("_row_ord")
-    head = raw.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= scan_rows + 1)
+    head = head if head is not None else head_rows(raw, scan_rows)
     cells = head.select("_file", "_rn", "_row_ord",
                         F.posexplode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("_pos", "_v"))
     v = F.trim(F.col("_v"))
@@ -62,10 +68,12 @@ def header_scores(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFram
 def detect_header_row(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFrame:
     """``(_file, header_rn, header_ord)``: the best-scoring row per file
     (first maximum wins); files where no row qualifies use their first row."""
-    sc = header_scores(raw, scan_rows)
+    head = head_rows(raw, scan_rows)
+    sc = header_scores(raw, scan_rows, head)
     best = sc.groupBy("_file").agg(F.max_by(F.struct("_rn", "_row_ord"),
                                             F.struct(F.col("score"), -F.col("_rn"))).alias("b"))
-    firsts = raw.groupBy("_file").agg(F.min("_row_ord").alias("_first"))
+    # first row of each file, from the bounded head (not a scan of every row)
+    firsts = head.where(F.col("_rn") == 1).select("_file", F.col("_row_ord").alias("_first"))
     return (firsts.join(best, "_file", "left")
             .select("_file", F.coalesce(F.col("b._rn"), F.lit(1)).alias("header_rn"),
                     F.coalesce(F.col("b._row_ord"), F.col("_first")).alias("header_ord")))
