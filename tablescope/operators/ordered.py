@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 ROWS_PER_RANGE = 2_000_000
 
 
-def _range_partitions(n_rows: int | None, rows_per_range: int) -> int:
-    if not n_rows:
-        return 1
-    return max(1, int(math.ceil(n_rows / rows_per_range)))
+def _range_partitions(df: DataFrame, n_rows: int | None, rows_per_range: int) -> int:
+    """Number of range partitions: from a row estimate when given, else the
+    session's shuffle partition count (the cluster's sizing for shuffles)."""
+    if n_rows:
+        return max(1, int(math.ceil(n_rows / rows_per_range)))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def freeze(df: DataFrame, reliable: bool = False) -> DataFrame:
@@ -36,7 +38,7 @@ def freeze(df: DataFrame, reliable: bool = False) -> DataFrame:
 def range_frozen(df: DataFrame, by: list[str], order: list[str], n_rows: int | None = None,
                  rows_per_range: int = ROWS_PER_RANGE, reliable: bool = False) -> DataFrame:
     """Range-partition on ``by + order`` and freeze the partition id as ``_pid``."""
-    parts = _range_partitions(n_rows, rows_per_range)
+    parts = _range_partitions(df, n_rows, rows_per_range)
     ranged = df.repartitionByRange(parts, *[F.col(c) for c in by + order])
     return freeze(ranged.withColumn("_pid", F.spark_partition_id()), reliable)
 
