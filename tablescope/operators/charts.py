@@ -119,8 +119,10 @@ def frequency_charts(df: DataFrame, cat_cols: list[str], null_label: str | None
     if not cat_cols:
         return None
     counts = category_counts(df, cat_cols, null_label)
-    distinct = F.count(F.lit(1)).over(Window.partitionBy("cat_column"))
-    counts = counts.withColumn("_d", distinct).where(F.col("_d") >= 2).drop("_d")
+    # distinct labels per column by aggregation (a window here would hold every
+    # label of a column in one task); one row per categorical column is broadcast
+    enough = counts.groupBy("cat_column").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= 2)
+    counts = counts.join(F.broadcast(enough.select("cat_column")), "cat_column", "left_semi")
     top = top_n_with_others(counts, ["cat_column"], PIE_TOP_N)
     c = F.col("cat_column")
     return _chart(top, F.concat(c, F.lit(" Frequency")), "donut", "distribution", None, None, "Count",
