@@ -7,6 +7,7 @@ limits inside each map task), so it costs the same for one file or thousands.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,7 +167,9 @@ def na_to_null(df: DataFrame, tokens: list[str]) -> DataFrame:
 
 def clean_table(raw: DataFrame, keep_order: bool = False) -> DataFrame:
     """C11 = C1 → C2 → C3 → C4 → C5 → C9 → C10 on a raw grid."""
-    promoted = promote_header(raw)
+    # parsed once: the emptiness counts, the type pass and the coercion all
+    # read the promoted body (memory, spilling to disk; lost blocks re-parse)
+    promoted = promote_header(raw).persist(StorageLevel.MEMORY_AND_DISK)
     trimmed = drop_empty(promoted)
     body = drop_total_rows(trimmed)
     data = [c for c in body.columns if not c.startswith("_")]
