@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_text, is_date_text, is_total_row, to_number, to_timestamp_mixed
-from ..functions.constants import (EXCEL_ERRORS, HEADER_KEYWORDS, HEADER_NUMBER_STRIP_PATTERN,
-                                   HEADER_SCAN_ROWS)
+from ..functions.constants import HEADER_KEYWORDS, HEADER_NUMBER_STRIP_PATTERN, HEADER_SCAN_ROWS
 from .types import collect_types, column_types
 
 ORDER_COLS = ["_file", "_row_ord"]

@@ -7,7 +7,6 @@ code generation; an ``inline``/``explode`` of an array of structs is a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 
 def unpivot_structs(df: DataFrame, structs: list[Column]) -> DataFrame:

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.constants import CURRENCY_NAME_KEYWORDS
 from ..operators.corr import correlation
 from ..operators.freq import frequency_table
 from ..operators.profile import (dataset_summary, date_ranges, histogram, modes, monthly_distribution,
