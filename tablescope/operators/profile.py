@@ -335,3 +335,22 @@ def dataset_summary(df: DataFrame, types_df: DataFrame, freq: DataFrame | None =
         fround(F.col("missing_values") / total_cells * 100, 2).alias("missing_percentage"),
         "duplicate_rows", safe("_mb", 3).alias("estimated_mb"),
         "numeric_columns_count", "categorical_columns_count", "date_columns_count", "boolean_columns_count")
+
+
+def approx_quantiles(df: DataFrame, columns: list[str], ps=QUARTILES, accuracy: int = 10_000) -> DataFrame:
+    """Opt-in approximate quantiles ``(column_name, p, value)``: ``percentile_approx``
+    over the long (column, x) form; mergeable sketches, relative rank error
+    about 1/accuracy, one pass and no per-column buffer of distinct values."""
+    cells = unpivot_structs(df, [
+        F.struct(F.lit(c).alias("column_name"), as_number(F.col(f"`{c}`"), df.schema[c].dataType).alias("x"))
+        for c in columns])
+    arr = F.array(*[F.lit(float(p)) for p in ps])
+    agg = cells.groupBy("column_name").agg(F.percentile_approx("x", arr, accuracy).alias("_q"))
+    return agg.select("column_name", F.inline(F.arrays_zip(arr.alias("p"), F.col("_q").alias("value"))))
+
+
+def approx_distinct(df: DataFrame, columns: list[str], rsd: float = 0.01) -> DataFrame:
+    """Opt-in approximate distinct counts ``(column_name, unique_count)`` (HyperLogLog++)."""
+    cells = unpivot_structs(df, [F.struct(F.lit(c).alias("column_name"),
+                                          F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
+    return cells.groupBy("column_name").agg(F.approx_count_distinct("v", rsd).alias("unique_count"))

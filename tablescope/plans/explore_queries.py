@@ -515,3 +515,18 @@ def q_column_detail(spark, sf):
                                                       (F.col("rank") - 1).alias("pos"), F.col("value").alias("label"),
                                                       F.col("count").cast("double").alias("value"))
     return h.unionByName(t)
+
+
+@register("page_keyset", """SELECT * FROM events WHERE event_id > 4321 ORDER BY event_id LIMIT 25""")
+def q_page_keyset(spark, sf):
+    """L2 keyset paging: the 25 events after a known key (no offset scan)."""
+    from ..operators.paging import page_after
+    return page_after(load(spark, sf, "events"), "event_id", 4321, 25)
+
+
+@register("first_pairs", """SELECT CAST(o_custkey AS DOUBLE) AS x, o_totalprice AS y FROM orders
+WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL ORDER BY o_orderkey LIMIT 500""")
+def q_first_pairs(spark, sf):
+    """L4: the first 500 rows (in key order) where both values are present."""
+    from ..operators.paging import first_complete_pairs
+    return first_complete_pairs(load(spark, sf, "orders"), "o_custkey", "o_totalprice", 500, [F.col("o_orderkey")])

@@ -240,3 +240,20 @@ def q_report_matrix(spark, sf):
 
 SPARK.update({"report_summary": q_report_summary, "report_columns": q_report_columns,
               "report_matrix": q_report_matrix})
+
+
+def q_column_types_embeddings(spark, sf):
+    """An ARRAY<FLOAT> column is profiled through its JSON text."""
+    return column_types(load(spark, sf, "embeddings")).drop("pos")
+
+
+def q_quantiles_approx(spark, sf):
+    """Opt-in approximate quartiles of lineitem's numeric columns (no exact twin)."""
+    from .tables import load as _load
+    from ..operators.profile import approx_quantiles
+    from ..functions import safe
+    df = _load(spark, sf, "lineitem")
+    return approx_quantiles(df, LINEITEM_NUM).select("column_name", "p", safe("value", 4).alias("value"))
+
+
+SPARK.update({"column_types_embeddings": q_column_types_embeddings, "quantiles_approx": q_quantiles_approx})

@@ -52,7 +52,10 @@ def to_ts_sql(x: str) -> str:
 
 
 def views(table: str, col: str, kind: str) -> tuple[str, str, str]:
-    """(value text, number view, timestamp view) of a column_name."""
+    """(value text, number view, timestamp view) of a column; nested values
+    ("other") are text that is never parsed as a number or a date."""
+    if kind == "other":
+        return f"CAST({col} AS VARCHAR)", "NULL::DOUBLE", "NULL::TIMESTAMP"
     if kind in ("integral", "fractional"):
         return f"CAST({col} AS VARCHAR)", f"CAST({col} AS DOUBLE)", "NULL::TIMESTAMP"
     if kind == "timestamp":
@@ -307,3 +310,6 @@ FROM t JOIN n USING (column_name) LEFT JOIN m USING (column_name) LEFT JOIN q US
 
 
 SQL.update(_report_sql())
+
+
+SQL["column_types_embeddings"] = types_query("embeddings", {"vec_id": "integral", "embedding": "other", "label": "integral"})

@@ -96,3 +96,15 @@ def test_top_values_and_summary(spark):
     s = dataset_summary(df, column_types(df, freq=f), f).first()
     assert s["total_rows"] == 6 and s["missing_values"] == 2 and s["duplicate_rows"] == 2
     assert s["missing_percentage"] == round(2 / 12 * 100, 2)
+
+
+def test_approx_mode_close_to_exact(spark):
+    from tablescope.operators.profile import approx_distinct, approx_quantiles
+    rng = np.random.default_rng(11)
+    vals = rng.normal(100, 15, 5000)
+    df = spark.createDataFrame([(float(v), int(v) % 97) for v in vals], "x double, k long")
+    got = {r["p"]: r["value"] for r in approx_quantiles(df, ["x"], ps=(0.25, 0.5, 0.75)).collect()}
+    for p, v in got.items():
+        assert abs(v - np.quantile(vals, p)) < 1.0
+    d = {r["column_name"]: r["unique_count"] for r in approx_distinct(df, ["x", "k"]).collect()}
+    assert abs(d["x"] - 5000) < 250 and abs(d["k"] - len({int(v) % 97 for v in vals})) <= 3
