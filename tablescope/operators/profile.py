@@ -305,6 +305,26 @@ def estimated_bytes(df: DataFrame) -> Column:
     return F.sum(total)
 
 
+def _fixed_width(dtype: T.DataType):
+    if isinstance(dtype, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
+        return None
+    if isinstance(dtype, (T.BooleanType, T.ByteType)):
+        return 1
+    if isinstance(dtype, T.ShortType):
+        return 2
+    if isinstance(dtype, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    return 8
+
+
+def estimated_bytes_from_freq(df: DataFrame, freq: DataFrame) -> Column:
+    """Same estimate as ``estimated_bytes`` from the frequency table (no data
+    scan): fixed widths × count, text length × count."""
+    widths = F.array(*[F.lit(_fixed_width(f.dataType)).cast("bigint") for f in df.schema.fields])
+    per_value = F.coalesce(F.element_at(widths, F.col("pos") + 1), F.octet_length("value"), F.lit(0))
+    return F.sum(F.col("cnt") * per_value)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """A3: rows minus distinct rows, nulls equal, as one row ``(duplicate_rows)``."""
     cols = [F.col(f"`{c}`") for c in df.columns]
@@ -321,7 +341,7 @@ def dataset_summary(df: DataFrame, types_df: DataFrame, freq: DataFrame | None =
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).cast("bigint")
         .alias("missing_values"),
         (F.sum("cnt") / F.lit(max(ncols, 1))).cast("bigint").alias("total_rows"))
-    size = df.agg((estimated_bytes(df) / F.lit(1024 * 1024)).alias("_mb"))
+    size = f.agg((estimated_bytes_from_freq(df, f) / F.lit(1024 * 1024)).alias("_mb"))
     kinds = types_df.agg(
         F.sum(F.when(F.col("is_numeric") & ~F.col("is_id"), 1).otherwise(0)).cast("bigint").alias("numeric_columns_count"),
         F.sum(F.when(F.col("is_categorical") | F.col("detected_type").isin("Category", "Boolean", "Text"), 1)
