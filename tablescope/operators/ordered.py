@@ -21,11 +21,10 @@ ROWS_PER_RANGE = 2_000_000
 
 
 def _range_partitions(df: DataFrame, n_rows: int | None, rows_per_range: int) -> int:
-    """Number of range partitions: from a row estimate when given, else the
-    session's shuffle partition count (the cluster's sizing for shuffles)."""
-    if n_rows:
-        return max(1, int(math.ceil(n_rows / rows_per_range)))
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Number of range partitions, sized from the data: ``ceil(rows / rows_per_range)``.
+    Without an estimate the input is counted first (one cheap job)."""
+    n = n_rows if n_rows is not None else df.count()
+    return max(1, int(math.ceil(n / rows_per_range)))
 
 
 def freeze(df: DataFrame, reliable: bool = False) -> DataFrame:

@@ -46,8 +46,8 @@ def sort_table(df: DataFrame, by: str | None, direction: str = "desc",
 def with_positions(df: DataFrame, orders: list[Column], name: str = "position",
                    n_rows: int | None = None) -> DataFrame:
     """1-based position in ``orders`` for every row, computed per range partition."""
-    parts = (max(1, math.ceil(n_rows / 2_000_000)) if n_rows
-             else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = n_rows if n_rows is not None else df.count()  # size the ranges from the data
+    parts = max(1, math.ceil(n / 2_000_000))
     ranged = freeze(df.repartitionByRange(parts, *orders).withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn("_lp", F.row_number().over(Window.partitionBy("_pid").orderBy(*orders)))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -63,6 +63,8 @@ def sample_lines(spark: SparkSession, paths, n: int = SNIFF_LINES, nbytes: int =
     """``(_file, _ln, line, _bad)``: the first ``n`` non-blank lines of every file,
     read from a bounded prefix of each file (``nbytes``), one task per group of
     files; ``_bad`` marks a line that is not valid UTF-8."""
+    from ..session import ship_package
+    ship_package(spark)
     files = list_files(spark, paths).where(F.col("length") > 0).select("path")
     return files.mapInPandas(lambda it: _prefix_lines(it, n, nbytes),
                              "_file string, _ln int, line string, _bad boolean")

@@ -147,6 +147,8 @@ def _sheet_names(batches):
 
 def _binary(spark: SparkSession, paths, max_bytes: int | None):
     from ..functions.constants import MAX_UPLOAD_BYTES
+    from ..session import ship_package
+    ship_package(spark)
     cap = MAX_UPLOAD_BYTES if max_bytes is None else max_bytes
     return (spark.read.format("binaryFile").load(paths).where(F.col("length") <= cap)
             .select("path", "content"))

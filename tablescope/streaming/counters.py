@@ -69,6 +69,8 @@ def stream_active_sessions(events: DataFrame, key: str, kind: str, start: str, e
     The per-event loop runs over one key's events of one micro-batch (state
     carries the value between batches); the stream is partitioned by key.
     """
+    from ..session import ship_package
+    ship_package(events.sparkSession)
     fn = _apply_sessions(start, end, kind)
     # watermarks need TIMESTAMP (session time zone), not TIMESTAMP_NTZ
     return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
