@@ -42,7 +42,8 @@ def analyze(df: DataFrame, spec: FilterSpec | dict | None = None, order: list[st
            ("Category", "Boolean", "Text", "Unique IDs")]
     dat = [t["column_name"] for t in types if t["is_date"]]
     summary = dataset_summary(filtered, types_df, freq)
-    stats = numeric_stats(filtered, num, freq) if num else None
+    distinct = {t["column_name"]: t["unique_count"] for t in types}
+    stats = numeric_stats(filtered, num, freq, distinct=distinct) if num else None
     nd = null_and_distinct(freq).join(column_counts(freq).select("column_name", "total_rows"), "column_name")
     per_column = nd.join(stats, "column_name", "left") if stats is not None else \
         nd.withColumn("outliers_count", F.lit(None).cast("bigint"))

@@ -439,7 +439,8 @@ def q_insights(spark, sf):
     cat = [t["column_name"] for t in types if t["is_categorical"] or t["detected_type"] in
            ("Category", "Boolean", "Text", "Unique IDs")]
     summary = dataset_summary(df, types_df, freq)
-    stats = numeric_stats(df, num, freq).select("column_name", "outliers_count")
+    stats = numeric_stats(df, num, freq, distinct={t["column_name"]: t["unique_count"] for t in types}) \
+        .select("column_name", "outliers_count")
     nd = null_and_distinct(freq).join(column_counts(freq).select("column_name", "total_rows"), "column_name")
     cstats = nd.join(stats, "column_name", "left")
     top1 = top_values(freq, cat, k=1)
