@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, prepare, words, written
+from .common import prepare, words, written
 
 RULES = ("length", "symbols", "capitals", "shouting", "short_words", "word_length", "repeated_lines", "repeated_words",
          "prose")
@@ -83,9 +83,14 @@ def _let(value: Column, body) -> Column:
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, the counts, n_lines, n_letters, n_upper, n_short, n_shout), one row per input row."""
+    return _counted(docs, F.col(f"`{id_col}`"), id_col, text_col)
+
+
+def _counted(docs: DataFrame, carry: Column, carry_as: str, text_col: str) -> DataFrame:
+    """The counts of every row beside the column ``carry``."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    step = docs.select(F.col(f"`{id_col}`").alias(id_col), text.alias("_t"), words(text).alias("_w"))
-    # a string array from split has no nulls, which the primitive sort of its hashes needs to know
+    step = docs.select(carry.alias(carry_as), text.alias("_t"), words(text).alias("_w"))
+    id_col = carry_as
     step = step.select(id_col, "_t", "_w", F.size("_w").alias("_n"),
                        F.array_join("_w", "").alias("_joined"),
                        F.filter(F.split("_t", "\n", -1),
@@ -165,32 +170,52 @@ def _posterior(model: dict[str, float], rules: tuple[str, ...]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
+def _base_failed() -> Column:
+    n = F.col("n_words")
+    return (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
+
+
+def _pattern() -> Column:
+    """All votes and the base rule as one small number, two bits each."""
+    out = F.when(_base_failed(), 4 ** len(RULES)).otherwise(0)
+    for k, (r, vote) in enumerate(votes().items()):
+        out = out + (vote + 1) * (4 ** k)
+    return out
+
+
+def fit(rated: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
+    """(pattern, n, failed, vote_<rule>, posterior) of every vote pattern in a table with a ``pattern`` per document."""
+    patterns = rated.groupBy("pattern").agg(F.count("*").alias("n")).select(
+        "pattern", "n", (F.col("pattern") >= 4 ** len(RULES)).alias("failed"),
+        *[(F.pmod(F.floor(F.col("pattern") / (4 ** k)), F.lit(4)) - 1).cast("int").alias(r) for k, r in enumerate(RULES)])
+    patterns = written(patterns, "rule-patterns")
+    model = _fit(patterns, RULES, rounds)
+    return patterns.select("pattern", "n", "failed", *[F.col(r).alias(f"vote_{r}") for r in RULES],
+                           _posterior(model, RULES).alias("posterior"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = EM_ROUNDS,
           threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: id, counts, base_failed, votes, posterior and the verdict ``kept``."""
+    """One row per input row: id, counts, base_failed, each rule's vote, posterior and the verdict ``kept``."""
     prepare(docs.sparkSession)
-    counts = text_counts(docs, id_col, text_col)
-    rated = written(counts.select("*", *[v.alias(f"vote_{r}") for r, v in votes().items()]), "rule-votes")
-    patterns = written(rated.groupBy(*[F.col(f"vote_{r}").alias(r) for r in RULES]).agg(F.count("*").alias("n")),
-                       "rule-patterns")
-    model = _fit(patterns, RULES, rounds)
-    n = F.col("n_words")
-    failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
-    named = {r: F.col(f"vote_{r}") for r in RULES}
-    posterior = rated.select("*", *[c.alias(r) for r, c in named.items()]).select(
-        id_col, *COUNTS, failed.alias("base_failed"), *[f"vote_{r}" for r in RULES],
-        _posterior(model, RULES).alias("posterior"))
-    return posterior.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    rated = written(text_counts(docs, id_col, text_col).select(id_col, *COUNTS, _pattern().alias("pattern")), "rule-votes")
+    # at most 2^(rules + 1) patterns
+    scored = rated.join(F.broadcast(fit(rated, rounds)), "pattern")
+    return scored.select(id_col, *COUNTS, F.col("failed").alias("base_failed"), *[f"vote_{r}" for r in RULES], "posterior",
+                         (~F.col("failed") & (F.col("posterior") >= threshold)).alias("kept"))
 
 
-def filter_rows(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def filter_rows(docs: DataFrame, text_col: str = "text", rounds: int = EM_ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they are.
 
-    Texts are scored once per distinct (digest, length) so that the verdict can be
-    joined back without an id; equal texts get equal verdicts.
+    The texts are read twice, once for the pattern table and once for the verdict,
+    so that no row is shuffled.
     """
-    key, = fresh(docs, "text_key")
-    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
-    rated = score(keyed, key, text_col, **options)
-    good = rated.where("kept").groupBy(key).agg(F.lit(1).alias("_one")).select(key)
-    return keyed.join(good, key, "left_semi").drop(key).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prepare(docs.sparkSession)
+    model = fit(text_counts(docs, docs.columns[0], text_col).select(_pattern().alias("pattern")), rounds)
+    rated = _counted(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "_row", text_col)
+    rated = rated.select("_row", _pattern().alias("pattern"))
+    # at most 2^(rules + 1) patterns; as a join, so that the counts are not repeated in a filter's expression
+    good = model.where(~F.col("failed") & (F.col("posterior") >= threshold)).select("pattern")
+    kept = rated.join(F.broadcast(good), "pattern", "left_semi")
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

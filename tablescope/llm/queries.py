@@ -3,8 +3,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
-from .common import load, prepare
+from . import mixing, quality_fm, quality_rules
+from .common import held_out, load, prepare
+
+#: Columns besides the text that the quality classifier may look at.
+QUALITY_METADATA = ("n_chars",)
+
+
+def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    prepare(spark)
+    return mixing.taken(load(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from a model that never saw the held-out fifth."""
+    prepare(spark)
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = quality_fm.fit(docs, labels, use=~held_out(F.col("_id"), 5, 0), metadata=QUALITY_METADATA)
+    scored = quality_fm.score(docs, model, metadata=QUALITY_METADATA)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +35,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op10_quality_rules,)}
+    return {f.__name__: f for f in (op3_weighted_fair_mix, op8_quality_fm, op10_quality_rules)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    from .oracles import ORACLES
+    return dict(ORACLES)
