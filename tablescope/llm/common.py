@@ -56,3 +56,21 @@ def id_crc(doc_id: Column) -> Column:
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return id_crc(doc_id) % mod == rest
+
+
+#: At most so many keys count as hot in ``join_hot``: those with over 1/HOT of the rows.
+HOT = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Join (inner or left) on ``key``, of which ``left`` may have very many rows and ``right`` has one at most.
+
+    Keys with more than 1/HOT of the rows of ``left``, so HOT at most, are joined by
+    broadcast; the rest by a shuffle, in which no key is large.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    row = left.agg(F.count("*").alias("n")).first()
+    hot = written(counts.where((F.col("_n") > row["n"] // HOT) & (F.col("_n") > 1)).select(key), "hot-keys")
+    few, rest = right.join(F.broadcast(hot), key, "left_semi"), right.join(F.broadcast(hot), key, "left_anti")
+    return left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how).unionByName(
+        left.join(F.broadcast(hot), key, "left_anti").join(rest, key, how))

@@ -42,4 +42,17 @@ SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT A
 FROM queue LEFT JOIN got USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op3_weighted_fair_mix": OP3}
+OP4 = """
+WITH records AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS place,
+         max(page_id) OVER (PARTITION BY html) AS top
+  FROM records)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN top END AS refers_to
+FROM ranked
+"""
+
+ORACLES: dict[str, str] = {"op3_weighted_fair_mix": OP3, "op4_warc_archive": OP4}

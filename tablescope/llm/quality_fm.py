@@ -129,6 +129,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> dict
     rng = np.random.default_rng(seed)
     model = {"w0": 0.0, "w": np.zeros(SLOTS), "v": rng.normal(0, 0.05, (SLOTS, RANK))}
     if not rows:
+        model["v"][:] = 0
         return model
     share = min(0.99, max(0.01, float(np.mean([r[0] for r in rows]))))
     model["w0"] = float(np.log(share / (1 - share)))

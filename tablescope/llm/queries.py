@@ -3,11 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_fm, quality_rules
+from tablescope.session import scratch_path
+
+from . import mixing, quality_fm, quality_rules, token_counts, warc
 from .common import held_out, load, prepare
 
 #: Columns besides the text that the quality classifier may look at.
 QUALITY_METADATA = ("n_chars",)
+TOKENIZER = "piece_bpe_32k.model"
 
 
 def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,22 @@ def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archive of all pages says of every record when it is read back."""
+    prepare(spark)
+    path = scratch_path(spark, "warc")
+    warc.write_archive(load(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document."""
+    prepare(spark)
+    import public_tokenizers
+    return token_counts.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document from a model that never saw the held-out fifth."""
     prepare(spark)
@@ -35,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op3_weighted_fair_mix, op8_quality_fm, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_weighted_fair_mix, op4_warc_archive, op6_token_counts, op8_quality_fm, op10_quality_rules)}
 
 
 def llm_oracles() -> dict[str, str]:
