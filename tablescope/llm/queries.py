@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import mixing, quality_fm, quality_rules, token_counts, warc
+from . import language_id, mixing, quality_fm, quality_rules, token_counts, warc
 from .common import held_out, load, prepare
 
 #: Columns besides the text that the quality classifier may look at.
@@ -13,6 +13,15 @@ QUALITY_METADATA = ("n_chars",)
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document from a model that never saw the held-out quarter."""
+    prepare(spark)
+    docs = load(spark, sf_dir, "documents")
+    model = language_id.train(docs, use=~held_out(F.col("doc_id"), 4, 2))
+    return language_id.identify(docs, model, spans=False).select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     prepare(spark)
@@ -54,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op3_weighted_fair_mix, op4_warc_archive, op6_token_counts, op8_quality_fm, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op6_token_counts, op8_quality_fm, op10_quality_rules)}
 
 
 def llm_oracles() -> dict[str, str]:
