@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import language_id, mixing, quality_fm, quality_rules, token_counts, warc
+from . import decontaminate, language_id, license_scan, mixing, quality_fm, quality_rules, token_counts, warc
 from .common import held_out, load, prepare
 
 #: Columns besides the text that the quality classifier may look at.
@@ -38,6 +38,12 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item, by document and item."""
+    prepare(spark)
+    return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document."""
     prepare(spark)
@@ -45,6 +51,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license labels of every whole document."""
+    prepare(spark)
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document from a model that never saw the held-out fifth."""
     prepare(spark)
@@ -63,7 +75,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op6_token_counts, op8_quality_fm, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op5_decontaminate, op6_token_counts,
+                                    op7_license_scan, op8_quality_fm, op10_quality_rules)}
 
 
 def llm_oracles() -> dict[str, str]:
