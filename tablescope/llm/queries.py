@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import decontaminate, language_id, license_scan, mixing, quality_fm, quality_rules, token_counts, warc
+from . import decontaminate, kneser_ney, language_id, license_scan, mixing, quality_fm, quality_rules, token_counts, warc
 from .common import held_out, load, prepare
 
 #: Columns besides the text that the quality classifier may look at.
@@ -67,6 +67,16 @@ def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under a model of nine tenths of them."""
+    prepare(spark)
+    docs = load(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs, use=~held_out(F.col("doc_id"), 10, 0))
+    return kneser_ney.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 10, 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and weak-supervision verdict of every document."""
     prepare(spark)
@@ -76,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict:
     return {f.__name__: f for f in (op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op5_decontaminate, op6_token_counts,
-                                    op7_license_scan, op8_quality_fm, op10_quality_rules)}
+                                    op7_license_scan, op8_quality_fm, op9_kneser_ney, op10_quality_rules)}
 
 
 def llm_oracles() -> dict[str, str]:
