@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import decontaminate, kneser_ney, language_id, license_scan, mixing, quality_fm, quality_rules, token_counts, warc
+from . import decontaminate, kneser_ney, language_id, license_scan, mixing, ngram_join, quality_fm, quality_rules, token_counts, warc
 from .common import held_out, load, prepare
 
 #: Columns besides the text that the quality classifier may look at.
@@ -13,6 +13,12 @@ QUALITY_METADATA = ("n_chars",)
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and number of links of every document at a shingle similarity of 0.8."""
+    prepare(spark)
+    return ngram_join.groups(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document from a model that never saw the held-out quarter."""
     prepare(spark)
@@ -85,7 +91,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op5_decontaminate, op6_token_counts,
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op5_decontaminate, op6_token_counts,
                                     op7_license_scan, op8_quality_fm, op9_kneser_ney, op10_quality_rules)}
 
 
