@@ -90,9 +90,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "posterior")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict:
     return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op5_decontaminate, op6_token_counts,
-                                    op7_license_scan, op8_quality_fm, op9_kneser_ney, op10_quality_rules)}
+                                    op7_license_scan, op8_quality_fm, op9_kneser_ney, op10_quality_rules,
+                                    pipeline)}
 
 
 def llm_oracles() -> dict[str, str]:
