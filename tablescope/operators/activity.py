@@ -56,10 +56,16 @@ def merge_max(target: DataFrame, source: DataFrame, key: str = "key", value: str
 
 def merge_fill(target: DataFrame, source: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """Keys compared trimmed and lower-cased; insert when absent, fill a
-    present key only when its value is empty, never overwrite."""
-    norm = lambda c: F.lower(F.trim(F.col(c)))
-    t = target.select(norm(key).alias("key"), F.col(value).alias("_t"), F.lit(True).alias("_in_t"))
-    s = source.select(norm(key).alias("key"), F.col(value).alias("_s"))
+    present key only when its value is empty, never overwrite. Keys of one side
+    that become equal give one row: the first non-empty value in the order of
+    the raw keys (then values) stands for them."""
+    def one_per_key(df, out):
+        empty = F.coalesce(F.trim(F.col(value)), F.lit("")) == ""
+        return df.groupBy(F.lower(F.trim(F.col(key))).alias("key")).agg(
+            F.min(F.struct(empty.alias("empty"), F.col(key).alias("raw"), F.col(value).alias("value")))["value"].alias(out))
+
+    t = one_per_key(target, "_t").withColumn("_in_t", F.lit(True))
+    s = one_per_key(source, "_s")
     empty = F.coalesce(F.trim(F.col("_t")), F.lit("")) == ""
     src_ok = F.coalesce(F.trim(F.col("_s")), F.lit("")) != ""
     val = (F.when(F.col("_in_t").isNull(), F.col("_s"))

@@ -1,40 +1,67 @@
 """Pearson correlation over numeric columns, pairwise-complete.
 
-One aggregate pass computes every pair i ≤ j from a long (pair, x, y) form.
-``corr`` itself is not used: under ANSI mode it raises on a constant column;
-``try_divide(covar_samp, stddev_samp·stddev_samp)`` gives NULL there, which
-becomes 0 as in the reference (also on the diagonal of a constant column).
+One pass: every task sums, in numpy over Arrow batches, the counts, sums and
+products of all column pairs with their null masks, and sends one row per pair
+and task; the driver-side work is one small aggregate. Rows are never
+multiplied by pairs. Values are shifted by the column's minimum first, so that a
+constant column has sums of exactly 0 (a correlation of 0, also on the
+diagonal) and large offsets cost no digits.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_number, fround
-from .reshape import unpivot_structs
 
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _pair_sums(n_columns: int, shifts: list[float]):
+    """Sums of every pair i <= j over the batches of a task."""
+    shift = np.array(shifts)
+    i, j = np.triu_indices(n_columns)
+
+    def summed(batches):
+        n, sx, sxx, sxy = (np.zeros((n_columns, n_columns)) for _ in range(4))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], axis=1) - shift
+            here = ~np.isnan(x)
+            m, x = here.astype(float), np.where(here, x, 0.0)
+            n += m.T @ m
+            sx += x.T @ m
+            sxx += (x * x).T @ m
+            sxy += x.T @ x
+        columns = [n[i, j], sx[i, j], sx.T[i, j], sxx[i, j], sxx.T[i, j], sxy[i, j]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(c) for c in columns]],
+            ["pos_x", "pos_y", *_SUMS])
+
+    return summed
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(col_x, col_y, pos_x, pos_y, r)`` for every ordered pair, diagonal
     included; empty when fewer than two columns."""
+    from ..session import ship_package
     spark = df.sparkSession
     schema = "col_x string, col_y string, pos_x int, pos_y int, r double"
     if len(columns) < 2:
         return spark.createDataFrame([], schema)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    ship_package(spark)
     views = [as_number(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]
-    # long form: one (pair, x, y) row per cell pair, three aggregates per pair;
-    # partial aggregation leaves one row per pair and task before the shuffle
     base = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(views)])
-    cells = unpivot_structs(base, [
-        F.struct(F.lit(i).alias("pos_x"), F.lit(j).alias("pos_y"), F.col(f"_v{i}").alias("x"),
-                 F.col(f"_v{j}").alias("y")) for i, j in pairs])
-    x, y = F.col("x"), F.col("y")
-    xm = F.when(y.isNotNull(), x)
-    ym = F.when(x.isNotNull(), y)
-    r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(xm) * F.stddev_samp(ym))
-    upper = cells.groupBy("pos_x", "pos_y").agg(r.alias("r"))
+    low = base.agg(*[F.min(f"_v{i}").alias(f"_v{i}") for i in range(len(columns))]).first()
+    shifts = [0.0 if low[i] is None else float(low[i]) for i in range(len(columns))]
+    kinds = ", ".join(f"{c} double" for c in _SUMS)
+    sums = base.mapInArrow(_pair_sums(len(columns), shifts), f"pos_x int, pos_y int, {kinds}").groupBy("pos_x", "pos_y").agg(
+        *[F.sum(c).alias(c) for c in _SUMS])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    xx, yy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.sqrt(F.greatest(xx, F.lit(0.0)) * F.greatest(yy, F.lit(0.0))))
+    upper = sums.select("pos_x", "pos_y", F.when((F.col("n") > 1) & r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("r"))
     val = F.coalesce(F.nanvl(F.col("r"), F.lit(None).cast("double")), F.lit(0.0))
     mirrored = F.when(F.col("pos_x") != F.col("pos_y"),
                       F.struct(F.col("pos_y").alias("pos_x"), F.col("pos_x").alias("pos_y"), val.alias("r")))

@@ -5,7 +5,9 @@ push the parts that touch raw columns down to the scan.
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions import as_number, as_timestamp, to_timestamp_mixed, value_text
 
-# above this many values a membership test becomes a broadcast semi-join
-SEMI_JOIN_MIN_VALUES = 2_000
+#: Value ranges of the integral types.
+INTEGRAL_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
 @dataclass
@@ -54,6 +56,46 @@ def _compare(df: DataFrame, name: str, op: str, bound: Column) -> Column:
     return c >= bound if op == ">=" else c <= bound
 
 
+def _typed_bound(df: DataFrame, name: str, op: str, value) -> Column:
+    """A bound on a typed numeric column, exact for every type and value.
+
+    An integral column is compared with the bound rounded into the range (2.5
+    becomes ``>= 3`` or ``<= 2``) and clamped to the type: a bound beyond it
+    keeps all numbers or none. A decimal column is compared with the bound's
+    exact decimal. Constants of the column's own type reach the scan.
+    """
+    dtype, c = df.schema[name].dataType, _col(df, name)
+    number = float(value)
+    if math.isnan(number):
+        return F.lit(False)
+    bits = INTEGRAL_BITS.get(type(dtype))
+    if bits is not None:
+        low, high = -(1 << (bits - 1)), (1 << (bits - 1)) - 1
+        if math.isinf(number):
+            bound = low - 1 if number < 0 else high + 1
+        else:
+            bound = value if isinstance(value, int) else (math.ceil(number) if op == ">=" else math.floor(number))
+        if bound < low or bound > high:
+            return c.isNotNull() if (bound < low) == (op == ">=") else F.lit(False)
+        return _compare(df, name, op, F.lit(bound).cast(dtype))
+    if isinstance(dtype, T.DecimalType):
+        if math.isinf(number):
+            return c.isNotNull() if (number < 0) == (op == ">=") else F.lit(False)
+        exact = Decimal(repr(value))
+        whole = dtype.precision - dtype.scale
+        if abs(exact) >= Decimal(10) ** whole:
+            return c.isNotNull() if (exact < 0) == (op == ">=") else F.lit(False)
+        step = Decimal(1).scaleb(-dtype.scale)
+        with localcontext() as places:
+            places.prec = 80
+            places.rounding = ROUND_CEILING if op == ">=" else ROUND_FLOOR
+            exact = (exact / step).to_integral_value() * step
+        if abs(exact) >= Decimal(10) ** whole:
+            return c.isNotNull() if (exact < 0) == (op == ">=") else F.lit(False)
+        return _compare(df, name, op, F.lit(exact).cast(dtype))
+    return _compare(df, name, op, F.lit(number))
+
+
 def numeric_predicate(df: DataFrame, spec: dict) -> Column:
     """inclusive bounds on the lenient number; NULL, NaN and ±Infinity fail.
 
@@ -72,7 +114,7 @@ def numeric_predicate(df: DataFrame, spec: dict) -> Column:
             if lim.get(key) is None:
                 continue
             if typed:
-                pred = pred & _compare(df, name, op, F.lit(float(lim[key])).cast(dtype))
+                pred = pred & _typed_bound(df, name, op, lim[key])
             else:
                 num = as_number(_col(df, name), dtype)
                 pred = pred & (num >= F.lit(float(lim[key])) if op == ">=" else num <= F.lit(float(lim[key])))
@@ -144,18 +186,11 @@ def apply_filters(df: DataFrame, spec: FilterSpec | dict | None, literal_search:
 
 
 def filter_in_values(df: DataFrame, name: str, values: list) -> DataFrame:
-    """Membership in a large value list as a broadcast left-semi join.
-
-    The list comes from the driver, so its size is known; past
-    ``SEMI_JOIN_MIN_VALUES`` a hash table is cheaper than a long ``IN``.
-    """
-    vals = [str(v) for v in values]
-    if len(vals) < SEMI_JOIN_MIN_VALUES:
-        return df.where(category_predicate(df, {name: vals}))
-    spark = df.sparkSession
-    right = spark.createDataFrame([(v,) for v in vals], "_v string")
+    """Membership in a value list of any length as a left-semi join; Spark
+    broadcasts the list where its measured size allows."""
+    right = df.sparkSession.createDataFrame([(v,) for v in sorted({str(v) for v in values})], "_v string")
     key = value_text(_col(df, name), df.schema[name].dataType)
-    return df.join(F.broadcast(right), key == F.col("_v"), "left_semi")
+    return df.join(right, key == F.col("_v"), "left_semi")
 
 
 def project_columns(df: DataFrame, visible: list[str] | None) -> DataFrame:

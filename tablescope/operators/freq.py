@@ -82,8 +82,8 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, persist: bo
              .when(kind == "fractional", py_float_text(F.col("d")))
              .when(kind == "timestamp", F.col("t").cast("string"))
              .otherwise(F.col("s")))
-    # cheap pre-check so long free text skips the date layouts
-    date_like = (F.length("s") <= 40) & F.col("s").rlike("[0-9]")
+    # texts without a digit skip the layouts; the layouts' shapes turn away other free text
+    date_like = F.col("s").rlike("[0-9]")
     num = (F.when(kind == "integral", F.col("i").cast("double"))
            .when(kind == "fractional", F.col("d"))
            .when(kind == "string", to_number(F.col("s"))))
@@ -94,6 +94,28 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, persist: bo
     return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
 
+def cells_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column_name, pos, kind, value, num, ts, cnt = 1)``: one row per cell, nothing shuffled.
+
+    For aggregates that need no distinct values (bounds, bins, ranges, months): they
+    combine in the map tasks, so only their few result rows are shuffled.
+    """
+    out = []
+    for c in columns:
+        dtype = df.schema[c].dataType
+        kind = column_kind(dtype)
+        col = F.col(f"`{c}`")
+        nothing, never = F.lit(None).cast("double"), F.lit(None).cast("timestamp")
+        num = {"integral": col.cast("double") if kind == "integral" else None,
+               "fractional": clean_double(col) if kind == "fractional" else None,
+               "string": to_number(col) if kind == "string" else None}.get(kind)
+        ts = col.cast("timestamp") if kind == "timestamp" else to_timestamp_mixed(col) if kind == "string" else never
+        out.append(F.struct(F.lit(c).alias("column_name"), F.lit(df.columns.index(c)).alias("pos"),
+                            F.lit("cell").alias("kind"), F.lit(None).cast("string").alias("value"),
+                            (nothing if num is None else num).alias("num"), ts.alias("ts"), F.lit(1).cast("bigint").alias("cnt")))
+    return unpivot_structs(df, out)
+
+
 def numeric_frequencies(freq: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, pos, num, cnt)`` with one row per distinct number.
 

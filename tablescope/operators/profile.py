@@ -247,7 +247,9 @@ def histogram_bounds(freq: DataFrame, columns: list[str]) -> DataFrame:
 
 def histogram(freq: DataFrame, columns: list[str], label_digits: int = 2, sep: str = " - ") -> DataFrame:
     """``(column, bin, lo, hi, label, count)``; every bin present, last bin closed."""
-    bounds = histogram_bounds(freq, columns)
+    # one row per column; its values become literals, so the cells are read once for the bounds and once for the bins
+    found = histogram_bounds(freq, columns)
+    bounds = freq.sparkSession.createDataFrame(found.collect(), found.schema)
     fnum = numeric_frequencies(freq, columns)
     idx = _bin_index(F.col("num"), F.col("first"), F.col("step"), F.col("last"), F.col("bins"))
     counts = (fnum.join(F.broadcast(bounds), "column_name")

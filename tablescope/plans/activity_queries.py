@@ -101,6 +101,22 @@ def q_merge_fill(spark, sf):
     return merge_fill(target, source)
 
 
+@register("merge_fill_clash", """WITH k AS (SELECT DISTINCT user_id FROM events),
+t AS (SELECT lower(trim('User-' || user_id)) AS key, CASE WHEN user_id % 3 = 0 THEN '' ELSE 't' || user_id END AS v FROM k WHERE user_id % 2 = 0)
+SELECT coalesce(t.key, 'user-' || k.user_id) AS key,
+  CASE WHEN t.key IS NULL OR t.v = '' THEN CASE WHEN k.user_id % 5 = 0 THEN 'lower' ELSE 'upper' END ELSE t.v END AS value
+FROM k LEFT JOIN t ON t.key = 'user-' || k.user_id""")
+def q_merge_fill_clash(spark, sf):
+    """J4 where both spellings of a key stand in the source; the upper-case one sorts first and is empty for every fifth key."""
+    users = load(spark, sf, "events").select("user_id").distinct()
+    n = F.col("user_id").cast("string")
+    target = users.where("user_id % 2 = 0").select(
+        F.concat(F.lit("User-"), n).alias("key"), F.when(F.col("user_id") % 3 == 0, "").otherwise(F.concat(F.lit("t"), n)).alias("value"))
+    upper = users.select(F.concat(F.lit("USER-"), n).alias("key"), F.when(F.col("user_id") % 5 == 0, "").otherwise("upper").alias("value"))
+    lower = users.select(F.concat(F.lit("user-"), n, F.lit(" ")).alias("key"), F.lit("lower").alias("value"))
+    return merge_fill(target, upper.unionByName(lower))
+
+
 @register("stream_event_counts", COUNTS_SQL)
 def q_stream_event_counts(spark, sf):
     """E1 as a Structured Streaming query over the events file (availableNow)."""
@@ -117,15 +133,30 @@ s AS (SELECT *, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 m AS (SELECT *, min(running) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mn FROM s)
 SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, running - least(0.0, mn) AS active FROM m""")
 def q_stream_active_sessions(spark, sf):
-    """E2 per user as a stateful stream (applyInPandasWithState), run to completion."""
+    """E2 per user as a stateful stream over four files that overlap in time, one file a trigger.
+
+    A last file with one later event (of no user) moves the watermark past all others."""
     ev = load(spark, sf, "events")
-    stream = read_events_stream(spark, sf.rstrip('/'), ev.schema, glob="events.parquet")
-    out = scratch_path(spark, "sessions")
-    res = stream_active_sessions(stream, "user_id", "event_type", "click", "view", watermark="3650 days")
-    q = (res.writeStream.format("parquet").outputMode("append").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "sessions-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    folder, out = scratch_path(spark, "session-events"), scratch_path(spark, "sessions")
+    files = ev.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    for k in range(4):
+        files.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    late = ev.agg((F.max("ts") + F.expr("INTERVAL 70 DAYS")).alias("ts")).select(
+        *[F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in ev.dtypes])
+    stream = read_events_stream(spark, folder, ev.schema, max_files_per_trigger=1)
+    res = stream_active_sessions(stream.where("user_id IS NOT NULL OR event_id IS NULL"), "user_id", "event_type",
+                                 "click", "view", watermark="31 days")
+    checkpoint = scratch_path(spark, "sessions-ckpt")
+
+    def run():
+        q = (res.writeStream.format("parquet").outputMode("append").option("path", out)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    late.coalesce(1).write.mode("append").parquet(folder)
+    run()
+    return spark.read.parquet(out).where("key IS NOT NULL AND event_id IS NOT NULL")
 
 
 @register("event_log_append", "SELECT * FROM events")

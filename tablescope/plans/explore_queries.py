@@ -61,6 +61,17 @@ def q_filter_numeric(spark, sf):
                          {"numeric_ranges": {"o_totalprice": {"min": 100000, "max": 300000}}})
 
 
+@register("filter_numeric_fractional", "SELECT * FROM lineitem WHERE l_linenumber >= 2.5 AND l_linenumber <= 5.5 AND l_orderkey >= -2.5")
+def q_filter_numeric_fractional(spark, sf):
+    return apply_filters(load(spark, sf, "lineitem"), {"numeric_ranges": {
+        "l_linenumber": {"min": 2.5, "max": 5.5}, "l_orderkey": {"min": -2.5}}})
+
+
+@register("filter_numeric_huge", "SELECT * FROM part WHERE p_size <= 1000000000000 AND p_size >= 25")
+def q_filter_numeric_huge(spark, sf):
+    return apply_filters(load(spark, sf, "part"), {"numeric_ranges": {"p_size": {"min": 25, "max": 1e12}}})
+
+
 @register("filter_date", """SELECT * FROM events
 WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-10 00:00:00'""")
 def q_filter_date(spark, sf):

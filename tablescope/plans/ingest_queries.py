@@ -151,6 +151,14 @@ def q_to_records(spark, sf):
     return to_records(load(spark, sf, "orders"))
 
 
+@register("to_records_events", """SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+  || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((microsecond(ts) % 1000000)::VARCHAR, 6, '0') END
+  || '","event_type":"' || event_type || '"}' AS record FROM events""")
+def q_to_records_events(spark, sf):
+    """S11 with fractions of a second."""
+    return to_records(load(spark, sf, "events").select("event_id", "ts", "event_type"))
+
+
 @register("csv_semicolon_latin1", f"SELECT {ORDERS} FROM orders")
 def q_csv_semicolon_latin1(spark, sf):
     """Orders written ';'-separated in latin-1; separator and encoding are sniffed."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.corr import correlation
-from ..operators.freq import frequency_table
+from ..operators.freq import cells_table, frequency_table
 from ..operators.profile import (dataset_summary, date_ranges, histogram, modes, monthly_distribution,
                                  null_and_distinct, numeric_moments, numeric_stats, outlier_counts,
                                  quantiles, top_values)
@@ -113,22 +113,22 @@ def q_bottom_values(spark, sf):
 
 def q_histogram(spark, sf):
     df = load(spark, sf, "lineitem")
-    return histogram(frequency_table(df, LINEITEM_NUM), LINEITEM_NUM)
+    return histogram(cells_table(df, LINEITEM_NUM), LINEITEM_NUM)
 
 
 def q_histogram_constant(spark, sf):
     df = load(spark, sf, "orders").select(F.lit(7.0).alias("k"), F.col("o_totalprice"))
-    return histogram(frequency_table(df), ["k", "o_totalprice"])
+    return histogram(cells_table(df, ["k", "o_totalprice"]), ["k", "o_totalprice"])
 
 
 def q_monthly_distribution(spark, sf):
     df = load(spark, sf, "orders")
-    return monthly_distribution(frequency_table(df, ["o_orderdate"]), ["o_orderdate"])
+    return monthly_distribution(cells_table(df, ["o_orderdate"]), ["o_orderdate"])
 
 
 def q_date_range(spark, sf):
-    o = date_ranges(frequency_table(load(spark, sf, "orders"), ["o_orderdate"]), ["o_orderdate"])
-    e = date_ranges(frequency_table(load(spark, sf, "events"), ["ts"]), ["ts"])
+    o = date_ranges(cells_table(load(spark, sf, "orders"), ["o_orderdate"]), ["o_orderdate"])
+    e = date_ranges(cells_table(load(spark, sf, "events"), ["ts"]), ["ts"])
     return o.unionByName(e)
 
 

@@ -47,7 +47,7 @@ def to_number_sql(x: str) -> str:
 def to_ts_sql(x: str) -> str:
     t = f"trim({x})"
     fmts = "[" + ", ".join(q(f) for f in SQL_DATE_FORMATS) + "]"
-    return (f"CASE WHEN {t} <> '' AND {t} NOT IN {sql_list(EXCEL_ERRORS)} AND length({x}) <= 40 "
+    return (f"CASE WHEN {t} <> '' AND {t} NOT IN {sql_list(EXCEL_ERRORS)} "
             f"AND regexp_matches({x}, '[0-9]') THEN CAST(try_strptime({t}, {fmts}) AS TIMESTAMP) END")
 
 

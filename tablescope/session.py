@@ -50,8 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach; it is used as is. Only when nothing is configured (local runs and
-    tests) a private folder is created.
+    reach; it is used as is. Only where nothing is configured on a local master
+    (tests) a private folder is created; elsewhere that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = os.path.join(tempfile.gettempdir(), f"tablescope-ckpt-{uuid.uuid4().hex[:8]}")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

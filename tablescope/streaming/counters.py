@@ -4,8 +4,8 @@
   keys that never occurred are filled in ``foreachBatch``, since a stream
   cannot be outer-joined with a static key list in complete mode.
 * ``stream_active_sessions``: clamped session count per key with
-  ``applyInPandasWithState``; events inside a micro-batch are applied in
-  event-time order, events behind the watermark are dropped.
+  ``applyInPandasWithState``; events wait in the key's state until the watermark
+  has passed and are applied in event-time order, later ones are dropped.
 * ``stream_event_log``: append-only event log with a checkpoint (exactly once
   with the file sink).
 """
@@ -40,34 +40,46 @@ def stream_event_counts(events: DataFrame, out_path: str, checkpoint: str, actio
     return w.start()
 
 
-STATE_SCHEMA = "active double"
+STATE_SCHEMA = "active double, ts array<bigint>, event_id array<bigint>, delta array<double>"
 OUT_SCHEMA = "key string, event_id bigint, ts timestamp, active double"
 
 
 def _apply_sessions(start: str, end: str, kind: str):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cur = state.get[0] if state.exists else 0.0
-        parts = [p for p in pdfs]
-        if not parts:
-            return
-        pdf = pd.concat(parts).sort_values(["ts", "event_id"])
-        delta = (pdf[kind] == start).to_numpy(float) - (pdf[kind] == end).to_numpy(float)
+        active, ts, ids, deltas = state.get if state.exists else (0.0, [], [], [])
+        ts, ids, deltas = [np.asarray(ts, np.int64)], [np.asarray(ids, np.int64)], [np.asarray(deltas, float)]
+        for pdf in pdfs:
+            ts.append(pdf["ts"].to_numpy("datetime64[us]").astype(np.int64))
+            ids.append(pdf["event_id"].to_numpy(np.int64))
+            deltas.append((pdf[kind] == start).to_numpy(float) - (pdf[kind] == end).to_numpy(float))
+        ts, ids, deltas = np.concatenate(ts), np.concatenate(ids), np.concatenate(deltas)
+        order = np.lexsort((ids, ts))
+        ts, ids, deltas = ts[order], ids[order], deltas[order]
+        mark = state.getCurrentWatermarkMs()
+        # nothing at or before the watermark can still arrive, so the order up to it is final
+        done = int(np.searchsorted(ts, mark * 1000, "right"))
         # clamp at zero after every step, in closed form: y - min(0, running min of y)
-        y = cur + np.cumsum(delta)
-        vals = y - np.minimum(0.0, np.minimum.accumulate(y))
-        cur = float(vals[-1])
-        state.update((cur,))
-        yield pd.DataFrame({"key": [str(key[0])] * len(pdf), "event_id": pdf["event_id"].to_numpy(),
-                            "ts": pdf["ts"].to_numpy(), "active": vals})
+        y = active + np.cumsum(deltas[:done])
+        values = y - np.minimum(0.0, np.minimum.accumulate(y)) if done else y
+        active = float(values[-1]) if done else float(active)
+        state.update((active, ts[done:].tolist(), ids[done:].tolist(), deltas[done:].tolist()))
+        if done < len(ts):
+            state.setTimeoutTimestamp(max(int(ts[done]) // 1000 + 1, mark + 1))
+        if done:
+            yield pd.DataFrame({"key": [str(key[0])] * done, "event_id": ids[:done],
+                                "ts": ts[:done].astype("datetime64[us]"), "active": values})
     return fn
 
 
 def stream_active_sessions(events: DataFrame, key: str, kind: str, start: str, end: str,
                            watermark: str = "1 hour") -> DataFrame:
-    """E2 on a stream: ``(key, event_id, ts, active)`` per event, state per key.
+    """E2 on a stream: ``(key, event_id, ts, active)`` per event, in event-time order per key
+    whatever order the events arrive in.
 
-    The per-event loop runs over one key's events of one micro-batch (state
-    carries the value between batches); the stream is partitioned by key.
+    A key's state holds its count and the events that the watermark has not yet
+    passed; these are released in (ts, event_id) order once it has, also by a
+    timer when the key gets no further events. The state is bounded by the
+    events of one watermark delay; later ones are dropped by the engine.
     """
     from ..session import ship_package
     ship_package(events.sparkSession)
@@ -75,7 +87,7 @@ def stream_active_sessions(events: DataFrame, key: str, kind: str, start: str, e
     # watermarks need TIMESTAMP (session time zone), not TIMESTAMP_NTZ
     return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
             .withColumn("_key", F.col(key).cast("string")).groupBy("_key")
-            .applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def stream_event_log(events: DataFrame, path: str, checkpoint: str, available_now: bool = True):

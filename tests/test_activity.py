@@ -58,13 +58,26 @@ def test_streams_equal_batch(spark, tmp_dir):
     q.awaitTermination()
     batch = {r[0]: r[1] for r in event_counts(spark.read.parquet(src), "event_type", ["click", "view", "refund"]).collect()}
     assert {r[0]: r[1] for r in spark.read.parquet(out).collect()} == batch
-    res = stream_active_sessions(read_events_stream(spark, src, spark.read.parquet(src).schema), "user_id",
-                                 "event_type", "click", "view", watermark="3650 days")
-    out2 = os.path.join(tmp_dir, "sessions")
-    q2 = (res.writeStream.format("parquet").option("path", out2).option("checkpointLocation", os.path.join(tmp_dir, "ck2"))
-          .trigger(availableNow=True).start())
-    q2.awaitTermination()
-    got = {r["event_id"]: r["active"] for r in spark.read.parquet(out2).collect()}
-    exp = {r["event_id"]: r["active"] for r in active_sessions(spark.read.parquet(src), ["ts", "event_id"], "event_type",
+    # three files in which every user's events are mixed, one file a trigger, then one later event that moves the watermark
+    res = stream_active_sessions(read_events_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=1),
+                                 "user_id", "event_type", "click", "view", watermark="5 hours")
+    out2, ck2 = os.path.join(tmp_dir, "sessions"), os.path.join(tmp_dir, "ck2")
+
+    def run():
+        (res.writeStream.format("parquet").option("path", out2).option("checkpointLocation", ck2)
+         .trigger(availableNow=True).start().awaitTermination())
+
+    run()
+    expected = spark.read.parquet(src)
+    exp = {r["event_id"]: r["active"] for r in active_sessions(expected, ["ts", "event_id"], "event_type",
                                                                 "click", "view", partition=["user_id"]).collect()}
+    spark.createDataFrame([(10_000, base + dt.timedelta(days=9), 99, "click")], schema).coalesce(1).write.mode("append").parquet(src)
+    run()
+    got = {r["event_id"]: r["active"] for r in spark.read.parquet(out2).collect() if r["event_id"] < 10_000}
     assert got == exp
+
+
+def test_equal_keys_give_one_row(spark):
+    s = spark.createDataFrame([(" a ", "second"), ("A", ""), ("b", "x"), (None, "n")], "key string, value string")
+    t = spark.createDataFrame([("B", None), ("b ", "kept")], "key string, value string")
+    assert {r[0]: r[1] for r in merge_fill(t, s).collect()} == {"a": "second", "b": "kept", None: "n"}
