@@ -151,6 +151,39 @@ def q_to_records(spark, sf):
     return to_records(load(spark, sf, "orders"))
 
 
+@register("csv_wide_row", """SELECT o_orderkey::VARCHAR AS c0, o_orderstatus AS c1,
+  CASE WHEN o_orderkey % 97 = 5 THEN 'extra' END AS c2, CASE WHEN o_orderkey % 97 = 5 THEN 'a, quoted' END AS c3 FROM orders""")
+def q_csv_wide_row(spark, sf):
+    """Lines with more cells than the first ones keep them."""
+    path = scratch_path(spark, "wide-csv")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus",
+                       F.when(F.col("o_orderkey") % 97 == 5, F.lit('extra,"a, quoted"')))
+    wide = F.col("o_orderkey") % 97 == 5
+    load(spark, sf, "orders").select(line.alias("value"), wide.alias("w"), "o_orderkey").repartition(2, "o_orderkey").sortWithinPartitions(
+        "w", "o_orderkey").select("value").write.text(path)
+    return read_delimited(spark, f"{path}/*.txt").select("c0", "c1", "c2", "c3")
+
+
+@register("csv_late_latin1", """SELECT doc_id::VARCHAR AS c0, replace(replace(text, chr(10), ' '), '"', '') AS c1 FROM documents""")
+def q_csv_late_latin1(spark, sf):
+    """Latin-1 files whose first non-ASCII byte stands behind all English texts."""
+    path = scratch_path(spark, "latin1-csv")
+    docs = load(spark, sf, "documents").select(
+        "doc_id", F.regexp_replace(F.replace("text", F.lit("\n"), F.lit(" ")), '"', "").alias("t"), (F.col("lang") != "en").alias("late"))
+    (docs.repartition(2, F.col("doc_id") % 2).sortWithinPartitions("late", "doc_id").drop("late").write.option("encoding", "ISO-8859-1")
+     .option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_delimited(spark, f"{path}/*.csv").select("c0", "c1")
+
+
+@register("csv_multiline", "SELECT doc_id::VARCHAR AS c0, text AS c1, lang AS c2 FROM documents")
+def q_csv_multiline(spark, sf):
+    """Quoted cells with line ends are one cell."""
+    path = scratch_path(spark, "multiline-csv")
+    (load(spark, sf, "documents").select("doc_id", "text", "lang").repartition(2).write.option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_delimited(spark, f"{path}/*.csv").select("c0", "c1", "c2")
+
+
 @register("to_records_events", """SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
   || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((microsecond(ts) % 1000000)::VARCHAR, 6, '0') END
   || '","event_type":"' || event_type || '"}' AS record FROM events""")
@@ -159,6 +192,15 @@ def q_to_records_events(spark, sf):
     return to_records(load(spark, sf, "events").select("event_id", "ts", "event_type"))
 
 
+@register("csv_round_trip_events", "SELECT event_id, ts, event_type FROM events")
+def q_csv_round_trip_events(spark, sf):
+    """Fractions of a second survive the file."""
+    path = scratch_path(spark, "events-csv")
+    write_csv(load(spark, sf, "events").select("event_id", "ts", "event_type"), path)
+    raw = spark.read.option("header", True).schema("event_id bigint, ts string, event_type string").csv(path)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @register("csv_semicolon_latin1", f"SELECT {ORDERS} FROM orders")
 def q_csv_semicolon_latin1(spark, sf):
     """Orders written ';'-separated in latin-1; separator and encoding are sniffed."""

@@ -1,8 +1,10 @@
 """Scanning delimited text and typed tables into raw grids.
 
-Per file only a bounded prefix (the first lines) is looked at to choose the
-encoding and the separator; files are then grouped by (encoding, separator)
-and each group is one splittable CSV scan. Row order is carried explicitly as
+The separator is chosen from each file's first lines. The encoding, whether cells
+hold line ends and the width of the grid come from all lines, by one aggregate
+per file and one over the records that are wider than the first lines. Files are
+then grouped by (encoding, separator, line ends in cells); a group is one CSV scan,
+splittable unless its cells hold line ends. Row order is carried explicitly as
 ``_row_ord = struct(file_block_start, monotonically_increasing_id)``, which is
 file order within each file even when a file is split across tasks.
 """
@@ -71,9 +73,8 @@ def sample_lines(spark: SparkSession, paths, n: int = SNIFF_LINES, nbytes: int =
 
 
 def sniff_files(spark: SparkSession, paths) -> DataFrame:
-    """S2/S3 per file: ``(_file, encoding, sep, width)``.
-
-    Encoding: UTF-8 unless a sampled line is not valid UTF-8, then latin-1. Separator: the candidate present on the most sampled
+    """S3 per file: ``(_file, encoding, sep, width)`` as the first lines show them; S2 looks at
+    all lines (``file_facts``). Separator: the candidate present on the most sampled
     lines, ties broken by the larger mean count (a one-cell title line does not
     decide it). Width: the widest sampled line's token count.
     """
@@ -97,6 +98,37 @@ def sniff_files(spark: SparkSession, paths) -> DataFrame:
         F.when(best["h"] > 0, F.element_at(widths, best["i"] + 1)).otherwise(F.lit(1)).alias("width"))
 
 
+def file_facts(spark: SparkSession, paths) -> DataFrame:
+    """S2 per file over all its lines: ``(_file, bad, multiline)``: a line that is not
+    valid UTF-8 (the file is latin-1 then); a line that leaves a quoted cell open."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("_file"), "value")
+    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return lines.groupBy("_file").agg(F.max(~F.is_valid_utf8("value")).alias("bad"),
+                                      F.max(quotes % 2 == 1).alias("multiline"))
+
+
+def _same_path(path: str) -> str:
+    """A path in the form that listings and scans share."""
+    from urllib.parse import unquote
+    path = unquote(path)
+    return "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
+
+
+def _scan(spark: SparkSession, files, encoding: str, sep: str, multiline: bool, width: int) -> DataFrame:
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    return (spark.read.schema(f"{schema}, _record string").option("header", False).option("sep", sep)
+            .option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multiline)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record")
+            .option("columnPruning", False).csv(files))
+
+
+def _widest(scan: DataFrame, sep: str, width: int) -> int:
+    """Cells of the widest record: those that do not have ``width`` cells are kept whole by the scan and counted."""
+    cells = F.size(F.split(F.regexp_replace("_record", r'"[^"]*"', ""), _re(sep), -1))
+    row = scan.agg(F.max(F.when(F.col("_record").isNotNull(), cells)).alias("w"), F.count("c0").alias("n")).first()
+    return max(width, row["w"] or 0)
+
+
 def _re(sep: str) -> str:
     return {"|": r"\|", "\t": "\t"}.get(sep, sep)
 
@@ -105,26 +137,27 @@ def read_delimited(spark: SparkSession, paths, sep: str | None = None, encoding:
                    width: int | None = None, na_tokens=CSV_NA_TOKENS) -> DataFrame:
     """Headerless all-text scan → raw grid ``(_file, _row_ord, c0 … cN)``.
 
-    Without ``sep``/``encoding`` each file's are sniffed (one small job over
-    the first lines of every file; the per-file answers are collected, one row
-    per file). Missing-value tokens become NULL (S4).
+    Without ``sep``/``encoding`` each file's are found (see ``sniff_files`` and
+    ``file_facts``; the answers are collected, one row per file). Without
+    ``width`` the grid is as wide as the widest record. Missing-value tokens become NULL (S4).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if sep is None or encoding is None or width is None:
-        sniffed = sniff_files(spark, paths).collect()
-        groups: dict = {}
-        for r in sniffed:
-            key = (encoding or r["encoding"], sep or r["sep"])
-            groups.setdefault(key, []).append(r["_file"])
-        w = width or max([r["width"] for r in sniffed] or [1])
-    else:
-        groups = {(encoding, sep): paths}
-        w = width
-    schema = ", ".join(f"c{i} string" for i in range(w))
+    facts = {_same_path(r["_file"]): r for r in file_facts(spark, paths).collect()}
+    sniffed = sniff_files(spark, paths).collect()
+    groups: dict = {}
+    for r in sniffed:
+        own = facts.get(_same_path(r["_file"]))
+        found = "ISO-8859-1" if own is not None and own["bad"] else "UTF-8"
+        key = (encoding or found, sep or r["sep"], bool(own is not None and own["multiline"]))
+        groups.setdefault(key, []).append(r["_file"])
+    w = width or max([r["width"] for r in sniffed] or [1])
+    if width is None:
+        w = max([_widest(_scan(spark, files, enc, sp, multi, w), sp, w) for (enc, sp, multi), files in groups.items()] or [w])
+    if not groups:
+        groups = {(encoding or "UTF-8", sep or ",", False): paths}
     parts = []
-    for (enc, sp), files in groups.items():
-        df = (spark.read.schema(schema).option("header", False).option("sep", sp).option("encoding", enc)
-              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(files))
+    for (enc, sp, multi), files in groups.items():
+        df = _scan(spark, files, enc, sp, multi, w)
         df = df.select(F.col("_metadata.file_path").alias("_file"),
                        F.struct(F.col("_metadata.file_block_start").alias("block"),
                                 F.monotonically_increasing_id().alias("row")).alias("_row_ord"),
@@ -170,14 +203,20 @@ def inspect_sources(spark: SparkSession, paths, max_bytes: int | None = None) ->
     """``(path, extension, size_bytes, status, reason)`` per file.
 
     Checks extension, emptiness, size cap and magic bytes (ZIP for .xlsx, OLE
-    for .xls). The file bytes are only read for files within the cap, and only
-    their first four bytes are kept.
+    for .xls), of which only the first four bytes are read.
     """
     from ..functions.constants import MAX_UPLOAD_BYTES
     cap = MAX_UPLOAD_BYTES if max_bytes is None else max_bytes
     meta = list_files(spark, paths)
-    small = (spark.read.format("binaryFile").load(paths).where(F.col("length") <= cap)
-             .select("path", F.hex(F.substring("content", 1, 4)).alias("magic")))
+
+    def first_bytes(batches):
+        import pandas as pd
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "magic": [_open_prefix(p, 4).hex().upper() for p in pdf["path"]]})
+
+    from ..session import ship_package
+    ship_package(spark)
+    small = meta.where(F.col("length") > 0).select("path").mapInPandas(first_bytes, "path string, magic string")
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     df = meta.join(small, "path", "left").select("path", ext.alias("extension"),
                                                  F.col("length").alias("size_bytes"), "magic")

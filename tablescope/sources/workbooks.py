@@ -146,12 +146,11 @@ def _sheet_names(batches):
 
 
 def _binary(spark: SparkSession, paths, max_bytes: int | None):
-    from ..functions.constants import MAX_UPLOAD_BYTES
     from ..session import ship_package
     ship_package(spark)
-    cap = MAX_UPLOAD_BYTES if max_bytes is None else max_bytes
-    return (spark.read.format("binaryFile").load(paths).where(F.col("length") <= cap)
-            .select("path", "content"))
+    files = spark.read.format("binaryFile").load(paths)
+    # a cap holds only where the caller asks for one; ``inspect_sources`` reports what it leaves out
+    return (files if max_bytes is None else files.where(F.col("length") <= max_bytes)).select("path", "content")
 
 
 def workbook_rows(spark: SparkSession, paths, sheet: str | None = None, max_bytes: int | None = None) -> DataFrame:
