@@ -99,26 +99,49 @@ def normalize_column_names(names: list) -> list[str]:
     return out
 
 
+def _named(cells: list) -> list[str]:
+    """Column names of a header row; blank ones become ``Column_{i}``."""
+    out = []
+    for i, val in enumerate(cells):
+        s = "" if val is None else str(val).strip()
+        out.append(s if s and s != "nan" else f"Column_{i + 1}")
+    return out
+
+
 def promote_header(raw: DataFrame, header: DataFrame | None = None) -> DataFrame:
-    """Column names from the header row of the first file; keep the rows
-    below each file's own header row. Blank names become ``Column_{i}``."""
+    """Keep the rows below each file's own header row and name their cells by it.
+
+    Files with the same header cells form a layout. With one layout the names are
+    taken as they stand (C5 makes them unique later). With several, each layout's
+    names are made unique and the layouts are matched by name; columns stand in
+    the order of the first file's layout, then of the others', and a column that a
+    layout lacks is NULL there.
+    """
     cols = data_columns(raw)
     header = header if header is not None else detect_header_row(raw)
-    first_file = header.agg(F.min("_file")).first()[0]
-    row = None
-    if first_file is not None:
-        h = header.where(F.col("_file") == F.lit(first_file)).select(F.col("header_ord").alias("_h"))
-        row = (raw.where(F.col("_file") == F.lit(first_file)).join(F.broadcast(h), F.col("_row_ord") == F.col("_h"))
-               .select(*[F.col(f"`{c}`") for c in cols]).first())
-    names = []
-    for i, c in enumerate(cols):
-        val = None if row is None else row[c]
-        s = "" if val is None else str(val).strip()
-        names.append(s if s and s != "nan" else f"Column_{i + 1}")
-    # one row per file: a bounded broadcast
-    body = raw.join(F.broadcast(header.select("_file", "header_ord")), "_file") \
-        .where(F.col("_row_ord") > F.col("header_ord")).drop("header_ord")
-    return body.select("_file", "_row_ord", *[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)])
+    heads = (raw.join(header.select("_file", F.col("header_ord").alias("_h")), "_file").where(F.col("_row_ord") == F.col("_h"))
+             .select("_file", F.array(*[F.trim(F.col(f"`{c}`")) for c in cols]).alias("_cells")))
+    # one row per layout
+    layouts = heads.groupBy("_cells").agg(F.min("_file").alias("_first")).orderBy("_first").collect()
+    body = raw.join(header.select("_file", "header_ord"), "_file").where(F.col("_row_ord") > F.col("header_ord")).drop("header_ord")
+    if len(layouts) <= 1:
+        names = _named(list(layouts[0]["_cells"]) if layouts else [None] * len(cols))
+        return body.select("_file", "_row_ord", *[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)])
+    spark = raw.sparkSession
+    numbers = spark.createDataFrame([(list(r["_cells"]), i) for i, r in enumerate(layouts)], "_cells array<string>, _layout int")
+    # null cells: compared as text with a mark of their own
+    key = lambda c: F.array_join(c, "\x1f", "\x00")
+    files = heads.select("_file", key("_cells").alias("_k")).join(numbers.select(key("_cells").alias("_k"), "_layout"), "_k").drop("_k")
+    body = body.join(files, "_file")
+    parts = []
+    for i, r in enumerate(layouts):
+        names = normalize_column_names(_named(list(r["_cells"])))
+        parts.append(body.where(F.col("_layout") == i).select(
+            "_file", "_row_ord", *[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def drop_empty(df: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -151,6 +151,17 @@ def q_to_records(spark, sf):
     return to_records(load(spark, sf, "orders"))
 
 
+@register("messy_layouts", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def q_messy_layouts(spark, sf):
+    """Files whose headers name the columns in different orders, read in one call."""
+    path = scratch_path(spark, "layouts")
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    odd = F.col("o_orderkey") % 2 == 1
+    orders.where(~odd).write.option("header", True).csv(f"{path}/a")
+    orders.where(odd).select("o_totalprice", "o_orderpriority", "o_orderkey", "o_orderstatus").write.option("header", True).csv(f"{path}/b")
+    return clean_table(read_delimited(spark, f"{path}/*/*.csv"))
+
+
 @register("csv_wide_row", """SELECT o_orderkey::VARCHAR AS c0, o_orderstatus AS c1,
   CASE WHEN o_orderkey % 97 = 5 THEN 'extra' END AS c2, CASE WHEN o_orderkey % 97 = 5 THEN 'a, quoted' END AS c3 FROM orders""")
 def q_csv_wide_row(spark, sf):

@@ -79,3 +79,27 @@ def test_sales_sample_shape(spark, tmp_dir):
     assert types["Sales_Amount"] == "Currency" and types["Discount_Percent"] == "Percentage"
     assert types["Quantity"] == "Integer" and types["Region"] == "Category" and types["Profit"] == "Float"
     assert clean_table(raw).count() == 25
+
+
+def test_files_with_different_layouts(spark, tmp_path):
+    from tablescope.operators.clean import clean_table
+    from tablescope.sources.delimited import read_delimited
+    (tmp_path / "a.csv").write_text("id,name,amount\n1,ann,100\n2,bob,101\n3,cy,102\n")
+    (tmp_path / "b.csv").write_text("amount,id,name,note\n0.5,7,dee,x\n1.5,8,eve,y\n2.5,9,fay,z\n")
+    got = clean_table(read_delimited(spark, str(tmp_path / "*.csv")))
+    assert got.columns == ["id", "name", "amount", "note"]
+    assert {r["id"]: (r["name"], r["amount"], r["note"]) for r in got.collect()} == {
+        1: ("ann", 100.0, None), 2: ("bob", 101.0, None), 3: ("cy", 102.0, None),
+        7: ("dee", 0.5, "x"), 8: ("eve", 1.5, "y"), 9: ("fay", 2.5, "z")}
+
+
+def test_multiline_wide_and_late_latin1(spark, tmp_path):
+    from tablescope.sources.delimited import read_delimited
+    (tmp_path / "m.csv").write_text('id,text\n1,"line one\nline, two"\n2,x\n')
+    rows = read_delimited(spark, str(tmp_path / "m.csv")).orderBy("_row_ord").collect()
+    assert [(r["c0"], r["c1"]) for r in rows] == [("id", "text"), ("1", "line one\nline, two"), ("2", "x")]
+    (tmp_path / "w.csv").write_text("a,b\n" + "".join(f"{i},n{i}\n" for i in range(60)) + "60,n60,EXTRA,CELLS\n")
+    last = read_delimited(spark, str(tmp_path / "w.csv")).where("c0 = '60'").first()
+    assert (last["c1"], last["c2"], last["c3"]) == ("n60", "EXTRA", "CELLS")
+    (tmp_path / "l.csv").write_bytes(("a,b\n" + "".join(f"{i},plain\n" for i in range(50)) + "50,café\n").encode("latin-1"))
+    assert read_delimited(spark, str(tmp_path / "l.csv")).where("c0 = '50'").first()["c1"] == "café"
