@@ -162,7 +162,7 @@ def search_predicate(df: DataFrame, query: str | None, literal: bool = False,
     q = (query or "").strip().lower()
     if not q:
         return F.lit(True)
-    texts = [F.lower(cell_text(df, c)) for c in df.columns]
+    texts = [F.lower(cell_text(df, c)) for c in df.columns if c not in ("_file", "_row_ord")]
     if literal:
         return F.exists(F.array(*texts), lambda x: x.contains(q))
     if not validate_pattern(df.sparkSession, q):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import charts as ch
+from ..operators.clean import ORDER_COLS
 from ..operators.corr import correlation, correlation_matrix
 from ..operators.filters import FilterSpec, apply_filters
 from ..operators.freq import frequency_table
@@ -26,14 +27,18 @@ def analyze(df: DataFrame, spec: FilterSpec | dict | None = None, order: list[st
 
     ``order`` names the columns that define row order (the reference's file
     order); it breaks ties in sorting and picks the first rows for scatter
-    charts. Export ignores the sort, as the reference does; pass the sorted
+    charts. A table cleaned with its order kept (``clean_table(..., keep_order=True)``)
+    brings that order along in columns that are not profiled. Export ignores the sort, as the reference does; pass the sorted
     ``rows`` yourself if you want it.
     """
     if isinstance(spec, dict):
         spec = FilterSpec(**{k: v for k, v in spec.items() if k in FilterSpec.__dataclass_fields__})
     spec = spec or FilterSpec()
-    order = order or []
-    filtered = apply_filters(df, spec, warnings=warnings)
+    warnings = [] if warnings is None else warnings
+    carried = [c for c in ORDER_COLS if c in df.columns]
+    order = order or carried
+    ordered = apply_filters(df, spec, warnings=warnings)
+    filtered = ordered.drop(*carried)
     freq = frequency_table(filtered, persist=True)
     types_df = column_types(filtered, freq=freq)
     types = collect_types(types_df)
@@ -49,7 +54,7 @@ def analyze(df: DataFrame, spec: FilterSpec | dict | None = None, order: list[st
         nd.withColumn("outliers_count", F.lit(None).cast("bigint"))
     corr = correlation(filtered, num) if len(num) >= 2 else None
     top = top_values(freq, cat)
-    sorted_orders = sort_orders(filtered, spec.sort_by, spec.sort_direction, order)
+    sorted_orders = sort_orders(ordered, spec.sort_by, spec.sort_direction, order)
     okeys = [F.col(f"`{c}`") for c in order] or [F.col(f"`{filtered.columns[0]}`")]
     return {
         "types": types_df,
@@ -63,8 +68,11 @@ def analyze(df: DataFrame, spec: FilterSpec | dict | None = None, order: list[st
         "monthly": monthly_distribution(freq, dat) if dat else None,
         "correlation": corr,
         "correlation_matrix": correlation_matrix(corr, num) if corr is not None else None,
-        "charts": ch.chart_points(filtered, types, okeys, corr, freq),
+        "numeric_top_values": top_values(freq, num) if num else None,
+        "numeric_bottom_values": top_values(freq, num, ascending=True) if num else None,
+        "charts": ch.chart_points(ordered, types, okeys, corr, freq),
         "insights": insights(summary, per_column, corr, top_values(freq, cat, k=1)),
-        "rows": page(filtered, spec.page, spec.page_size, sorted_orders or None),
+        "rows": page(ordered, spec.page, spec.page_size, sorted_orders or (okeys if order else None)).drop(*carried),
+        "warnings": df.sparkSession.createDataFrame([(w,) for w in warnings], "warning string"),
         "page": page_info(filtered, spec.page, spec.page_size),
     }

@@ -162,6 +162,17 @@ def q_messy_layouts(spark, sf):
     return clean_table(read_delimited(spark, f"{path}/*/*.csv"))
 
 
+@register("analyze_page", f"""SELECT {ORDERS}, position FROM (
+  SELECT *, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS position FROM orders) WHERE position BETWEEN 51 AND 100""")
+def q_analyze_page(spark, sf):
+    """C11 → L2: a page of a cleaned file without a sort comes in file order (here by customer, descending)."""
+    from .analyze import analyze
+    path = scratch_path(spark, "ordered-csv")
+    write_csv(load(spark, sf, "orders").repartition(1).sortWithinPartitions(F.desc("o_custkey"), "o_orderkey"), path)
+    table = clean_table(read_delimited(spark, f"{path}/*.csv"), keep_order=True)
+    return analyze(table, {"page": 2, "page_size": 50})["rows"]
+
+
 @register("csv_wide_row", """SELECT o_orderkey::VARCHAR AS c0, o_orderstatus AS c1,
   CASE WHEN o_orderkey % 97 = 5 THEN 'extra' END AS c2, CASE WHEN o_orderkey % 97 = 5 THEN 'a, quoted' END AS c3 FROM orders""")
 def q_csv_wide_row(spark, sf):

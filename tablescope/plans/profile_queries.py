@@ -159,6 +159,18 @@ def q_column_types_url(spark, sf):
     return column_types(load(spark, sf, "pages").select("page_id", "url")).drop("pos")
 
 
+def q_column_types_zoo(spark, sf):
+    """Padded dates longer than any layout, image and file links, phone numbers, an empty column."""
+    n = F.col("o_orderkey").cast("string")
+    df = load(spark, sf, "orders").select(
+        F.concat(F.lit(" " * 35), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("padded_day"),
+        F.concat(F.lit("https://img.example.com/"), n, F.lit(".png")).alias("picture"),
+        F.concat(F.lit("https://files.example.com/"), n, F.lit(".pdf")).alias("paper"),
+        F.concat(F.lit("+1 555 010 "), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")).alias("call"),
+        F.lit(None).cast("string").alias("nothing"))
+    return column_types(df).drop("pos")
+
+
 def q_column_types_text(spark, sf):
     """Numbers, dates and booleans written as text, derived from orders."""
     o = load(spark, sf, "orders")
@@ -211,6 +223,7 @@ SPARK = {
     "column_types_lineitem": q_column_types_lineitem,
     "column_types_url": q_column_types_url,
     "column_types_text": q_column_types_text,
+    "column_types_zoo": q_column_types_zoo,
     "column_profile": q_column_profile,
 }
 

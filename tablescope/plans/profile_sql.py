@@ -274,6 +274,10 @@ SELECT 'ts' AS column_name,
     "column_types_lineitem": types_query("lineitem", LINEITEM_KINDS),
     "column_types_url": types_query("(SELECT page_id, url FROM pages)", {"page_id": "integral", "url": "string"}),
     "column_types_text": types_query(text_table_sql(), TEXT_KINDS),
+    "column_types_zoo": types_query("""(SELECT repeat(' ', 35) || strftime(o_orderdate, '%Y-%m-%d') AS padded_day,
+  'https://img.example.com/' || o_orderkey || '.png' AS picture, 'https://files.example.com/' || o_orderkey || '.pdf' AS paper,
+  '+1 555 010 ' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS call, NULL::VARCHAR AS nothing FROM orders)""",
+                                   {c: "string" for c in ["padded_day", "picture", "paper", "call", "nothing"]}),
 }
 
 

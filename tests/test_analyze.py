@@ -27,3 +27,16 @@ def test_analyze_orders(spark, tmp_dir):
     out = write_report(res, df, os.path.join(tmp_dir, "report"))
     assert sorted(out) == ["column_details", "correlation_matrix", "data", "executive_summary", "insights"]
     assert spark.read.parquet(out["executive_summary"]).count() == 10
+
+
+def test_file_order_and_warnings(spark, tmp_path):
+    from tablescope.operators.clean import clean_table
+    from tablescope.sources.delimited import read_delimited
+    names = [f"n{(i * 7) % 40:02d}" for i in range(40)]
+    (tmp_path / "t.csv").write_text("name,amount\n" + "".join(f"{n},{i}.5\n" for i, n in enumerate(names)))
+    table = clean_table(read_delimited(spark, str(tmp_path / "t.csv")), keep_order=True)
+    res = analyze(table, {"page": 2, "page_size": 10, "search_query": "("})
+    rows = res["rows"].orderBy("position").collect()
+    assert res["rows"].columns == ["name", "amount", "position"] and [r["name"] for r in rows] == names[10:20]
+    assert [r["column_name"] for r in res["columns"].orderBy("column_name").collect()] == ["amount", "name"]
+    assert res["warnings"].count() == 1 and res["numeric_top_values"].count() == 10
