@@ -27,7 +27,7 @@ from .common import fresh, prepare, words, written
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 EPOCHS = 2
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 CELLS = 1 << 16
 
 
@@ -140,9 +140,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Where ``docs`` has columns of these names the new ones get an underscore in front.
     """
     prepare(docs.sparkSession)
+    options = (id_col, text_col, source_col, weights, budget_share, epochs)
+    # the cut is found on small rows; the whole rows then pass one shuffle for their place and one for the order
+    small = written(_queue(docs, F.col(f"`{id_col}`"), "doc_id", *options), "mix-queue")
     carry = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    queue = written(_queue(docs, carry, "_row", id_col, text_col, source_col, weights, budget_share, epochs), "mix-rows")
-    dealt = _dealt(queue, _cut(queue.drop("_row"), epochs), epochs)
+    dealt = _dealt(_queue(docs, carry, "_row", *options), _cut(small, epochs), epochs)
     lower = {c.lower() for c in docs.columns}
     copy, finish = [n if n not in lower else fresh(docs, n)[0] for n in ("mix_copy", "mix_finish")]
     rows = dealt.where("copies > 0").select("_row", "source_rank", F.explode(F.array(*[
