@@ -42,8 +42,8 @@ from .common import prepare, written
 START = np.uint64(0x243F6A8885A308D3)
 END = np.uint64(0x13198A2E03707344)
 HOT = 2000
-SHARD_TOKENS = 4_000_000
-BATCH_BYTES = 8 << 20
+SHARD_TOKENS = 2_500_000
+BATCH_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
