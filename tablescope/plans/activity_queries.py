@@ -42,9 +42,13 @@ def q_counter_value(spark, sf):
     return counter_value(load(spark, sf, "events"), "purchase", "event_type")
 
 
-@register("counter_value_absent", """SELECT count(*)::BIGINT AS value FROM events WHERE event_type = 'refund'""")
+@register("counter_value_absent", """SELECT 'refund' AS key, count(*)::BIGINT AS value FROM events WHERE event_type = 'refund'
+UNION ALL SELECT 'click', count(*)::BIGINT FROM events WHERE event_type = 'click'""")
 def q_counter_value_absent(spark, sf):
-    return counter_value(load(spark, sf, "events"), "refund", "event_type")
+    """An action that never occurred counts 0, beside one that did."""
+    ev = load(spark, sf, "events")
+    one = lambda k: counter_value(ev, k, "event_type").select(F.lit(k).alias("key"), "value")
+    return one("refund").unionByName(one("click"))
 
 
 SESSIONS_SQL = """WITH d AS (SELECT *, CASE WHEN event_type = 'click' THEN 1.0 WHEN event_type = 'view' THEN -1.0 ELSE 0.0 END AS delta

@@ -79,9 +79,12 @@ def q_filter_date(spark, sf):
                          {"date_ranges": {"ts": {"start": "2024-01-05", "end": "2024-01-10"}}})
 
 
-@register("filter_date_bad_bound", "SELECT * FROM events WHERE false")
+@register("filter_date_bad_bound", "SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-03 00:00:00'")
 def q_filter_date_bad_bound(spark, sf):
-    return apply_filters(load(spark, sf, "events"), {"date_ranges": {"ts": {"start": "not a date"}}})
+    """A bound that is no date keeps no row; beside it the rows under a good bound."""
+    ev = load(spark, sf, "events")
+    bad = apply_filters(ev, {"date_ranges": {"ts": {"start": "not a date"}}})
+    return bad.unionByName(apply_filters(ev, {"date_ranges": {"ts": {"end": "2024-01-03"}}}))
 
 
 SEARCH_SQL = """SELECT * FROM customer WHERE
@@ -95,9 +98,11 @@ def q_search(spark, sf):
     return apply_filters(load(spark, sf, "customer"), {"search_query": "  MACHIN|#00000012|^77 "})
 
 
-@register("search_bad_pattern", "SELECT * FROM customer")
+@register("search_bad_pattern", "SELECT * FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING'")
 def q_search_bad_pattern(spark, sf):
-    return apply_filters(load(spark, sf, "customer"), {"search_query": "([unclosed"})
+    """A pattern that does not compile is ignored; the other filters hold."""
+    return apply_filters(load(spark, sf, "customer"), {
+        "search_query": "([unclosed", "numeric_ranges": {"c_acctbal": {"min": 0}}, "category_filters": {"c_mktsegment": ["BUILDING"]}})
 
 
 @register("apply_filters", f"""SELECT {ORDERS} FROM orders
@@ -167,10 +172,12 @@ def q_page(spark, sf):
     return page(df, 3, 25, sort_orders(df, "o_totalprice", "desc", ["o_orderkey"]))
 
 
-@register("page_past_end", PAGE_SQL.format(cols=ORDERS, lo=10_000_000 * 25, hi=10_000_000 * 25 + 25))
+@register("page_past_end", PAGE_SQL.format(cols=ORDERS, lo=0, hi=25))
 def q_page_past_end(spark, sf):
+    """A page behind the last one is empty; beside it the first page."""
     df = load(spark, sf, "orders")
-    return page(df, 10_000_001, 25, sort_orders(df, "o_totalprice", "desc", ["o_orderkey"]))
+    orders = sort_orders(df, "o_totalprice", "desc", ["o_orderkey"])
+    return page(df, 10_000_001, 25, orders).unionByName(page(df, 1, 25, orders))
 
 
 @register("page_info", """SELECT 3::BIGINT AS page, 25::BIGINT AS page_size, count(*)::BIGINT AS total_rows,

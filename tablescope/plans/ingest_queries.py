@@ -119,11 +119,11 @@ def q_coerce_number(spark, sf):
     return txt.select("o_orderkey", to_number("amount").alias("amount"), to_number("share").alias("share"))
 
 
-@register("coerce_number_junk", """SELECT o_orderkey, NULL::DOUBLE AS v FROM orders""")
+@register("coerce_number_junk", """SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 8 THEN -1234.5 END AS v FROM orders""")
 def q_coerce_number_junk(spark, sf):
     o = load(spark, sf, "orders")
     junk = F.element_at(F.array(F.lit("5d"), F.lit("5f"), F.lit("nan"), F.lit("inf"), F.lit("#N/A"), F.lit(""),
-                                F.lit("1-2"), F.lit("abc")), (F.col("o_orderkey") % 8 + 1).cast("int"))
+                                F.lit("1-2"), F.lit("abc"), F.lit("-1,234.5")), (F.col("o_orderkey") % 9 + 1).cast("int"))
     return o.select("o_orderkey", to_number(junk).alias("v"))
 
 
