@@ -36,18 +36,17 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     """Write ``headers/`` and ``payloads/`` under ``path``."""
     prepare(pages.sparkSession)
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary")
-    staged = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"),
-                          payload.alias("payload"), F.monotonically_increasing_id().alias("rid"))
-    # written with the payload, so that the row numbers are fixed for all later reads
-    staged = written(staged.withColumns({
-        "address": F.sha2("payload", 256), "digest": F.sha1("payload"), "bytes": F.length("payload").cast("long")}), "warc-rows")
-    rows = staged.drop("payload")
-    groups = rows.groupBy("address").agg(F.count("*").alias("n"), F.min("rid").alias("first"),
-                                         F.max(F.struct("id", "rid")).alias("top"))
-    groups = written(groups.select("address", "n", "first", F.col("top.id").alias("top_id"), F.col("top.rid").alias("top_rid")),
+    source = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"),
+                          payload.alias("payload")).withColumn("address", F.sha2("payload", 256))
+    # written without the payload, so that the row numbers are fixed for all later reads
+    rows = written(source.select("id", "url", "address", F.monotonically_increasing_id().alias("rid"),
+                                 F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("bytes")), "warc-rows")
+    groups = rows.groupBy("address").agg(F.count("*").alias("n"), F.max(F.struct("id", "rid")).alias("top"))
+    groups = written(groups.select("address", "n", F.col("top.id").alias("top_id"), F.col("top.rid").alias("top_rid")),
                      "warc-groups")
-    staged.join(groups.select(F.col("first").alias("rid")), "rid", "left_semi").select("address", "bytes", "payload").write.parquet(
-        f"{path}/payloads")
+    # equal payloads meet in the map tasks first, so a frequent one is sent once a task
+    source.select("address", "payload").dropDuplicates(["address"]).select(
+        "address", F.length("payload").cast("long").alias("bytes"), "payload").write.parquet(f"{path}/payloads")
     many = groups.where("n > 1").select("address", "top_id", "top_rid")
     known = join_hot(rows, many, "address", "left")
     revisit = (F.col("bytes") >= min_revisit) & F.col("top_rid").isNotNull() & (F.col("top_rid") != F.col("rid"))
