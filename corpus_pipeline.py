@@ -25,10 +25,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    It learns from all labelled documents: those that the rules kept are nearly all of label 1.
+    """
     prepare(spark)
-    metadata = tuple(c for c in ("n_chars",) if c in docs.columns)
-    return quality_fm.filter_rows(docs, load(spark, sf_dir, "labels"), metadata=metadata)
+    everything = load(spark, sf_dir, "documents")
+    metadata = tuple(c for c in ("n_chars",) if c in docs.columns and c in everything.columns)
+    return quality_fm.filter_rows(docs, load(spark, sf_dir, "labels"), metadata=metadata, learn=everything)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

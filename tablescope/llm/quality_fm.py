@@ -7,8 +7,8 @@ two). The model is ``w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j``; the pair
 term is computed in time linear in the vector's entries as
 ``1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``.
 
-Training uses at most ``MAX_TRAIN`` labelled documents (those with the smallest
-id hash), whose vectors alone come to the driver; the model has a fixed size and
+Training uses at most ``MAX_TRAIN`` labelled documents of the given table (those
+with the smallest id hash), whose vectors alone come to the driver; the model has a fixed size and
 is broadcast; scoring runs in Arrow batches over all rows.
 
 Edge cases: null and empty texts are scored from structure alone; without any
@@ -162,13 +162,15 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> dict
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", metadata: tuple[str, ...] = (), max_train: int = MAX_TRAIN) -> dict:
-    """Train on at most ``max_train`` labelled documents; ``use`` (over the labels' id) says which may be learnt from."""
+    """Train on at most ``max_train`` labelled rows of ``docs``; ``use`` (over the labels' id) says which may be learnt from."""
     prepare(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_y"))
     known = known.where(F.col("_id").isNotNull() & F.col("_y").isNotNull())
     if use is not None:
         known = known.where(use)
     known = known.groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
+    # labels of ids that docs has no row of must not use up the sample; only ids are shuffled
+    known = known.join(docs.select(F.col(f"`{id_col}`").alias("_id")), "_id", "left_semi")
     # at most max_train small rows: safe to broadcast at any size of the input
     known = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(max_train))
     meta = _meta(metadata, dict(docs.dtypes))
@@ -217,9 +219,13 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def filter_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text",
-                metadata: tuple[str, ...] = (), **options) -> DataFrame:
-    """The rows of ``docs`` scored at ``threshold`` or more, all columns as they are; no row is shuffled."""
-    model = fit(docs, labels, text_col=text_col, metadata=metadata, **options)
+                metadata: tuple[str, ...] = (), learn: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` scored at ``threshold`` or more, all columns as they are; no row of ``docs`` is shuffled.
+
+    The model learns from the labelled rows of ``learn`` (default ``docs``). Where an earlier filter has
+    made ``docs``, ``learn`` should be the unfiltered table: the filter may have taken one label's rows.
+    """
+    model = fit(docs if learn is None else learn, labels, text_col=text_col, metadata=metadata, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = fresh(docs, *[f"m_{k}" for k in range(len(metadata))])
     wide = docs.select("*", *[c.alias(n) for c, n in zip(_meta(metadata, dict(docs.dtypes)), names)])

@@ -46,6 +46,29 @@ def test_stages(spark, tmp_dir):
     assert current.count() == want > 60 and set(seen["source_mix"]) <= set(range(60))
 
 
+def test_classifier_learns_from_rows_that_the_rules_dropped(spark, tmp_dir):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    good = [word("aeioustrnl") for _ in range(150)]
+    bad = [word("bcdfgmpwkh") + "7,9;" for _ in range(100)] + [f"{i};" for i in range(10, 60)]
+    text = lambda words, n=120: " ".join(rng.choice(words) for _ in range(n))
+    # labelled junk is too short for the rules; unlabelled junk (500 and up) is of the same kind and passes them
+    texts = [text(good) for _ in range(200)] + [text(bad, 45) for _ in range(200)]
+    rows = [(i, t, "en", "s0", len(t)) for i, t in enumerate(texts)]
+    rows += [(500 + i, t, "en", "s0", len(t)) for i, t in enumerate(text(bad, 60) for _ in range(10))]
+    rows += [(600 + i, t, "en", "s0", len(t)) for i, t in enumerate(text(good) for _ in range(10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    folder = f"{tmp_dir}/corpus"
+    write(spark, folder, docs, labels, spark.createDataFrame([], "item_id long, text string"))
+    corpus_pipeline.rules(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).write.parquet(f"{tmp_dir}/kept")
+    kept = spark.read.parquet(f"{tmp_dir}/kept")
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert set(range(500, 510)) <= ids and set(range(600, 610)) <= ids and not ids & set(range(200, 400))
+    out = {r.doc_id for r in corpus_pipeline.classifier(spark, kept, folder).collect()}
+    assert not out & set(range(500, 510)) and out == {*range(200), *range(600, 610)}
+
+
 def test_empty_corpus(spark, tmp_dir):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     folder = f"{tmp_dir}/none"

@@ -59,3 +59,15 @@ def test_fit_and_score(spark):
     assert quality_fm.score(none, model, metadata=("n_chars",)).count() == 0
     empty_model = quality_fm.fit(docs, known.limit(0))
     assert {r.score for r in quality_fm.score(docs, empty_model).collect()} != set()
+
+
+def test_sample_is_taken_from_labels_of_given_rows(spark):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "$$ ## %%") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    seen, train = [], quality_fm.train
+    quality_fm.train = lambda rows, *a: seen.extend(rows) or train(rows, *a)
+    try:
+        quality_fm.fit(docs, labels, max_train=40)
+    finally:
+        quality_fm.train = train
+    assert len(seen) == 40 and sum(r[0] for r in seen) == 20
