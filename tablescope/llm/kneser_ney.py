@@ -1,24 +1,28 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark.
-
-A text's tokens are its words (hashed, A-Z lower-cased) and one end; the first
-token's context is a start mark. Counting is one pass over the training texts:
-every task counts its bigrams and sends them, sorted and packed into arrays, to
-shards. A shard is chosen by the context, so that a context's sums are made in
-one place, except for the contexts that hold over 1/HOT of all tokens: their
-bigrams are spread over all shards by their own hash, so no shard follows a
-frequent word. Each shard merges its arrays, writes its bigrams as sorted hash
-arrays, and sends sums by word on to a second set of shards, which write the
-words' counts, continuation counts and numbers of successors the same way.
+"""An interpolated modified Kneser-Ney n-gram model, counted in Spark.
+
+A text's tokens are its words (hashed, A-Z lower-cased) and one end; where the
+context reaches over the text's beginning it is filled with start marks. Counting
+is one pass over the training texts: every task counts its n-grams and sends them
+to shards. A shard is chosen by the context, except for the contexts that hold
+over 1/HOT of all tokens: their n-grams are spread over all shards by their own
+hash, so no shard follows a frequent context. Each shard merges its n-grams and
+writes their counts as sorted hash arrays, and sends on the sums by context and
+the n-grams without their first token. These are dealt by their own hash and
+merged, written and sent on the same way, order by order down to single words.
 
 The files lie in the shared scratch folder. Scoring tasks map them into memory
 and look up the sorted distinct hashes of a batch, shard by shard, so a task
-holds a batch, not the model. With discounts D1, D2, D3+ from the counts of counts
+holds a batch, not the model. c is the number of times an n-gram of the highest
+order was seen, and for the lower orders the number of different tokens before it
+(for n-grams that begin with a start mark, the number of times they were seen).
+With discounts D1, D2, D3+ of every order from its counts of counts, h the context
+and h' the context without its first token
 
-    p(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + g(u) * p(w)
-    g(u)     = (D1 N1(u.) + D2 N2(u.) + D3+ N3+(u.)) / c(u)
-    p(w)     = max(N1+(.w) - D'(N1+(.w)), 0) / N1+(..) + g' / (V + 1)
+    p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h) + g(h) * p(w | h')
+    g(h)     = (D1 N1(h.) + D2 N2(h.) + D3+ N3+(h.)) / c(h)
+    p(w)     = max(c(w) - D'(c(w)), 0) / N1+(..) + g' / (V + 1)
 
-and p(w | u) = p(w) after a context that was never seen.
+and p(w | h) = p(w | h') after a context that was never seen.
 
 Edge cases: null and empty texts have the end as their only token; without
 training text every probability is 1; repeated rows count and are scored each on
@@ -41,6 +45,7 @@ from .common import prepare, written
 
 START = np.uint64(0x243F6A8885A308D3)
 END = np.uint64(0x13198A2E03707344)
+ORDER = 3
 HOT = 2000
 SHARD_TOKENS = 2_500_000
 BATCH_BYTES = 4 << 20
@@ -56,24 +61,35 @@ def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray):
-    """(context, token, tokens per document) of consecutive documents."""
+def tokens(data: np.ndarray, offsets: np.ndarray, order: int):
+    """(tokens as one column for every place of an n-gram, the last the token itself; tokens per document)."""
     h, _, _, counts = ta.words(data, offsets)
     sizes = counts + 1
     ends = np.cumsum(sizes)
     token = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
     token[np.arange(len(h)) + np.repeat(np.arange(len(counts)), counts)] = h
     token[ends - 1] = END
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[ends - sizes] = START
-    return context, token, sizes
+    place = np.arange(len(token)) - np.repeat(ends - sizes, sizes)
+    grams = [token]
+    for back in range(1, order):
+        before = np.full(len(token), START)
+        before[back:] = np.where(place[back:] >= back, token[:len(token) - back], START)
+        grams.insert(0, before)
+    return grams, sizes
 
 
-def _batches(texts: pa.Array):
+def _context(grams: list[np.ndarray]) -> np.ndarray:
+    """One hash for all but the last column; a single token is its own hash."""
+    key = grams[0]
+    for column in grams[1:-1]:
+        key = _key(key, column)
+    return key
+
+
+def _batches(texts: pa.Array, order: int):
     data, offsets = ta.flat(texts)
     for i, j in ta.batches_of(np.diff(offsets), BATCH_BYTES):
-        yield tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+        yield tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], order)
 
 
 # -- files ---------------------------------------------------------------------------------------
@@ -125,11 +141,12 @@ def _summed(keys: np.ndarray, *columns: np.ndarray):
     return ordered[first], sums, order[first]
 
 
-def _overview(texts: DataFrame) -> tuple[int, np.ndarray]:
+def _overview(texts: DataFrame, order: int) -> tuple[int, np.ndarray]:
     """Number of tokens, and the contexts with over 1/HOT of them (so at most HOT)."""
     def counted(batches):
         for b in batches:
-            for context, _, _ in _batches(b.column("text")):
+            for grams, _ in _batches(b.column("text"), order):
+                context = _context(grams)
                 h, n = np.unique(context, return_counts=True)
                 often = n > len(context) // HOT
                 yield pa.RecordBatch.from_arrays(
@@ -149,107 +166,156 @@ def _shard(context: np.ndarray, key: np.ndarray, hot: np.ndarray, shards: int) -
     return _range_of(np.where(spread, key, ta.fmix(context)), shards)
 
 
-_WORD_COLUMNS = ("count", "cont", "n1", "n2", "n3")
+_WORD_COLUMNS = ("count", "cont")
+_CONTEXT_COLUMNS = ("count", "n1", "n2", "n3")
+#: Rows on their way to a shard: n-grams of ``kind`` tokens, words (1), counts of counts (0) or contexts of an order (-order).
+_PARTS = "kind int, shard int, keys binary, numbers binary"
+_PARTS_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())])
+
+
+def _pack(kind: int, shard: np.ndarray, keys: np.ndarray, numbers: np.ndarray, shards: int):
+    """Rows of ``_PARTS``; keys and numbers are tables with a row per entry, packed column by column."""
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(bounds)):
+        own = order[bounds[s]:bounds[s + 1]]
+        yield kind, int(s), np.ascontiguousarray(keys[own].T).tobytes(), np.ascontiguousarray(numbers[own].T).tobytes()
+
+
+def _pack_grams(kind: int, shard: np.ndarray, grams: list[np.ndarray], n: np.ndarray, shards: int):
+    """Rows of ``_PARTS`` with n-grams as places in a list of the row's words, sorted so that they compress."""
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(bounds)):
+        own = order[bounds[s]:bounds[s + 1]]
+        words, places = np.unique(np.concatenate([g[own] for g in grams]), return_inverse=True)
+        places = places.reshape(kind, -1).astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+        by = np.lexsort(places[::-1])
+        head = np.array([len(words)], np.uint64).tobytes() + words.tobytes()
+        yield kind, int(s), head + np.ascontiguousarray(places[:, by]).tobytes(), n[own][by].astype(np.uint32).tobytes()
 
 
-def _pack_words(words: np.ndarray, columns: list[np.ndarray], shards: int):
-    """Rows (shard, keys, numbers) of sums by word."""
-    keys, sums, _ = _summed(words, *columns)
-    bounds = np.searchsorted(_range_of(keys, shards), np.arange(shards + 1))
-    table = np.stack(sums, axis=1).astype(np.int64) if len(keys) else np.zeros((0, len(columns)), np.int64)
-    for u in range(shards):
-        a, b = bounds[u], bounds[u + 1]
-        if b > a:
-            yield u, keys[a:b].tobytes(), np.ascontiguousarray(table[a:b].T).tobytes()
+def _unpack_grams(kind: int, table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    parts = []
+    for x in table.column("keys").to_pylist():
+        size = int(np.frombuffer(x, np.uint64, 1)[0])
+        words = np.frombuffer(x, np.uint64, size, 8)
+        places = np.frombuffer(x, np.uint16 if size <= 1 << 16 else np.uint32, offset=8 + 8 * size)
+        parts.append(words[places.reshape(kind, -1)])
+    n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("numbers").to_pylist()])
+    return list(np.concatenate(parts, axis=1)), n.astype(np.int64)
 
 
-def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> dict:
-    """Count the model and write its arrays; what is returned are the folder, totals and discounts."""
+def _unpack(table: pa.Table, n_keys: int, n_numbers: int, kind) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def joined(column, k, kind):
+        parts = [np.frombuffer(x, kind).reshape(k, -1) for x in column.to_pylist()]
+        return list(np.concatenate(parts, axis=1))
+    return joined(table.column("keys"), n_keys, np.uint64), joined(table.column("numbers"), n_numbers, kind)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARTS_ARROW)], schema=_PARTS_ARROW)
+
+
+def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", shard_tokens: int = SHARD_TOKENS, order: int = 2) -> dict:
+    """Count the model of ``order`` (2 or more) and write its arrays; what is returned are the folder, totals and discounts."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs if use is None else docs.where(use)
     texts = rows.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n_tokens, hot = _overview(texts)
-    shards = max(1, -(-n_tokens // shard_tokens))
+    n_tokens, hot = _overview(texts, order)
+    # a shard's n-grams take a column for every place
+    shards = max(1, -(-n_tokens * order // (2 * shard_tokens)))
     folder = scratch_path(spark, "kneser-ney")
 
     def packed(batches):
         for b in batches:
-            for context, token, _ in _batches(b.column("text")):
-                key = _key(context, token)
-                _, (n,), first = _summed(key, np.ones(len(key), np.int64))
-                context, token = context[first], token[first]
-                shard = _shard(context, key[first], hot, shards)
-                order = np.lexsort((context, shard))
-                context, token, n, shard = context[order], token[order], n[order], shard[order]
-                bounds = np.searchsorted(shard, np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(bounds)):
-                    a, e = bounds[s], bounds[s + 1]
-                    head = np.flatnonzero(np.concatenate([[True], context[a + 1:e] != context[a:e - 1]]))
-                    lengths = np.diff(np.append(head, e - a)).astype(np.uint32)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([int(s)], pa.int32()), pa.array([context[a:e][head].tobytes()], pa.binary()),
-                        pa.array([lengths.tobytes()], pa.binary()), pa.array([token[a:e].tobytes()], pa.binary()),
-                        pa.array([n[a:e].astype(np.uint32).tobytes()], pa.binary())],
-                        ["shard", "contexts", "lengths", "tokens", "n"])
-
-    def joined(column, kind):
-        return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()])
-
-    def merged(table: pa.Table) -> pa.Table:
+            for grams, _ in _batches(b.column("text"), order):
+                context = _context(grams)
+                key = _key(context, grams[-1])
+                key, (n,), first = _summed(key, np.ones(len(key), np.int64))
+                context = context[first]
+                shard = _shard(context, key, hot, shards)
+                for row in _pack_grams(order, shard, [g[first] for g in grams], n, shards):
+                    yield _table([row]).to_batches()[0]
+
+    def merged(level: int, table: pa.Table) -> list[tuple]:
         shard = table.column("shard")[0].as_py()
-        context = np.repeat(joined(table.column("contexts"), np.uint64), joined(table.column("lengths"), np.uint32))
-        token, n = joined(table.column("tokens"), np.uint64), joined(table.column("n"), np.uint32).astype(np.int64)
-        key, (n,), first = _summed(_key(context, token), n)
-        context, token = context[first], token[first]
-        _save(f"{folder}/bigrams", f"{shard}.keys", key)
-        _save(f"{folder}/bigrams", f"{shard}.counts", np.minimum(n, 255).astype(np.uint8))
+        grams, n = _unpack_grams(level, table)
+        context = _context(grams)
+        key, (n,), first = _summed(_key(context, grams[-1]), n)
+        grams, context = [g[first] for g in grams], context[first]
+        _save(f"{folder}/grams{level}", f"{shard}.keys", key)
+        _save(f"{folder}/grams{level}", f"{shard}.counts", np.minimum(n, 255).astype(np.uint8))
         many = np.flatnonzero(n >= 255)
-        _save(f"{folder}/bigrams", f"{shard}.large", np.stack([many, n[many]], axis=1).astype(np.int64))
-        zero = np.zeros(len(n), np.int64)
-        one = np.ones(len(n), np.int64)
-        words = np.concatenate([token, context])
-        # a word's count is the count of its bigrams as second word; the start mark is only ever a context
-        start = np.where(context == START, n, 0)
-        columns = [np.concatenate(c) for c in ((n, start), (one, zero), (zero, n == 1), (zero, n == 2), (zero, n >= 3))]
-        out = list(_pack_words(words, columns, shards))
-        tail = np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64)
-        out.append((-1, tail.tobytes(), b""))
-        u, keys, numbers = zip(*out)
-        return pa.table({"u": pa.array(u, pa.int32()), "keys": pa.array(keys, pa.binary()), "numbers": pa.array(numbers, pa.binary())})
-
-    def worded(table: pa.Table) -> pa.Table:
-        u = table.column("u")[0].as_py()
-        if u < 0:
-            four = joined(table.column("keys"), np.int64).reshape(-1, 4).sum(axis=0)
-            return pa.table({"u": [u], "words": [0], "tokens": [0], "types": [0], "four": [four.tolist()], "rest": [0]}, _TOTALS)
-        keys = joined(table.column("keys"), np.uint64)
-        columns = [np.concatenate([np.frombuffer(x, np.int64).reshape(len(_WORD_COLUMNS), -1)[k]
-                                   for x in table.column("numbers").to_pylist()]) for k in range(len(_WORD_COLUMNS))]
+        _save(f"{folder}/grams{level}", f"{shard}.large", np.stack([many, n[many]], axis=1).astype(np.int64))
+        out = [(0, level, np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes(), b"")]
+        h, sums, _ = _summed(context, n, n == 1, n == 2, n >= 3)
+        out += _pack(-level, _range_of(h, shards), h[:, None], np.stack(sums, axis=1).astype(np.int64), shards)
+        # a start mark has only start marks before it
+        lower = np.where(grams[1] == START, n, 1)
+        if level > 2:
+            low_key, (low_n,), first = _summed(_key(_context(grams[1:]), grams[-1]), lower)
+            out += _pack_grams(level - 1, _range_of(low_key, shards), [g[first] for g in grams[1:]], low_n, shards)
+        count = n if level == order else np.zeros_like(n)
+        cont = lower if level == 2 else np.zeros_like(n)
+        h, sums, _ = _summed(grams[-1], count, cont)
+        out += _pack(1, _range_of(h, shards), h[:, None], np.stack(sums, axis=1).astype(np.int64), shards)
+        return out
+
+    def contexts(level: int, table: pa.Table) -> None:
+        (keys,), columns = _unpack(table, 1, len(_CONTEXT_COLUMNS), np.int64)
         keys, sums, _ = _summed(keys, *columns)
-        _save(f"{folder}/words", f"{u}.keys", keys)
-        for name, values in zip(_WORD_COLUMNS, sums):
-            _save(f"{folder}/words", f"{u}.{name}", values if name == "count" else values.astype(np.uint32))
-        word = keys != START
-        cont = sums[1]
-        four = [int((cont == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({"u": [u], "words": [int(word.sum())], "tokens": [int(sums[0][word].sum())],
-                         "types": [int(cont.sum())], "four": [four], "rest": [int((cont >= 3).sum())]}, _TOTALS)
-
-    bigrams = texts.mapInArrow(packed, "shard int, contexts binary, lengths binary, tokens binary, n binary")
-    sums = bigrams.groupBy("shard").applyInArrow(merged, "u int, keys binary, numbers binary")
-    # a row per shard
-    totals = sums.groupBy("u").applyInArrow(worded, "u int, words long, tokens long, types long, four array<long>, rest long").collect()
-    at_least_three = sum(r.rest for r in totals)
-    four = {side: np.sum([r.four for r in totals if (r.u < 0) == side] or [[0] * 4], axis=0) for side in (True, False)}
-    return {"folder": folder, "shards": shards, "hot": hot, "words": sum(r.words for r in totals),
-            "tokens": sum(r.tokens for r in totals), "types": sum(r.types for r in totals),
-            "parts": sorted(r.u for r in totals if r.u >= 0), "discounts": _discounts(four[True]), "low_discounts": _discounts(four[False]),
-            "low_four": [int(four[False][0]), int(four[False][1]), int(at_least_three)]}
-
-
-_TOTALS = pa.schema([("u", pa.int32()), ("words", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64()), ("four", pa.list_(pa.int64())),
-                     ("rest", pa.int64())])
+        shard = table.column("shard")[0].as_py()
+        _save(f"{folder}/contexts{level}", f"{shard}.keys", keys)
+        for name, values in zip(_CONTEXT_COLUMNS, sums):
+            _save(f"{folder}/contexts{level}", f"{shard}.{name}", values if name == "count" else values.astype(np.uint32))
+
+    def passed(level: int):
+        def one(table: pa.Table) -> pa.Table:
+            kind = table.column("kind")[0].as_py()
+            if kind < 0:
+                contexts(-kind, table)
+                return _PARTS_ARROW.empty_table()
+            return _table(merged(level, table)) if kind == level else table.cast(_PARTS_ARROW)
+        return one
+
+    def finished(table: pa.Table) -> pa.Table:
+        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+        words = n = types = rest = 0
+        four = [0] * 4
+        if kind < 0:
+            contexts(-kind, table)
+        elif kind == 0:
+            four = np.sum([np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()], axis=0).tolist()
+        else:
+            (keys,), columns = _unpack(table, 1, len(_WORD_COLUMNS), np.int64)
+            keys, (count, cont), _ = _summed(keys, *columns)
+            _save(f"{folder}/words", f"{shard}.keys", keys)
+            _save(f"{folder}/words", f"{shard}.count", count)
+            _save(f"{folder}/words", f"{shard}.cont", cont.astype(np.uint32))
+            words, n, types, rest = len(keys), int(count.sum()), int(cont.sum()), int((cont >= 3).sum())
+            four = [int((cont == k).sum()) for k in (1, 2, 3, 4)]
+        return pa.table({"kind": [kind], "shard": [shard], "words": [words], "tokens": [n], "types": [types], "four": [four],
+                         "rest": [rest]}, _TOTALS)
+
+    parts = texts.mapInArrow(packed, _PARTS)
+    for level in range(order, 1, -1):
+        parts = parts.groupBy("kind", "shard").applyInArrow(passed(level), _PARTS)
+    # a row per shard and kind
+    totals = parts.groupBy("kind", "shard").applyInArrow(
+        finished, "kind int, shard int, words long, tokens long, types long, four array<long>, rest long").collect()
+    low = [r for r in totals if r.kind == 1]
+    low_four = np.sum([r.four for r in low] or [[0] * 4], axis=0)
+    of_level = {r.shard: r.four for r in totals if r.kind == 0}
+    return {"folder": folder, "order": order, "shards": shards, "hot": hot, "words": sum(r.words for r in low),
+            "tokens": sum(r.tokens for r in low), "types": sum(r.types for r in low),
+            "discounts": {k: _discounts(of_level.get(k, [0] * 4)) for k in range(2, order + 1)}, "low_discounts": _discounts(low_four),
+            "low_four": [int(low_four[0]), int(low_four[1]), sum(r.rest for r in low)]}
+
+
+_TOTALS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("words", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64()),
+                     ("four", pa.list_(pa.int64())), ("rest", pa.int64())])
 
 
 def _discounts(four) -> np.ndarray:
@@ -267,44 +333,45 @@ class _Reader:
 
     def __init__(self, model: dict):
         self.model, self.maps = model, {}
-        self.parts = set(model["parts"])
 
     def _map(self, folder: str, name: str, kind):
         if (folder, name) not in self.maps:
             self.maps[folder, name] = _mapped(f"{self.model['folder']}/{folder}", name, kind)
         return self.maps[folder, name]
 
-    def words(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
-        """The numbers of sorted distinct word hashes; 0 where a word is unknown."""
-        out = {c: np.zeros(len(hashes), np.int64) for c in _WORD_COLUMNS}
-        bounds = np.searchsorted(_range_of(hashes, self.model["shards"]), np.arange(self.model["shards"] + 1))
-        for u in np.flatnonzero(np.diff(bounds)):
-            if int(u) not in self.parts:
-                continue
-            own = slice(bounds[u], bounds[u + 1])
-            at, found = _find(self._map("words", f"{u}.keys", np.uint64), hashes[own])
-            for c in _WORD_COLUMNS:
-                out[c][own][found] = self._map("words", f"{u}.{c}", np.int64 if c == "count" else np.uint32)[at[found]]
-        return out
-
-    def bigrams(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct bigram keys."""
-        out = np.zeros(len(keys), np.int64)
+    def _parts(self, shard: np.ndarray, folder: str, keys: np.ndarray):
+        """For every shard of a folder: its number, which keys are its own and found, and where."""
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(self.model["shards"] + 1))
         for s in np.flatnonzero(np.diff(bounds)):
             own = order[bounds[s]:bounds[s + 1]]
             try:
-                known = self._map("bigrams", f"{s}.keys", np.uint64)
-            except FileNotFoundError:  # a shard that no bigram fell into
+                known = self._map(folder, f"{s}.keys", np.uint64)
+            except FileNotFoundError:  # a shard that nothing fell into
                 continue
             at, found = _find(known, keys[own])
-            n = self._map("bigrams", f"{s}.counts", np.uint8)[at[found]].astype(np.int64)
+            yield s, own[found], at[found]
+
+    def numbers(self, folder: str, names: tuple[str, ...], hashes: np.ndarray) -> dict[str, np.ndarray]:
+        """The numbers of sorted distinct words or contexts; 0 where one is unknown."""
+        out = {c: np.zeros(len(hashes), np.int64) for c in names}
+        for s, own, at in self._parts(_range_of(hashes, self.model["shards"]), folder, hashes):
+            for c in names:
+                out[c][own] = self._map(folder, f"{s}.{c}", np.int64 if c == "count" else np.uint32)[at]
+        return out
+
+    def grams(self, level: int, keys: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct n-gram keys."""
+        out = np.zeros(len(keys), np.int64)
+        m, folder = self.model, f"grams{level}"
+        shard = _shard(context, keys, m["hot"], m["shards"]) if level == m["order"] else _range_of(keys, m["shards"])
+        for s, own, at in self._parts(shard, folder, keys):
+            n = self._map(folder, f"{s}.counts", np.uint8)[at].astype(np.int64)
             big = np.flatnonzero(n == 255)
             if len(big):
-                large = self._map("bigrams", f"{s}.large", np.int64).reshape(-1, 2)
-                n[big] = large[np.searchsorted(large[:, 0], at[found][big]), 1]
-            out[own[found]] = n
+                large = self._map(folder, f"{s}.large", np.int64).reshape(-1, 2)
+                n[big] = large[np.searchsorted(large[:, 0], at[big]), 1]
+            out[own] = n
         return out
 
 
@@ -316,30 +383,30 @@ def _find(known: np.ndarray, wanted: np.ndarray):
     return at, found
 
 
-def _scored(reader: _Reader, context: np.ndarray, token: np.ndarray, sizes: np.ndarray):
+def _scored(reader: _Reader, grams: list[np.ndarray], sizes: np.ndarray):
     """(tokens, known tokens, base score, score) of every document."""
     m = reader.model
     v, total = m["words"], m["tokens"]
-    words, place = np.unique(np.concatenate([token, [START]]), return_inverse=True)
-    num = reader.words(words)
-    d, low = m["discounts"], m["low_discounts"]
+    words, t = np.unique(grams[-1], return_inverse=True)
+    num = reader.numbers("words", _WORD_COLUMNS, words)
+    low = m["low_discounts"]
     types = max(1, m["types"])
     spare = (low[1] * m["low_four"][0] + low[2] * m["low_four"][1] + low[3] * m["low_four"][2]) / types if m["types"] else 1.0
     cont = num["cont"]
-    p_low = np.maximum(cont - low[np.minimum(cont, 3)], 0) / types + spare / (v + 1)
-    count = num["count"].astype(float)
-    back = np.where(count > 0, (d[1] * num["n1"] + d[2] * num["n2"] + d[3] * num["n3"]) / np.maximum(count, 1), 1.0)
+    p = (np.maximum(cont - low[np.minimum(cont, 3)], 0) / types + spare / (v + 1))[t]
     base = np.log10((num["count"] + 0.1) / (total + 0.1 * (v + 1)))
-    t = place[:-1]
-    starts = np.cumsum(sizes) - sizes
-    c = np.empty_like(t)
-    c[1:] = t[:-1]
-    c[starts] = place[-1]
-    keys, first, where = np.unique(_key(context, token), return_index=True, return_inverse=True)
-    n = reader.bigrams(keys, _shard(context[first], keys, m["hot"], m["shards"]))[where]
-    seen = np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(count[c], 1)
-    p = np.where(count[c] > 0, seen + back[c] * p_low[t], p_low[t])
+    for level in range(2, m["order"] + 1):
+        d, context = m["discounts"][level], _context(grams[-level:])
+        keys, first, where = np.unique(_key(context, grams[-1]), return_index=True, return_inverse=True)
+        n = reader.grams(level, keys, context[first])[where]
+        before, c = np.unique(context, return_inverse=True)
+        sums = reader.numbers(f"contexts{level}", _CONTEXT_COLUMNS, before)
+        count = np.maximum(sums["count"], 1)
+        back = (d[1] * sums["n1"] + d[2] * sums["n2"] + d[3] * sums["n3"]) / count
+        seen = np.maximum(n - d[np.minimum(n, 3)], 0) / count[c]
+        p = np.where(sums["count"][c] > 0, seen + back[c] * p, p)
     known = (num["count"] > 0)[t]
+    starts = np.cumsum(sizes) - sizes
     add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
     return sizes, add(known.astype(np.int64)), add(base[t]), add(np.log10(p))
 
@@ -352,7 +419,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def scored(batches):
         reader = _Reader(model)
         for b in batches:
-            parts = [_scored(reader, *x) for x in _batches(b.column("_t"))]
+            parts = [_scored(reader, *x) for x in _batches(b.column("_t"), model["order"])]
             n, known, base, own = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0)] * 4
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),

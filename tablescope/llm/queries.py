@@ -77,7 +77,7 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document under a model of nine tenths of them."""
     prepare(spark)
     docs = load(spark, sf_dir, "documents")
-    model = kneser_ney.train(docs, use=~held_out(F.col("doc_id"), 10, 0))
+    model = kneser_ney.train(docs, use=~held_out(F.col("doc_id"), 10, 0), order=kneser_ney.ORDER)
     return kneser_ney.score(docs, model).select(
         "doc_id", held_out(F.col("doc_id"), 10, 0).alias("held_out"), "n_tokens", "n_known",
         F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -68,3 +68,45 @@ def test_no_training_text(spark):
     model = kn.train(docs.limit(0))
     assert {round(r.score, 9) for r in kn.score(docs, model).collect()} == {0.0}
     assert kn.score(docs.limit(0), kn.train(docs)).count() == 0
+
+
+def brute_of(order, train):
+    """p(history, w) by dictionaries for any order."""
+    counts = {order: Counter(g for t in train for g in zip(*[(["<s>"] * (order - 1) + toks(t))[k:] for k in range(order)]))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter()
+        for g, n in counts[k + 1].items():
+            counts[k][g[1:]] += n if g[1] == "<s>" else 1
+    d = {k: kn._discounts([sum(n == m for n in counts[k].values()) for m in (1, 2, 3, 4)]) for k in counts}
+    sums, follow = defaultdict(int), defaultdict(Counter)
+    for k in counts:
+        for g, n in counts[k].items():
+            sums[k, g[:-1]] += n
+            follow[k, g[:-1]][min(n, 3)] += 1
+
+    def p(h, w):
+        k = len(h) + 1
+        below = p(h[1:], w) if h else 1 / (len(counts[1]) + 1)
+        if not sums[k, h]:
+            return below
+        c = counts[k][(*h, w)]
+        return (max(c - d[k][min(c, 3)], 0) + sum(d[k][m] * n for m, n in follow[k, h].items()) * below) / sums[k, h]
+    return p, counts
+
+
+def test_orders_against_dictionaries(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "of", "a", "b", "c", "zz"], [9, 5, 2, 1, 1, 1], k=rng.randint(0, 80))) for _ in range(60)]
+    texts += [None, "", "the of", "unknown words the", "the a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [t for i, t in enumerate(texts) if i % 5]
+    for order, shard_tokens in ((3, 4_000_000), (3, 300), (4, 500)):
+        p, counts = brute_of(order, train)
+        model = kn.train(docs, use=docs.doc_id % 5 != 0, shard_tokens=shard_tokens, order=order)
+        got = {r.doc_id: r.score for r in kn.score(docs, model).collect()}
+        for i, t in enumerate(texts):
+            w = ["<s>"] * (order - 1) + toks(t)
+            want = sum(math.log10(p(tuple(w[k - order + 1:k]), w[k])) for k in range(order - 1, len(w)))
+            assert abs(got[i] - want) < 1e-6 * max(1, abs(want))
+        total = sum(p(("the",) * (order - 1), w) for (w,) in counts[1]) + p(("the",) * (order - 1), "?")
+        assert abs(total - 1) < 1e-9
