@@ -139,17 +139,20 @@ SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, running - least(0.0, mn) A
 def q_stream_active_sessions(spark, sf):
     """E2 per user as a stateful stream over four files that overlap in time, one file a trigger.
 
-    A last file with one later event (of no user) moves the watermark past all others."""
+    Every file may span the whole table, so the watermark's delay is the table's span. A last file
+    with one later event (of no user) moves the watermark past all others."""
     ev = load(spark, sf, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    days = (ev.agg((F.max(at) - F.min(at)).alias("span")).first()["span"] or 0) // 86_400_000_000 + 1
     folder, out = scratch_path(spark, "session-events"), scratch_path(spark, "sessions")
     files = ev.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
     for k in range(4):
         files.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
-    late = ev.agg((F.max("ts") + F.expr("INTERVAL 70 DAYS")).alias("ts")).select(
+    late = ev.agg((F.max("ts") + F.expr(f"INTERVAL {2 * days + 1} DAYS")).alias("ts")).select(
         *[F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in ev.dtypes])
     stream = read_events_stream(spark, folder, ev.schema, max_files_per_trigger=1)
     res = stream_active_sessions(stream.where("user_id IS NOT NULL OR event_id IS NULL"), "user_id", "event_type",
-                                 "click", "view", watermark="31 days")
+                                 "click", "view", watermark=f"{days} days")
     checkpoint = scratch_path(spark, "sessions-ckpt")
 
     def run():

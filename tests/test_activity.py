@@ -81,3 +81,19 @@ def test_equal_keys_give_one_row(spark):
     s = spark.createDataFrame([(" a ", "second"), ("A", ""), ("b", "x"), (None, "n")], "key string, value string")
     t = spark.createDataFrame([("B", None), ("b ", "kept")], "key string, value string")
     assert {r[0]: r[1] for r in merge_fill(t, s).collect()} == {"a": "second", "b": "kept", None: "n"}
+
+
+def test_stream_query_keeps_events_of_several_months(spark, tmp_dir):
+    from collections import defaultdict
+    from datetime import datetime, timedelta
+
+    from tablescope.plans.activity_queries import q_stream_active_sessions
+    kinds = ("click", "view", "click", "buy", "view", "view")
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=7 * i), i % 3, kinds[i * 5 % 6]) for i in range(700)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_dir}/events.parquet")
+    active, want = defaultdict(float), {}
+    for i, _, user, kind in rows:
+        active[user] = max(0.0, active[user] + {"click": 1.0, "view": -1.0}.get(kind, 0.0))
+        want[i] = (str(user), active[user])
+    got = {r.event_id: (r.key, r.active) for r in q_stream_active_sessions(spark, tmp_dir).collect()}
+    assert got == want
