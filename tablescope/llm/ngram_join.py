@@ -1,14 +1,14 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with MinHash banding and exact verification.
 
 A text is the set of its five-word shingles (A-Z lower-cased; a text of one to
 four words is one shingle). Texts with equal sets form a class of copies, and one
-row stands for it from then on. Every class gets ``TREES`` MinHash signatures; a
-tree is the trie of one signature's values. Two classes are candidates if their
-signatures share a prefix in some tree. The prefix is shortened from
-``MAX_DEPTH`` values, one at a time, until a pair right at the threshold is found
-with the target recall, ``1 - (1 - threshold^depth)^trees``.
+row stands for it from then on. Every class gets ``TREES`` MinHash signatures of
+the same number of values, and two classes are candidates if one of these is equal:
+banding at a fixed depth, the greatest up to ``MAX_DEPTH`` at which a pair right at the
+threshold is found with the target recall, ``1 - (1 - threshold^depth)^trees``. The
+depth does not depend on the data.
 
-Classes with a common prefix are chained to the smallest of them, the chains'
+Classes with an equal signature are chained to the smallest of them, the chains'
 connected components are dealt to tasks, and there all pairs of a component are
 verified on their whole sets, in blocks of bounded size where a component is
 large (every pair of blocks is a task of its own). Tasks return numbers of links and a
