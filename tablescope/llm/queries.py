@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import decontaminate, kneser_ney, language_id, license_scan, mixing, ngram_join, quality_fm, quality_rules, token_counts, warc
+from . import (decontaminate, kneser_ney, language_id, license_scan, mixing, ngram_join, quality_fm, quality_rules, resampling, token_counts,
+               warc)
 from .common import held_out, load, prepare
 
 #: Columns besides the text that the quality classifier may look at.
@@ -90,6 +91,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "posterior")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw that resembles the benchmark."""
+    prepare(spark)
+    return resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -99,6 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict:
     return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op5_decontaminate, op6_token_counts,
                                     op7_license_scan, op8_quality_fm, op9_kneser_ney, op10_quality_rules,
+                                    op11_importance_resampling,
                                     pipeline)}
 
 
