@@ -55,4 +55,25 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
 FROM ranked
 """
 
-ORACLES: dict[str, str] = {"op3_weighted_fair_mix": OP3, "op4_warc_archive": OP4}
+OP12 = r"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+         row_number() OVER () AS rid
+  FROM pages),
+parsed AS (
+  SELECT rid, page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests),
+rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fitting AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC NULLS LAST) AS place
+  FROM parsed LEFT JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM fitting WHERE place = 1
+"""
+
+ORACLES: dict[str, str] = {"op3_weighted_fair_mix": OP3, "op4_warc_archive": OP4, "op12_url_rules": OP12}

@@ -5,13 +5,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import (decontaminate, kneser_ney, language_id, license_scan, mixing, ngram_join, quality_fm, quality_rules, resampling, token_counts,
+from . import (decontaminate, kneser_ney, language_id, license_scan, mixing, ngram_join, quality_fm, quality_rules, resampling, token_counts, url_rules,
                warc)
 from .common import held_out, load, prepare
 
 #: Columns besides the text that the quality classifier may look at.
 QUALITY_METADATA = ("n_chars",)
 TOKENIZER = "piece_bpe_32k.model"
+#: The contract's rules (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +101,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest fitting rule and verdict of every page's url."""
+    prepare(spark)
+    return url_rules.judge(load(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -107,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict:
     return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op5_decontaminate, op6_token_counts,
                                     op7_license_scan, op8_quality_fm, op9_kneser_ney, op10_quality_rules,
-                                    op11_importance_resampling,
+                                    op11_importance_resampling, op12_url_rules,
                                     pipeline)}
 
 
