@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import (decontaminate, kneser_ney, language_id, license_scan, mixing, ngram_join, quality_fm, quality_rules, resampling, token_counts, url_rules,
-               warc)
+from . import (decontaminate, kneser_ney, language_id, license_scan, mixing, ngram_join, quality_fm, quality_rules, resampling, spelling_variants,
+               token_counts, url_rules, warc)
 from .common import held_out, load, prepare
 
 #: Columns besides the text that the quality classifier may look at.
@@ -107,6 +107,12 @@ def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(load(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every frequent word, with a letter left out of some of the runs."""
+    prepare(spark)
+    return spelling_variants.group_variants(load(spark, sf_dir, "documents"), drop_every=199)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -116,7 +122,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict:
     return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_weighted_fair_mix, op4_warc_archive, op5_decontaminate, op6_token_counts,
                                     op7_license_scan, op8_quality_fm, op9_kneser_ney, op10_quality_rules,
-                                    op11_importance_resampling, op12_url_rules,
+                                    op11_importance_resampling, op12_url_rules, op13_spelling_variants,
                                     pipeline)}
 
 
