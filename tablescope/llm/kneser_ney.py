@@ -2,13 +2,18 @@
 
 A text's tokens are its words (hashed, A-Z lower-cased) and one end; where the
 context reaches over the text's beginning it is filled with start marks. Counting
-is one pass over the training texts: every task counts its n-grams and sends them
-to shards. A shard is chosen by the context, except for the contexts that hold
-over 1/HOT of all tokens: their n-grams are spread over all shards by their own
-hash, so no shard follows a frequent context. Each shard merges its n-grams and
-writes their counts as sorted hash arrays, and sends on the sums by context and
-the n-grams without their first token. These are dealt by their own hash and
-merged, written and sent on the same way, order by order down to single words.
+is one pass over the training texts: every task counts its n-grams, some millions at a
+time, and sends them to shards, as places in a list of words, by byte planes and
+compressed. A shard is chosen by an n-gram's middle (all but the first and the last token): there, all
+n-grams of a context and all n-grams of a suffix stand together, so contexts and, below trigrams, bigrams
+are counted without another shuffle. Middles with more n-grams than fit in part of a shard are
+hot: they are split by the first token, and their suffixes are dealt anew. Hot middles number
+``1 << HOT_BITS`` at most. Orders above three deal all suffixes anew, order by order.
+
+Each shard writes its counts as sorted hash arrays: an index of the keys' first bits, the 32 bits
+behind them, and one byte for a count (or for the row of a table of common context sums) with a list
+of those that need more. A context that was seen once only is not written, as the
+(n-1)-gram of the same tokens is.
 
 The files lie in the shared scratch folder. Scoring tasks map them into memory
 and look up the sorted distinct hashes of a batch, shard by shard, so a task
@@ -24,7 +29,8 @@ and h' the context without its first token
 
 and p(w | h) = p(w | h') after a context that was never seen.
 
-Edge cases: null and empty texts have the end as their only token; without
+Edge cases: null and empty texts have the end as their only token; very long texts are
+one batch each and count whole; without
 training text every probability is 1; repeated rows count and are scored each on
 its own; an empty table gives an empty result; other columns are ignored.
 """
@@ -46,8 +52,11 @@ from .common import prepare, written
 START = np.uint64(0x243F6A8885A308D3)
 END = np.uint64(0x13198A2E03707344)
 ORDER = 3
-HOT = 2000
+#: At most 2^HOT_BITS strings of a length are hot: none is over 1/2^HOT_BITS of all tokens without being one.
+HOT_BITS = 20
 SHARD_TOKENS = 2_500_000
+#: Tokens that a task counts before it sends n-grams to the shards.
+FLUSH_TOKENS = 3_000_000
 BATCH_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,14 +87,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray, order: int):
     return grams, sizes
 
 
-def _context(grams: list[np.ndarray]) -> np.ndarray:
-    """One hash for all but the last column; a single token is its own hash."""
-    key = grams[0]
-    for column in grams[1:-1]:
-        key = _key(key, column)
-    return key
-
-
 def _batches(texts: pa.Array, order: int):
     data, offsets = ta.flat(texts)
     for i, j in ta.batches_of(np.diff(offsets), BATCH_BYTES):
@@ -141,80 +142,161 @@ def _summed(keys: np.ndarray, *columns: np.ndarray):
     return ordered[first], sums, order[first]
 
 
-def _overview(texts: DataFrame, order: int) -> tuple[int, np.ndarray]:
-    """Number of tokens, and the contexts with over 1/HOT of them (so at most HOT)."""
-    def counted(batches):
-        for b in batches:
-            for grams, _ in _batches(b.column("text"), order):
-                context = _context(grams)
-                h, n = np.unique(context, return_counts=True)
-                often = n > len(context) // HOT
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(h[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)),
-                     pa.array(np.append(np.zeros(often.sum(), np.int64), len(context)))], ["h", "n", "tokens"])
-
-    sums = texts.mapInArrow(counted, "h long, n long, tokens long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("tokens").alias("t"))
-    sums = written(sums, "frequent-contexts")
-    # a context over 1/HOT of all tokens is over 1/HOT in some batch; where it is not, its count is not needed
-    n_tokens = sums.agg(F.sum("t").alias("t")).first()["t"] or 0
-    hot = [r.h for r in sums.where(F.col("n") > n_tokens // HOT).select("h").collect()]
-    return n_tokens, np.sort(np.array(hot, np.int64).view(np.uint64))
-
-
-def _shard(context: np.ndarray, key: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    spread = np.isin(context, hot)
-    return _range_of(np.where(spread, key, ta.fmix(context)), shards)
-
+def _chain(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash for a string of tokens; a single token is its own hash."""
+    key = columns[0]
+    for column in columns[1:]:
+        key = _key(key, column)
+    return key
 
-_WORD_COLUMNS = ("count", "cont")
-_CONTEXT_COLUMNS = ("count", "n1", "n2", "n3")
-#: Rows on their way to a shard: n-grams of ``kind`` tokens, words (1), counts of counts (0) or contexts of an order (-order).
-_PARTS = "kind int, shard int, keys binary, numbers binary"
-_PARTS_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())])
 
+def _overview(texts: DataFrame, order: int, most: int) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Number of tokens, and by length the strings in an n-gram's middle with over ``most`` occurrences: (hashes, parts)."""
+    lengths = range(1, max(1, order - 2) + 1)
+    size = texts.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
+    bound = (size["b"] or 0) // 2 + 2 * size["n"] + 1  # tokens are at least that few
+    share = max(most / bound, 2.0 ** -HOT_BITS)
 
-def _pack(kind: int, shard: np.ndarray, keys: np.ndarray, numbers: np.ndarray, shards: int):
-    """Rows of ``_PARTS``; keys and numbers are tables with a row per entry, packed column by column."""
+    def counted(batches):
+        total, seen = 0, {j: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for j in lengths}
+        for b in batches:
+            for grams, _ in _batches(b.column("text"), max(lengths) + 1):
+                total += len(grams[0])
+                for j in lengths:
+                    h, n = np.unique(_chain(grams[-1 - j:-1]), return_counts=True)
+                    keys, (sums,), _ = _summed(np.concatenate([seen[j][0], h]), np.concatenate([seen[j][1], n]))
+                    seen[j] = keys, sums
+        # a string with a share of all tokens has that share of the tokens of some task
+        often = {j: n > share * total for j, (_, n) in seen.items()}
+        rows = [(j, seen[j][0][often[j]], seen[j][1][often[j]]) for j in lengths]
+        length = np.concatenate([[0], *[np.full(len(h), j) for j, h, _ in rows]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(length.astype(np.int32)), pa.array(np.concatenate([np.zeros(1, np.uint64), *[h for _, h, _ in rows]]).view(np.int64)),
+             pa.array(np.concatenate([[total], *[n for _, _, n in rows]]).astype(np.int64))], ["length", "h", "n"])
+
+    sums = texts.mapInArrow(counted, "length int, h long, n long").groupBy("length", "h").agg(F.sum("n").alias("n"))
+    sums = written(sums, "frequent-middles")
+    n_tokens = sums.where("length = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
+    # counts may lack tasks in which a string was rare; where it is split does not change any result
+    most = max(most, n_tokens >> HOT_BITS)
+    hot = {j: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for j in lengths}
+    found = sums.where((F.col("length") > 0) & (F.col("n") > most)).toPandas()
+    for j, own in found.groupby("length"):
+        h, n = own["h"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)
+        by = np.argsort(h)
+        hot[int(j)] = h[by], -(-n[by] // most)
+    return n_tokens, hot
+
+
+def _deal(level: int, grams: list[np.ndarray], hot: dict, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, whether the middle is hot) of n-grams; a bigram's middle is its first token."""
+    middle, side = (grams[0], grams[1]) if level == 2 else (_chain(grams[1:-1]), grams[0])
+    known, parts = hot[max(1, level - 2)]
+    at, found = _find(known, middle)
+    split = np.ones(len(middle), np.int64)
+    split[found] = parts[at[found]]
+    part = (ta.fmix(side) % split.astype(np.uint64)) if len(known) else np.zeros(len(middle), np.uint64)
+    return _range_of(ta.fmix(_key(middle, part)), shards), found
+
+
+#: Numbers of a word: occurrences, different tokens before it; as a context: sum, and followers with 1, 2, 3+ occurrences.
+_WORD_COLUMNS = ("count", "cont", "sum", "n1", "n2", "n3")
+#: Rows on their way to a shard: n-grams of ``kind`` tokens, words (1) or counts of counts (0, ``shard`` is the order).
+_PARTS = "kind int, shard int, parts array<binary>"
+_PARTS_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("parts", pa.list_(pa.binary()))])
+
+
+def _squeeze(array: np.ndarray) -> bytes:
+    """An array by byte planes, compressed: sorted or small numbers have planes that nearly vanish."""
+    planes = np.ascontiguousarray(array.view(np.uint8).reshape(len(array), array.itemsize).T)
+    return np.array([len(array)], np.int64).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _stretch(packed: bytes, kind) -> np.ndarray:
+    n, width = int(np.frombuffer(packed, np.int64, 1)[0]), np.dtype(kind).itemsize
+    raw = pa.decompress(packed[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(n)
+
+
+def _split(shard: np.ndarray, shards: int):
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(bounds)):
-        own = order[bounds[s]:bounds[s + 1]]
-        yield kind, int(s), np.ascontiguousarray(keys[own].T).tobytes(), np.ascontiguousarray(numbers[own].T).tobytes()
+        yield int(s), order[bounds[s]:bounds[s + 1]]
+
+
+def _pack_words(words: np.ndarray, columns: list[np.ndarray], shards: int):
+    for s, own in _split(_range_of(words, shards), shards):
+        yield 1, s, [_squeeze(words[own]), *[_squeeze(c[own].astype(np.int64)) for c in columns]]
 
 
 def _pack_grams(kind: int, shard: np.ndarray, grams: list[np.ndarray], n: np.ndarray, shards: int):
-    """Rows of ``_PARTS`` with n-grams as places in a list of the row's words, sorted so that they compress."""
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(bounds)):
-        own = order[bounds[s]:bounds[s + 1]]
+    """Rows of ``_PARTS`` with n-grams as places in a list of the row's words, sorted by middle so that they compress."""
+    for s, own in _split(shard, shards):
         words, places = np.unique(np.concatenate([g[own] for g in grams]), return_inverse=True)
         places = places.reshape(kind, -1).astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-        by = np.lexsort(places[::-1])
-        head = np.array([len(words)], np.uint64).tobytes() + words.tobytes()
-        yield kind, int(s), head + np.ascontiguousarray(places[:, by]).tobytes(), n[own][by].astype(np.uint32).tobytes()
+        by = np.lexsort([places[-1], places[0], *places[1:-1][::-1]])
+        yield kind, s, [_squeeze(words), *[_squeeze(p[by]) for p in places], _squeeze(n[own][by].astype(np.uint32))]
 
 
 def _unpack_grams(kind: int, table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = []
-    for x in table.column("keys").to_pylist():
-        size = int(np.frombuffer(x, np.uint64, 1)[0])
-        words = np.frombuffer(x, np.uint64, size, 8)
-        places = np.frombuffer(x, np.uint16 if size <= 1 << 16 else np.uint32, offset=8 + 8 * size)
-        parts.append(words[places.reshape(kind, -1)])
-    n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("numbers").to_pylist()])
-    return list(np.concatenate(parts, axis=1)), n.astype(np.int64)
+    columns: list[list[np.ndarray]] = [[] for _ in range(kind)]
+    counts = []
+    for row in table.column("parts"):
+        parts = row.as_py()
+        words = _stretch(parts[0], np.uint64)
+        for column, packed in zip(columns, parts[1:-1]):
+            column.append(words[_stretch(packed, np.uint16 if len(words) <= 1 << 16 else np.uint32)])
+        counts.append(_stretch(parts[-1], np.uint32))
+    return [np.concatenate(c) for c in columns], np.concatenate(counts).astype(np.int64)
 
 
-def _unpack(table: pa.Table, n_keys: int, n_numbers: int, kind) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    def joined(column, k, kind):
-        parts = [np.frombuffer(x, kind).reshape(k, -1) for x in column.to_pylist()]
-        return list(np.concatenate(parts, axis=1))
-    return joined(table.column("keys"), n_keys, np.uint64), joined(table.column("numbers"), n_numbers, kind)
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[], [], []], _PARTS_ARROW)], schema=_PARTS_ARROW)
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARTS_ARROW)], schema=_PARTS_ARROW)
+def _save_keys(folder: str, name: str, keys: np.ndarray) -> None:
+    """Sorted 64-bit keys as an index of their first bits (about four keys each) and the 32 bits behind those."""
+    bits = max(1, (len(keys) // 4).bit_length())
+    index = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    _save(folder, f"{name}.index", index.astype(np.uint32))
+    _save(folder, f"{name}.keys", ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32))
+
+
+def _save_grams(folder: str, name: str, keys: np.ndarray, n: np.ndarray) -> None:
+    _save_keys(folder, name, keys)
+    _save(folder, f"{name}.counts", np.minimum(n, 255).astype(np.uint8))
+    many = np.flatnonzero(n >= 255)
+    _save(folder, f"{name}.large", np.stack([many, n[many]], axis=1).astype(np.int64))
+
+
+def _save_contexts(folder: str, name: str, keys: np.ndarray, sums: list[np.ndarray]) -> None:
+    """Sums of contexts (sum, n1, n2, n3), one byte each: the row of a table of the most common ones, or 255 and a list."""
+    _save_keys(folder, name, keys)
+    small = np.max(sums, axis=0, initial=0) < 1 << 15
+    code = np.where(small, sum(c << (15 * k) for k, c in enumerate(sums)), -1)
+    common, n = np.unique(code[small], return_counts=True)
+    common = np.sort(common[np.argsort(-n, kind="stable")[:255]])
+    at, found = _find(common, code)
+    _save(folder, f"{name}.codes", np.where(found, at, 255).astype(np.uint8))
+    _save(folder, f"{name}.table", np.stack([(common >> (15 * k)) & 0x7FFF for k in range(4)], axis=1).astype(np.int64))
+    rest = np.flatnonzero(~found)
+    _save(folder, f"{name}.large", np.stack([rest, *[c[rest] for c in sums]], axis=1).astype(np.int64))
+
+
+def _bigrams(folder: str, name: str, grams: list[np.ndarray], n: np.ndarray, hot: np.ndarray) -> list[np.ndarray]:
+    """Write whole bigrams with their counts; returns their counts of counts."""
+    key = _chain(grams)
+    for own, place in ((~hot, "grams2"), (hot, "grams2-hot")):
+        at = np.flatnonzero(own)
+        if len(at):
+            at = at[np.argsort(key[at])]
+            _save_grams(f"{folder}/{place}", name, key[at], n[at])
+    return [(n == k).sum() for k in (1, 2, 3, 4)]
+
+
+def _zeros(n: int, **columns) -> list[np.ndarray]:
+    return [columns.get(c, np.zeros(n, np.int64)) for c in _WORD_COLUMNS]
 
 
 def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", shard_tokens: int = SHARD_TOKENS, order: int = 2) -> dict:
@@ -223,99 +305,116 @@ def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", sh
     prepare(spark)
     rows = docs if use is None else docs.where(use)
     texts = rows.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n_tokens, hot = _overview(texts, order)
+    n_tokens, hot = _overview(texts, order, max(1, shard_tokens // 8))
     # a shard's n-grams take a column for every place
     shards = max(1, -(-n_tokens * order // (2 * shard_tokens)))
     folder = scratch_path(spark, "kneser-ney")
 
     def packed(batches):
+        held, size = [], 0
+
+        def flush():
+            grams = [np.concatenate(c) for c in zip(*held)]
+            _, (n,), first = _summed(_chain(grams), np.ones(len(grams[0]), np.int64))
+            grams = [g[first] for g in grams]
+            shard, _ = _deal(order, grams, hot, shards)
+            for row in _pack_grams(order, shard, grams, n, shards):
+                yield _table([row]).to_batches()[0]
+
         for b in batches:
             for grams, _ in _batches(b.column("text"), order):
-                context = _context(grams)
-                key = _key(context, grams[-1])
-                key, (n,), first = _summed(key, np.ones(len(key), np.int64))
-                context = context[first]
-                shard = _shard(context, key, hot, shards)
-                for row in _pack_grams(order, shard, [g[first] for g in grams], n, shards):
-                    yield _table([row]).to_batches()[0]
-
-    def merged(level: int, table: pa.Table) -> list[tuple]:
-        shard = table.column("shard")[0].as_py()
-        grams, n = _unpack_grams(level, table)
-        context = _context(grams)
-        key, (n,), first = _summed(_key(context, grams[-1]), n)
-        grams, context = [g[first] for g in grams], context[first]
-        _save(f"{folder}/grams{level}", f"{shard}.keys", key)
-        _save(f"{folder}/grams{level}", f"{shard}.counts", np.minimum(n, 255).astype(np.uint8))
-        many = np.flatnonzero(n >= 255)
-        _save(f"{folder}/grams{level}", f"{shard}.large", np.stack([many, n[many]], axis=1).astype(np.int64))
-        out = [(0, level, np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes(), b"")]
-        h, sums, _ = _summed(context, n, n == 1, n == 2, n >= 3)
-        out += _pack(-level, _range_of(h, shards), h[:, None], np.stack(sums, axis=1).astype(np.int64), shards)
-        # a start mark has only start marks before it
-        lower = np.where(grams[1] == START, n, 1)
-        if level > 2:
-            low_key, (low_n,), first = _summed(_key(_context(grams[1:]), grams[-1]), lower)
-            out += _pack_grams(level - 1, _range_of(low_key, shards), [g[first] for g in grams[1:]], low_n, shards)
-        count = n if level == order else np.zeros_like(n)
-        cont = lower if level == 2 else np.zeros_like(n)
-        h, sums, _ = _summed(grams[-1], count, cont)
-        out += _pack(1, _range_of(h, shards), h[:, None], np.stack(sums, axis=1).astype(np.int64), shards)
+                held.append(grams)
+                size += len(grams[0])
+                if size >= FLUSH_TOKENS:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    def word_rows(words: np.ndarray, **columns):
+        h, sums, _ = _summed(words, *_zeros(len(words), **columns))
+        return _pack_words(h, sums, shards)
+
+    def as_context(n: np.ndarray) -> dict:
+        return {"sum": n, "n1": (n == 1).astype(np.int64), "n2": (n == 2).astype(np.int64), "n3": (n >= 3).astype(np.int64)}
+
+    def whole_bigrams(name: str, grams: list[np.ndarray], n: np.ndarray, is_hot: np.ndarray) -> list[tuple]:
+        four = _bigrams(folder, name, grams, n, is_hot)
+        out = [(0, 2, [np.array(four, np.int64).tobytes()])]
+        out += word_rows(grams[1], cont=np.ones(len(n), np.int64))
+        out += word_rows(grams[0], **as_context(n))
         return out
 
-    def contexts(level: int, table: pa.Table) -> None:
-        (keys,), columns = _unpack(table, 1, len(_CONTEXT_COLUMNS), np.int64)
-        keys, sums, _ = _summed(keys, *columns)
-        shard = table.column("shard")[0].as_py()
-        _save(f"{folder}/contexts{level}", f"{shard}.keys", keys)
-        for name, values in zip(_CONTEXT_COLUMNS, sums):
-            _save(f"{folder}/contexts{level}", f"{shard}.{name}", values if name == "count" else values.astype(np.uint32))
-
-    def passed(level: int):
+    def merged(level: int):
         def one(table: pa.Table) -> pa.Table:
-            kind = table.column("kind")[0].as_py()
-            if kind < 0:
-                contexts(-kind, table)
-                return _PARTS_ARROW.empty_table()
-            return _table(merged(level, table)) if kind == level else table.cast(_PARTS_ARROW)
+            shard = table.column("shard")[0].as_py()
+            grams, n = _unpack_grams(level, table)
+            key, (n,), first = _summed(_chain(grams), n)
+            grams = [g[first] for g in grams]
+            out = list(word_rows(grams[-1], count=n)) if level == order else []
+            if level == 2:
+                return _table(out + whole_bigrams(str(shard), grams, n, _deal(2, grams, hot, shards)[1]))
+            _save_grams(f"{folder}/grams{level}", str(shard), key, n)
+            out.append((0, level, [np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()]))
+            h, sums, at = _summed(_chain(grams[:-1]), *as_context(n).values())
+            # a context seen once is known by the shorter n-gram of its tokens; there is none of start marks alone
+            kept = (sums[0] > 1) | (grams[-2][at] == START)
+            _save_contexts(f"{folder}/contexts{level}", str(shard), h[kept], [c[kept] for c in sums])
+            # a start mark has only start marks before it
+            lower = np.where(grams[1] == START, n, 1)
+            _, (low,), first = _summed(_chain(grams[1:]), lower)
+            short = [g[first] for g in grams[1:]]
+            to, is_hot = _deal(level - 1, short, hot, shards)
+            if level == 3:
+                here = np.flatnonzero(~is_hot)
+                out += whole_bigrams(f"{shard}", [g[here] for g in short], low[here], np.zeros(len(here), bool))
+                away = np.flatnonzero(is_hot)
+                short, low, to = [g[away] for g in short], low[away], to[away]
+            if len(low):
+                out += _pack_grams(level - 1, to, short, low, shards)
+            return _table(out)
         return one
 
-    def finished(table: pa.Table) -> pa.Table:
-        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        words = n = types = rest = 0
-        four = [0] * 4
-        if kind < 0:
-            contexts(-kind, table)
-        elif kind == 0:
-            four = np.sum([np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()], axis=0).tolist()
-        else:
-            (keys,), columns = _unpack(table, 1, len(_WORD_COLUMNS), np.int64)
-            keys, (count, cont), _ = _summed(keys, *columns)
-            _save(f"{folder}/words", f"{shard}.keys", keys)
-            _save(f"{folder}/words", f"{shard}.count", count)
-            _save(f"{folder}/words", f"{shard}.cont", cont.astype(np.uint32))
-            words, n, types, rest = len(keys), int(count.sum()), int(cont.sum()), int((cont >= 3).sum())
-            four = [int((cont == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({"kind": [kind], "shard": [shard], "words": [words], "tokens": [n], "types": [types], "four": [four],
-                         "rest": [rest]}, _TOTALS)
-
     parts = texts.mapInArrow(packed, _PARTS)
+    low = None
     for level in range(order, 1, -1):
-        parts = parts.groupBy("kind", "shard").applyInArrow(passed(level), _PARTS)
-    # a row per shard and kind
-    totals = parts.groupBy("kind", "shard").applyInArrow(
-        finished, "kind int, shard int, words long, tokens long, types long, four array<long>, rest long").collect()
-    low = [r for r in totals if r.kind == 1]
-    low_four = np.sum([r.four for r in low] or [[0] * 4], axis=0)
-    of_level = {r.shard: r.four for r in totals if r.kind == 0}
-    return {"folder": folder, "order": order, "shards": shards, "hot": hot, "words": sum(r.words for r in low),
-            "tokens": sum(r.tokens for r in low), "types": sum(r.types for r in low),
-            "discounts": {k: _discounts(of_level.get(k, [0] * 4)) for k in range(2, order + 1)}, "low_discounts": _discounts(low_four),
-            "low_four": [int(low_four[0]), int(low_four[1]), sum(r.rest for r in low)]}
+        stage = parts.where(F.col("kind") == level).groupBy("shard").applyInArrow(merged(level), _PARTS)
+        parts = written(stage, f"level{level}")
+        own = parts.where("kind < 2")
+        low = own if low is None else low.unionByName(own)
 
+    def words(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        rows = table.column("parts").to_pylist()
+        keys = np.concatenate([_stretch(r[0], np.uint64) for r in rows])
+        columns = [np.concatenate([_stretch(r[k], np.int64) for r in rows]) for k in range(1, len(_WORD_COLUMNS) + 1)]
+        keys, sums, _ = _summed(keys, *columns)
+        _save(f"{folder}/words", f"{shard}.keys", keys)
+        for name, values in zip(_WORD_COLUMNS, sums):
+            _save(f"{folder}/words", f"{shard}.{name}", values.astype(_WORD_KINDS[name]))
+        count, cont = sums[:2]
+        return pa.table({"words": [int((count > 0).sum())], "tokens": [int(count.sum())], "types": [int(cont.sum())],
+                         "rest": [int((cont >= 3).sum())], **{f"f{k}": [int((cont == k).sum())] for k in (1, 2, 3, 4)}})
+
+    numbers = ("words", "tokens", "types", "rest", "f1", "f2", "f3", "f4")
+    totals = low.where("kind = 1").groupBy("shard").applyInArrow(words, ", ".join(f"{c} long" for c in numbers))
+    t = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers]).first()
+
+    def fours(batches):
+        for b in batches:
+            four = [np.frombuffer(r[0], np.int64) for r in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("shard"), *[pa.array([int(f[k]) for f in four], pa.int64()) for k in range(4)]],
+                                             ["level", "f1", "f2", "f3", "f4"])
+
+    of_level = low.where("kind = 0").select("shard", "parts").mapInArrow(fours, "level int, f1 long, f2 long, f3 long, f4 long")
+    of_level = {r["level"]: [r[f"f{k}"] for k in (1, 2, 3, 4)] for r in of_level.groupBy("level").agg(
+        *[F.sum(f"f{k}").alias(f"f{k}") for k in (1, 2, 3, 4)]).collect()}  # one row per order
+    return {"folder": folder, "order": order, "shards": shards, "hot": hot, "words": t["words"], "tokens": t["tokens"], "types": t["types"],
+            "discounts": {k: _discounts(of_level.get(k, [0] * 4)) for k in range(2, order + 1)},
+            "low_discounts": _discounts([t[f"f{k}"] for k in (1, 2, 3, 4)]), "low_four": [t["f1"], t["f2"], t["rest"]]}
 
-_TOTALS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("words", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64()),
-                     ("four", pa.list_(pa.int64())), ("rest", pa.int64())])
+
+_WORD_KINDS = {"count": np.int64, "cont": np.uint32, "sum": np.int64, "n1": np.uint32, "n2": np.uint32, "n3": np.uint32}
 
 
 def _discounts(four) -> np.ndarray:
@@ -335,43 +434,85 @@ class _Reader:
         self.model, self.maps = model, {}
 
     def _map(self, folder: str, name: str, kind):
+        """The array, or None where the shard has none."""
         if (folder, name) not in self.maps:
-            self.maps[folder, name] = _mapped(f"{self.model['folder']}/{folder}", name, kind)
+            try:
+                self.maps[folder, name] = _mapped(f"{self.model['folder']}/{folder}", name, kind)
+            except FileNotFoundError:
+                self.maps[folder, name] = None
         return self.maps[folder, name]
 
-    def _parts(self, shard: np.ndarray, folder: str, keys: np.ndarray):
-        """For every shard of a folder: its number, which keys are its own and found, and where."""
-        order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(self.model["shards"] + 1))
-        for s in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[s]:bounds[s + 1]]
-            try:
-                known = self._map(folder, f"{s}.keys", np.uint64)
-            except FileNotFoundError:  # a shard that nothing fell into
+    def words(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
+        """The numbers of sorted distinct words; 0 where one is unknown."""
+        out = {c: np.zeros(len(hashes), np.int64) for c in _WORD_COLUMNS}
+        for s, own in _split(_range_of(hashes, self.model["shards"]), self.model["shards"]):
+            known = self._map("words", f"{s}.keys", np.uint64)
+            if known is None:
                 continue
-            at, found = _find(known, keys[own])
-            yield s, own[found], at[found]
-
-    def numbers(self, folder: str, names: tuple[str, ...], hashes: np.ndarray) -> dict[str, np.ndarray]:
-        """The numbers of sorted distinct words or contexts; 0 where one is unknown."""
-        out = {c: np.zeros(len(hashes), np.int64) for c in names}
-        for s, own, at in self._parts(_range_of(hashes, self.model["shards"]), folder, hashes):
-            for c in names:
-                out[c][own] = self._map(folder, f"{s}.{c}", np.int64 if c == "count" else np.uint32)[at]
+            at, found = _find(known, hashes[own])
+            for c in _WORD_COLUMNS:
+                out[c][own[found]] = self._map("words", f"{s}.{c}", _WORD_KINDS[c])[at[found]]
         return out
 
-    def grams(self, level: int, keys: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct n-gram keys."""
+    def _places(self, folder: str, s: int, keys: np.ndarray):
+        """(which of the keys a shard's file has, where)."""
+        index = self._map(folder, f"{s}.index", np.uint32)
+        if index is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = self._map(folder, f"{s}.keys", np.uint32)
+        bits = (len(index) - 1).bit_length() - 1
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        at, end = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
+        tail = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        left = np.flatnonzero(at < end)
+        which, where = [], []
+        while len(left):
+            hit = known[at[left]] == tail[left]
+            which.append(left[hit])
+            where.append(at[left[hit]])
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return join(which), join(where)
+
+    def _large(self, folder: str, s: int, at: np.ndarray, width: int) -> np.ndarray:
+        large = self._map(folder, f"{s}.large", np.int64).reshape(-1, width + 1)
+        return large[np.searchsorted(large[:, 0], at), 1:]
+
+    def grams(self, level: int, keys: np.ndarray, shard: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Counts of distinct n-gram keys."""
         out = np.zeros(len(keys), np.int64)
-        m, folder = self.model, f"grams{level}"
-        shard = _shard(context, keys, m["hot"], m["shards"]) if level == m["order"] else _range_of(keys, m["shards"])
-        for s, own, at in self._parts(shard, folder, keys):
-            n = self._map(folder, f"{s}.counts", np.uint8)[at].astype(np.int64)
-            big = np.flatnonzero(n == 255)
+        parts = (("grams2", ~hot), ("grams2-hot", hot)) if level == 2 else ((f"grams{level}", np.ones(len(keys), bool)),)
+        for folder, mine in parts:
+            chosen = np.flatnonzero(mine)
+            for s, own in _split(shard[chosen], self.model["shards"]):
+                own = chosen[own]
+                which, at = self._places(folder, s, keys[own])
+                if not len(which):
+                    continue
+                n = self._map(folder, f"{s}.counts", np.uint8)[at].astype(np.int64)
+                big = np.flatnonzero(n == 255)
+                if len(big):
+                    n[big] = self._large(folder, s, at[big], 1)[:, 0]
+                out[own[which]] = n
+        return out
+
+    def contexts(self, level: int, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """(4, contexts): sum, n1, n2, n3 of distinct contexts; 0 where none is written."""
+        out = np.zeros((4, len(keys)), np.int64)
+        folder = f"contexts{level}"
+        for s, own in _split(shard, self.model["shards"]):
+            which, at = self._places(folder, s, keys[own])
+            if not len(which):
+                continue
+            code = self._map(folder, f"{s}.codes", np.uint8)[at]
+            table = np.concatenate([self._map(folder, f"{s}.table", np.int64).reshape(-1, 4), np.zeros((1, 4), np.int64)])
+            sums = table[np.minimum(code, len(table) - 1)]
+            big = np.flatnonzero(code == 255)
             if len(big):
-                large = self._map(folder, f"{s}.large", np.int64).reshape(-1, 2)
-                n[big] = large[np.searchsorted(large[:, 0], at[big]), 1]
-            out[own] = n
+                sums[big] = self._large(folder, s, at[big], 4)
+            out[:, own[which]] = sums.T
         return out
 
 
@@ -386,27 +527,41 @@ def _find(known: np.ndarray, wanted: np.ndarray):
 def _scored(reader: _Reader, grams: list[np.ndarray], sizes: np.ndarray):
     """(tokens, known tokens, base score, score) of every document."""
     m = reader.model
-    v, total = m["words"], m["tokens"]
-    words, t = np.unique(grams[-1], return_inverse=True)
-    num = reader.numbers("words", _WORD_COLUMNS, words)
+    v, total, hot, shards = m["words"], m["tokens"], m["hot"], m["shards"]
+    words, t = np.unique(np.append(grams[-1], START), return_inverse=True)
+    start, t = t[-1], t[:-1]
+    num = reader.words(words)
     low = m["low_discounts"]
     types = max(1, m["types"])
     spare = (low[1] * m["low_four"][0] + low[2] * m["low_four"][1] + low[3] * m["low_four"][2]) / types if m["types"] else 1.0
     cont = num["cont"]
     p = (np.maximum(cont - low[np.minimum(cont, 3)], 0) / types + spare / (v + 1))[t]
     base = np.log10((num["count"] + 0.1) / (total + 0.1 * (v + 1)))
+    starts = np.cumsum(sizes) - sizes
+    first = np.zeros(len(t), bool)
+    first[starts] = True
+    n = None
     for level in range(2, m["order"] + 1):
-        d, context = m["discounts"][level], _context(grams[-level:])
-        keys, first, where = np.unique(_key(context, grams[-1]), return_index=True, return_inverse=True)
-        n = reader.grams(level, keys, context[first])[where]
-        before, c = np.unique(context, return_inverse=True)
-        sums = reader.numbers(f"contexts{level}", _CONTEXT_COLUMNS, before)
-        count = np.maximum(sums["count"], 1)
-        back = (d[1] * sums["n1"] + d[2] * sums["n2"] + d[3] * sums["n3"]) / count
-        seen = np.maximum(n - d[np.minimum(n, 3)], 0) / count[c]
-        p = np.where(sums["count"][c] > 0, seen + back[c] * p, p)
+        own = grams[-level:]
+        d = m["discounts"][level]
+        if level == 2:
+            before = np.where(first, start, np.concatenate([[start], t[:-1]]))
+            sums = np.stack([num[c][before] for c in _WORD_COLUMNS[2:]])
+        else:
+            keys, at, where = np.unique(_chain(own[:-1]), return_index=True, return_inverse=True)
+            shard, _ = _deal(level, [g[at] for g in own], hot, shards)
+            sums = reader.contexts(level, keys, shard)[:, where]
+            # a context that is not written was seen once if the n-gram of its tokens, at the place before, is known
+            once = (sums[0] == 0) & ~first & (np.concatenate([[0], n[:-1]]) > 0)
+            sums[:2, once] = 1
+        keys, at, where = np.unique(_chain(own), return_index=True, return_inverse=True)
+        shard, is_hot = _deal(level, [g[at] for g in own], hot, shards)
+        n = reader.grams(level, keys, shard, is_hot)[where]
+        count = np.maximum(sums[0], 1)
+        back = (d[1] * sums[1] + d[2] * sums[2] + d[3] * sums[3]) / count
+        seen = np.maximum(n - d[np.minimum(n, 3)], 0) / count
+        p = np.where(sums[0] > 0, seen + back * p, p)
     known = (num["count"] > 0)[t]
-    starts = np.cumsum(sizes) - sizes
     add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
     return sizes, add(known.astype(np.int64)), add(base[t]), add(np.log10(p))
 
