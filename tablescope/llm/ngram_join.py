@@ -1,29 +1,36 @@
-"""N-gram Jaccard join with MinHash banding and exact verification.
+"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 A text is the set of its five-word shingles (A-Z lower-cased; a text of one to
 four words is one shingle). Texts with equal sets form a class of copies, and one
 row stands for it from then on. Every class gets ``TREES`` MinHash signatures of
-the same number of values, and two classes are candidates if one of these is equal:
-banding at a fixed depth, the greatest up to ``MAX_DEPTH`` at which a pair right at the
-threshold is found with the target recall, ``1 - (1 - threshold^depth)^trees``. The
-depth does not depend on the data.
-
-Classes with an equal signature are chained to the smallest of them, the chains'
-connected components are dealt to tasks, and there all pairs of a component are
-verified on their whole sets, in blocks of bounded size where a component is
-large (every pair of blocks is a task of its own). Tasks return numbers of links and a
-spanning label per class, never the pairs. Links' components are the groups.
+``DEPTH`` values. All signatures are sorted once, tree by tree; the common prefix of each
+with its predecessor (LCP) is the sorted list's prefix trie, for every depth at once:
+classes share a prefix of d values in a tree if all LCPs between them are d or more.
+
+Two classes are compared if they share a prefix in some tree. The first round takes whole
+signatures. Its verified pairs, weighed by the chance that a pair of their similarity is
+found at that depth, tell which share of all pairs each shorter prefix would find, and the
+prefixes are shortened to the greatest depth that reaches the target recall (at least
+to what a pair right at the threshold needs if nothing is found). The second round compares
+the classes that share such a prefix but no whole signature.
+
+Verification is exact, on whole shingle sets. Classes that hang together by prefixes are dealt
+to one task, each set once. Where that would be too large, every shared prefix is a task
+of its own (in pairs of blocks if it is too large itself), and a pair is counted in the
+first tree whose prefix it shares. Tasks return numbers of links, a
+spanning label per class and a histogram, never the pairs. Links' components are the groups.
 
 Edge cases: texts without words form no group and have no links; a null id takes
 part in groups, and a group's id is its smallest non-null one; repeated rows are
-copies of one class; an empty table gives an empty result; other columns are
+copies of one class; very long texts are whole sets like others; similarities at the threshold count; an
+empty table gives an empty result; other columns are
 ignored by ``groups`` and kept by ``one_of_each``.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textarrays as ta
 from .common import fresh, join_hot, prepare, written
@@ -32,8 +39,10 @@ from .graph import components
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 20
-MAX_DEPTH = 12
+DEPTH = 8
 RECALL = 0.999
+#: Bins of the similarities from 0 to 1 of verified pairs.
+BINS = 50
 BATCH_BYTES = 8 << 20
 BLOCK_ROWS = 2048
 BLOCK_SHINGLES = 2_000_000
@@ -41,12 +50,27 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 44) - 1)
 
 
-def depth_for(threshold: float, trees: int, recall: float, max_depth: int = MAX_DEPTH) -> int:
-    """Length of the common prefix at which pairs at the threshold are found with the wanted recall."""
-    depth = max_depth
-    while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
-        depth -= 1
-    return depth
+def found_share(similarity, depth: int, trees: int):
+    """Chance that a pair shares a prefix of ``depth`` values in one of the trees."""
+    return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
+
+
+def depth_for(threshold: float, trees: int, recall: float, longest: int = DEPTH, histogram: np.ndarray | None = None) -> int:
+    """The longest prefix that finds the wanted share of the pairs.
+
+    ``histogram`` counts the verified pairs of the round with the longest prefixes by similarity; each stands
+    for as many pairs as there are for one found. Without pairs all are taken to lie at the threshold.
+    """
+    if histogram is None or not histogram.sum():
+        pairs, at = np.ones(1), np.array([threshold])
+    else:
+        # the lower end of each bin, so that no pair counts as easier to find than it is
+        at = np.maximum(np.arange(len(histogram)) / len(histogram), threshold)
+        pairs = histogram / np.maximum(found_share(at, longest, trees), 1e-9)
+    for depth in range(longest, 1, -1):
+        if (pairs * found_share(at, depth, trees)).sum() >= recall * pairs.sum():
+            return depth
+    return 1
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -84,22 +108,21 @@ def _node(doc: np.ndarray, x: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.n
 
 
 def _signatures(doc: np.ndarray, x: np.ndarray, size: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The prefix key of every document and tree."""
+    """(documents, trees, depth) MinHash values of 16 bits, stored so that their bytes sort like the values."""
     full = np.flatnonzero(size)
     starts = (np.cumsum(size) - size)[full]
     y = ta.fmix(x + np.uint64(0x51ED27))
     rng = np.random.default_rng(11)
-    keys = np.zeros((len(size), trees), np.uint64)
+    values = np.zeros((len(size), trees, depth), ">u2")
     for t in range(trees):
-        key = np.full(len(full), t + 1, np.uint64)
-        for _ in range(depth):
+        for k in range(depth):
             a, b = (np.uint64(v) for v in rng.integers(0, 1 << 63, 2))
             # the values are mixed again: minima of a linear map of close numbers would not be independent
             z = y * (a << np.uint64(1) | np.uint64(1)) + b
             z ^= z >> np.uint64(32)
-            key = ta.fmix(key * _M + np.minimum.reduceat(z, starts)) if len(full) else key
-        keys[full, t] = key
-    return keys
+            if len(full):
+                values[full, t, k] = (ta.fmix(np.minimum.reduceat(z, starts)) >> np.uint64(48)).astype(">u2")
+    return values
 
 
 def _runs(texts: pa.Array):
@@ -115,7 +138,7 @@ def _row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
-    """(doc_id, row_key, text_key, node, size, keys), one row per input row."""
+    """(doc_id, row_key, text_key, node, size, labels), one row per input row; labels holds one signature after the other."""
     text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
     row_key, text_key = _row_key(doc_id, text)
     rows = docs.select(doc_id.alias("doc_id"), row_key.alias("row_key"), text_key.alias("text_key"), text.alias("_t"))
@@ -125,20 +148,77 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int)
             for i, j, data, offsets in _runs(b.column("_t")):
                 doc, x = _distinct(*shingles(data, offsets))
                 node, size = _node(doc, x, j - i)
-                keys = _signatures(doc, x, size, trees, depth).view(np.int64)
-                ends = np.arange(j - i + 1, dtype=np.int32) * trees
+                labels = _signatures(doc, x, size, trees, depth)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id")[i:j], b.column("row_key")[i:j], b.column("text_key")[i:j], pa.array(node.view(np.int64)),
-                     pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
-                    ["doc_id", "row_key", "text_key", "node", "size", "keys"])
+                     pa.array(size.astype(np.int64)), pa.array([v.tobytes() for v in labels], pa.binary())],
+                    ["doc_id", "row_key", "text_key", "node", "size", "labels"])
+
+    return rows.mapInArrow(sketched, "doc_id long, row_key long, text_key long, node long, size long, labels binary")
+
+
+def _label(tree, depth: int, prefix: int | None = None):
+    """The first ``prefix`` values of a tree's signature."""
+    width = 2 * depth
+    return F.substring(F.col("labels"), F.lit(1) + tree * width, F.lit(2 * prefix if prefix else width))
+
 
-    return rows.mapInArrow(sketched, "doc_id long, row_key long, text_key long, node long, size long, keys array<long>")
+def _adjacent(depth: int, least: int):
+    """LCPs of the sorted signatures of a range; its first and last one come out as well (``last`` 0 and 1)."""
+    names = ["u", "v", "lcp", "range", "last", "tree", "label"]
+
+    def linked(batches):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId()
+        end = None  # the last row so far: tree, label, node
+
+        def edge(row, last):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([row[2]], pa.int64()), pa.array([row[2]], pa.int64()), pa.array([-1], pa.int32()), pa.array([number], pa.int32()),
+                 pa.array([last], pa.int32()), pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary())], names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, node = (b.column(c).to_numpy() for c in ("tree", "node"))
+            values = np.frombuffer(b"".join(b.column("label").to_pylist()), ">u2").reshape(-1, depth)
+            if end is None:
+                yield edge((int(tree[0]), values[0].tobytes(), int(node[0])), 0)
+            else:
+                tree, node = np.concatenate([[end[0]], tree]), np.concatenate([[end[2]], node])
+                values = np.concatenate([np.frombuffer(end[1], ">u2")[None, :], values])
+            end = (int(tree[-1]), values[-1].tobytes(), int(node[-1]))
+            lcp = np.cumprod(values[1:] == values[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+            at = np.flatnonzero(lcp >= least)
+            nothing = pa.nulls(len(at), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(node[at + 1]), pa.array(node[at]), pa.array(lcp[at].astype(np.int32)), nothing, nothing,
+                                              nothing, pa.nulls(len(at), pa.binary())], names)
+        if end is not None:
+            yield edge(end, 1)
+
+    return linked
+
+
+def forest(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """(u, v, lcp): neighbours in the sorted signatures of some tree with at least ``least`` common first values."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    rows = classes.select("node", "labels", tree).select("tree", _label(F.col("tree"), depth).alias("label"), "node")
+    rows = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    found = written(rows.mapInArrow(_adjacent(depth, least), "u long, v long, lcp int, range int, last int, tree int, label binary"), "tries")
+    # two rows per range: the end of one and the beginning of the next are neighbours too
+    before = F.lag(F.struct("tree", "label", "u")).over(Window.orderBy("range", "last"))
+    ends = found.where("lcp < 0").withColumn("b", before).where((F.col("last") == 0) & (F.col("b.tree") == F.col("tree")))
+    same = [F.substring("label", 1, 2 * d) == F.substring(F.col("b.label"), 1, 2 * d) for d in range(1, depth + 1)]
+    lcp = sum((F.when(x, 1).otherwise(0) for x in same), F.lit(0))
+    ends = ends.select("u", F.col("b.u").alias("v"), lcp.alias("lcp")).where(F.col("lcp") >= least)
+    return found.where("lcp >= 0").select("u", "v", "lcp").unionByName(ends)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root, blocks, block, shingles): the whole sets of the wanted classes (row_key, node, root, blocks, block)."""
+    """The wanted classes (row_key, node, keys, old, units) with their whole sets of shingles instead of row_key."""
     text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
     rows = docs.select(_row_key(doc_id, text)[0].alias("row_key"), text.alias("_t")).join(wanted, "row_key")
+    kept = ["node", "keys", "old", "units"]
 
     def gathered(batches):
         for b in batches:
@@ -156,11 +236,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 for d in same:
                     k = i + int(d)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(c)[k:k + 1] for c in ("node", "root", "blocks", "block")]
-                        + [pa.array([s[bounds[d]:bounds[d + 1]].tobytes()], pa.binary())],
-                        ["node", "root", "blocks", "block", "shingles"])
+                        [b.column(c)[k:k + 1] for c in kept] + [pa.array([s[bounds[d]:bounds[d + 1]].tobytes()], pa.binary())],
+                        [*kept, "shingles"])
 
-    found = rows.mapInArrow(gathered, "node long, root long, blocks int, block int, shingles binary")
+    types = dict(wanted.dtypes)
+    found = rows.mapInArrow(gathered, ", ".join(f"{c} {types[c]}" for c in kept) + ", shingles binary")
     return found.dropDuplicates(["node"])
 
 
@@ -210,62 +290,138 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(threshold: float):
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), len(flat) // max(1, len(lists)))
+
+
+def _sharing(keys: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have an equal key in some column."""
+    out = np.zeros((len(keys), len(keys)), bool)
+    for column in keys.T:
+        out |= column[:, None] == column[None, :]
+    return out
+
+
+def _verify(threshold: float, bins: int):
+    """Verifies the units of a task: rows (unit, tree, block, a, b, node, keys, old, shingles) to (node, links, label, pairs)."""
     def verified(table: pa.Table) -> pa.Table:
-        root, left, right, block, node = (table.column(c).to_numpy() for c in ("root", "a", "b", "block", "node"))
+        unit, tree, left, right, block, node = (table.column(c).to_numpy() for c in ("unit", "tree", "a", "b", "block", "node"))
         packed = table.column("shingles").to_pylist()
-        order = np.lexsort((node, right, left, root))
-        unit = np.stack([root, left, right], axis=1)[order]
-        starts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1)]))
-        nodes, links, labels = [], [], []
+        keys, old = (_matrix(table.column(c)) for c in ("keys", "old"))
+        order = np.lexsort((node, right, left, tree, unit))
+        own = np.stack([unit, tree, left, right], axis=1)[order]
+        starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)]))
+        nodes, links, labels, pairs = [], [], [], []
         for s, e in zip(starts, np.append(starts[1:], len(order))):
             rows = order[s:e]
             if len(rows) < 2:
                 continue
+            t = tree[rows[0]]
+            # a unit of one tree leaves the pairs that share a prefix in an earlier one to that
+            wanted = _sharing(keys[rows]) if t < 0 else ~_sharing(keys[rows, :t])
+            if old.shape[1]:
+                wanted &= ~_sharing(old[rows])
+            if left[rows[0]] != right[rows[0]]:
+                wanted &= block[rows][:, None] != block[rows][None, :]
+            np.fill_diagonal(wanted, False)
+            busy = np.flatnonzero(wanted.any(axis=1))
+            if not len(busy):
+                continue
+            rows, wanted = rows[busy], wanted[np.ix_(busy, busy)]
             sets = [np.frombuffer(packed[r], np.uint64) for r in rows]
             size = np.array([len(x) for x in sets])
             common = _overlaps(sets)
-            linked = common * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
-            np.fill_diagonal(linked, False)
-            if left[rows[0]] != right[rows[0]]:
-                linked &= block[rows][:, None] != block[rows][None, :]
+            linked = wanted & (common * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9)
             nodes.append(node[rows])
             links.append(linked.sum(axis=1))
             labels.append(node[rows][_labels(linked)])
+            i, j = np.nonzero(np.triu(linked))
+            likeness = common[i, j] / (size[i] + size[j] - common[i, j])
+            found = np.bincount(np.minimum((likeness * bins).astype(np.int64), bins - 1), minlength=bins)
+            pairs.append(found)
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return pa.table({"node": join(nodes), "links": join(links), "label": join(labels)})
+        links, nodes, labels = join(links), join(nodes), join(labels)
+        # the task's histogram stands in one more row, of no class
+        total = np.sum(pairs, axis=0).astype(np.int64) if pairs else np.zeros(bins, np.int64)
+        return pa.table({"node": pa.array([*nodes.tolist(), None], pa.int64()), "links": pa.array([*links.tolist(), None], pa.int64()),
+                         "label": pa.array([*labels.tolist(), None], pa.int64()),
+                         "pairs": pa.array([*[None] * len(nodes), total.tolist()], pa.list_(pa.int64()))})
 
     return verified
 
 
+def _hashed(depth: int, prefix: int, trees: int) -> Column:
+    """One 64-bit key per tree for the first ``prefix`` values of its signature."""
+    return F.array(*[F.xxhash64(F.lit(t), _label(F.lit(t), depth, prefix)) for t in range(trees)])
+
+
+def _round(docs: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, prefix: int, before: int | None, trees: int, threshold: float,
+           block_rows: int, block_shingles: int, id_col: str, text_col: str) -> DataFrame:
+    """Verified classes (node, links, label) and histograms (pairs) of all pairs that share a prefix, and none of ``before`` values."""
+    near = edges.where(F.col("lcp") >= prefix)
+    chained = components(near.select("u", "v"))
+    members = chained.join(nodes.select("node", "row_key", "size", "labels"), "node")
+    if before is not None:
+        # where all neighbours share the longer prefix, nothing is new
+        new = near.where(F.col("lcp") < before).select(F.col("u").alias("node")).distinct()
+        roots = chained.join(new, "node", "left_semi").select("root").distinct()
+        members = members.join(roots, "root", "left_semi")
+    old = _hashed(depth, before, trees) if before else F.array().cast("array<bigint>")
+    members = written(members.select("node", "root", "row_key", "size", _hashed(depth, prefix, trees).alias("keys"), old.alias("old")), "candidates")
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("shingles"))
+
+    def cut(sizes: DataFrame) -> Column:
+        return F.ceil(F.greatest(F.col("m") / block_rows, F.col("shingles") / block_shingles)).cast("int")
+
+    total = sizes.agg(F.sum("shingles").alias("s")).first()["s"] or 0
+    packs = max(1, -(-total // (block_shingles // 2)))
+    known = written(join_hot(members, sizes.select("root", cut(sizes).alias("blocks")), "root", "inner"), "sized")
+    small = known.where("blocks = 1").select("node", F.struct(
+        F.pmod(F.xxhash64("root"), F.lit(packs)).alias("pack"), F.col("root").alias("unit"), F.lit(-1).alias("tree"), F.lit(0).alias("block"),
+        F.lit(0).alias("a"), F.lit(0).alias("b")).alias("u"))
+    # large: a unit for every prefix that several members share, in pairs of blocks if need be
+    spots = known.where("blocks > 1").select("node", "size", F.posexplode("keys").alias("tree", "unit"))
+    shared = spots.groupBy("unit").agg(F.count("*").alias("m"), F.sum("size").alias("shingles")).where("m > 1")
+    spots = join_hot(spots, shared.select("unit", cut(shared).alias("blocks")), "unit", "inner")
+    spots = spots.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spots = spots.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a, b = F.least("block", "_o"), F.greatest("block", "_o")
+    large = spots.select("node", F.struct(F.xxhash64("unit", a, b).alias("pack"), "unit", "tree", "block", a.alias("a"), b.alias("b")).alias("u"))
+    units = small.unionByName(large).groupBy("node").agg(F.collect_list("u").alias("units"))
+    wanted = known.select("node", "row_key", "keys", "old").join(units, "node")
+    sets = _sets(docs, wanted, id_col, text_col)
+    dealt = sets.select("node", "keys", "old", "shingles", F.explode("units").alias("u")).select("u.*", "node", "keys", "old", "shingles")
+    checked = dealt.groupBy("pack").applyInArrow(_verify(threshold, BINS), "node long, links long, label long, pairs array<long>")
+    return written(checked, "verified")
+
+
+def _histogram(checked: DataFrame) -> np.ndarray:
+    """Verified pairs by similarity: one number per bin."""
+    row = checked.where("pairs IS NOT NULL").agg(*[F.sum(F.col("pairs")[i]).alias(f"b{i}") for i in range(BINS)]).first()
+    return np.array([row[i] or 0 for i in range(BINS)], float)
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES,
-           recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+           recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES, depth: int = DEPTH) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest id of its group), n_links (different texts at the threshold or
     more), n_copies (rows with the same shingles, itself included), and text_key and first (the group's kept row's id and text key)."""
     prepare(docs.sparkSession)
-    sketches = written(sketch(docs, id_col, text_col, trees, depth_for(threshold, trees, recall)), "sketches")
+    sketches = written(sketch(docs, id_col, text_col, trees, depth), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key"))
     nodes = written(sketches.where("size > 0").groupBy("node").agg(
         first.alias("first"), F.min("row_key").alias("row_key"), F.max("size").alias("size"), F.count("*").alias("n_copies"),
-        F.min("keys").alias("keys")), "classes")
-    spots = nodes.select("node", F.explode("keys").alias("key"))
-    shared = spots.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    chained = components(spots.join(shared, "key").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v")))
-    members = written(chained.join(nodes.select("node", "row_key", "size"), "node"), "candidates")
-    sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("m") / block_rows, F.col("shingles") / block_shingles)).cast("int")
-    total = sizes.agg(F.sum("shingles").alias("s")).first()["s"] or 0
-    packs = max(1, -(-total // (block_shingles // 2)))
-    known = join_hot(members, sizes.select("root", blocks.alias("blocks")), "root", "inner")
-    known = known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sets = _sets(docs, known.select("row_key", "node", "root", "blocks", "block"), id_col, text_col)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
-    units = sets.select("*", other).select(
-        "node", "root", "block", "shingles", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("b"), "blocks")
-    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.xxhash64("root", "a", "b"))
-    checked = units.select(pack.alias("pack"), "node", "root", "block", "a", "b", "shingles").groupBy("pack").applyInArrow(
-        _verify(threshold), "node long, links long, label long")
-    checked = written(checked, "verified")
+        F.min("labels").alias("labels")), "classes")
+    # no pair needs shorter prefixes than one right at the threshold
+    least = depth_for(threshold, trees, recall, depth)
+    edges = written(forest(nodes, trees, depth, least), "forest")
+    options = (trees, threshold, block_rows, block_shingles, id_col, text_col)
+    checked = _round(docs, nodes, edges, depth, depth, None, *options)
+    prefix = max(least, depth_for(threshold, trees, recall, depth, _histogram(checked)))
+    if prefix < depth:
+        checked = checked.unionByName(_round(docs, nodes, edges, depth, prefix, depth, *options))
+    checked = checked.where("node IS NOT NULL").select("node", "links", "label")
     linked = components(checked.where("node != label").select(F.col("node").alias("u"), F.col("label").alias("v")))
     degree = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     known = nodes.select("node", "first", "n_copies").join(linked, "node", "left").join(degree, "node", "left").select(
