@@ -4,7 +4,7 @@ A text's tokens are its words (hashed, A-Z lower-cased) and one end; where the
 context reaches over the text's beginning it is filled with start marks. Counting
 is one pass over the training texts: every task counts its n-grams, some millions at a
 time, and sends them to shards, as places in a list of words, by byte planes and
-compressed. A shard is chosen by an n-gram's middle (all but the first and the last token): there, all
+compressed; frequent words stand in these lists as their numbers in a dictionary of bounded size. A shard is chosen by an n-gram's middle (all but the first and the last token): there, all
 n-grams of a context and all n-grams of a suffix stand together, so contexts and, below trigrams, bigrams
 are counted without another shuffle. Middles with more n-grams than fit in part of a shard are
 hot: they are split by the first token, and their suffixes are dealt anew. Hot middles number
@@ -16,7 +16,7 @@ of those that need more. A context that was seen once only is not written, as th
 (n-1)-gram of the same tokens is.
 
 The files lie in the shared scratch folder. Scoring tasks map them into memory
-and look up the sorted distinct hashes of a batch, shard by shard, so a task
+and look up the hashes of a batch, shard by shard, so a task
 holds a batch, not the model. c is the number of times an n-gram of the highest
 order was seen, and for the lower orders the number of different tokens before it
 (for n-grams that begin with a start mark, the number of times they were seen).
@@ -56,7 +56,9 @@ ORDER = 3
 HOT_BITS = 20
 SHARD_TOKENS = 2_500_000
 #: Tokens that a task counts before it sends n-grams to the shards.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 2_500_000
+#: Frequent words that have a number.
+DICTIONARY = 1 << 16
 BATCH_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,8 +152,9 @@ def _chain(columns: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _overview(texts: DataFrame, order: int, most: int) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Number of tokens, and by length the strings in an n-gram's middle with over ``most`` occurrences: (hashes, parts)."""
+def _overview(texts: DataFrame, order: int, most: int) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Number of tokens, by length the strings in an n-gram's middle with over ``most`` occurrences (hashes, parts), and
+    the most frequent words, sorted by hash."""
     lengths = range(1, max(1, order - 2) + 1)
     size = texts.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     bound = (size["b"] or 0) // 2 + 2 * size["n"] + 1  # tokens are at least that few
@@ -168,6 +171,11 @@ def _overview(texts: DataFrame, order: int, most: int) -> tuple[int, dict[int, t
                     seen[j] = keys, sums
         # a string with a share of all tokens has that share of the tokens of some task
         often = {j: n > share * total for j, (_, n) in seen.items()}
+        # and a task's most frequent words, for the dictionary
+        if len(seen[1][1]) > DICTIONARY:
+            often[1] |= seen[1][1] > np.partition(seen[1][1], -DICTIONARY)[-DICTIONARY]
+        else:
+            often[1][:] = True
         rows = [(j, seen[j][0][often[j]], seen[j][1][often[j]]) for j in lengths]
         length = np.concatenate([[0], *[np.full(len(h), j) for j, h, _ in rows]])
         yield pa.RecordBatch.from_arrays(
@@ -185,7 +193,8 @@ def _overview(texts: DataFrame, order: int, most: int) -> tuple[int, dict[int, t
         h, n = own["h"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)
         by = np.argsort(h)
         hot[int(j)] = h[by], -(-n[by] // most)
-    return n_tokens, hot
+    words = sums.where("length = 1").orderBy(F.desc("n"), "h").limit(DICTIONARY).select("h").toPandas()
+    return n_tokens, hot, np.sort(words["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def _deal(level: int, grams: list[np.ndarray], hot: dict, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,33 +228,50 @@ def _stretch(packed: bytes, kind) -> np.ndarray:
 
 
 def _split(shard: np.ndarray, shards: int):
+    shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)  # sixteen bits are sorted by radix
     order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    bounds = np.append(np.searchsorted(shard[order], np.arange(shards)), len(shard))
     for s in np.flatnonzero(np.diff(bounds)):
         yield int(s), order[bounds[s]:bounds[s + 1]]
 
 
-def _pack_words(words: np.ndarray, columns: list[np.ndarray], shards: int):
+def _list_words(words: np.ndarray, dictionary: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Sorted distinct words as steps between dictionary numbers and the hashes of the rest, and each word's place in that list."""
+    at, found = _find(dictionary, words)
+    place = np.where(found, np.cumsum(found) - 1, found.sum() + np.cumsum(~found) - 1)
+    return [_squeeze(np.diff(at[found], prepend=0).astype(np.uint16)), _squeeze(words[~found])], place
+
+
+def _listed(packed: list[bytes], dictionary: np.ndarray) -> np.ndarray:
+    numbers = np.cumsum(_stretch(packed[0], np.uint16).astype(np.int64))
+    return np.concatenate([dictionary[numbers], _stretch(packed[1], np.uint64)])
+
+
+def _pack_words(words: np.ndarray, columns: list[np.ndarray], shards: int, dictionary: np.ndarray):
+    """Rows of ``_PARTS`` with sorted distinct words and their numbers."""
     for s, own in _split(_range_of(words, shards), shards):
-        yield 1, s, [_squeeze(words[own]), *[_squeeze(c[own].astype(np.int64)) for c in columns]]
+        heads, place = _list_words(words[own], dictionary)
+        by = own[np.argsort(place)]
+        yield 1, s, [*heads, *[_squeeze(c[by].astype(np.int64)) for c in columns]]
 
 
-def _pack_grams(kind: int, shard: np.ndarray, grams: list[np.ndarray], n: np.ndarray, shards: int):
+def _pack_grams(kind: int, shard: np.ndarray, grams: list[np.ndarray], n: np.ndarray, shards: int, dictionary: np.ndarray):
     """Rows of ``_PARTS`` with n-grams as places in a list of the row's words, sorted by middle so that they compress."""
     for s, own in _split(shard, shards):
         words, places = np.unique(np.concatenate([g[own] for g in grams]), return_inverse=True)
-        places = places.reshape(kind, -1).astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+        heads, place = _list_words(words, dictionary)
+        places = place[places].reshape(kind, -1).astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
         by = np.lexsort([places[-1], places[0], *places[1:-1][::-1]])
-        yield kind, s, [_squeeze(words), *[_squeeze(p[by]) for p in places], _squeeze(n[own][by].astype(np.uint32))]
+        yield kind, s, [*heads, *[_squeeze(p[by]) for p in places], _squeeze(n[own][by].astype(np.uint32))]
 
 
-def _unpack_grams(kind: int, table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+def _unpack_grams(kind: int, table: pa.Table, dictionary: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     columns: list[list[np.ndarray]] = [[] for _ in range(kind)]
     counts = []
     for row in table.column("parts"):
         parts = row.as_py()
-        words = _stretch(parts[0], np.uint64)
-        for column, packed in zip(columns, parts[1:-1]):
+        words = _listed(parts[:2], dictionary)
+        for column, packed in zip(columns, parts[2:-1]):
             column.append(words[_stretch(packed, np.uint16 if len(words) <= 1 << 16 else np.uint32)])
         counts.append(_stretch(parts[-1], np.uint32))
     return [np.concatenate(c) for c in columns], np.concatenate(counts).astype(np.int64)
@@ -305,7 +331,7 @@ def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", sh
     prepare(spark)
     rows = docs if use is None else docs.where(use)
     texts = rows.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n_tokens, hot = _overview(texts, order, max(1, shard_tokens // 8))
+    n_tokens, hot, dictionary = _overview(texts, order, max(1, shard_tokens // 8))
     # a shard's n-grams take a column for every place
     shards = max(1, -(-n_tokens * order // (2 * shard_tokens)))
     folder = scratch_path(spark, "kneser-ney")
@@ -318,7 +344,7 @@ def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", sh
             _, (n,), first = _summed(_chain(grams), np.ones(len(grams[0]), np.int64))
             grams = [g[first] for g in grams]
             shard, _ = _deal(order, grams, hot, shards)
-            for row in _pack_grams(order, shard, grams, n, shards):
+            for row in _pack_grams(order, shard, grams, n, shards, dictionary):
                 yield _table([row]).to_batches()[0]
 
         for b in batches:
@@ -331,31 +357,34 @@ def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", sh
         if held:
             yield from flush()
 
-    def word_rows(words: np.ndarray, **columns):
-        h, sums, _ = _summed(words, *_zeros(len(words), **columns))
-        return _pack_words(h, sums, shards)
-
     def as_context(n: np.ndarray) -> dict:
         return {"sum": n, "n1": (n == 1).astype(np.int64), "n2": (n == 2).astype(np.int64), "n3": (n >= 3).astype(np.int64)}
 
-    def whole_bigrams(name: str, grams: list[np.ndarray], n: np.ndarray, is_hot: np.ndarray) -> list[tuple]:
+    def numbered(words: np.ndarray, **columns) -> tuple[np.ndarray, list[np.ndarray]]:
+        h, sums, _ = _summed(words, *_zeros(len(words), **columns))
+        return h, sums
+
+    def word_rows(*parts):
+        h, sums, _ = _summed(np.concatenate([h for h, _ in parts]), *[np.concatenate(c) for c in zip(*[c for _, c in parts])])
+        return _pack_words(h, sums, shards, dictionary)
+
+    def whole_bigrams(name: str, grams: list[np.ndarray], n: np.ndarray, is_hot: np.ndarray) -> tuple[list[tuple], list]:
+        """Rows with their counts of counts, and the numbers of their words."""
         four = _bigrams(folder, name, grams, n, is_hot)
-        out = [(0, 2, [np.array(four, np.int64).tobytes()])]
-        out += word_rows(grams[1], cont=np.ones(len(n), np.int64))
-        out += word_rows(grams[0], **as_context(n))
-        return out
+        return [(0, 2, [np.array(four, np.int64).tobytes()])], [numbered(grams[1], cont=np.ones(len(n), np.int64)), numbered(grams[0], **as_context(n))]
 
     def merged(level: int):
         def one(table: pa.Table) -> pa.Table:
             shard = table.column("shard")[0].as_py()
-            grams, n = _unpack_grams(level, table)
+            grams, n = _unpack_grams(level, table, dictionary)
             key, (n,), first = _summed(_chain(grams), n)
             grams = [g[first] for g in grams]
-            out = list(word_rows(grams[-1], count=n)) if level == order else []
+            words = [numbered(grams[-1], count=n)] if level == order else []
             if level == 2:
-                return _table(out + whole_bigrams(str(shard), grams, n, _deal(2, grams, hot, shards)[1]))
+                out, more = whole_bigrams(str(shard), grams, n, _deal(2, grams, hot, shards)[1])
+                return _table(out + list(word_rows(*words, *more)))
             _save_grams(f"{folder}/grams{level}", str(shard), key, n)
-            out.append((0, level, [np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()]))
+            out = [(0, level, [np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()])]
             h, sums, at = _summed(_chain(grams[:-1]), *as_context(n).values())
             # a context seen once is known by the shorter n-gram of its tokens; there is none of start marks alone
             kept = (sums[0] > 1) | (grams[-2][at] == START)
@@ -367,12 +396,13 @@ def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", sh
             to, is_hot = _deal(level - 1, short, hot, shards)
             if level == 3:
                 here = np.flatnonzero(~is_hot)
-                out += whole_bigrams(f"{shard}", [g[here] for g in short], low[here], np.zeros(len(here), bool))
+                rows, more = whole_bigrams(f"{shard}", [g[here] for g in short], low[here], np.zeros(len(here), bool))
+                out, words = out + rows, words + more
                 away = np.flatnonzero(is_hot)
                 short, low, to = [g[away] for g in short], low[away], to[away]
             if len(low):
-                out += _pack_grams(level - 1, to, short, low, shards)
-            return _table(out)
+                out += _pack_grams(level - 1, to, short, low, shards, dictionary)
+            return _table(out + (list(word_rows(*words)) if words else []))
         return one
 
     parts = texts.mapInArrow(packed, _PARTS)
@@ -386,8 +416,8 @@ def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", sh
     def words(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         rows = table.column("parts").to_pylist()
-        keys = np.concatenate([_stretch(r[0], np.uint64) for r in rows])
-        columns = [np.concatenate([_stretch(r[k], np.int64) for r in rows]) for k in range(1, len(_WORD_COLUMNS) + 1)]
+        keys = np.concatenate([_listed(r[:2], dictionary) for r in rows])
+        columns = [np.concatenate([_stretch(r[k], np.int64) for r in rows]) for k in range(2, len(_WORD_COLUMNS) + 2)]
         keys, sums, _ = _summed(keys, *columns)
         _save(f"{folder}/words", f"{shard}.keys", keys)
         for name, values in zip(_WORD_COLUMNS, sums):
@@ -481,7 +511,7 @@ class _Reader:
         return large[np.searchsorted(large[:, 0], at), 1:]
 
     def grams(self, level: int, keys: np.ndarray, shard: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """Counts of distinct n-gram keys."""
+        """Counts of n-grams by their keys."""
         out = np.zeros(len(keys), np.int64)
         parts = (("grams2", ~hot), ("grams2-hot", hot)) if level == 2 else ((f"grams{level}", np.ones(len(keys), bool)),)
         for folder, mine in parts:
@@ -499,7 +529,7 @@ class _Reader:
         return out
 
     def contexts(self, level: int, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """(4, contexts): sum, n1, n2, n3 of distinct contexts; 0 where none is written."""
+        """(4, contexts): sum, n1, n2, n3 of contexts; 0 where none is written."""
         out = np.zeros((4, len(keys)), np.int64)
         folder = f"contexts{level}"
         for s, own in _split(shard, self.model["shards"]):
@@ -544,19 +574,16 @@ def _scored(reader: _Reader, grams: list[np.ndarray], sizes: np.ndarray):
     for level in range(2, m["order"] + 1):
         own = grams[-level:]
         d = m["discounts"][level]
+        shard, is_hot = _deal(level, own, hot, shards)
         if level == 2:
             before = np.where(first, start, np.concatenate([[start], t[:-1]]))
             sums = np.stack([num[c][before] for c in _WORD_COLUMNS[2:]])
         else:
-            keys, at, where = np.unique(_chain(own[:-1]), return_index=True, return_inverse=True)
-            shard, _ = _deal(level, [g[at] for g in own], hot, shards)
-            sums = reader.contexts(level, keys, shard)[:, where]
+            sums = reader.contexts(level, _chain(own[:-1]), shard)
             # a context that is not written was seen once if the n-gram of its tokens, at the place before, is known
             once = (sums[0] == 0) & ~first & (np.concatenate([[0], n[:-1]]) > 0)
             sums[:2, once] = 1
-        keys, at, where = np.unique(_chain(own), return_index=True, return_inverse=True)
-        shard, is_hot = _deal(level, [g[at] for g in own], hot, shards)
-        n = reader.grams(level, keys, shard, is_hot)[where]
+        n = reader.grams(level, _chain(own), shard, is_hot)
         count = np.maximum(sums[0], 1)
         back = (d[1] * sums[1] + d[2] * sums[2] + d[3] * sums[3]) / count
         seen = np.maximum(n - d[np.minimum(n, 3)], 0) / count
