@@ -4,6 +4,6 @@ from .numbers import (to_number, is_number_text, clean_double, as_number, fround
 from .dates import (to_timestamp_mixed, as_timestamp, is_date_text, has_time_of_day,
                     week_end_sunday, monday_week_number, period_start, period_label,
                     granularity_for_span, span_days)
-from .text import strip_ws, clean_text, tokens_to_null, first_filled_cells, is_total_row, row_matches
+from .text import filled, strip_ws, clean_text, tokens_to_null, first_filled_cells, is_total_row, row_matches
 
 __all__ = [n for n in dir() if not n.startswith("_")]

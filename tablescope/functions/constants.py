@@ -84,3 +84,30 @@ DATE_FORMATS = [
     "MMMM d, yyyy",
     "yyyy-MM",
 ]
+
+# --- fixed values: titles and descriptions of charts ({x}: date, category or first column; {y}: measure or second column)
+CHART_TEXTS = {
+    "line": ("{y} Trend over {x}", "Line trend of {y} over {x}."),
+    "area": ("{y} Cumulative Trend ({x})", "Area chart showing {y} accumulation over time."),
+    "bar": ("{y} by {x}", "Comparison of {y} across {x} categories."),
+    "pie": ("{y} Distribution by {x}", "Pie chart breakdown of {y} across {x}."),
+    "donut": ("{y} Share ({x})", "Donut chart showing proportional share of {y}."),
+    "histogram": ("Histogram of {x}", "Binned frequency distribution for {x}."),
+    "boxplot": ("Boxplot of {x}", "Five-number summary (Min, Q1, Median, Q3, Max) for {x}."),
+    "frequency": ("{x} Frequency", "Distribution count across {x}."),
+    "scatter": ("{x} vs {y}", "Relationship between {x} and {y}."),
+    "heatmap": ("Correlation Heatmap", "Pearson correlation matrix across numeric fields."),
+}
+
+# --- fixed values: titles and descriptions of insights
+INSIGHT_TEXTS = {
+    "summary": ("Dataset health is {quality}", "Analyzed {rows} rows with {missing}% missing cells and {duplicates} duplicate rows."),
+    "duplicates": ("Duplicate rows detected", "{duplicates} duplicate rows were found and should be reviewed."),
+    "missing": ("Columns with substantial missing data", "{columns}"),
+    "correlation": ("Strong {direction} relationship found", "{x} and {y} have a correlation of {r}."),
+    "outliers": ("Outliers in {x}", "{n} values fall outside the 1.5x IQR boundary."),
+    "dominant": ("Dominant category in {x}", "{value} accounts for {share}% of the column."),
+}
+
+# --- fixed values: warnings of an analysis
+COLUMN_WARNING = "Column '{x}' could not be fully analyzed: {reason}"

@@ -1,6 +1,8 @@
 """Text expressions: trimming, missing tokens, footer-row test, search."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,13 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def filled(template: str, **parts) -> Column:
+    """A text with its ``{name}`` places filled by columns (or plain texts)."""
+    pieces = [F.lit(t) if i % 2 == 0 else (parts[t] if isinstance(parts[t], Column) else F.lit(parts[t]))
+              for i, t in enumerate(re.split(r"\{(\w+)\}", template)) if i % 2 or t]
+    return F.concat(*pieces) if pieces else F.lit("")
+
+
 def strip_ws(col) -> Column:
     """Remove leading and trailing whitespace of any kind (Python's ``str.strip``)."""
     return F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")

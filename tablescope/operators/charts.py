@@ -6,20 +6,24 @@ row per point (``pos``, ``label``, ``x``, ``y``, ``z``). Drawing is not done.
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import as_number, safe, value_text
-from ..functions.constants import (BAR_HORIZONTAL_OVER, BAR_TOP_N, CHART_MEASURES, PIE_TOP_N,
+from ..functions import as_number, filled, safe, value_text
+from ..functions.constants import (BAR_HORIZONTAL_OVER, BAR_TOP_N, CHART_MEASURES, CHART_TEXTS, PIE_TOP_N,
                                    SCATTER_POINTS)
+from ..session import ship_package
 from .freq import frequency_table
 from .groups import category_counts, group_sums, top_n_with_others
 from .profile import histogram, quantiles
+from .ranks import order_statistics
 from .reshape import unpivot_structs
 from .timeseries import resample_sums
 
 CHART_COLUMNS = ["chart_id", "type", "category", "title", "x_label", "y_label", "series",
-                 "pos", "label", "x", "y", "z"]
+                 "pos", "label", "x", "y", "z", "description"]
 CHART_LABELS = {"Category", "Text", "Unique IDs", "Boolean"}
 
 
@@ -34,7 +38,7 @@ def chart_columns(types_rows: list[dict]) -> dict[str, list[str]]:
 
 
 def _chart(df: DataFrame, title: Column, ctype, category: str, x_label, y_label, series,
-           pos: Column, label=None, x=None, y=None, z=None) -> DataFrame:
+           pos: Column, label=None, x=None, y=None, z=None, description=None) -> DataFrame:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     t = lit(ctype)
     return df.select(
@@ -42,7 +46,13 @@ def _chart(df: DataFrame, title: Column, ctype, category: str, x_label, y_label,
         title.alias("title"), lit(x_label).cast("string").alias("x_label"), lit(y_label).cast("string").alias("y_label"),
         lit(series).cast("string").alias("series"), pos.cast("int").alias("pos"),
         lit(label).cast("string").alias("label"), lit(x).cast("double").alias("x"),
-        lit(y).cast("double").alias("y"), lit(z).cast("double").alias("z"))
+        lit(y).cast("double").alias("y"), lit(z).cast("double").alias("z"), lit(description).cast("string").alias("description"))
+
+
+def _texts(kind: str, x: Column | str = "", y: Column | str = "") -> dict:
+    """Title and description of a kind of chart."""
+    title, description = CHART_TEXTS[kind]
+    return {"title": filled(title, x=x, y=y), "description": filled(description, x=x, y=y)}
 
 
 def trend_charts(df: DataFrame, date_cols: list[str], num_cols: list[str]) -> DataFrame:
@@ -59,10 +69,10 @@ def trend_charts(df: DataFrame, date_cols: list[str], num_cols: list[str]) -> Da
     w = Window.partitionBy("date_column", "measure").orderBy("period")
     ts = ts.withColumn("_pos", F.row_number().over(w) - 1)
     d, m = F.col("date_column"), F.col("measure")
-    line = _chart(ts, F.concat(m, F.lit(" Trend over "), d), "line", "trend", d, m, m,
-                  F.col("_pos"), F.col("label"), None, F.col("value"))
-    area = _chart(ts, F.concat(m, F.lit(" Cumulative Trend ("), d, F.lit(")")), "area", "trend", d, m, m,
-                  F.col("_pos"), F.col("label"), None, F.col("value"), F.col("running_value"))
+    line = _chart(ts, ctype="line", category="trend", x_label=d, y_label=m, series=m, pos=F.col("_pos"), label=F.col("label"),
+                  y=F.col("value"), **_texts("line", d, m))
+    area = _chart(ts, ctype="area", category="trend", x_label=d, y_label=m, series=m, pos=F.col("_pos"), label=F.col("label"),
+                  y=F.col("value"), z=F.col("running_value"), **_texts("area", d, m))
     return line.unionByName(area)
 
 
@@ -78,12 +88,11 @@ def category_charts(df: DataFrame, cat_cols: list[str], num_cols: list[str],
     bar = bar.withColumn("_t", F.when(n_labels > BAR_HORIZONTAL_OVER, "horizontal_bar").otherwise("bar"))
     pie = top_n_with_others(sums, keys, PIE_TOP_N)
     c, m = F.col("cat_column"), F.col("measure")
-    out = _chart(bar, F.concat(m, F.lit(" by "), c), F.col("_t"), "comparison", c, m, m,
-                 F.col("rank") - 1, F.col("label"), None, F.col("value"))
-    out = out.unionByName(_chart(pie, F.concat(m, F.lit(" Distribution by "), c), "pie", "distribution",
-                                 None, None, m, F.col("rank") - 1, F.col("label"), None, F.col("value")))
-    out = out.unionByName(_chart(pie, F.concat(m, F.lit(" Share ("), c, F.lit(")")), "donut", "distribution",
-                                 None, None, m, F.col("rank") - 1, F.col("label"), None, F.col("value")))
+    point = {"pos": F.col("rank") - 1, "label": F.col("label"), "y": F.col("value")}
+    out = _chart(bar, ctype=F.col("_t"), category="comparison", x_label=c, y_label=m, series=m, **point, **_texts("bar", c, m))
+    for kind in ("pie", "donut"):
+        out = out.unionByName(_chart(pie, ctype=kind, category="distribution", x_label=None, y_label=None, series=m, **point,
+                                     **_texts(kind, c, m)))
     return out
 
 
@@ -95,8 +104,8 @@ def histogram_charts(freq: DataFrame, num_cols: list[str]) -> DataFrame:
     n = F.sum("count").over(Window.partitionBy("column_name"))
     h = h.withColumn("_n", n).where(F.col("_n") >= 3)
     c = F.col("column_name")
-    return _chart(h, F.concat(F.lit("Histogram of "), c), "bar", "distribution", c, "Count", "Frequency",
-                  F.col("bin"), F.col("label"), None, F.col("count"))
+    return _chart(h, ctype="bar", category="distribution", x_label=c, y_label="Count", series="Frequency", pos=F.col("bin"),
+                  label=F.col("label"), y=F.col("count"), **_texts("histogram", c))
 
 
 def boxplot_charts(df: DataFrame, freq: DataFrame, num_cols: list[str]) -> DataFrame:
@@ -110,8 +119,8 @@ def boxplot_charts(df: DataFrame, freq: DataFrame, num_cols: list[str]) -> DataF
     names = F.array(F.lit("min"), F.lit("q1"), F.lit("median"), F.lit("q3"), F.lit("max"))
     pos = (F.col("p") * 4).cast("int")
     c = F.col("column_name")
-    return _chart(q, F.concat(F.lit("Boxplot of "), c), "boxplot", "distribution", c, c, c,
-                  pos, F.element_at(names, pos + 1), None, safe("value", 4))
+    return _chart(q, ctype="boxplot", category="distribution", x_label=c, y_label=c, series=c, pos=pos,
+                  label=F.element_at(names, pos + 1), y=safe("value", 4), **_texts("boxplot", c))
 
 
 def frequency_charts(df: DataFrame, cat_cols: list[str], null_label: str | None = None) -> DataFrame:
@@ -125,40 +134,75 @@ def frequency_charts(df: DataFrame, cat_cols: list[str], null_label: str | None
     counts = counts.join(F.broadcast(enough.select("cat_column")), "cat_column", "left_semi")
     top = top_n_with_others(counts, ["cat_column"], PIE_TOP_N)
     c = F.col("cat_column")
-    return _chart(top, F.concat(c, F.lit(" Frequency")), "donut", "distribution", None, None, "Count",
-                  F.col("rank") - 1, F.col("label"), None, F.col("value"))
+    return _chart(top, ctype="donut", category="distribution", x_label=None, y_label=None, series="Count", pos=F.col("rank") - 1,
+                  label=F.col("label"), y=F.col("value"), **_texts("frequency", c))
+
+
+def _first_points(pairs: list[tuple[int, int]], order: list[str], points: int):
+    """Keeps, in one pass over a task's rows, the first ``points`` complete rows of every pair of value columns."""
+    def kept(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(order, na_position="first", kind="stable").head(points)
+
+    def firsts(batches):
+        held: dict[int, list[pd.DataFrame]] = {k: [] for k in range(len(pairs))}
+        for pdf in batches:
+            here = {c: pdf[c].notna().to_numpy() for c in pdf.columns if c not in order}
+            for k, (i, j) in enumerate(pairs):
+                both = here[f"_v{i}"] & here[f"_v{j}"]
+                part = pdf.loc[both, [*order, f"_v{i}", f"_v{j}"]].set_axis([*order, "x", "y"], axis=1)
+                held[k].append(kept(part))
+                if len(held[k]) > 16:
+                    held[k] = [kept(pd.concat(held[k]))]
+        for k, parts in held.items():
+            if parts:
+                yield kept(pd.concat(parts)).assign(pair=k)
+
+    return firsts
+
+
+def _leaves(df: DataFrame, order: list[Column]) -> list[Column]:
+    """Order columns without structs: their fields in turn."""
+    out = []
+    for c, field in zip(order, df.select(*order).schema.fields):
+        if isinstance(field.dataType, T.StructType):
+            out += [c.getField(f.name) for f in field.dataType.fields]
+        else:
+            out.append(c)
+    return out
 
 
 def scatter_charts(df: DataFrame, num_cols: list[str], order: list[Column],
                    points: int = SCATTER_POINTS) -> DataFrame:
     """First ``points`` complete rows (in row order) of every numeric pair, ≥ 3 rows.
 
-    Each row is exploded into its pairs; the ``rank <= points`` filter on a
-    per-pair row_number is applied in every map task before the shuffle, so
-    no task holds more than ``points`` rows per pair.
+    Every task looks at each row once, whatever the number of pairs, and sends at most
+    ``points`` rows per pair, which are merged by order.
     """
-    pairs = [(a, b) for i, a in enumerate(num_cols) for b in num_cols[i + 1:]]
+    pairs = [(i, j) for i in range(len(num_cols)) for j in range(i + 1, len(num_cols))]
     if not pairs:
         return None
-    okey = F.struct(*order)
-    rows = unpivot_structs(df, [F.struct(okey.alias("_o"), F.lit(a).alias("cx"), F.lit(b).alias("cy"),
-                                         as_number(F.col(f"`{a}`"), df.schema[a].dataType).alias("x"),
-                                         as_number(F.col(f"`{b}`"), df.schema[b].dataType).alias("y"))
-                                for a, b in pairs]).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    w = Window.partitionBy("cx", "cy").orderBy("_o")
-    first = rows.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= points)
-    first = first.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cx", "cy"))).where(F.col("_n") >= 3)
-    cx, cy = F.col("cx"), F.col("cy")
-    return _chart(first, F.concat(cx, F.lit(" vs "), cy), "scatter", "correlation", cx, cy,
-                  F.concat(cx, F.lit(" vs "), cy), F.col("_rk") - 1, None, safe("x", 4), safe("y", 4))
+    ship_package(df.sparkSession)
+    leaves = _leaves(df, order)
+    names = [f"_o{i}" for i in range(len(leaves))]
+    rows = df.select(*[c.alias(n) for c, n in zip(leaves, names)],
+                     *[as_number(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"_v{i}") for i, c in enumerate(num_cols)])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+    first = rows.mapInPandas(_first_points(pairs, names, points), f"{kinds}, x double, y double, pair int")
+    first = first.withColumn("_rk", F.row_number().over(Window.partitionBy("pair").orderBy(*names))).where(F.col("_rk") <= points)
+    first = first.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("pair"))).where(F.col("_n") >= 3)
+    named = F.array(*[F.struct(F.lit(num_cols[i]).alias("cx"), F.lit(num_cols[j]).alias("cy")) for i, j in pairs])
+    first = first.withColumn("_names", F.element_at(named, F.col("pair") + 1))
+    cx, cy = F.col("_names.cx"), F.col("_names.cy")
+    texts = _texts("scatter", cx, cy)
+    return _chart(first, ctype="scatter", category="correlation", x_label=cx, y_label=cy, series=texts["title"], pos=F.col("_rk") - 1,
+                  x=safe("x", 4), y=safe("y", 4), **texts)
 
 
 def heatmap_chart(corr_long: DataFrame, k: int) -> DataFrame:
     """Correlation triples (x index, y index, r), row-major in y."""
-    return _chart(corr_long, F.lit("Correlation Heatmap"), "heatmap", "correlation", None, None, "Correlation",
-                  F.col("pos_y") * F.lit(k) + F.col("pos_x"),
-                  F.concat(F.col("col_x"), F.lit(" / "), F.col("col_y")), F.col("pos_x"), F.col("pos_y"),
-                  safe("r", 4))
+    return _chart(corr_long, ctype="heatmap", category="correlation", x_label=None, y_label=None, series="Correlation",
+                  pos=F.col("pos_y") * F.lit(k) + F.col("pos_x"), label=F.concat(F.col("col_x"), F.lit(" / "), F.col("col_y")),
+                  x=F.col("pos_x"), y=F.col("pos_y"), z=safe("r", 4), **_texts("heatmap"))
 
 
 def chart_points(df: DataFrame, types_rows: list[dict], order: list[Column], corr_long: DataFrame | None = None,
@@ -217,15 +261,13 @@ def custom_chart(df: DataFrame, x: str, y: str | None, chart_type: str = "bar",
 def custom_boxplot(df: DataFrame, column: str) -> DataFrame:
     """Nearest-rank five numbers: sorted values at ⌊n·p⌋ (0-based), missing → 0."""
     v = F.coalesce(as_number(F.col(f"`{column}`"), df.schema[column].dataType), F.lit(0.0))
-    from .ordered import select_ranks
-    vals = df.select(F.lit(column).alias("column_name"), v.alias("num")).groupBy("column_name", "num") \
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    n = vals.groupBy("column_name").agg(F.sum("cnt").alias("n"))
-    ps = [0.0, 0.25, 0.5, 0.75, 1.0]
-    targets = n.select("column_name", "n", F.posexplode(F.array(*[F.lit(p) for p in ps])).alias("pos", "p")) \
-        .select("column_name", "pos", F.when(F.col("p") == 1.0, F.col("n"))
-                .otherwise(F.floor(F.col("n") * F.col("p")) + 1).cast("bigint").alias("k"))
-    picked = select_ranks(vals, targets)
+    vals = df.select(F.lit(column).alias("column_name"), v.alias("num"), F.lit(1).alias("cnt"))
+
+    def ranks(n: Column) -> Column:
+        return F.array(*[F.struct(F.lit(pos).alias("pos"), (n if p == 1.0 else F.floor(n * F.lit(p)) + 1).cast("bigint").alias("k"))
+                         for pos, p in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))])
+
+    picked = order_statistics(vals, ["column_name"], ranks)
     names = F.array(F.lit("min"), F.lit("q1"), F.lit("median"), F.lit("q3"), F.lit("max"))
     return _chart(picked, F.lit(f"Boxplot of {column}"), "boxplot", "custom", None, column, column,
                   F.col("pos"), F.element_at(names, F.col("pos") + 1), None, F.col("value"))

@@ -116,6 +116,11 @@ def cells_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return unpivot_structs(df, out)
 
 
+def numbers(freq: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column_name, pos, num, cnt)``: the numbers of a frequency or cells table, repeats and all, in one scan."""
+    return freq.where(F.col("num").isNotNull() & F.col("column_name").isin(list(columns))).select("column_name", "pos", "num", "cnt")
+
+
 def numeric_frequencies(freq: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, pos, num, cnt)`` with one row per distinct number.
 

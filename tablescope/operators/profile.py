@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions import as_number, fround, py_float_text, safe
 from ..functions.constants import TOP_K_VALUES
-from .freq import frequency_table, numeric_frequencies
-from .ordered import select_ranks
+from .freq import frequency_table, numbers, numeric_frequencies
+from .ranks import order_statistics
 from .reshape import unpivot_structs
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -65,10 +65,11 @@ def weighted_moments(freq: DataFrame, columns: list[str]) -> DataFrame:
     """Moments from the frequency table (no second scan of the data): means
     first, then centred power sums weighted by ``cnt`` (two small passes over
     distinct values, numerically stable)."""
-    fnum = numeric_frequencies(freq, columns)
+    fnum = numbers(freq, columns)
     first = fnum.groupBy("column_name").agg(
         F.sum("cnt").alias("n"), F.min("num").alias("mn"), F.max("num").alias("mx"),
-        (F.sum(F.col("num") * F.col("cnt")) / F.sum("cnt")).alias("av"))
+        # the mean of a constant column is the constant itself, to the last digit
+        F.when(F.min("num") == F.max("num"), F.min("num")).otherwise(F.sum(F.col("num") * F.col("cnt")) / F.sum("cnt")).alias("av"))
     d = F.col("num") - F.col("av")
     w = F.col("cnt")
     # one row per numeric column: a bounded broadcast
@@ -108,51 +109,24 @@ def numeric_moments(df: DataFrame, columns: list[str], freq: DataFrame | None =
     return _finish_moments(long)
 
 
-# per-column distinct numbers up to which the exact percentile aggregate (a
-# value → count map per column) is used; larger columns use rank selection
-PERCENTILE_MAP_MAX = 1_000_000
-
-
-def quantiles(freq: DataFrame, columns: list[str], ps=QUARTILES, rows_per_range: int | None = None,
-              map_max: int = PERCENTILE_MAP_MAX, distinct: dict | None = None) -> DataFrame:
+def quantiles(freq: DataFrame, columns: list[str], ps=QUARTILES) -> DataFrame:
     """Exact linear-interpolated quantiles ``(column_name, p, value)`` (pandas' default).
 
-    Columns with at most ``map_max`` distinct numbers: Spark's exact weighted
-    ``percentile`` over the frequency table (its buffer is bounded by
-    ``map_max`` entries). Larger columns: the two order statistics around
-    ``h = (n-1)·p`` are found by distributed rank selection, never by
-    gathering a column into one task.
+    The two order statistics around ``h = (n-1)·p`` of all columns and ``ps`` are found
+    together by radix refinement (``ranks``), on one path at every size.
     """
     if not columns:
         return freq.sparkSession.createDataFrame([], "column_name string, p double, value double")
-    fnum = numeric_frequencies(freq, columns).select("column_name", "num", "cnt")
-    if distinct is None:  # one row per column; skipped when the type table already has it
-        distinct = {r[0]: r[1] for r in fnum.groupBy("column_name").count().collect()}
-    small = [c for c in columns if distinct.get(c, 0) <= map_max]
-    large = [c for c in columns if distinct.get(c, 0) > map_max]
-    parts = []
-    if small:
-        pct = F.percentile(F.col("num"), F.array(*[F.lit(float(p)) for p in ps]), F.col("cnt"))
-        agg = fnum.where(F.col("column_name").isin(small)).groupBy("column_name").agg(pct.alias("_q"))
-        parts.append(agg.select("column_name", F.inline(F.arrays_zip(
-            F.array(*[F.lit(float(p)) for p in ps]).alias("p"), F.col("_q").alias("value")))))
-    if large:
-        parts.append(_quantiles_by_rank(fnum.where(F.col("column_name").isin(large)), ps, rows_per_range))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _quantiles_by_rank(fnum: DataFrame, ps, rows_per_range: int | None) -> DataFrame:
-    counts = fnum.groupBy("column_name").agg(F.sum("cnt").alias("n"))
-    h = (F.col("n") - 1) * F.col("p")
-    targets = (counts.select("column_name", "n", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p"))
-               .select("column_name", "p", h.alias("h"),
-                       F.explode(F.array(F.floor(h), F.ceil(h))).alias("r"))
-               .select("column_name", "p", "h", (F.col("r") + 1).cast("bigint").alias("k")).distinct())
-    kwargs = {} if rows_per_range is None else {"rows_per_range": rows_per_range}
-    picked = select_ranks(fnum, targets, **kwargs)
+
+    def ranks(n: Column) -> Column:
+        structs = []
+        for p in ps:
+            h = (n - 1) * F.lit(float(p))
+            structs += [F.struct(F.lit(float(p)).alias("p"), h.alias("h"), (side(h) + 1).cast("bigint").alias("k"))
+                        for side in (F.floor, F.ceil)]
+        return F.array_distinct(F.array(*structs))
+
+    picked = order_statistics(numbers(freq, columns), ["column_name"], ranks)
     lo_hi = picked.groupBy("column_name", "p", "h").agg(
         F.min_by("value", "k").alias("lo"), F.max_by("value", "k").alias("hi"), F.min("k").alias("klo"))
     t = F.col("h") - (F.col("klo") - 1)
@@ -174,7 +148,7 @@ def outlier_counts(freq: DataFrame, columns: list[str], quarts: DataFrame) -> Da
     q = quarts.groupBy("column_name").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"))
-    fnum = numeric_frequencies(freq, columns)
+    fnum = numbers(freq, columns)
     iqr = F.col("q3") - F.col("q1")
     outside = (F.col("num") < F.col("q1") - 1.5 * iqr) | (F.col("num") > F.col("q3") + 1.5 * iqr)
     # one row per numeric column: a bounded broadcast
@@ -183,14 +157,12 @@ def outlier_counts(freq: DataFrame, columns: list[str], quarts: DataFrame) -> Da
                                    .cast("bigint").alias("outliers_count")))
 
 
-def numeric_stats(df: DataFrame, columns: list[str], freq: DataFrame | None = None,
-                  distinct: dict | None = None) -> DataFrame:
+def numeric_stats(df: DataFrame, columns: list[str], freq: DataFrame | None = None) -> DataFrame:
     """A7-A13 for the given numeric columns, one row per column, all from the
-    frequency table (the data is scanned once). ``distinct`` (column → number
-    of distinct values, e.g. from the type table) saves a counting job."""
+    frequency table (the data is scanned once)."""
     f = freq if freq is not None else frequency_table(df, columns, persist=True)
     mom = numeric_moments(df, columns, f)
-    qs = quantiles(f, columns, distinct=distinct)
+    qs = quantiles(f, columns)
     q = qs.groupBy("column_name").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                                    for p, n in zip(QUARTILES, ("q1", "median", "q3"))])
     out = outlier_counts(f, columns, qs)
@@ -236,7 +208,7 @@ def _bin_index(v: Column, first: Column, step: Column, last: Column, bins: Colum
 def histogram_bounds(freq: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, n, first, last, bins, step)``: bins = clamp(⌊√n⌋, 3, 10);
     a constant column is widened to ±0.5."""
-    fnum = numeric_frequencies(freq, columns)
+    fnum = numbers(freq, columns)
     b = fnum.groupBy("column_name").agg(F.sum("cnt").alias("n"), F.min("num").alias("mn"), F.max("num").alias("mx"))
     bins = F.least(F.lit(10), F.greatest(F.lit(3), F.floor(F.sqrt(F.col("n"))))).cast("bigint")
     first = F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn"))
@@ -250,7 +222,7 @@ def histogram(freq: DataFrame, columns: list[str], label_digits: int = 2, sep: s
     # one row per column; its values become literals, so the cells are read once for the bounds and once for the bins
     found = histogram_bounds(freq, columns)
     bounds = freq.sparkSession.createDataFrame(found.collect(), found.schema)
-    fnum = numeric_frequencies(freq, columns)
+    fnum = numbers(freq, columns)
     idx = _bin_index(F.col("num"), F.col("first"), F.col("step"), F.col("last"), F.col("bins"))
     counts = (fnum.join(F.broadcast(bounds), "column_name")
               .groupBy("column_name", idx.alias("bin")).agg(F.sum("cnt").alias("count")))
@@ -327,11 +299,28 @@ def estimated_bytes_from_freq(df: DataFrame, freq: DataFrame) -> Column:
     return F.sum(F.col("cnt") * per_value)
 
 
+def row_digests(df: DataFrame) -> list[Column]:
+    """Three 64-bit digests of a whole row, in which a null differs from every value and a cell from its neighbour."""
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    marks = [c.isNull() for c in cells]
+    return [F.xxhash64(F.lit(seed), *cells, *marks) for seed in (1, 2, 3)]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """A3: rows minus distinct rows, nulls equal, as one row ``(duplicate_rows)``."""
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    """A3: rows minus distinct rows, nulls equal, as one row ``(duplicate_rows)``.
+
+    The shuffle key is a 128-bit digest, whatever the rows' length. A third digest that is not one
+    for all rows of a key shows that different rows share it; those rows are counted by their cells.
+    """
+    names = ["_d1", "_d2", "_d3"]
+    hashed = df.withColumns(dict(zip(names, row_digests(df))))
+    groups = hashed.groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_n"), (F.min("_d3") != F.max("_d3")).alias("_mixed"))
+    alike = groups.where(~F.col("_mixed")).agg(F.sum(F.col("_n") - 1).alias("_more"))
+    # no key, but for collisions of 128 bits
+    mixed = F.broadcast(groups.where("_mixed").select("_d1", "_d2"))
+    rest = hashed.join(mixed, ["_d1", "_d2"], "left_semi").groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    rest = rest.agg(F.sum(F.col("_n") - 1).alias("_more"))
+    return alike.unionByName(rest).agg(F.coalesce(F.sum("_more"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def dataset_summary(df: DataFrame, types_df: DataFrame, freq: DataFrame | None = None) -> DataFrame:

@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-SMALL_SCAN = 128 * 1024 * 1024
-
-
 def unpivot_structs(df: DataFrame, structs: list[Column]) -> DataFrame:
     """One output row per input row and struct; the struct fields become columns."""
     names = [f"_u{i}" for i in range(len(structs))]
@@ -18,22 +15,3 @@ def unpivot_structs(df: DataFrame, structs: list[Column]) -> DataFrame:
     if len(names) == 1:
         return wide.select(f"{names[0]}.*")
     return wide.unpivot([], names, "_var", "_cell").select("_cell.*")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small *scan* with fewer partitions than task slots one partition per slot.
-
-    Only tables of less than one split (SMALL_SCAN bytes by Spark's own estimate) that
-    are stored in few row groups are dealt out; anything larger is left to the
-    scan's splits, whatever the number of slots. Results do not depend on it. Call
-    it on a freshly loaded table only: asking a plan with shuffles for its
-    partitions would run those shuffles.
-    """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL_SCAN:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        return df
-    return df.repartition(slots) if parts < slots else df

@@ -40,12 +40,11 @@ def test_moments_match_pandas(spark, from_freq):
         assert r["kurtosis"] == pytest.approx(0.0 if math.isnan(exp_kurt) else exp_kurt, abs=1e-4)
 
 
-@pytest.mark.parametrize("map_max", [1_000_000, 0])
-def test_quantiles_mode_outliers_match_pandas(spark, map_max):
+def test_quantiles_mode_outliers_match_pandas(spark):
     df, groups = _edges_frame(spark)
     cols = list(groups)
     f = frequency_table(df, cols)
-    q = quantiles(f, cols, ps=(0.1, 0.25, 0.5, 0.75, 0.9), map_max=map_max, rows_per_range=2)
+    q = quantiles(f, cols, ps=(0.1, 0.25, 0.5, 0.75, 0.9))
     got = {(r[0], r[1]): r[2] for r in q.collect()}
     md = {r[0]: r[1] for r in modes(f, cols).collect()}
     oc = {r[0]: r[1] for r in outlier_counts(f, cols, quantiles(f, cols)).collect()}
@@ -87,6 +86,41 @@ def test_correlation_pairwise_and_constant(spark):
             assert got[(x, y)] == pytest.approx(float(exp.loc[x, y]), abs=1e-4)
 
 
+def test_correlation_with_an_outlier_beside_a_null(spark):
+    """The huge value is in no complete row of the pair, so it changes nothing."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, 2000)
+    y = x + rng.normal(0, 0.5, 2000)
+    rows = [(float(a), float(b), 0.1, float(a) + 1e12) for a, b in zip(x, y)] + [(-1e9, None, 0.1, None), (None, 1e15, 0.1, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    got = {(r["col_x"], r["col_y"]): r["r"] for r in correlation(df, list("abcd")).collect()}
+    assert got[("a", "b")] == got[("b", "a")] == round(float(np.corrcoef(x, y)[0, 1]), 4)
+    assert got[("a", "a")] == got[("b", "b")] == 1.0
+    assert got[("a", "d")] == pytest.approx(1.0, abs=1e-4)
+    assert all(got[("c", o)] == 0.0 for o in "abcd")
+
+
+def test_comoments_merge_like_one_batch():
+    from tablescope.operators.corr import batch_state, merge_states
+    rng = np.random.default_rng(4)
+    x = rng.normal(1e6, 3, (999, 5))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = 0.1
+    merged = np.zeros((6, 5, 5))
+    for part in np.array_split(x, 17):
+        merged = merge_states(merged, batch_state(part))
+    assert np.allclose(merged, batch_state(x), rtol=1e-9)
+    assert (merged[4][:, 4] == 0).all() and (merged[5][:, 4] == 0).all()
+    pairs = pd.DataFrame(x).corr()
+    assert merged[5][0, 1] / np.sqrt(merged[3][0, 1] * merged[4][0, 1]) == pytest.approx(pairs.iloc[0, 1], abs=1e-9)
+
+
+def test_moments_of_a_constant_fraction(spark):
+    df = spark.createDataFrame([(0.1,)] * 7, "x double")
+    r = numeric_moments(df, ["x"], frequency_table(df)).first()
+    assert (r["mean"], r["variance"], r["skewness"], r["kurtosis"]) == (0.1, 0.0, 0.0, 0.0)
+
+
 def test_top_values_and_summary(spark):
     rows = [("a", 1), ("a", 1), ("b", 2), (None, 3), ("c", None), ("a", 1)]
     df = spark.createDataFrame(rows, "k string, v int")
@@ -108,3 +142,18 @@ def test_approx_mode_close_to_exact(spark):
         assert abs(v - np.quantile(vals, p)) < 1.0
     d = {r["column_name"]: r["unique_count"] for r in approx_distinct(df, ["x", "k"]).collect()}
     assert abs(d["x"] - 5000) < 250 and abs(d["k"] - len({int(v) % 97 for v in vals})) <= 3
+
+
+def test_duplicate_rows_by_digest(spark, monkeypatch):
+    from tablescope.operators import profile
+    rows = [("a", None, 1.0), ("a", None, 1.0), (None, "a", 1.0), ("a", "", 1.0), ("", "a", 1.0), (None, None, None), (None, None, None),
+            ("x", "y", -0.0), ("x", "y", 0.0), ("n", "n", float("nan")), ("n", "n", float("nan"))]
+    df = spark.createDataFrame(rows, "a string, b string, `c d` double")
+    want = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).count().agg(F.sum(F.col("count") - 1)).first()[0]
+    assert profile.duplicate_rows(df).first()["duplicate_rows"] == want == 4
+    plan = profile.duplicate_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_d1" in plan
+    # digests that collide: the rows are told apart by their cells
+    monkeypatch.setattr(profile, "row_digests", lambda d: [F.lit(0), F.lit(0), F.xxhash64(*[F.col(f"`{c}`") for c in d.columns])])
+    assert profile.duplicate_rows(df).first()["duplicate_rows"] == want
+    assert profile.duplicate_rows(df.limit(0)).first()["duplicate_rows"] == 0
