@@ -38,12 +38,12 @@ def session_deltas(events: DataFrame, kind: str, start: str, end: str) -> DataFr
 
 
 def active_sessions(events: DataFrame, order: list[str], kind: str, start: str, end: str,
-                    partition: list[str] | None = None, n_rows: int | None = None) -> DataFrame:
+                    partition: list[str] | None = None) -> DataFrame:
     """Running count of open sessions that never goes below zero
     (an end with nothing open is ignored), per ``partition`` key or global.
     Adds ``running`` (plain sum) and ``active``."""
     d = session_deltas(events, kind, start, end)
-    return floored_running_sum(d, order, "delta", 0.0, partition, n_rows, out="active")
+    return floored_running_sum(d, order, "delta", 0.0, partition, out="active")
 
 
 def merge_max(target: DataFrame, source: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

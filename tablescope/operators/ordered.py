@@ -1,31 +1,20 @@
-"""Exact order statistics and ordered prefix sums without a global window.
+"""Ordered prefix sums without a global window.
 
 A window with no partition key (or one key holding a third of the rows)
-runs in a single task. Both helpers here instead range-partition the data
-(Spark samples the key to balance the partitions), freeze the partition id
-by persisting that one shuffled result (a recomputed block comes from the same
-shuffle dependency, so it lands in the same partition; ``reliable=True``
-writes a checkpoint to the shared folder instead), aggregate one small row per
-partition, prefix-sum those few rows, and broadcast the offsets back. Per-task work is bounded by
-the partition size whatever the skew of the grouping key.
+runs in a single task. Here the data is range-partitioned instead (Spark samples the
+key to balance the ranges and takes their number from the shuffle
+partitions), the range is frozen by persisting that one shuffled result (a recomputed block comes from the same
+shuffle dependency, so it lands in the same range; ``reliable=True``
+writes a checkpoint to the shared folder instead), and one row per range carries
+what the ranges before it add. Per-task work is bounded by
+the size of a range whatever the skew of the grouping key.
 """
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 2_000_000
-
-
-def _range_partitions(df: DataFrame, n_rows: int | None, rows_per_range: int) -> int:
-    """Number of range partitions, sized from the data: ``ceil(rows / rows_per_range)``.
-    Without an estimate the input is counted first (one cheap job)."""
-    n = n_rows if n_rows is not None else df.count()
-    return max(1, int(math.ceil(n / rows_per_range)))
-
 
 def freeze(df: DataFrame, reliable: bool = False) -> DataFrame:
     """Pin a result whose partition ids must not change between its uses."""
@@ -34,76 +23,47 @@ def freeze(df: DataFrame, reliable: bool = False) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def range_frozen(df: DataFrame, by: list[str], order: list[str], n_rows: int | None = None,
-                 rows_per_range: int = ROWS_PER_RANGE, reliable: bool = False) -> DataFrame:
-    """Range-partition on ``by + order`` and freeze the partition id as ``_pid``."""
-    parts = _range_partitions(df, n_rows, rows_per_range)
-    ranged = df.repartitionByRange(parts, *[F.col(c) for c in by + order])
+def range_frozen(df: DataFrame, by: list[str], order: list[str], reliable: bool = False) -> DataFrame:
+    """Range-partition on ``by + order`` and freeze the range as ``_pid``."""
+    ranged = df.repartitionByRange(*[F.col(c) for c in by + order])
     return freeze(ranged.withColumn("_pid", F.spark_partition_id()), reliable)
 
 
-def select_ranks(values: DataFrame, targets: DataFrame, key: str = "column_name", order: str = "num",
-                 weight: str = "cnt", n_rows: int | None = None,
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Value at 1-based weighted rank ``k`` for every ``(key, k)`` in ``targets``.
-
-    ``values`` has ``(key, order, weight)`` with ``weight`` copies of each
-    ordered value. Returns ``targets`` columns plus ``value``.
-    """
-    r = range_frozen(values.select(key, order, weight), [key], [order], n_rows, rows_per_range)
-    per_part = r.groupBy(key, "_pid").agg(F.sum(weight).alias("_pcnt"))
-    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
-    per_part = (per_part.withColumn("_end", F.sum("_pcnt").over(w))
-                .withColumn("_start", F.col("_end") - F.col("_pcnt")))
-    # which partition holds each target rank (few rows per key on both sides)
-    hit = (targets.alias("_t").join(per_part.alias("_pp"), on=key)
-           .where((F.col("k") > F.col("_start")) & (F.col("k") <= F.col("_end"))))
-    need = hit.select(key, "_pid", "_start").distinct()
-    # the number of partitions that hold a target is at most the number of targets
-    rows = r.join(F.broadcast(need), on=[key, "_pid"])
-    w2 = Window.partitionBy(key, "_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (rows.withColumn("_cum", F.col("_start") + F.sum(weight).over(w2))
-            .withColumn("_prev", F.col("_cum") - F.col(weight)))
-    tcols = [c for c in targets.columns]
-    out = (F.broadcast(hit.select(*tcols, "_pid")).alias("_h")
-           .join(rows.alias("_r"), on=[key, "_pid"])
-           .where((F.col("_h.k") > F.col("_r._prev")) & (F.col("_h.k") <= F.col("_r._cum"))))
-    return out.select(*[F.col(f"_h.{c}") if c != key else F.col(key) for c in tcols],
-                      F.col(f"_r.{order}").alias("value"))
-
-
 def floored_running_sum(df: DataFrame, order: list[str], delta: str, floor: float = 0.0,
-                        partition: list[str] | None = None, n_rows: int | None = None,
-                        rows_per_range: int = ROWS_PER_RANGE, out: str = "value") -> DataFrame:
+                        partition: list[str] | None = None, out: str = "value") -> DataFrame:
     """Running value that starts at ``floor``, adds ``delta`` in ``order`` and is
     clamped at ``floor`` after every step (``v = max(v + d, floor)``).
 
-    With S the plain prefix sum, the clamped value is
-    ``floor + S - least(0, min over the prefix of S)``, which only needs
-    prefix sums and prefix minima, so it can be
-    computed per range partition and stitched together with per-partition
-    offsets. Adds ``running`` (plain) and ``out`` (clamped, default ``value``).
+    A run of rows maps the value before it to ``max(v + a, b)``, and such functions compose; with S the
+    plain prefix sum the clamped value is ``floor + S - least(0, min over the prefix of S)``. Ranges are sorted
+    by key and order, so only a range's first key can have rows in the ranges before it, as their last
+    key: each range gets one row, the composed function of that key's rows before it, whatever the number of
+    keys. Adds ``running`` (plain) and ``out`` (clamped, default ``value``).
     """
     part = list(partition or [])
-    r = range_frozen(df, part, order, n_rows, rows_per_range)
-    wl = (Window.partitionBy(*part, "_pid").orderBy(*order)
+    key = F.struct(*[F.col(c) for c in part]) if part else F.lit(0)
+    r = range_frozen(df.withColumn("_key", key), part, order)
+    wl = (Window.partitionBy("_key", "_pid").orderBy(*order)
           .rowsBetween(Window.unboundedPreceding, 0))
     local = (r.withColumn("_ls", F.sum(delta).over(wl))
              .withColumn("_lmin", F.min(F.col("_ls")).over(wl)))
-    # one row per (partition key, range partition): its total and lowest prefix
-    per_part = local.groupBy(*part, "_pid").agg(F.sum(delta).alias("_ptot"),
-                                                F.min("_ls").alias("_pmin"))
-    wp = Window.partitionBy(*part).orderBy("_pid")
-    wp_before = wp.rowsBetween(Window.unboundedPreceding, -1)
-    per_part = (per_part
-                .withColumn("_off", F.coalesce(F.sum("_ptot").over(wp_before), F.lit(0)))
-                .withColumn("_min_before",
-                            F.min(F.col("_off") + F.col("_pmin")).over(wp_before)))
-    joined = local.join(F.broadcast(per_part.select(*part, "_pid", "_off", "_min_before")),
-                        on=[*part, "_pid"])
-    running = F.col("_off") + F.col("_ls")
-    prefix_min = F.least(F.coalesce(F.col("_min_before"), F.lit(float("inf"))),
-                         F.col("_off") + F.col("_lmin"))
+    sums = local.groupBy("_pid", "_key").agg(F.sum(delta).alias("tot"), F.min("_ls").alias("low"))
+    # one row per range from here on: its first key, and its last key with that key's sum and lowest prefix
+    ranges = sums.groupBy("_pid").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"),
+                                      F.max_by(F.struct("tot", "low"), "_key").alias("_tail"))
+    before = Window.partitionBy("_last").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_last").orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumn("_off", F.coalesce(F.sum("_tail.tot").over(before), F.lit(0)))
+    ranges = ranges.withColumn("_end", F.col("_off") + F.col("_tail.tot")).withColumn(
+        "_low", F.min(F.col("_off") + F.col("_tail.low")).over(upto))
+    neighbour = Window.orderBy("_pid")
+    came = F.lag(F.struct(F.col("_last").alias("key"), F.col("_end").alias("off"), F.col("_low").alias("low"))).over(neighbour)
+    carried = ranges.withColumn("_c", came).where(F.col("_c.key").eqNullSafe(F.col("_first")))
+    carried = carried.select(F.col("_pid").alias("_p"), F.col("_first"), F.col("_c.off").alias("_carried"), F.col("_c.low").alias("_lowest"))
+    joined = local.join(F.broadcast(carried), (F.col("_pid") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_first")), "left")
+    off = F.coalesce("_carried", F.lit(0))
+    running = off + F.col("_ls")
+    prefix_min = F.least(F.coalesce("_lowest", F.lit(float("inf"))), off + F.col("_lmin"))
     value = F.lit(floor) + running - F.least(F.lit(0.0), prefix_min)
     return (joined.withColumn("running", running).withColumn(out, value)
-            .drop("_ls", "_lmin", "_off", "_min_before", "_pid"))
+            .drop("_ls", "_lmin", "_key", "_first", "_carried", "_lowest", "_p", "_pid"))

@@ -7,9 +7,7 @@ partitioning plus per-partition offsets, never from a global window.
 """
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,12 +41,9 @@ def sort_table(df: DataFrame, by: str | None, direction: str = "desc",
     return df.orderBy(*orders) if orders else df
 
 
-def with_positions(df: DataFrame, orders: list[Column], name: str = "position",
-                   n_rows: int | None = None) -> DataFrame:
+def with_positions(df: DataFrame, orders: list[Column], name: str = "position") -> DataFrame:
     """1-based position in ``orders`` for every row, computed per range partition."""
-    n = n_rows if n_rows is not None else df.count()  # size the ranges from the data
-    parts = max(1, math.ceil(n / 2_000_000))
-    ranged = freeze(df.repartitionByRange(parts, *orders).withColumn("_pid", F.spark_partition_id()))
+    ranged = freeze(df.repartitionByRange(*orders).withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn("_lp", F.row_number().over(Window.partitionBy("_pid").orderBy(*orders)))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_off", F.coalesce(
@@ -59,22 +54,21 @@ def with_positions(df: DataFrame, orders: list[Column], name: str = "position",
             .drop("_pid", "_lp", "_off"))
 
 
-# past this many rows a per-task top-k buffer is too large: use positions
-TOP_K_MAX = 100_000
+#: Spark's top-k allots a buffer of offset and limit rows in every task; a page that lies deeper comes from positions.
+TOP_K_ROWS = 100_000
 
 
 def page(df: DataFrame, page_no: int = 1, page_size: int = 50, orders: list[Column] | None = None,
          name: str = "position") -> DataFrame:
     """L2: rows of one page (clamped ≥ 1) with their 1-based table position.
 
-    Shallow pages are a per-task top-k of ``start + size`` rows; deep pages
-    (and pages past the end) filter range-partitioned positions instead, so
-    no task ever buffers more than ``TOP_K_MAX`` rows.
+    A per-task top-k of ``start + size`` rows, or, deeper in the table or past its end, the positions of the
+    sorted ranges. For many pages of one order see ``PageIndex``.
     """
     p = max(int(page_no), 1)
     size = max(int(page_size), 1)
     start = (p - 1) * size
-    if orders and start + size > TOP_K_MAX:
+    if orders and start + size > TOP_K_ROWS:
         pos = with_positions(df, orders, name)
         return pos.where((F.col(name) > start) & (F.col(name) <= start + size))
     ordered = df.orderBy(*orders) if orders else df
@@ -84,6 +78,45 @@ def page(df: DataFrame, page_no: int = 1, page_size: int = 50, orders: list[Colu
     return rows.withColumn(name, (F.row_number().over(w) + F.lit(start)).cast("bigint"))
 
 
+class PageIndex:
+    """A table written once in the order of its pages, in one folder per range, with the exact number of rows of each.
+
+    ``page`` adds up the counts (one row per range) and opens only the folders that hold the page, however
+    deep it lies; a row's place in its range is written beside it, so nothing is sorted again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, df: DataFrame, orders: list[Column], path: str) -> "PageIndex":
+        ranged = df.repartitionByRange(*orders).sortWithinPartitions(*orders)
+        place = F.monotonically_increasing_id()
+        ranged.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.shiftright(place, 33).cast("int").alias("range"),
+                      place.bitwiseAND((1 << 33) - 1).alias("place")).write.partitionBy("range").parquet(f"{path}/rows")
+        index = cls(df.sparkSession, path)
+        index.rows().groupBy("range").agg(F.max("place").alias("last")).write.parquet(f"{path}/ranges")
+        return index
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    def page(self, page_no: int = 1, page_size: int = 50, name: str = "position") -> DataFrame:
+        """The rows of one page (clamped ≥ 1) with their 1-based position in the whole table."""
+        size = max(int(page_size), 1)
+        start = (max(int(page_no), 1) - 1) * size
+        ranges = self.spark.read.parquet(f"{self.path}/ranges").select("range", (F.col("last") + 1).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+        held = ranges.select("range", (upto - F.col("n")).alias("before"), upto.alias("upto"))
+        held = held.where((F.col("before") < start + size) & (F.col("upto") > start)).collect()  # ranges that hold the page
+        before = F.lit(0).cast("bigint")
+        for r in held:
+            before = F.when(F.col("range") == r["range"], F.lit(r["before"])).otherwise(before)
+        position = before + F.col("place") + 1
+        rows = self.rows().where(F.col("range").isin([r["range"] for r in held]))
+        return rows.where((position > start) & (position <= start + size)).select("row.*", position.alias(name))
+
+
 def page_after(df: DataFrame, key: str, last_value, page_size: int = 50) -> DataFrame:
     """Keyset paging: the next ``page_size`` rows after ``last_value`` of a unique key."""
     base = df if last_value is None else df.where(F.col(f"`{key}`") > F.lit(last_value))
@@ -115,6 +148,9 @@ def first_complete_pairs(df: DataFrame, x: str, y: str, n: int, orders: list[Col
             .select(nx.alias("x"), ny.alias("y")))
 
 
-def latest(df: DataFrame, ts: str, k: int = 50) -> DataFrame:
-    """The ``k`` most recent rows (a per-task top-k, not a sort)."""
-    return df.orderBy(F.col(f"`{ts}`").desc()).limit(k)
+def latest(df: DataFrame, ts: str, k: int = 50, tie_break: list[str] | None = None) -> DataFrame:
+    """The ``k`` most recent rows (a per-task top-k, not a sort). Rows of one time come in the order of
+    ``tie_break``, by default of all other columns that can be ordered."""
+    if tie_break is None:
+        tie_break = [f.name for f in df.schema.fields if f.name != ts and not isinstance(f.dataType, T.MapType)]
+    return df.orderBy(F.col(f"`{ts}`").desc(), *[F.col(f"`{c}`").asc() for c in tie_break]).limit(k)

@@ -1,3 +1,4 @@
+import contextlib
 import datetime as dt
 import os
 import random
@@ -17,6 +18,39 @@ def _sequential(kinds):
     return out
 
 
+@contextlib.contextmanager
+def many_ranges(spark, n):
+    """n shuffle partitions that are not put together, however small."""
+    names = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_floored_sessions_by_key_across_ranges(spark):
+    """A key over several ranges, many keys in one range, a null key; nothing keyed by user is broadcast."""
+    random.seed(6)
+    users = [None, 1, 2] + list(range(10, 60))
+    rows = [(i, random.choice([None, 1, 1, 1, 2] + users), random.choice(["start", "end", "end", "other"])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, user long, kind string")
+    with many_ranges(spark, 13):
+        out = active_sessions(df, ["event_id"], "kind", "start", "end", ["user"])
+        got = {r["event_id"]: (r["active"], r["running"]) for r in out.collect()}
+        assert out.rdd.getNumPartitions() > 1
+    for u in {u for _, u, _ in rows}:
+        mine = [(i, k) for i, w, k in rows if w == u]
+        want, plain = _sequential([k for _, k in mine]), 0
+        for (i, k), active in zip(mine, want):
+            plain += (k == "start") - (k == "end")
+            assert got[i] == (active, plain)
+    assert out.columns == ["event_id", "user", "kind", "delta", "running", "active"]
+
+
 def test_floored_sessions_match_loop_across_partitions(spark):
     random.seed(5)
     kinds = ["end", "end", "start"] + [random.choice(["start", "end", "end", "other"]) for _ in range(400)]
@@ -24,8 +58,9 @@ def test_floored_sessions_match_loop_across_partitions(spark):
     rows = [(i, base + dt.timedelta(minutes=i), k) for i, k in enumerate(kinds)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, kind string")
     d = df.withColumn("delta", F.when(F.col("kind") == "start", 1.0).when(F.col("kind") == "end", -1.0).otherwise(0.0))
-    out = floored_running_sum(d, ["ts", "event_id"], "delta", 0.0, n_rows=400, rows_per_range=37, out="active")
-    got = [r["active"] for r in out.orderBy("event_id").collect()]
+    with many_ranges(spark, 11):
+        out = floored_running_sum(d, ["ts", "event_id"], "delta", 0.0, out="active")
+        got = [r["active"] for r in out.orderBy("event_id").collect()]
     assert got == _sequential(kinds)
     assert [r["active"] for r in active_sessions(df, ["ts", "event_id"], "kind", "start", "end")
             .orderBy("event_id").collect()] == _sequential(kinds)
