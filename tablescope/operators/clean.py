@@ -1,9 +1,9 @@
 """Turning a raw all-text grid into a typed table.
 
 A raw grid is ``(_file, _row_ord, c0 … cN)`` with every cell STRING and
-``_row_ord`` an orderable key (file order). Header detection looks only at
-the first 31 rows of each file (``row_number() <= 31`` per file, which Spark
-limits inside each map task), so it costs the same for one file or thousands.
+``_row_ord`` a struct (block, row) in file order, its rows numbered without gaps within a
+block. Header detection looks only at the first 31 rows of each file, which the number of
+rows and the first number of each block tell; no row is sorted for it.
 """
 from __future__ import annotations
 
@@ -30,10 +30,15 @@ def _is_pure_number(v: Column) -> Column:
 
 
 def head_rows(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFrame:
-    """The first ``scan_rows + 1`` rows of every file with their rank ``_rn``
-    (Spark keeps at most that many rows per file in each task)."""
-    w = Window.partitionBy("_file").orderBy("_row_ord")
-    return raw.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= scan_rows + 1)
+    """The first ``scan_rows + 1`` rows of every file with their rank ``_rn``."""
+    block, row = F.col("_row_ord.block"), F.col("_row_ord.row")
+    blocks = raw.groupBy(F.col("_file").alias("_f"), block.alias("_b")).agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the blocks in which a file's first rows lie: one per file as a rule
+    starts = blocks.withColumn("_before", before).where(F.col("_before") <= scan_rows).drop("_n")
+    place = row - F.col("_first") + F.col("_before") + 1
+    found = raw.join(F.broadcast(starts), (F.col("_file") == F.col("_f")) & (block == F.col("_b")))
+    return found.withColumn("_rn", place.cast("int")).where(F.col("_rn") <= scan_rows + 1).drop("_f", "_b", "_first", "_before")
 
 
 def header_scores(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS, head: DataFrame | None = None) -> DataFrame:
@@ -66,17 +71,15 @@ def header_scores(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS, head: DataF
 
 
 def detect_header_row(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFrame:
-    """``(_file, header_rn, header_ord)``: the best-scoring row per file
-    (first maximum wins); files where no row qualifies use their first row."""
+    """``(_file, header_rn, header_ord, cells)``: the best-scoring row per file
+    (first maximum wins) and its trimmed cells; files where no row qualifies use their first row."""
     head = head_rows(raw, scan_rows)
     sc = header_scores(raw, scan_rows, head)
-    best = sc.groupBy("_file").agg(F.max_by(F.struct("_rn", "_row_ord"),
-                                            F.struct(F.col("score"), -F.col("_rn"))).alias("b"))
-    # first row of each file, from the bounded head (not a scan of every row)
-    firsts = head.where(F.col("_rn") == 1).select("_file", F.col("_row_ord").alias("_first"))
-    return (firsts.join(best, "_file", "left")
-            .select("_file", F.coalesce(F.col("b._rn"), F.lit(1)).alias("header_rn"),
-                    F.coalesce(F.col("b._row_ord"), F.col("_first")).alias("header_ord")))
+    best = sc.groupBy("_file").agg(F.max_by("_rn", F.struct(F.col("score"), -F.col("_rn"))).alias("_best"))
+    cells = F.array(*[F.trim(F.col(f"`{c}`")) for c in data_columns(raw)])
+    rows = head.select("_file", "_rn", "_row_ord", cells.alias("cells"))
+    return (rows.join(best, "_file", "left").where(F.col("_rn") == F.coalesce("_best", F.lit(1)))
+            .select("_file", F.col("_rn").alias("header_rn"), F.col("_row_ord").alias("header_ord"), "cells"))
 
 
 def normalize_column_names(names: list) -> list[str]:
@@ -111,37 +114,34 @@ def _named(cells: list) -> list[str]:
 def promote_header(raw: DataFrame, header: DataFrame | None = None) -> DataFrame:
     """Keep the rows below each file's own header row and name their cells by it.
 
-    Files with the same header cells form a layout. With one layout the names are
-    taken as they stand (C5 makes them unique later). With several, each layout's
+    Files with the same header cells form a layout. Each layout's
     names are made unique and the layouts are matched by name; columns stand in
     the order of the first file's layout, then of the others', and a column that a
     layout lacks is NULL there.
     """
     cols = data_columns(raw)
     header = header if header is not None else detect_header_row(raw)
-    heads = (raw.join(header.select("_file", F.col("header_ord").alias("_h")), "_file").where(F.col("_row_ord") == F.col("_h"))
-             .select("_file", F.array(*[F.trim(F.col(f"`{c}`")) for c in cols]).alias("_cells")))
     # one row per layout
-    layouts = heads.groupBy("_cells").agg(F.min("_file").alias("_first")).orderBy("_first").collect()
-    body = raw.join(header.select("_file", "header_ord"), "_file").where(F.col("_row_ord") > F.col("header_ord")).drop("header_ord")
+    layouts = header.groupBy("cells").agg(F.min("_file").alias("_first")).orderBy("_first").collect()
     if len(layouts) <= 1:
-        names = _named(list(layouts[0]["_cells"]) if layouts else [None] * len(cols))
-        return body.select("_file", "_row_ord", *[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)])
-    spark = raw.sparkSession
-    numbers = spark.createDataFrame([(list(r["_cells"]), i) for i, r in enumerate(layouts)], "_cells array<string>, _layout int")
+        body = raw.join(header.select("_file", "header_ord"), "_file").where(F.col("_row_ord") > F.col("header_ord"))
+        given = _named(list(layouts[0]["cells"]) if layouts else [None] * len(cols))
+        # unique from here on; what the header says stays with the column until empty ones are dropped
+        return body.select("_file", "_row_ord", *[F.col(f"`{c}`").alias(n, metadata={"header": g})
+                                                  for c, n, g in zip(cols, normalize_column_names(given), given)])
+    of_layout = [normalize_column_names(_named(list(r["cells"]))) for r in layouts]
+    names = list(dict.fromkeys(n for own in of_layout for n in own))
+    # where each output column stands in a layout, -1 where it has none
+    places = [[own.index(n) if n in own else -1 for n in names] for own in of_layout]
     # null cells: compared as text with a mark of their own
     key = lambda c: F.array_join(c, "\x1f", "\x00")
-    files = heads.select("_file", key("_cells").alias("_k")).join(numbers.select(key("_cells").alias("_k"), "_layout"), "_k").drop("_k")
-    body = body.join(files, "_file")
-    parts = []
-    for i, r in enumerate(layouts):
-        names = normalize_column_names(_named(list(r["_cells"])))
-        parts.append(body.where(F.col("_layout") == i).select(
-            "_file", "_row_ord", *[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    known = raw.sparkSession.createDataFrame([(list(r["cells"]), p) for r, p in zip(layouts, places)],
+                                             "_cells array<string>, _places array<int>")
+    files = header.select("_file", "header_ord", key("cells").alias("_k")).join(
+        F.broadcast(known.select(key("_cells").alias("_k"), "_places")), "_k").drop("_k")
+    body = raw.join(files, "_file").where(F.col("_row_ord") > F.col("header_ord"))
+    body = body.select("_file", "_row_ord", F.array(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "_places")
+    return body.select("_file", "_row_ord", *[F.get("_row", F.get("_places", F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
 def drop_empty(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -195,7 +195,7 @@ def clean_table(raw: DataFrame, keep_order: bool = False) -> DataFrame:
     trimmed = drop_empty(promoted)
     body = drop_total_rows(trimmed)
     data = [c for c in body.columns if not c.startswith("_")]
-    names = normalize_column_names(data)
+    names = normalize_column_names([body.schema[c].metadata.get("header", c) for c in data])
     body = body.select(*[F.col(c) for c in ORDER_COLS],
                        *[F.col(f"`{c}`").alias(n) for c, n in zip(data, names)])
     types = collect_types(column_types(body, names))

@@ -1,26 +1,24 @@
 """Scanning delimited text and typed tables into raw grids.
 
-The separator is chosen from each file's first lines. The encoding, whether cells
-hold line ends and the width of the grid come from all lines, by one aggregate
-per file and one over the records that are wider than the first lines. Files are
-then grouped by (encoding, separator, line ends in cells); a group is one CSV scan,
-splittable unless its cells hold line ends. Row order is carried explicitly as
-``_row_ord = struct(file_block_start, monotonically_increasing_id)``, which is
-file order within each file even when a file is split across tasks.
+The encoding, the separator, whether quoted cells hold line ends and the width of the
+grid come from one pass over all lines of all files (``records.block_facts``),
+which knows for every byte whether it stands in a quoted cell. Files are then grouped by
+(encoding, separator, line ends in cells). A group without line ends in cells is one CSV
+scan; in the others records are put together block by block and parsed one by
+one. Both are splittable. Row order is carried explicitly as ``_row_ord = struct(block,
+row)``, which is file order within each file even when a file is split across tasks.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import CSV_NA_TOKENS, HEADER_SCAN_ROWS
+from ..functions.constants import CSV_NA_TOKENS
 from ..operators.clean import na_to_null
+from ..session import scratch_path
+from . import records as rec
 
-SEPARATORS = [",", ";", "\t", "|"]
-SNIFF_LINES = HEADER_SCAN_ROWS
-
-
-PREFIX_BYTES = 64 * 1024
+SEPARATORS = list(rec.SEPARATORS)
 
 
 def _open_prefix(path: str, nbytes: int) -> bytes:
@@ -36,133 +34,86 @@ def _open_prefix(path: str, nbytes: int) -> bytes:
         return fh.read(nbytes)
 
 
-def _prefix_lines(batches, n: int, nbytes: int):
-    import pandas as pd
-    for pdf in batches:
-        out = []
-        for path in pdf["path"]:
-            raw = _open_prefix(path, nbytes)
-            parts = raw.split(b"\n")
-            if len(raw) >= nbytes and len(parts) > 1:
-                parts = parts[:-1]  # the last line may be cut
-            k = 0
-            for b in parts:
-                b = b.rstrip(b"\r")
-                try:
-                    text, bad = b.decode("utf-8"), False
-                except UnicodeDecodeError:
-                    text, bad = b.decode("latin-1"), True
-                if not text.strip():
-                    continue
-                k += 1
-                out.append((path, k, text, bad))
-                if k >= n:
-                    break
-        yield pd.DataFrame(out, columns=["_file", "_ln", "line", "_bad"])
-
-
-def sample_lines(spark: SparkSession, paths, n: int = SNIFF_LINES, nbytes: int = PREFIX_BYTES) -> DataFrame:
-    """``(_file, _ln, line, _bad)``: the first ``n`` non-blank lines of every file,
-    read from a bounded prefix of each file (``nbytes``), one task per group of
-    files; ``_bad`` marks a line that is not valid UTF-8."""
-    from ..session import ship_package
-    ship_package(spark)
-    files = list_files(spark, paths).where(F.col("length") > 0).select("path")
-    return files.mapInPandas(lambda it: _prefix_lines(it, n, nbytes),
-                             "_file string, _ln int, line string, _bad boolean")
+def _states(spark: SparkSession, paths, seps: list[str]) -> DataFrame:
+    """The states of all blocks for the candidate separators."""
+    path = scratch_path(spark, "block-facts")
+    rec.block_facts(spark, paths, tuple(seps)).write.parquet(path)  # a few rows per block
+    return rec.block_states(spark.read.parquet(path))
 
 
-def sniff_files(spark: SparkSession, paths) -> DataFrame:
-    """S3 per file: ``(_file, encoding, sep, width)`` as the first lines show them; S2 looks at
-    all lines (``file_facts``). Separator: the candidate present on the most sampled
-    lines, ties broken by the larger mean count (a one-cell title line does not
-    decide it). Width: the widest sampled line's token count.
-    """
-    lines = sample_lines(spark, paths)
-    per_file = lines.groupBy("_file").agg(
-        F.max(F.col("_bad").cast("int")).alias("_bad"),
-        *[F.sum(F.when(F.length("line") > F.length(F.regexp_replace("line", _re(s), "")), 1).otherwise(0))
-          .alias(f"_h{i}") for i, s in enumerate(SEPARATORS)],
-        *[F.avg(F.length("line") - F.length(F.regexp_replace("line", _re(s), ""))).alias(f"_m{i}")
-          for i, s in enumerate(SEPARATORS)],
-        *[F.max(F.size(F.split("line", _re(s)))).alias(f"_w{i}") for i, s in enumerate(SEPARATORS)],
-    )
-    cands = F.array(*[F.struct(F.col(f"_h{i}").alias("h"), F.col(f"_m{i}").alias("m"), F.lit(i).alias("i"))
-                      for i in range(len(SEPARATORS))])
-    best = F.array_max(cands)
-    seps = F.array(*[F.lit(s) for s in SEPARATORS])
-    widths = F.array(*[F.col(f"_w{i}") for i in range(len(SEPARATORS))])
-    return per_file.select(
-        "_file", F.when(F.col("_bad") == 1, "ISO-8859-1").otherwise("UTF-8").alias("encoding"),
-        F.when(best["h"] > 0, F.element_at(seps, best["i"] + 1)).otherwise(F.lit(",")).alias("sep"),
-        F.when(best["h"] > 0, F.element_at(widths, best["i"] + 1)).otherwise(F.lit(1)).alias("width"))
-
-
-def file_facts(spark: SparkSession, paths) -> DataFrame:
-    """S2 per file over all its lines: ``(_file, bad, multiline)``: a line that is not
-    valid UTF-8 (the file is latin-1 then); a line that leaves a quoted cell open."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("_file"), "value")
-    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return lines.groupBy("_file").agg(F.max(~F.is_valid_utf8("value")).alias("bad"),
-                                      F.max(quotes % 2 == 1).alias("multiline"))
-
-
-def _same_path(path: str) -> str:
-    """A path in the form that listings and scans share."""
-    from urllib.parse import unquote
-    path = unquote(path)
-    return "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
-
-
-def _scan(spark: SparkSession, files, encoding: str, sep: str, multiline: bool, width: int) -> DataFrame:
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    return (spark.read.schema(f"{schema}, _record string").option("header", False).option("sep", sep)
-            .option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multiline)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record")
-            .option("columnPruning", False).csv(files))
-
-
-def _widest(scan: DataFrame, sep: str, width: int) -> int:
-    """Cells of the widest record: those that do not have ``width`` cells are kept whole by the scan and counted."""
-    cells = F.size(F.split(F.regexp_replace("_record", r'"[^"]*"', ""), _re(sep), -1))
-    row = scan.agg(F.max(F.when(F.col("_record").isNotNull(), cells)).alias("w"), F.count("c0").alias("n")).first()
-    return max(width, row["w"] or 0)
-
-
-def _re(sep: str) -> str:
-    return {"|": r"\|", "\t": "\t"}.get(sep, sep)
+def _sniffed(spark: SparkSession, paths, states: DataFrame, seps: list[str]) -> DataFrame:
+    """The best separator of every file with its facts: ``(_file, file, cand, sep, encoding, multi, width)``."""
+    facts = rec.file_facts(states, len(seps)).join(rec.best_separators(states, len(seps)), ["file", "cand"])
+    names = list_files(spark, paths).select(F.col("path").alias("_file"), F.xxhash64("path").alias("file"))
+    return facts.join(names, "file").select(
+        "_file", "file", "cand", F.element_at(F.array(*[F.lit(s) for s in seps]), F.col("cand") + 1).alias("sep"),
+        F.when(F.col("bad"), "ISO-8859-1").otherwise("UTF-8").alias("encoding"),
+        # a quoted cell that is never closed: every line is a record
+        (F.col("multi") & F.col("closed")).alias("multi"), "width")
+
+
+def sniff_files(spark: SparkSession, paths, sep: str | None = None) -> DataFrame:
+    """S2 and S3 per file over all its lines: ``(_file, encoding, sep, width, multi)``. Encoding: latin-1 if any
+    line is not valid UTF-8; width: the cells of the widest record; multi: quoted cells hold line ends."""
+    seps = [sep] if sep else SEPARATORS
+    return _sniffed(spark, paths, _states(spark, paths, seps), seps).select("_file", "encoding", "sep", "width", "multi")
+
+
+def _options(sep: str) -> dict:
+    return {"header": "false", "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _schema(width: int) -> str:
+    return ", ".join(f"c{i} string" for i in range(width))
+
+
+def _lines_scan(spark: SparkSession, files, encoding: str, sep: str, width: int) -> DataFrame:
+    """Files without line ends in cells: one splittable CSV scan."""
+    scan = spark.read.schema(_schema(width)).options(**_options(sep)).option("encoding", encoding).csv(files)
+    return scan.select(F.col("_metadata.file_path").alias("_file"),
+                       F.struct(F.col("_metadata.file_block_start").alias("block"),
+                                F.monotonically_increasing_id().alias("row")).alias("_row_ord"), *_cells(width))
+
+
+def _records_scan(spark: SparkSession, files: list, encoding: str, sep: str, width: int, states: DataFrame, names: DataFrame) -> DataFrame:
+    """Files with line ends in cells: records put together by blocks, then parsed one by one."""
+    found = rec.records(spark, files, sep, states)
+    parsed = F.from_csv(F.decode("record", encoding), _schema(width), {**_options(sep), "multiLine": "true"})
+    return (found.join(F.broadcast(names), "file")  # one row per file of the group, as in the list that is scanned
+            .select("_file", F.struct("block", "row").alias("_row_ord"), parsed.alias("_r")).select("_file", "_row_ord", "_r.*"))
+
+
+def _cells(width: int) -> list:
+    return [F.col(f"c{i}") for i in range(width)]
 
 
 def read_delimited(spark: SparkSession, paths, sep: str | None = None, encoding: str | None = None,
                    width: int | None = None, na_tokens=CSV_NA_TOKENS) -> DataFrame:
     """Headerless all-text scan → raw grid ``(_file, _row_ord, c0 … cN)``.
 
-    Without ``sep``/``encoding`` each file's are found (see ``sniff_files`` and
-    ``file_facts``; the answers are collected, one row per file). Without
+    Without ``sep``/``encoding`` each file's are found (see ``sniff_files``; the answers
+    are collected, one row per file, as the scans' file lists are). Without
     ``width`` the grid is as wide as the widest record. Missing-value tokens become NULL (S4).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    facts = {_same_path(r["_file"]): r for r in file_facts(spark, paths).collect()}
-    sniffed = sniff_files(spark, paths).collect()
+    seps = [sep] if sep else SEPARATORS
+    states = _states(spark, paths, seps)
+    sniffed = _sniffed(spark, paths, states, seps).collect()
     groups: dict = {}
     for r in sniffed:
-        own = facts.get(_same_path(r["_file"]))
-        found = "ISO-8859-1" if own is not None and own["bad"] else "UTF-8"
-        key = (encoding or found, sep or r["sep"], bool(own is not None and own["multiline"]))
-        groups.setdefault(key, []).append(r["_file"])
+        groups.setdefault((encoding or r["encoding"], r["sep"], r["cand"], r["multi"]), []).append((r["_file"], r["file"]))
     w = width or max([r["width"] for r in sniffed] or [1])
-    if width is None:
-        w = max([_widest(_scan(spark, files, enc, sp, multi, w), sp, w) for (enc, sp, multi), files in groups.items()] or [w])
     if not groups:
-        groups = {(encoding or "UTF-8", sep or ",", False): paths}
+        groups = {(encoding or "UTF-8", sep or ",", 0, False): []}
     parts = []
-    for (enc, sp, multi), files in groups.items():
-        df = _scan(spark, files, enc, sp, multi, w)
-        df = df.select(F.col("_metadata.file_path").alias("_file"),
-                       F.struct(F.col("_metadata.file_block_start").alias("block"),
-                                F.monotonically_increasing_id().alias("row")).alias("_row_ord"),
-                       *[F.col(f"c{i}") for i in range(w)])
-        parts.append(df)
+    for (enc, sp, cand, multi), files in groups.items():
+        # one group alone: the paths as they were given
+        scanned = [f for f, _ in files] if len(groups) > 1 else paths
+        if multi:
+            names = spark.createDataFrame(files, "_file string, file bigint")
+            parts.append(_records_scan(spark, scanned, enc, sp, w, states.where(F.col("cand") == cand), names))
+        else:
+            parts.append(_lines_scan(spark, scanned, enc, sp, w))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -176,27 +127,14 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
+def _listing(spark: SparkSession, paths) -> DataFrame:
+    """A file scan of everything under the paths (globs allowed) that opens no file unless its content is asked for."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+
+
 def list_files(spark: SparkSession, paths) -> DataFrame:
-    """``(path, length)`` of every file under the paths (globs allowed), empty
-    files included. File scans skip zero-length files, so the listing goes
-    through the Hadoop FileSystem API on the driver (one entry per file)."""
-    sc = spark.sparkContext
-    jvm = sc._jvm
-    conf = sc._jsc.hadoopConfiguration()
-    out = []
-    for p in ([paths] if isinstance(paths, str) else list(paths)):
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        fs = hp.getFileSystem(conf)
-        stats = fs.globStatus(hp) or []
-        for st in stats:
-            if st.isDirectory():
-                it = fs.listFiles(st.getPath(), True)
-                while it.hasNext():
-                    f = it.next()
-                    out.append((f.getPath().toString(), int(f.getLen())))
-            else:
-                out.append((st.getPath().toString(), int(st.getLen())))
-    return spark.createDataFrame(out, "path string, length bigint")
+    """``(path, length)`` of every file that is not empty under the paths."""
+    return _listing(spark, paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"))
 
 
 def inspect_sources(spark: SparkSession, paths, max_bytes: int | None = None) -> DataFrame:
@@ -207,7 +145,11 @@ def inspect_sources(spark: SparkSession, paths, max_bytes: int | None = None) ->
     """
     from ..functions.constants import MAX_UPLOAD_BYTES
     cap = MAX_UPLOAD_BYTES if max_bytes is None else max_bytes
-    meta = list_files(spark, paths)
+    # scans leave empty files out; the scan's own file list has them
+    key = F.regexp_replace("path", "^file:/+", "file:/").alias("path")  # lists and scans write it differently
+    names = spark.createDataFrame([(f,) for f in _listing(spark, paths).inputFiles()], "path string").select(key)
+    sizes = list_files(spark, paths).select(key, "length")
+    meta = names.join(sizes, "path", "left").select("path", F.coalesce("length", F.lit(0)).cast("bigint").alias("length"))
 
     def first_bytes(batches):
         import pandas as pd

@@ -123,7 +123,7 @@ def _read(batches, sheet: str | None):
                     continue
                 shared, dates = _shared_strings(z), _date_styles(z)
                 name, target = chosen[0]
-                for r, cells in _sheet_rows(z, target, shared, dates):
+                for r, (_, cells) in enumerate(_sheet_rows(z, target, shared, dates)):
                     width = (max(cells) + 1) if cells else 0
                     row = [cells.get(i) for i in range(width)]
                     row = [None if (x is None or x == "") else x for x in row]
