@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fround, py_float_text
-from ..functions.constants import MAX_INSIGHTS
-
-INSIGHT_COLUMNS = ["ord", "type", "severity", "title", "description"]
+from ..functions import filled, fround, py_float_text
+from ..functions.constants import INSIGHT_TEXTS, MAX_INSIGHTS
 
 
 def _thousands(c):
     return F.format_number(c.cast("double"), 0)
 
 
-def _row(df: DataFrame, rule: int, typ, severity, title, description) -> DataFrame:
+def _row(df: DataFrame, rule: int, typ, severity, text: str, **parts) -> DataFrame:
     lit = lambda v: v if not isinstance(v, str) else F.lit(v)
+    title, description = INSIGHT_TEXTS[text]
     return df.select(F.lit(rule).alias("_rule"), lit(typ).alias("type"), lit(severity).alias("severity"),
-                     lit(title).alias("title"), lit(description).alias("description"))
+                     filled(title, **parts).alias("title"), filled(description, **parts).alias("description"))
 
 
 def insights(summary: DataFrame, column_stats: DataFrame, correlation_long: DataFrame | None,
@@ -34,19 +33,15 @@ def insights(summary: DataFrame, column_stats: DataFrame, correlation_long: Data
     """
     mp, dup, rows = F.col("missing_percentage"), F.col("duplicate_rows"), F.col("total_rows")
     quality = F.when((mp < 2) & (dup == 0), "excellent").when(mp < 10, "good").otherwise("attention")
-    i1 = _row(summary, 1, "summary", F.when(quality == "attention", "warning").otherwise("info"),
-              F.concat(F.lit("Dataset health is "), quality),
-              F.concat(F.lit("Analyzed "), _thousands(rows), F.lit(" rows with "), py_float_text(mp),
-                       F.lit("% missing cells and "), _thousands(dup), F.lit(" duplicate rows.")))
-    i2 = _row(summary.where(dup > 0), 2, "quality", "warning", "Duplicate rows detected",
-              F.concat(_thousands(dup), F.lit(" duplicate rows were found and should be reviewed.")))
+    i1 = _row(summary, 1, "summary", F.when(quality == "attention", "warning").otherwise("info"), "summary",
+              quality=quality, rows=_thousands(rows), missing=py_float_text(mp), duplicates=_thousands(dup))
+    i2 = _row(summary.where(dup > 0), 2, "quality", "warning", "duplicates", duplicates=_thousands(dup))
     miss = (column_stats.where(F.col("null_percentage") >= 20)
             .agg(F.sort_array(F.collect_list(F.struct("pos", F.concat(
                 F.col("column_name"), F.lit(" ("), py_float_text(F.col("null_percentage")), F.lit("%)"))
                 .alias("t")))).alias("a"))
             .where(F.size("a") > 0))
-    i3 = _row(miss, 3, "quality", "warning", "Columns with substantial missing data",
-              F.array_join(F.transform(F.slice("a", 1, 5), lambda s: s["t"]), ", "))
+    i3 = _row(miss, 3, "quality", "warning", "missing", columns=F.array_join(F.transform(F.slice("a", 1, 5), lambda s: s["t"]), ", "))
     parts = [i1, i2, i3]
     if correlation_long is not None:
         strong = (correlation_long.where((F.col("pos_x") < F.col("pos_y")) & (F.abs("r") >= 0.7))
@@ -54,25 +49,19 @@ def insights(summary: DataFrame, column_stats: DataFrame, correlation_long: Data
                                 F.struct(F.abs("r"), -F.col("pos_x"), -F.col("pos_y"))).alias("b"))
                   .where(F.col("b").isNotNull()))
         direction = F.when(F.col("b.r") > 0, "positive").otherwise("negative")
-        parts.append(_row(strong, 4, "correlation", "success",
-                          F.concat(F.lit("Strong "), direction, F.lit(" relationship found")),
-                          F.concat(F.col("b.col_x"), F.lit(" and "), F.col("b.col_y"),
-                                   F.lit(" have a correlation of "), F.format_string("%.2f", F.col("b.r")),
-                                   F.lit("."))))
+        parts.append(_row(strong, 4, "correlation", "success", "correlation", direction=direction, x=F.col("b.col_x"), y=F.col("b.col_y"),
+                          r=F.format_string("%.2f", F.col("b.r"))))
     out_pct = fround(F.col("outliers_count") / F.greatest(F.col("total_rows"), F.lit(1)) * 100, 1)
     outl = column_stats
     outl = (outl.where((F.col("outliers_count") > 0) & (out_pct >= 3))
             .agg(F.min_by(F.struct("column_name", "outliers_count"), F.col("pos")).alias("o"))
             .where(F.col("o").isNotNull()))
-    parts.append(_row(outl, 5, "outlier", "warning", F.concat(F.lit("Outliers in "), F.col("o.column_name")),
-                      F.concat(_thousands(F.col("o.outliers_count")),
-                               F.lit(" values fall outside the 1.5x IQR boundary."))))
+    parts.append(_row(outl, 5, "outlier", "warning", "outliers", x=F.col("o.column_name"), n=_thousands(F.col("o.outliers_count"))))
     dom = (top_first.where(F.col("percentage") >= 40)
            .agg(F.min_by(F.struct("column_name", "value", "percentage"), F.col("pos")).alias("d"))
            .where(F.col("d").isNotNull()))
-    parts.append(_row(dom, 6, "distribution", "info", F.concat(F.lit("Dominant category in "), F.col("d.column_name")),
-                      F.concat(F.col("d.value"), F.lit(" accounts for "), py_float_text(F.col("d.percentage")),
-                               F.lit("% of the column."))))
+    parts.append(_row(dom, 6, "distribution", "info", "dominant", x=F.col("d.column_name"), value=F.col("d.value"),
+                      share=py_float_text(F.col("d.percentage"))))
     allrows = parts[0]
     for p in parts[1:]:
         allrows = allrows.unionByName(p)

@@ -30,9 +30,12 @@ def _label(day, gran):
             .otherwise(F.date_format(day, "yyyy-MM-dd")))
 
 
-def resample_sums(df: DataFrame, pairs: list[tuple[str, str]], digits: int | None = 4) -> DataFrame:
+def resample_sums(df: DataFrame, pairs: list[tuple[str, str]], digits: int | None = 4,
+                  granularity: str | None = None) -> DataFrame:
     """``(date_column, measure, granularity, period, label, value, running_value)``.
 
+    ``granularity`` (day, week or month) overrides the choice by the span.
+
     ``period`` is the bin's end date; ``running_value`` the cumulative sum
     (a window per pair over its few periods).
     """
@@ -45,7 +48,7 @@ def resample_sums(df: DataFrame, pairs: list[tuple[str, str]], digits: int | Non
     keys = ["date_column", "measure"]
     span = rows.groupBy(*keys).agg(F.min("ts").alias("mn"), F.max("ts").alias("mx"))
     days = F.floor((F.unix_micros("mx") - F.unix_micros("mn")) / F.lit(86_400_000_000))
-    gran = F.when(days > 90, "month").when(days > 14, "week").otherwise("day")
+    gran = F.lit(granularity) if granularity else F.when(days > 90, "month").when(days > 14, "week").otherwise("day")
     span = span.select(*keys, gran.alias("granularity"), "mn", "mx")
     # one row per pair: a bounded broadcast
     binned = rows.join(F.broadcast(span.select(*keys, "granularity")), keys)

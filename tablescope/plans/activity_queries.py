@@ -166,6 +166,41 @@ def q_stream_active_sessions(spark, sf):
     return spark.read.parquet(out).where("key IS NOT NULL AND event_id IS NOT NULL")
 
 
+@register("stream_sessions_late", """WITH b AS (SELECT *, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS t0, max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () AS span FROM events),
+f AS (SELECT *, least(4, (us - t0) * 5 // span) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END AS file FROM b),
+w AS (SELECT file, max(max(us)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 - (span // 10000000) * 1000 AS mark FROM f GROUP BY file, span),
+l AS (SELECT f.*, coalesce(us <= w.mark * 1000, false) AS late, CASE WHEN event_type = 'click' THEN 1.0 WHEN event_type = 'view' THEN -1.0 ELSE 0.0 END AS delta
+  FROM f JOIN w USING (file)),
+s AS (SELECT *, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM l WHERE NOT late),
+m AS (SELECT *, min(running) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mn FROM s)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, running - least(0.0, mn) AS active, late FROM m
+UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, ts, NULL, late FROM l WHERE late""")
+def q_stream_sessions_late(spark, sf):
+    """E2 with a delay of a tenth of the table's span: six files in the order of time, every tenth event one file later than it should.
+
+    Of those, the ones that the watermark has passed come out as late; all others count as in the batch form.
+    """
+    from ..streaming.sessions import stream_sessions, write_sessions
+    ev = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    row = ev.agg(F.min(at).alias("t0"), (F.max(at) - F.min(at)).alias("span"), F.max("ts").alias("last")).first()
+    t0, span = row["t0"] or 0, max(row["span"] or 1, 1)
+    file = F.least(F.lit(4), F.floor((at - t0) * 5 / F.lit(span))) + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0)
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("late-events", "late-sessions", "late-ckpt"))
+    files = ev.withColumn("_file", file)
+    for k in range(6):
+        files.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    sessions = stream_sessions(read_events_stream(spark, folder, ev.schema, max_files_per_trigger=1), "user_id", "event_type", "click", "view",
+                               f"{span // 10_000_000} seconds")
+    write_sessions(sessions, out, checkpoint)
+    # one event of no user, behind all others, moves the watermark past them
+    after = ev.agg(F.timestamp_micros(F.max(at) + 2 * span).alias("ts")).select(
+        *[F.col("ts") if c == "ts" else F.lit(-1 if c == "event_id" else None).cast(t).alias(c) for c, t in ev.dtypes])
+    after.coalesce(1).write.mode("append").parquet(folder)
+    write_sessions(sessions, out, checkpoint)
+    return spark.read.parquet(out).where("key IS NOT NULL").select("key", "event_id", "ts", "active", F.col("late").cast("boolean").alias("late"))
+
+
 @register("event_log_append", "SELECT * FROM events")
 def q_event_log_append(spark, sf):
     """The log is appended in two batches (before / after mid-month) and read back."""

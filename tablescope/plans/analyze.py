@@ -2,12 +2,15 @@
 
 ``analyze(df, spec)`` returns a dict of lazy DataFrames (plus the collected
 type rows, one per column). Only schema-sized results reach the driver: the
-column types and the per-column distinct counts used to pick a quantile path.
+column types and what was observed of each column on the way (for the warnings).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import charts as ch
 from ..operators.clean import ORDER_COLS
@@ -19,6 +22,33 @@ from ..operators.paging import page, page_info, sort_orders
 from ..operators.profile import (column_counts, dataset_summary, date_ranges, histogram,
                                  monthly_distribution, null_and_distinct, numeric_stats, top_values)
 from ..operators.types import collect_types, column_types
+from ..functions.constants import COLUMN_WARNING
+
+#: A histogram or a boxplot needs so many values.
+LEAST_VALUES = 3
+
+
+def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The table with its rows and every column's infinite values counted while it is read."""
+    seen = Observation(f"profile-{uuid.uuid4().hex[:8]}")
+    infinite = [F.count_if(F.abs(F.col(f"`{f.name}`")) == float("inf")).alias(f"inf{i}") for i, f in enumerate(df.schema.fields)
+                if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *infinite), seen
+
+
+def profile_warnings(df: DataFrame, seen: dict, types: list[dict]) -> list[str]:
+    """Columns that are profiled in part only, and charts that are left out for lack of values."""
+    out = []
+    for i, f in enumerate(df.schema.fields):
+        if seen.get(f"inf{i}"):
+            out.append(COLUMN_WARNING.format(x=f.name, reason=f"{seen[f'inf{i}']} infinite values"))
+        elif isinstance(f.dataType, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            out.append(COLUMN_WARNING.format(x=f.name, reason=f"type {f.dataType.simpleString()} is profiled as text"))
+    for t in types:
+        values = seen["rows"] - t["null_count"]
+        if t["is_numeric"] and not t["exclude_from_charts"] and values < LEAST_VALUES:
+            out += [f"{chart} of {t['column_name']} skipped: {values} values" for chart in ("Histogram", "Boxplot")]
+    return out
 
 
 def analyze(df: DataFrame, spec: FilterSpec | dict | None = None, order: list[str] | None = None,
@@ -39,16 +69,17 @@ def analyze(df: DataFrame, spec: FilterSpec | dict | None = None, order: list[st
     order = order or carried
     ordered = apply_filters(df, spec, warnings=warnings)
     filtered = ordered.drop(*carried)
-    freq = frequency_table(filtered, persist=True)
+    observed, seen = _observed(filtered)
+    freq = frequency_table(observed, persist=True)
     types_df = column_types(filtered, freq=freq)
     types = collect_types(types_df)
+    warnings += profile_warnings(filtered, seen.get, types)
     num = [t["column_name"] for t in types if t["is_numeric"] and not t["is_id"]]
     cat = [t["column_name"] for t in types if t["is_categorical"] or t["detected_type"] in
            ("Category", "Boolean", "Text", "Unique IDs")]
     dat = [t["column_name"] for t in types if t["is_date"]]
     summary = dataset_summary(filtered, types_df, freq)
-    distinct = {t["column_name"]: t["unique_count"] for t in types}
-    stats = numeric_stats(filtered, num, freq, distinct=distinct) if num else None
+    stats = numeric_stats(filtered, num, freq) if num else None
     nd = null_and_distinct(freq).join(column_counts(freq).select("column_name", "total_rows"), "column_name")
     per_column = nd.join(stats, "column_name", "left") if stats is not None else \
         nd.withColumn("outliers_count", F.lit(None).cast("bigint"))

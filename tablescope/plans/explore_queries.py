@@ -31,7 +31,7 @@ def register(name, sql=None):
 
 
 def _nochart(df):
-    return df.drop("chart_id")
+    return df.drop("chart_id", "description")
 
 
 ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
@@ -191,11 +191,30 @@ def q_head(spark, sf):
     return head(load(spark, sf, "orders"), 10, [F.col("o_orderkey")])
 
 
-@register("latest_k", "SELECT * FROM events ORDER BY ts DESC LIMIT 20")
+@register("latest_k", "SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 20")
 def q_latest_k(spark, sf):
     return latest(load(spark, sf, "events"), "ts", 20)
 
 
+@register("latest_k_ties", "SELECT date_trunc('day', ts) AS day, event_type, user_id, event_id FROM events ORDER BY 1 DESC, 2, 3, 4 LIMIT 50")
+def q_latest_k_ties(spark, sf):
+    """L5 where all rows of a day have one time: the other columns decide."""
+    ev = load(spark, sf, "events")
+    return latest(ev.select(F.date_trunc("day", "ts").alias("day"), "event_type", "user_id", "event_id"), "day", 50)
+
+
+@register("page_deep", """SELECT * FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber) AS position FROM lineitem)
+WHERE position > greatest((SELECT count(*) FROM lineitem) // 100 * 70, 0) AND position <= (SELECT count(*) FROM lineitem) // 100 * 71""")
+def q_page_deep(spark, sf):
+    """L2 deep in the table through a page index: one page of a hundred, the 71st."""
+    from ..operators.paging import PageIndex
+    from ..session import scratch_path
+    df = load(spark, sf, "lineitem")
+    orders = sort_orders(df, "l_extendedprice", "desc", ["l_orderkey", "l_linenumber"])
+    index = PageIndex.build(df, orders, scratch_path(spark, "page-index"))
+    return index.page(71, df.count() // 100)
+
+
 # ------------------------------------------------------------------- groups
 @register("group_sum", """SELECT cat_column, measure, label, round_even(value, 4) AS value FROM (
   SELECT 'l_returnflag' AS cat_column, 'l_quantity' AS measure, l_returnflag AS label, sum(l_quantity) AS value FROM lineitem GROUP BY 3
@@ -240,11 +259,12 @@ def q_five_number(spark, sf):
 
 
 # --------------------------------------------------------------- resampling
-def resample_sql(table: str, d: str, m: str, where: str = "true") -> str:
+def resample_sql(table: str, d: str, m: str, where: str = "true", granularity: str | None = None) -> str:
+    chosen = f"'{granularity}'" if granularity else "CASE WHEN days > 90 THEN 'month' WHEN days > 14 THEN 'week' ELSE 'day' END"
     return f"""WITH r AS (SELECT CAST({d} AS TIMESTAMP) AS ts, CAST({m} AS DOUBLE) AS v FROM {table}
   WHERE {d} IS NOT NULL AND {m} IS NOT NULL AND {where}),
 s AS (SELECT min(ts) AS mn, max(ts) AS mx, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000) AS days FROM r),
-g AS (SELECT mn, mx, CASE WHEN days > 90 THEN 'month' WHEN days > 14 THEN 'week' ELSE 'day' END AS gran FROM s),
+g AS (SELECT mn, mx, {chosen} AS gran FROM s),
 b AS (SELECT CASE WHEN gran = 'month' THEN last_day(CAST(ts AS DATE))
                   WHEN gran = 'week' THEN CAST(ts AS DATE) + CAST((7 - isodow(ts)) % 7 AS INTEGER)
                   ELSE CAST(ts AS DATE) END AS period, v FROM r, g),
@@ -274,10 +294,9 @@ def q_resample_week(spark, sf):
     return resample_sums(load(spark, sf, "events"), [("ts", "value")])
 
 
-@register("resample_day", resample_sql("events", "ts", "value", "ts < TIMESTAMP '2024-01-10 00:00:00'"))
+@register("resample_day", resample_sql("events", "ts", "value", granularity="day"))
 def q_resample_day(spark, sf):
-    ev = load(spark, sf, "events").where(F.col("ts") < F.lit("2024-01-10 00:00:00").cast("timestamp"))
-    return resample_sums(ev, [("ts", "value")])
+    return resample_sums(load(spark, sf, "events"), [("ts", "value")], granularity="day")
 
 
 @register("running_total", "SELECT label, value, running_value FROM (" +
@@ -407,6 +426,61 @@ def q_chart_heatmap(spark, sf):
     return _nochart(ch.heatmap_chart(correlation(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), 4))
 
 
+@register("chart_texts", """SELECT * FROM (VALUES
+  ('line', 'o_totalprice Trend over o_orderdate', 'Line trend of o_totalprice over o_orderdate.'),
+  ('area', 'o_totalprice Cumulative Trend (o_orderdate)', 'Area chart showing o_totalprice accumulation over time.'),
+  ('bar', 'o_totalprice by o_orderstatus', 'Comparison of o_totalprice across o_orderstatus categories.'),
+  ('pie', 'o_totalprice Distribution by o_orderstatus', 'Pie chart breakdown of o_totalprice across o_orderstatus.'),
+  ('donut', 'o_totalprice Share (o_orderstatus)', 'Donut chart showing proportional share of o_totalprice.'),
+  ('bar', 'Histogram of o_totalprice', 'Binned frequency distribution for o_totalprice.'),
+  ('boxplot', 'Boxplot of o_totalprice', 'Five-number summary (Min, Q1, Median, Q3, Max) for o_totalprice.'),
+  ('donut', 'o_orderstatus Frequency', 'Distribution count across o_orderstatus.'),
+  ('scatter', 'o_totalprice vs o_custkey', 'Relationship between o_totalprice and o_custkey.'),
+  ('heatmap', 'Correlation Heatmap', 'Pearson correlation matrix across numeric fields.')) v(type, title, description)
+WHERE EXISTS (SELECT 1 FROM orders)""")
+def q_chart_texts(spark, sf):
+    """Types, titles and descriptions of all chart families of one table."""
+    df = load(spark, sf, "orders")
+    freq = frequency_table(df, ["o_totalprice", "o_custkey"], persist=True)
+    sets = [ch.trend_charts(df, ["o_orderdate"], ["o_totalprice"]), ch.category_charts(df, ["o_orderstatus"], ["o_totalprice"]),
+            ch.histogram_charts(freq, ["o_totalprice"]), ch.boxplot_charts(df, freq, ["o_totalprice"]), ch.frequency_charts(df, ["o_orderstatus"]),
+            ch.scatter_charts(df, ["o_totalprice", "o_custkey"], [F.col("o_orderkey")]), ch.heatmap_chart(correlation(df, ["o_totalprice", "o_custkey"]), 2)]
+    out = sets[0]
+    for more in sets[1:]:
+        out = out.unionByName(more)
+    return out.select("type", "title", "description").distinct()
+
+
+@register("chart_scatter_gaps", f"""WITH p AS (SELECT *, l_quantity AS a, CASE WHEN l_linenumber <> 1 THEN l_discount END AS b,
+  CASE WHEN l_linenumber = 1 THEN l_extendedprice END AS c FROM lineitem),
+r AS (SELECT 'a vs b' AS title, a AS x, b AS y, row_number() OVER (ORDER BY {LI_TIES_SQL}) AS k FROM p WHERE a IS NOT NULL AND b IS NOT NULL
+  UNION ALL SELECT 'a vs c', a, c, row_number() OVER (ORDER BY {LI_TIES_SQL}) FROM p WHERE a IS NOT NULL AND c IS NOT NULL)
+SELECT title, CAST(k - 1 AS INTEGER) AS pos, x, y FROM r WHERE k <= 500""")
+def q_chart_scatter_gaps(spark, sf):
+    """Pairs with gaps of their own; a pair without a complete row has no chart."""
+    first = F.col("l_linenumber") == 1
+    df = load(spark, sf, "lineitem").withColumns({"a": F.col("l_quantity"), "b": F.when(~first, F.col("l_discount")),
+                                                  "c": F.when(first, F.col("l_extendedprice"))})
+    points = ch.scatter_charts(df, ["a", "b", "c"], [F.col(c) for c in LI_TIES])
+    return points.select("title", "pos", "x", "y")
+
+
+@register("warnings", """SELECT 'Search pattern ''['' is not a valid regular expression; search ignored.' AS warning WHERE EXISTS (SELECT 1 FROM orders)
+UNION ALL SELECT 'Column ''ratio'' could not be fully analyzed: ' || count(*) FILTER (WHERE o_orderkey % 11 = 0) || ' infinite values' FROM orders
+UNION ALL SELECT 'Column ''raw'' could not be fully analyzed: type binary is profiled as text' WHERE EXISTS (SELECT 1 FROM orders)
+UNION ALL SELECT 'Histogram of rare skipped: 2 values' WHERE EXISTS (SELECT 1 FROM orders)
+UNION ALL SELECT 'Boxplot of rare skipped: 2 values' WHERE EXISTS (SELECT 1 FROM orders)""")
+def q_warnings(spark, sf):
+    """A bad search pattern, a column with infinite values, one of a type that is only profiled as text, skipped charts."""
+    from .analyze import analyze
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    two = o.agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b")).first()
+    df = o.select("o_totalprice", F.when(k % 11 == 0, F.lit(float("inf"))).otherwise(k / 7).alias("ratio"),
+                  F.col("o_orderstatus").cast("binary").alias("raw"), F.when(k.isin(two["a"], two["b"]), F.col("o_totalprice")).alias("rare"))
+    return analyze(df, {"search_query": "["})["warnings"]
+
+
 @register("chart_points")
 def q_chart_points(spark, sf):
     """Every recommended chart of orders (all families stacked)."""
@@ -449,7 +523,10 @@ def q_custom_boxplot(spark, sf):
 @register("insights")
 def q_insights(spark, sf):
     """I1-I6 over lineitem with derived missing values."""
-    df = lineitem_nulls(spark, sf)
+    return _insights_of(lineitem_nulls(spark, sf))
+
+
+def _insights_of(df):
     freq = frequency_table(df, persist=True)
     types_df = column_types(df, freq=freq)
     types = collect_types(types_df)
@@ -457,17 +534,41 @@ def q_insights(spark, sf):
     cat = [t["column_name"] for t in types if t["is_categorical"] or t["detected_type"] in
            ("Category", "Boolean", "Text", "Unique IDs")]
     summary = dataset_summary(df, types_df, freq)
-    stats = numeric_stats(df, num, freq, distinct={t["column_name"]: t["unique_count"] for t in types}) \
-        .select("column_name", "outliers_count")
+    stats = numeric_stats(df, num, freq).select("column_name", "outliers_count")
     nd = null_and_distinct(freq).join(column_counts(freq).select("column_name", "total_rows"), "column_name")
     cstats = nd.join(stats, "column_name", "left")
     top1 = top_values(freq, cat, k=1)
     return insights(summary, cstats, correlation(df, num), top1)
 
 
-def _insights_sql() -> str:
+#: orders with repeated rows, a half-empty column, two columns that rise together, far values and one common status.
+ALL_RULES_SQL = """(SELECT o_totalprice AS paid, o_totalprice * 2 + 1 AS charged, o_orderkey % 7 AS step,
+  CASE WHEN o_orderkey % 20 = 0 THEN 1e6 + o_custkey ELSE o_custkey % 10 END AS spike,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS gap, CASE WHEN o_orderkey % 10 < 6 THEN 'usual' ELSE o_orderstatus END AS state
+FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0))"""
+ALL_RULES_KINDS = {"paid": "fractional", "charged": "fractional", "step": "integral", "spike": "fractional", "gap": "string", "state": "string"}
+
+
+def all_rules_table(spark, sf):
+    o = load(spark, sf, "orders")
+    o = o.unionByName(o.where(F.col("o_orderkey") % 10 == 0))
+    k = F.col("o_orderkey")
+    return o.select(F.col("o_totalprice").alias("paid"), (F.col("o_totalprice") * 2 + 1).alias("charged"), (k % 7).alias("step"),
+                    F.when(k % 20 == 0, F.lit(1e6) + F.col("o_custkey")).otherwise(F.col("o_custkey") % 10).alias("spike"),
+                    F.when(k % 2 == 0, F.col("o_orderpriority")).alias("gap"),
+                    F.when(k % 10 < 6, "usual").otherwise(F.col("o_orderstatus")).alias("state"))
+
+
+@register("insights_all_rules")
+def q_insights_all_rules(spark, sf):
+    """A table in which all six rules fire: duplicates, gaps, a strong correlation, outliers, a dominant value."""
+    return _insights_of(all_rules_table(spark, sf))
+
+
+def _insights_sql(t: str = LINEITEM_NULLS_SQL, kinds: dict | None = None) -> str:
     from .profile_sql import LINEITEM_KINDS, LINEITEM_NUM, corr_sql, summary_sql, union
-    t = LINEITEM_NULLS_SQL
+    if kinds is not None:
+        LINEITEM_KINDS, LINEITEM_NUM = kinds, [c for c, k in kinds.items() if k != "string"]
     cats = [c for c, k in LINEITEM_KINDS.items() if k == "string"]
     nulls = union(list(LINEITEM_KINDS), "SELECT '{c}' AS column_name, {i} AS pos, count(*) AS total_rows, "
                   "round_even((count(*) - count({c})) / greatest(count(*), 1) * 100, 2) AS null_percentage FROM " + t)
@@ -508,6 +609,26 @@ SELECT CAST(row_number() OVER (ORDER BY rule) - 1 AS INTEGER) AS ord, type, seve
 
 
 SQL["insights"] = _insights_sql()
+SQL["insights_all_rules"] = _insights_sql(ALL_RULES_SQL, ALL_RULES_KINDS)
+
+
+@register("report_insights", """SELECT type AS "Type", severity AS "Severity", title AS "Title", description AS "Description" FROM (""" + SQL["insights_all_rules"] + ")")
+def q_report_insights(spark, sf):
+    """The insights table of a written report, read back."""
+    return _written_report(spark, all_rules_table(spark, sf), "insights")
+
+
+@register("report_data", f"SELECT {ORDERS} FROM orders")
+def q_report_data(spark, sf):
+    """The data table of a written report, read back."""
+    return _written_report(spark, load(spark, sf, "orders"), "data")
+
+
+def _written_report(spark, df, name):
+    from ..session import scratch_path
+    from .analyze import analyze
+    from .report import write_report
+    return spark.read.parquet(write_report(analyze(df), df, scratch_path(spark, "report"))[name])
 
 
 def _column_detail_sql() -> str:

@@ -168,11 +168,71 @@ def q_analyze_page(spark, sf):
     """C11 → L2: a page of a cleaned file without a sort comes in file order (here by customer, descending)."""
     from .analyze import analyze
     path = scratch_path(spark, "ordered-csv")
-    write_csv(load(spark, sf, "orders").repartition(1).sortWithinPartitions(F.desc("o_custkey"), "o_orderkey"), path)
+    order = [F.desc("o_custkey"), F.col("o_orderkey")]
+    write_csv(load(spark, sf, "orders").repartitionByRange(*order).sortWithinPartitions(*order), path)  # the files' names keep the order
     table = clean_table(read_delimited(spark, f"{path}/*.csv"), keep_order=True)
     return analyze(table, {"page": 2, "page_size": 50})["rows"]
 
 
+@register("csv_inch_marks", """SELECT o_orderkey::VARCHAR AS c0, CASE WHEN o_orderkey % 97 = 5 THEN '5" x' ELSE o_orderstatus END AS c1,
+  CASE WHEN o_orderkey % 97 = 5 THEN '6" y' ELSE 'a, "quoted" b' END AS c2, o_orderpriority AS c3,
+  CASE WHEN o_orderkey % 97 = 5 THEN 'EXTRA' END AS c4 FROM orders""")
+def q_csv_inch_marks(spark, sf):
+    """Quotes inside cells are characters; separators between them count, and the widest record keeps its last cell."""
+    path = scratch_path(spark, "inch-csv")
+    wide = F.col("o_orderkey") % 97 == 5
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.when(wide, F.lit('5" x,6" y')).otherwise(
+        F.concat(F.col("o_orderstatus"), F.lit(',"a, ""quoted"" b"'))), "o_orderpriority", F.when(wide, F.lit("EXTRA")))
+    load(spark, sf, "orders").select(line.alias("value"), wide.alias("w")).sortWithinPartitions("w").select("value").write.text(path)
+    return read_delimited(spark, f"{path}/*.txt").select("c0", "c1", "c2", "c3", "c4")
+
+
+NA_CELLS = ["#N/A", "#REF!", "#VALUE!", "#DIV/0!", "#NAME?", "#NULL!", "#NUM!", "#ERROR!", "", "NA", "N/A", "NULL", "None"]
+
+
+@register("csv_na_tokens", f"""SELECT o_orderkey::VARCHAR AS c0, CASE WHEN o_orderkey % 15 >= {len(NA_CELLS)} THEN o_orderpriority END AS c1,
+  CASE o_orderkey % 15 WHEN 0 THEN 'na' WHEN 1 THEN 'N/A ' WHEN 2 THEN 'nan' ELSE o_orderstatus END AS c2 FROM orders""")
+def q_csv_na_tokens(spark, sf):
+    """Every missing-value token as a cell is NULL; near misses stay text."""
+    path = scratch_path(spark, "na-csv")
+    k = F.col("o_orderkey") % 15
+    token = F.try_element_at(F.array(*[F.lit(t) for t in NA_CELLS]), (k + 1).cast("int"))
+    near = F.when(k == 0, "na").when(k == 1, "N/A ").when(k == 2, "nan").otherwise(F.col("o_orderstatus"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.coalesce(token, F.col("o_orderpriority")), near)
+    load(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    return read_delimited(spark, f"{path}/*.txt").select("c0", "c1", "c2")
+
+
+@register("header_names_clash", """SELECT o_orderkey AS id, o_custkey AS id_2, o_orderkey % 7 AS "Column_3", o_orderkey % 5 AS "Column_4",
+  o_orderkey % 3 AS "Column_5", o_orderpriority AS id_2_2 FROM orders""")
+def q_header_names_clash(spark, sf):
+    """Repeated, blank, ``Unnamed`` and ``nan`` header cells, and one that a made-up name would repeat."""
+    path = scratch_path(spark, "clash-csv")
+    k = F.col("o_orderkey")
+    rows = load(spark, sf, "orders").select(F.concat_ws(",", *[c.cast("string") for c in (k, F.col("o_custkey"), k % 7, k % 5, k % 3)],
+                                                        "o_orderpriority").alias("value"))
+    bucket = F.pmod(F.xxhash64("value"), F.lit(REPORT_BUCKETS)).alias("b")
+    heads = spark.range(REPORT_BUCKETS).select(F.lit("id,id,,Unnamed: 3,nan,id_2").alias("value"), F.col("id").alias("b"), F.lit(0).alias("k"))
+    (heads.unionByName(rows.select("value", bucket, F.lit(1).alias("k"))).repartition("b").sortWithinPartitions("b", "k")
+     .select("b", "value").write.partitionBy("b").text(f"{path}/files"))
+    return clean_table(read_delimited(spark, f"{path}/files/*/*.txt"))
+
+
+@register("coercion_empty_rows", "SELECT o_totalprice AS amount, o_orderdate AS day, o_orderpriority AS priority FROM orders WHERE o_orderkey % 50 <> 3")
+def q_coercion_empty_rows(spark, sf):
+    """Rows whose cells are filled as text but empty as numbers, dates and text go after the coercion."""
+    k = F.col("o_orderkey")
+    junk = k % 50 == 3
+    raw = load(spark, sf, "orders").select(
+        F.lit("all").alias("_file"), F.struct(F.lit(0).cast("bigint").alias("block"), k.alias("row")).alias("_row_ord"),
+        F.when(junk, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("c0"),
+        F.when(junk, F.lit("not a date")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("c1"),
+        F.when(junk, F.lit("  #REF! ")).otherwise(F.col("o_orderpriority")).alias("c2"))
+    head = spark.range(1).select(F.lit("all").alias("_file"), F.struct(F.lit(0).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("row"))
+                                 .alias("_row_ord"), F.lit("amount").alias("c0"), F.lit("day").alias("c1"), F.lit("priority").alias("c2"))
+    return clean_table(head.unionByName(raw))
+
+
 @register("csv_wide_row", """SELECT o_orderkey::VARCHAR AS c0, o_orderstatus AS c1,
   CASE WHEN o_orderkey % 97 = 5 THEN 'extra' END AS c2, CASE WHEN o_orderkey % 97 = 5 THEN 'a, quoted' END AS c3 FROM orders""")
 def q_csv_wide_row(spark, sf):
@@ -181,7 +241,7 @@ def q_csv_wide_row(spark, sf):
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus",
                        F.when(F.col("o_orderkey") % 97 == 5, F.lit('extra,"a, quoted"')))
     wide = F.col("o_orderkey") % 97 == 5
-    load(spark, sf, "orders").select(line.alias("value"), wide.alias("w"), "o_orderkey").repartition(2, "o_orderkey").sortWithinPartitions(
+    load(spark, sf, "orders").select(line.alias("value"), wide.alias("w"), "o_orderkey").sortWithinPartitions(
         "w", "o_orderkey").select("value").write.text(path)
     return read_delimited(spark, f"{path}/*.txt").select("c0", "c1", "c2", "c3")
 
@@ -192,34 +252,36 @@ def q_csv_late_latin1(spark, sf):
     path = scratch_path(spark, "latin1-csv")
     docs = load(spark, sf, "documents").select(
         "doc_id", F.regexp_replace(F.replace("text", F.lit("\n"), F.lit(" ")), '"', "").alias("t"), (F.col("lang") != "en").alias("late"))
-    (docs.repartition(2, F.col("doc_id") % 2).sortWithinPartitions("late", "doc_id").drop("late").write.option("encoding", "ISO-8859-1")
+    (docs.sortWithinPartitions("late", "doc_id").drop("late").write.option("encoding", "ISO-8859-1")
      .option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return read_delimited(spark, f"{path}/*.csv").select("c0", "c1")
 
 
-@register("csv_multiline", "SELECT doc_id::VARCHAR AS c0, text AS c1, lang AS c2 FROM documents")
+@register("csv_multiline", "SELECT doc_id::VARCHAR AS c0, text AS c1, lang AS c2, source AS c3, n_chars::VARCHAR AS c4 FROM documents")
 def q_csv_multiline(spark, sf):
     """Quoted cells with line ends are one cell."""
     path = scratch_path(spark, "multiline-csv")
-    (load(spark, sf, "documents").select("doc_id", "text", "lang").repartition(2).write.option("escape", '"').option("quoteAll", True)
+    (load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars").write.option("escape", '"').option("quoteAll", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    return read_delimited(spark, f"{path}/*.csv").select("c0", "c1", "c2")
+    return read_delimited(spark, f"{path}/*.csv").select("c0", "c1", "c2", "c3", "c4")
 
 
 @register("to_records_events", """SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
   || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((microsecond(ts) % 1000000)::VARCHAR, 6, '0') END
-  || '","event_type":"' || event_type || '"}' AS record FROM events""")
+  || '","user_id":' || user_id || ',"event_type":"' || event_type || '","value":' || CAST(value AS VARCHAR) || ',"props":' || to_json(props) || '}' AS record FROM events""")
 def q_to_records_events(spark, sf):
     """S11 with fractions of a second."""
-    return to_records(load(spark, sf, "events").select("event_id", "ts", "event_type"))
+    return to_records(load(spark, sf, "events"))
 
 
-@register("csv_round_trip_events", "SELECT event_id, ts, event_type FROM events")
+@register("csv_round_trip_events", "SELECT * FROM events")
 def q_csv_round_trip_events(spark, sf):
     """Fractions of a second survive the file."""
     path = scratch_path(spark, "events-csv")
-    write_csv(load(spark, sf, "events").select("event_id", "ts", "event_type"), path)
-    raw = spark.read.option("header", True).schema("event_id bigint, ts string, event_type string").csv(path)
+    events = load(spark, sf, "events")
+    write_csv(events, path)
+    schema = ", ".join(f"{c} {'string' if c == 'ts' else t}" for c, t in events.dtypes)
+    raw = spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators.corr import correlation
 from ..operators.freq import cells_table, frequency_table
-from ..operators.profile import (dataset_summary, date_ranges, histogram, modes, monthly_distribution,
+from ..operators.profile import (dataset_summary, date_ranges, duplicate_rows, histogram, modes, monthly_distribution,
                                  null_and_distinct, numeric_moments, numeric_stats, outlier_counts,
                                  quantiles, top_values)
 from ..operators.types import collect_types, column_types
@@ -51,9 +51,11 @@ def q_dataset_summary_nulls(spark, sf):
 
 
 def q_duplicate_rows(spark, sf):
-    df = load(spark, sf, "orders").select("o_orderstatus", "o_orderpriority")
-    freq = frequency_table(df, persist=True)
-    return dataset_summary(df, column_types(df, freq=freq), freq).select("total_rows", "duplicate_rows")
+    """A3 over whole rows: orders with every tenth row again, twice for every thirtieth, and a null in some of them."""
+    o = load(spark, sf, "orders")
+    o = o.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 20 != 0, F.col("o_orderpriority")))
+    df = o.unionByName(o.where(F.col("o_orderkey") % 10 == 0)).unionByName(o.where(F.col("o_orderkey") % 30 == 0))
+    return duplicate_rows(df)
 
 
 def q_estimated_bytes(spark, sf):
@@ -147,6 +149,16 @@ def q_correlation_constant(spark, sf):
     return correlation(df, ["k", "o_totalprice", "o_custkey"])
 
 
+def q_correlation_outlier_null(spark, sf):
+    """A huge value of one column beside a missing one of the other, and an offset that dwarfs the spread."""
+    li = load(spark, sf, "lineitem")
+    beside = F.col("l_linenumber") == 1
+    df = li.select(F.when(beside, F.lit(-1e9)).otherwise(F.col("l_quantity")).alias("quantity"),
+                   F.when(~beside, F.col("l_extendedprice")).alias("price"),
+                   (F.col("l_extendedprice") + 1e9).alias("far"), F.lit(0.1).alias("same"))
+    return correlation(df, ["quantity", "price", "far", "same"])
+
+
 def q_column_types(spark, sf):
     return column_types(load(spark, sf, "orders")).drop("pos")
 
@@ -156,7 +168,7 @@ def q_column_types_lineitem(spark, sf):
 
 
 def q_column_types_url(spark, sf):
-    return column_types(load(spark, sf, "pages").select("page_id", "url")).drop("pos")
+    return column_types(load(spark, sf, "pages")).drop("pos")
 
 
 def q_column_types_zoo(spark, sf):
@@ -193,7 +205,7 @@ def q_column_profile(spark, sf):
     types = column_types(df, freq=freq)
     rows = collect_types(types)
     cols = [t["column_name"] for t in rows if t["is_numeric"] and not t["is_id"]]
-    stats = numeric_stats(df, cols, freq, distinct={t["column_name"]: t["unique_count"] for t in rows})
+    stats = numeric_stats(df, cols, freq)
     nd = null_and_distinct(freq).drop("unique_count", "null_count")
     return (types.join(nd, ["column_name", "pos"]).join(stats, "column_name", "left").drop("pos"))
 
@@ -219,6 +231,7 @@ SPARK = {
     "correlation": q_correlation,
     "correlation_with_nulls": q_correlation_with_nulls,
     "correlation_constant": q_correlation_constant,
+    "correlation_outlier_null": q_correlation_outlier_null,
     "column_types": q_column_types,
     "column_types_lineitem": q_column_types_lineitem,
     "column_types_url": q_column_types_url,
@@ -236,7 +249,7 @@ def _lineitem_analysis(spark, sf):
 def q_report_summary(spark, sf):
     """S10 Executive Summary of lineitem (the timing row is NULL)."""
     from .report import report_summary
-    return report_summary(_lineitem_analysis(spark, sf)["summary"]).where(F.col("ord") < 9)
+    return report_summary(_lineitem_analysis(spark, sf)["summary"])
 
 
 def q_report_columns(spark, sf):

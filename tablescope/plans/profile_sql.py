@@ -235,7 +235,7 @@ TEXT_KINDS = {c: "string" for c in ["amount_text", "share", "when_text", "flag",
 SQL = {
     "dataset_summary": summary_sql("orders", ORDERS_KINDS),
     "dataset_summary_nulls": summary_sql(LINEITEM_NULLS_SQL, LINEITEM_KINDS),
-    "duplicate_rows": f"""SELECT count(*) AS total_rows, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders)))::BIGINT AS duplicate_rows FROM orders""",
+    "duplicate_rows": """SELECT count(*) FILTER (WHERE o_orderkey % 10 = 0) + count(*) FILTER (WHERE o_orderkey % 30 = 0) AS duplicate_rows FROM orders""",
     "estimated_bytes": """SELECT round_even((sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority)) + count(*) * 32) / (1024 * 1024), 3) AS estimated_mb FROM orders""",
     "null_and_distinct": union(list(LINEITEM_KINDS),
                                "SELECT '{c}' AS column_name, (count(*) - count({c}))::BIGINT AS null_count, "
@@ -270,9 +270,12 @@ SELECT 'ts' AS column_name,
     "correlation_with_nulls": corr_sql(LINEITEM_NULLS_SQL, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
     "correlation_constant": corr_sql("(SELECT 1.5::DOUBLE AS k, o_totalprice, o_custkey FROM orders)",
                                      ["k", "o_totalprice", "o_custkey"]),
+    "correlation_outlier_null": corr_sql("""(SELECT CASE WHEN l_linenumber = 1 THEN -1e9 ELSE l_quantity END AS quantity,
+  CASE WHEN l_linenumber <> 1 THEN l_extendedprice END AS price, l_extendedprice + 1e9 AS far, 0.1::DOUBLE AS same FROM lineitem)""",
+                                         ["quantity", "price", "far", "same"]),
     "column_types": types_query("orders", ORDERS_KINDS),
     "column_types_lineitem": types_query("lineitem", LINEITEM_KINDS),
-    "column_types_url": types_query("(SELECT page_id, url FROM pages)", {"page_id": "integral", "url": "string"}),
+    "column_types_url": types_query("pages", {"page_id": "integral", "url": "string", "html": "string"}),
     "column_types_text": types_query(text_table_sql(), TEXT_KINDS),
     "column_types_zoo": types_query("""(SELECT repeat(' ', 35) || strftime(o_orderdate, '%Y-%m-%d') AS padded_day,
   'https://img.example.com/' || o_orderkey || '.png' AS picture, 'https://files.example.com/' || o_orderkey || '.pdf' AS paper,
@@ -291,7 +294,7 @@ def _report_sql():
                ("Memory Usage (MB)", "estimated_mb"), ("Numeric Columns", "numeric_columns_count"),
                ("Categorical Columns", "categorical_columns_count"), ("Date Columns", "date_columns_count")]
     sel = "\nUNION ALL\n".join(f"SELECT {i} AS ord, '{m}' AS metric, CAST({c} AS DOUBLE) AS value FROM s"
-                               for i, (m, c) in enumerate(metrics))
+                               for i, (m, c) in enumerate(metrics)) + "\nUNION ALL SELECT 9, 'Analysis Time (ms)', NULL"
     summary = f"""WITH s0 AS ({summ}),
 e AS (SELECT round_even(({est} + count(*) * {fixed}) / (1024 * 1024), 3) AS estimated_mb FROM lineitem),
 s AS (SELECT * FROM s0, e)

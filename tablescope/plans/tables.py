@@ -4,21 +4,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.reshape import spread
+from ..sources.delimited import list_files
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
-# tables whose scans feed cell-level unpivots (profile, types, correlation)
-SPREAD_TABLES = {"lineitem", "orders", "events", "customer", "part"}
+#: One split of a file scan by Spark's default; a table below it cannot be shared out by the scan alone.
+SPLIT_BYTES = 128 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver's parquet table; a scan stored in fewer row groups than there
-    are task slots is spread over the slots (a no-op for large inputs)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in SPREAD_TABLES else df
+    """The driver's parquet table. One that is smaller than a split would be one task of every
+    scan: it is dealt out over the task slots."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    size = list_files(spark, path).agg(F.sum("length").alias("b")).first()["b"] or 0
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SPLIT_BYTES else df
 
 
 def with_nulls(df: DataFrame, spec: dict[str, "F.Column"]) -> DataFrame:
