@@ -11,12 +11,13 @@ least ``NEED`` equal ones (the same share of a shorter item) is a leak.
 With the two masks any window of 13 words with up to two substitutions has a hit
 (tests go through all of them), so that the verification sees every such window.
 
-Seeds of the benchmark are broadcast up to ``BROADCAST_SEEDS`` rows; beyond that
-the same join runs as a shuffle.
+An item of fewer than ``MIN_ITEM`` words is found where all its words stand in a row, by one hash of them all.
 
-Edge cases: null and empty texts and items give nothing; items of fewer than
-``MIN_ITEM`` words are not searched, they would match clean text; shorter items than
-a window have no guarantee for substitutions; repeated rows give one row per id
+Seeds of the benchmark are broadcast up to ``BROADCAST_SEEDS`` rows, with the documents' words beside them;
+beyond that bare (document, position, hash) rows are joined by a shuffle, and only hits get their words back.
+
+Edge cases: null and empty texts and items give nothing; very long texts are searched whole; items shorter than
+a window have no guarantee for substitutions; windows with equally many equal words: the longest, then the first; repeated rows give one row per id
 and item; empty tables give an empty result; other columns are ignored by
 ``leaks`` and kept by ``clean_rows``.
 """
@@ -30,6 +31,8 @@ MASKS = ((0, 1, 2, 3, 4, 6), (0, 2, 3, 7, 8, 9))
 WINDOW = 13
 NEED = 11
 MIN_ITEM = 7
+#: Masks of whole short items, by their number of words; their last positions differ from those of MASKS.
+SHORT_MASKS = tuple(tuple(range(n)) for n in range(1, MIN_ITEM))
 BROADCAST_SEEDS = 200_000
 
 
@@ -42,21 +45,29 @@ def _seed(words: str, at: Column, mask: tuple[int, ...]) -> Column:
 
 
 def seeds(items: DataFrame, masks=MASKS) -> DataFrame:
-    """(hash, item_id, at): every seed of the items, given (item_id, item_words)."""
+    """(hash, item_id, at): every seed of the items, given (item_id, item_words); one of all words for a short item."""
     spots = items.select("item_id", "item_words", F.posexplode("item_words").alias("at", "_x"))
-    each = [F.when(F.col("at") + m[-1] < F.size("item_words"), _seed("item_words", F.col("at"), m)) for m in masks]
+    n = F.size("item_words")
+    each = [F.when((n >= MIN_ITEM) & (F.col("at") + m[-1] < n), _seed("item_words", F.col("at"), m)) for m in masks]
+    each += [F.when((n == len(m)) & (F.col("at") == 0), _seed("item_words", F.col("at"), m)) for m in SHORT_MASKS]
     found = spots.select("item_id", "at", F.explode(F.array(*each)).alias("hash"))
     return found.where(F.col("hash").isNotNull()).select("hash", "item_id", "at").distinct()
 
 
-def _hits(docs: DataFrame, items: DataFrame, masks) -> DataFrame:
+def _hits(docs: DataFrame, items: DataFrame, masks, broadcast_seeds: int) -> DataFrame:
     """Rows of ``docs`` (key, words) beside the item and the diagonal of every run of seeds."""
     known = written(seeds(items, masks), "seeds")
-    small = known.count() <= BROADCAST_SEEDS
-    hint = F.broadcast if small else (lambda x: x)
+    lengths = {r["n"] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < MIN_ITEM).distinct().collect()}
+    each = F.array(*[_seed("words", F.col("pos"), m) for m in (*masks, *[m for m in SHORT_MASKS if len(m) in lengths])])
     spots = docs.select("key", "words", F.posexplode("words").alias("pos", "_x"))
-    spots = spots.select("key", "words", "pos", F.explode(F.array(*[_seed("words", F.col("pos"), m) for m in masks])).alias("hash"))
-    hits = spots.join(hint(known), "hash").join(hint(items), "item_id")
+    if known.count() <= broadcast_seeds:
+        spots = spots.select("key", "words", "pos", F.explode(each).alias("hash"))
+        hits = spots.join(F.broadcast(known), "hash").join(F.broadcast(items), "item_id")
+    else:
+        bare = spots.select("key", "pos", F.explode(each).alias("hash")).join(known, "hash").join(items, "item_id")
+        own = docs.select(F.col("key").alias("_key"), "words")
+        # texts that share a key are all laid beside the item; the verification tells them apart
+        hits = bare.join(own, F.col("key").eqNullSafe(F.col("_key"))).drop("_key")
     # the seed one word earlier on the same diagonal stands for this one if all its words agree
     again = F.lit(False)
     for m in masks:
@@ -87,21 +98,22 @@ def _verified(hits: DataFrame, window: int, need: int) -> DataFrame:
         F.col("best.matched").cast("long").alias("matched"), F.col("length").cast("long").alias("length"))
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, item_id_col: str, item_col: str, masks, window: int, need: int) -> DataFrame:
+def _leaks(docs: DataFrame, benchmark: DataFrame, item_id_col: str, item_col: str, masks, window: int, need: int,
+           broadcast_seeds: int) -> DataFrame:
     items = benchmark.select(F.col(f"`{item_id_col}`").alias("item_id"), tokens(F.col(f"`{item_col}`")).alias("item_words"))
-    items = items.where(F.size("item_words") >= MIN_ITEM).distinct()
-    found = _verified(_hits(docs, items, masks), window, need)
+    items = items.where(F.size("item_words") > 0).distinct()
+    found = _verified(_hits(docs, items, masks, broadcast_seeds), window, need)
     best = F.max(F.struct("matched", "length", (-F.col("start")).alias("minus")))
     return found.groupBy("key", "item_id").agg(best.alias("best")).select(
         "key", "item_id", (-F.col("best.minus")).alias("start"), "best.matched", "best.length")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-          item_col: str = "text", masks=MASKS, window: int = WINDOW, need: int = NEED) -> DataFrame:
+          item_col: str = "text", masks=MASKS, window: int = WINDOW, need: int = NEED, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """One row per document id and benchmark item found in it: id, item_id, start (word), matched, length of the best window."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("key"), tokens(F.col(f"`{text_col}`")).alias("words"))
-    return _leaks(texts, benchmark, item_id_col, item_col, masks, window, need).withColumnRenamed("key", id_col)
+    return _leaks(texts, benchmark, item_id_col, item_col, masks, window, need, broadcast_seeds).withColumnRenamed("key", id_col)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -110,6 +122,6 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **
     key, = fresh(docs, "text_key")
     digest = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
     texts = docs.select(digest.alias("key"), tokens(F.col(f"`{text_col}`")).alias("words"))
-    settings = {"item_id_col": "item_id", "item_col": "text", "masks": MASKS, "window": WINDOW, "need": NEED} | options
+    settings = {"item_id_col": "item_id", "item_col": "text", "masks": MASKS, "window": WINDOW, "need": NEED, "broadcast_seeds": BROADCAST_SEEDS} | options
     bad = written(_leaks(texts, benchmark, **settings).select(F.col("key").alias(key)).distinct(), "leaks")
     return docs.withColumn(key, digest).join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
