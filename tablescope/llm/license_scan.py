@@ -1,8 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A
-block is a window of ``BLOCK`` words; blocks begin every ``BLOCK / 2`` words, so any
-statement of up to half a block lies within one. A block matches a template if it
+block is a window of ``BLOCK`` words, doubled until twice a template's distinct words fit in; blocks begin
+every half block, so any statement of up to half a block lies within one. A block matches a template if it
 holds at least ``CONTAINMENT`` of the template's distinct words. The join is exact:
 words are ordered by their frequency over all documents, rarest first, and a
 pair is looked at only where a word of the template's prefix occurs in the block
@@ -12,10 +12,11 @@ filter); what is left is verified by the overlap itself.
 
 Beside this join every place of the fixed base phrases is counted in the row.
 
-The templates are a parameter of bounded size; their words are broadcast.
+The templates are a parameter; the rows of their prefixes are broadcast up to ``BROADCAST_PREFIXES`` and
+joined by a shuffle beyond.
 
-Edge cases: null counts as the empty text (no words, no labels, score 0); templates
-longer than half a block are refused; repeated rows are scanned alike, each on
+Edge cases: null counts as the empty text (no words, no labels, score 0); very long texts are scanned whole;
+templates without words match nothing; a containment right at the threshold counts; repeated rows are scanned alike, each on
 its own; an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import prepare, written
 
 BLOCK = 64
 CONTAINMENT = 0.8
-MAX_TEMPLATES = 1000
+BROADCAST_PREFIXES = 50_000
 
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -101,8 +102,21 @@ def _ordered_templates(texts: DataFrame, templates) -> tuple[list[str], list[tup
 
 def matches(texts: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
     """(key, block, label, overlap, size): the blocks of ``texts`` (key, w) that meet the containment of a template."""
-    if len(templates) > MAX_TEMPLATES or any(len(_template_words(t)) > block // 2 for _, t in templates):
-        raise ValueError("too many or too long templates for the block size")
+    sizes: dict[int, list] = {}
+    for label, text in templates:
+        size = block
+        while len(_template_words(text)) > size // 2:
+            size *= 2
+        sizes.setdefault(size, []).append((label, text))
+    found = [_block_matches(texts, own, containment, size) for size, own in sorted(sizes.items())]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _block_matches(texts: DataFrame, templates, containment: float, block: int) -> DataFrame:
+    """The matches of templates of up to half a block in blocks of one size."""
     spark = texts.sparkSession
     vocabulary, ordered = _ordered_templates(texts, templates)
     prefixes = []
@@ -112,7 +126,8 @@ def matches(texts: DataFrame, templates=TEMPLATES, containment: float = CONTAINM
     prefix = spark.createDataFrame(
         prefixes, "word string, template int, label string, place int, size int, need int, template_words array<string>")
     step = block // 2
-    at = texts.select("key", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(prefix), "word")
+    at = texts.select("key", "w", F.posexplode("w").alias("pos", "word")).join(
+        F.broadcast(prefix) if len(prefixes) <= BROADCAST_PREFIXES else prefix, "word")
     at = at.select("*", F.floor(F.col("pos") / step).cast("int").alias("_last"))
     at = at.select("*", F.explode(F.when(F.col("_last") > 0, F.array(F.col("_last") - 1, "_last")).otherwise(F.array("_last"))).alias("block"))
     at = at.select("*", F.array_intersect(F.array(*[F.lit(x) for x in vocabulary]),

@@ -40,3 +40,18 @@ def test_scan(spark):
     want = sorted(((i, *brute(t)[:6], round(brute(t)[6], 9)) for i, t, _ in rows), key=str)
     assert got == want
     assert ls.scan(docs.limit(0)).count() == 0
+
+
+def test_long_templates(spark):
+    """A template of a thousand words in a text of its own, with a tenth of its words replaced, and with a third."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(1000)]
+    template = " ".join(words)
+
+    def changed(share):
+        return " ".join(f"x{i}" if rng.random() < share else w for i, w in enumerate(words))
+    pad = " ".join(["pad"] * 777)
+    rows = [(1, f"{pad} {changed(0.1)} {pad}"), (2, changed(0.33)), (3, f"{pad} released under the mit license"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in ls.scan(docs, templates=[("long", template), ("mit", "Released under the MIT License"), ("none", "")]).collect()}
+    assert got == {1: "long", 2: "", 3: "mit", 4: ""}
