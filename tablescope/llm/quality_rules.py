@@ -8,7 +8,7 @@ follows from its pattern, so the text is read once and the posteriors come back
 by a join on the pattern.
 
 Edge cases: a null or empty text has no words, fails the base rule and is not
-kept; repeated rows are scored alike, each on its own; an empty table gives an
+kept; very long texts are counted whole; a posterior right at the threshold keeps the document; repeated rows are scored alike, each on its own; an empty table gives an
 empty result; other columns, also such with the names of results, do not matter
 to ``score`` (it returns its own columns) and are kept as they are by ``filter_rows``.
 """
@@ -41,7 +41,7 @@ def _repeat_words(w: Column, n: Column) -> Column:
     The windows' 64-bit hashes are packed with their position into one long and
     sorted as primitives, so equal windows become neighbours; neighbours are then
     compared by the full hash. Where two different windows share the packed bits
-    (very rare) the full hashes are looked up one by one instead.
+    (rare, but not in texts of a million words) pairs of full hash and position are sorted instead.
     """
     hashes = F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(0))),
                          lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
@@ -63,11 +63,15 @@ def _repeat_words(w: Column, n: Column) -> Column:
                 & (F.get(s, j).bitwiseXOR(F.get(s, j - 1)) >= 0))
 
         packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
-        positions = _let(packed, lambda s: F.when(
-            mixed(s), _let(F.filter(F.sort_array(h), lambda x, j: (j > 0) & (x == F.get(F.sort_array(h), j - 1))),
-                           lambda twice: F.filter(F.sequence(F.lit(0), F.size(h) - 1),
-                                                  lambda i: F.array_contains(twice, F.get(h, i)))))
-            .otherwise(F.sort_array(F.transform(marked(s), lambda p: p.bitwiseAND(low).cast("int")))))
+        def twice(s: Column) -> Column:
+            """Positions of pairs (hash, position), sorted, with a neighbour of the same hash."""
+            def same(e: Column, j: Column) -> Column:
+                before, after = F.get(s, j - 1), F.get(s, j + 1)
+                return F.coalesce((j > 0) & (before["x"] == e["x"]), F.lit(False)) | F.coalesce(after["x"] == e["x"], F.lit(False))
+            return F.sort_array(F.transform(F.filter(s, same), lambda e: e["i"]))
+
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        positions = _let(packed, lambda s: F.when(mixed(s), _let(pairs, twice)).otherwise(F.sort_array(F.transform(marked(s), lambda p: p.bitwiseAND(low).cast("int")))))
         covered = _let(positions, lambda q: F.aggregate(
             F.transform(q, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(q, i + 1) - x, F.lit(3)))),
             F.lit(0).cast("long"), lambda a, x: a + x))

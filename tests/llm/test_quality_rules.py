@@ -54,3 +54,44 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert quality_rules.score(docs).count() == 0
     assert quality_rules.filter_rows(docs).count() == 0
+
+
+def test_more_than_a_million_words(spark):
+    """Windows that stand twice among 1.2 million words, in a text whose hashes no longer fit beside their positions."""
+    import random
+    import time
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10 ** 9)}" for _ in range(1_200_000)]
+    words[700_000:700_005] = words[100:105]
+    words[900_000:900_003] = words[100:103]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    started = time.time()
+    row = quality_rules.score(docs).first()
+    assert (row.n_words, row.n_repeat_words) == (1_200_000, 5 + 5 + 3) and time.time() - started < 120
+
+
+def test_em_and_posteriors_against_a_plain_version(spark, rows):
+    import math
+    docs = spark.createDataFrame(rows, "doc_id long, text string, posterior string, n_words double, kept boolean")
+    got = quality_rules.score(docs).collect()
+    rules = quality_rules.RULES
+    votes = [[r[f"vote_{x}"] for x in rules] for r in got]
+    model = [quality_rules.START] * len(rules)
+
+    def posterior(v):
+        odds = sum(x * math.log(a / (1 - a)) for x, a in zip(v, model))
+        return 1 / (1 + math.exp(-odds))
+    for _ in range(quality_rules.EM_ROUNDS):
+        new = []
+        for k in range(len(rules)):
+            cast = [v for v in votes if v[k]]
+            right = sum(posterior(v) if v[k] == 1 else 1 - posterior(v) for v in cast)
+            pull = quality_rules.PULL * len(cast) + 1
+            new.append(min(quality_rules.BEST, max(quality_rules.WORST, (right + pull * quality_rules.START) / (len(cast) + pull))))
+        moved = max(abs(a - b) for a, b in zip(new, model))
+        model = new
+        if moved < 1e-4:
+            break
+    for r, v in zip(got, votes):
+        assert abs(r.posterior - posterior(v)) < 1e-9
+        assert r.kept == (not r.base_failed and posterior(v) >= quality_rules.THRESHOLD)
