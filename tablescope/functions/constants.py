@@ -60,7 +60,6 @@ BAR_HORIZONTAL_OVER = 6
 OTHERS_LABEL = "Others"
 MAX_INSIGHTS = 6
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
-DEFAULT_PAGE_SIZE = 50
 
 # --- fixed values: known counter keys --------------------------------------
 COUNTER_KEYS = ["total_visitors", "total_uploads", "total_analyses"]

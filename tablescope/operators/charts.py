@@ -19,7 +19,6 @@ from .freq import frequency_table
 from .groups import category_counts, group_sums, top_n_with_others
 from .profile import histogram, quantiles
 from .ranks import order_statistics
-from .reshape import unpivot_structs
 from .timeseries import resample_sums
 
 CHART_COLUMNS = ["chart_id", "type", "category", "title", "x_label", "y_label", "series",

@@ -35,12 +35,6 @@ def sort_orders(df: DataFrame, by: str | None, direction: str = "desc",
     return [main] + ties
 
 
-def sort_table(df: DataFrame, by: str | None, direction: str = "desc",
-               tie_break: list[str] | None = None) -> DataFrame:
-    orders = sort_orders(df, by, direction, tie_break)
-    return df.orderBy(*orders) if orders else df
-
-
 def with_positions(df: DataFrame, orders: list[Column], name: str = "position") -> DataFrame:
     """1-based position in ``orders`` for every row, computed per range partition."""
     ranged = freeze(df.repartitionByRange(*orders).withColumn("_pid", F.spark_partition_id()))

@@ -209,7 +209,10 @@ def histogram_bounds(freq: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, n, first, last, bins, step)``: bins = clamp(⌊√n⌋, 3, 10);
     a constant column is widened to ±0.5."""
     fnum = numbers(freq, columns)
-    b = fnum.groupBy("column_name").agg(F.sum("cnt").alias("n"), F.min("num").alias("mn"), F.max("num").alias("mx"))
+    return _bounds(fnum.groupBy("column_name").agg(F.sum("cnt").alias("n"), F.min("num").alias("mn"), F.max("num").alias("mx")))
+
+
+def _bounds(b: DataFrame) -> DataFrame:
     bins = F.least(F.lit(10), F.greatest(F.lit(3), F.floor(F.sqrt(F.col("n"))))).cast("bigint")
     first = F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn"))
     last = F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))
@@ -226,6 +229,29 @@ def histogram(freq: DataFrame, columns: list[str], label_digits: int = 2, sep: s
     idx = _bin_index(F.col("num"), F.col("first"), F.col("step"), F.col("last"), F.col("bins"))
     counts = (fnum.join(F.broadcast(bounds), "column_name")
               .groupBy("column_name", idx.alias("bin")).agg(F.sum("cnt").alias("count")))
+    return _histogram_rows(bounds, counts, label_digits, sep)
+
+
+def table_histogram(df: DataFrame, columns: list[str], label_digits: int = 2, sep: str = " - ") -> DataFrame:
+    """A16 straight from a table: one pass for the bounds of all columns, one that counts bins in the map tasks."""
+    views = [as_number(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]
+    cells = unpivot_structs(df, [F.struct(F.lit(i).alias("i"), v.alias("num")) for i, v in enumerate(views)])
+    names = F.array(*[F.lit(c) for c in columns])
+    found = _bounds(cells.groupBy(F.element_at(names, F.col("i") + 1).alias("column_name")).agg(
+        F.count("num").alias("n"), F.min("num").alias("mn"), F.max("num").alias("mx")).where(F.col("n") > 0))
+    bounds = {r["column_name"]: r for r in found.collect()}  # one row per column
+    present = [(i, c) for i, c in enumerate(columns) if c in bounds]
+    if not present:
+        return _histogram_rows(found, found.select("column_name", F.lit(0).cast("bigint").alias("bin"), F.lit(0).alias("count")), label_digits, sep)
+    binned = unpivot_structs(df, [F.struct(F.lit(i).alias("i"), _bin_index(views[i], *[F.lit(bounds[c][k]) for k in (
+        "first", "step", "last", "bins")]).alias("bin")) for i, c in present])
+    counts = binned.where(F.col("bin").isNotNull()).groupBy("i", "bin").agg(F.count(F.lit(1)).alias("count"))
+    counts = counts.select(F.element_at(names, F.col("i") + 1).alias("column_name"), "bin", "count")
+    return _histogram_rows(df.sparkSession.createDataFrame(list(bounds.values()), found.schema), counts, label_digits, sep)
+
+
+def _histogram_rows(bounds: DataFrame, counts: DataFrame, label_digits: int, sep: str) -> DataFrame:
+    """All bins of the bounds with their labels and counts."""
     spine = bounds.select("column_name", "first", "last", "step", "bins",
                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("bin"))
     lo = F.col("bin") * F.col("step") + F.col("first")

@@ -80,10 +80,6 @@ def q_messy_report(spark, sf):
     return clean_table(read_delimited(spark, f"{path}/*/*/*.txt"))
 
 
-def _orders_text(o):
-    return o.select(*[F.col(c).cast("string").alias(c) for c in o.columns])
-
-
 @register("drop_total_rows", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus,
   CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders""")
 def q_drop_total_rows(spark, sf):

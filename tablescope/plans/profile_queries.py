@@ -5,15 +5,14 @@ from pyspark.sql import functions as F
 
 from ..operators.corr import correlation
 from ..operators.freq import cells_table, frequency_table
-from ..operators.profile import (dataset_summary, date_ranges, duplicate_rows, histogram, modes, monthly_distribution,
+from ..operators.profile import (dataset_summary, date_ranges, duplicate_rows, modes, monthly_distribution,
                                  null_and_distinct, numeric_moments, numeric_stats, outlier_counts,
-                                 quantiles, top_values)
+                                 quantiles, table_histogram, top_values)
 from ..operators.types import collect_types, column_types
 from .tables import load, with_nulls
 
 LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                 "l_extendedprice", "l_discount", "l_tax"]
-ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 def numeric_columns_of(df, freq=None):
@@ -115,12 +114,12 @@ def q_bottom_values(spark, sf):
 
 def q_histogram(spark, sf):
     df = load(spark, sf, "lineitem")
-    return histogram(cells_table(df, LINEITEM_NUM), LINEITEM_NUM)
+    return table_histogram(df, LINEITEM_NUM)
 
 
 def q_histogram_constant(spark, sf):
     df = load(spark, sf, "orders").select(F.lit(7.0).alias("k"), F.col("o_totalprice"))
-    return histogram(cells_table(df, ["k", "o_totalprice"]), ["k", "o_totalprice"])
+    return table_histogram(df, ["k", "o_totalprice"])
 
 
 def q_monthly_distribution(spark, sf):

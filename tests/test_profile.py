@@ -68,6 +68,18 @@ def test_histogram_matches_numpy(spark):
     assert h[0]["label"] == f"{float(np.round(edges[0], 2))} - {float(np.round(edges[1], 2))}"
 
 
+def test_table_histogram_equals_that_of_the_frequency_table(spark):
+    from tablescope.operators.profile import table_histogram
+    rng = np.random.default_rng(2)
+    rows = [(float(v), int(v) % 5, None, f"{v:.1f}" if v > 40 else "n/a") for v in rng.normal(50, 10, 400)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "x double, k int, none double, t string")
+    columns = ["x", "k", "none", "t"]
+    key = lambda r: (r["column_name"], r["bin"])
+    want = sorted(histogram(frequency_table(df, columns), columns).collect(), key=key)
+    assert sorted(table_histogram(df, columns).collect(), key=key) == want and len(want) == 30
+    assert table_histogram(df, ["none"]).count() == 0
+
+
 def test_histogram_constant_column(spark):
     df = spark.createDataFrame([(3.0,)] * 9, "x double")
     h = histogram(frequency_table(df), ["x"]).orderBy("bin").collect()
