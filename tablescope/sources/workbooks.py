@@ -145,6 +145,24 @@ def _sheet_names(batches):
         yield pd.DataFrame(out, columns=["_file", "sheet_index", "sheet"])
 
 
+def _statuses(batches, sheet: str | None):
+    for pdf in batches:
+        out = []
+        for path, content in zip(pdf["path"], pdf["content"]):
+            try:
+                z = zipfile.ZipFile(io.BytesIO(bytes(content)))
+                names = _sheets(z)
+                chosen = [n for n in names if n[0] == sheet] if sheet else names[:1]
+                if not chosen:
+                    out.append((path, "rejected", f"No sheet named {sheet}" if sheet else "No sheet", 0))
+                    continue
+                shared, dates = _shared_strings(z), _date_styles(z)
+                out.append((path, "ok", None, sum(1 for _ in _sheet_rows(z, chosen[0][1], shared, dates))))
+            except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
+                out.append((path, "rejected", f"Unreadable workbook: {type(e).__name__}", 0))
+        yield pd.DataFrame(out, columns=["path", "status", "reason", "rows"])
+
+
 def _binary(spark: SparkSession, paths, max_bytes: int | None):
     from ..session import ship_package
     ship_package(spark)
@@ -163,6 +181,11 @@ def sheet_names(spark: SparkSession, paths, max_bytes: int | None = None) -> Dat
     return _binary(spark, paths, max_bytes).mapInPandas(_sheet_names, SHEET_SCHEMA)
 
 
+def workbook_status(spark: SparkSession, paths, sheet: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """One row per workbook, ``(path, status, reason, rows)``: whether its first (or named) sheet can be read, else why not."""
+    return _binary(spark, paths, max_bytes).mapInPandas(lambda it: _statuses(it, sheet), "path string, status string, reason string, rows long")
+
+
 def read_workbooks(spark: SparkSession, paths, sheet: str | None = None, width: int | None = None,
                    max_bytes: int | None = None) -> DataFrame:
     """The first (or named) sheet of every workbook as a raw grid

@@ -132,3 +132,33 @@ def test_stream_query_keeps_events_of_several_months(spark, tmp_dir):
         want[i] = (str(user), active[user])
     got = {r.event_id: (r.key, r.active) for r in q_stream_active_sessions(spark, tmp_dir).collect()}
     assert got == want
+
+
+def test_sessions_set_late_events_apart(spark, tmp_dir):
+    """Two files of one hour each, a delay of ten minutes: what the second file brings from before that is late."""
+    from tablescope.streaming.sessions import stream_sessions, write_sessions
+    base = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    src, out, ck = (os.path.join(tmp_dir, n) for n in ("late-src", "late-out", "late-ck"))
+    random.seed(11)
+    kinds = ["click", "view", "click", "error"]
+    early = [(i, base + dt.timedelta(minutes=i), i % 2, random.choice(kinds)) for i in range(60) if i % 7 != 3]
+    later = [(i, base + dt.timedelta(minutes=i), i % 2, random.choice(kinds)) for i in range(120) if i >= 60 or i % 7 == 3]
+    spark.createDataFrame(early, schema).coalesce(1).write.parquet(src)
+    sessions = stream_sessions(read_events_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=1),
+                               "user_id", "event_type", "click", "view", "10 minutes")
+    for more in (later, [(999, base + dt.timedelta(days=9), None, "click")]):
+        write_sessions(sessions, out, ck)
+        spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(src)
+    write_sessions(sessions, out, ck)
+    mark = base + dt.timedelta(minutes=59 - 10)
+    late = {i for i, ts, _, _ in later if ts <= mark}
+    rows = [r for r in early + later if r[0] not in late]
+    want = {}
+    for user in (0, 1):
+        mine = sorted((ts, i, k) for i, ts, u, k in rows if u == user)
+        active = _sequential([{"click": "start", "view": "end"}.get(k, k) for _, _, k in mine])
+        want |= {i: a for (_, i, _), a in zip(mine, active)}
+    got = [r for r in spark.read.parquet(out).collect() if r["key"] is not None]
+    assert {r["event_id"] for r in got if str(r["late"]) in ("true", "True")} == late and late
+    assert {r["event_id"]: r["active"] for r in got if r["event_id"] not in late} == want

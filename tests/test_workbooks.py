@@ -76,3 +76,15 @@ def test_inspect_sources(spark, tmp_dir):
     assert got["bad.xlsx"] == ("rejected", "Missing ZIP header")
     assert got["empty.csv"] == ("rejected", "The file is empty")
     assert got["notes.txt"] == ("rejected", "Unsupported file format")
+
+
+def test_every_workbook_has_a_status(spark, tmp_dir):
+    from tablescope.sources.workbooks import workbook_status
+    _workbook(os.path.join(tmp_dir, "good.xlsx"))
+    with open(os.path.join(tmp_dir, "bad.xlsx"), "wb") as fh:
+        fh.write(b"not a zip")
+    got = {os.path.basename(r["path"]): r for r in workbook_status(spark, tmp_dir).collect()}
+    assert got["good.xlsx"]["status"] == "ok" and got["good.xlsx"]["rows"] > 0
+    assert got["bad.xlsx"]["reason"] == "Unreadable workbook: BadZipFile" and got["bad.xlsx"]["rows"] == 0
+    named = {os.path.basename(r["path"]): r["reason"] for r in workbook_status(spark, tmp_dir, sheet="absent").collect()}
+    assert named["good.xlsx"] == "No sheet named absent"
