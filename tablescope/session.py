@@ -66,6 +66,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+#: What a split's cells take in a hash aggregate is many times their bytes in a file.
+SCAN_BYTES = 16 << 20
+
+
+def small_splits(spark: SparkSession) -> None:
+    """Hold the splits of file scans at ``SCAN_BYTES``, so that a task's memory does not follow the size of a table.
+    A session that has smaller ones keeps them."""
+    name = "spark.sql.files.maxPartitionBytes"
+    given = spark.range(0)._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
+    if given > SCAN_BYTES:
+        spark.conf.set(name, str(SCAN_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -31,3 +31,21 @@ def test_top_values_limit_before_shuffle_and_expand(spark):
     p = _plan(top_values(frequency_table(df)))
     assert "Expand" in p and "Generate" not in p
     assert p.count("WindowGroupLimit") >= 2  # partial (map side) and final
+
+
+def test_tables_are_read_in_slices_that_do_not_grow(spark, tmp_dir):
+    """A task of a scan gets a bounded part of a table: its hash aggregate then holds a bounded number of cells."""
+    from tablescope.plans.tables import SLICE_BYTES, SPLIT_BYTES, load, slices
+    from tablescope.session import SCAN_BYTES
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.range(1000).write.parquet(f"{tmp_dir}/t.parquet")
+    try:
+        spark.conf.set(name, "128MB")
+        load(spark, tmp_dir, "t")
+        assert int(spark.conf.get(name)) == SCAN_BYTES
+        spark.conf.set(name, "1m")
+        assert load(spark, tmp_dir, "t").count() == 1000 and spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+    assert slices(0, 12) == slices(12 * SLICE_BYTES, 12) == 12 and slices(SPLIT_BYTES, 12) == SPLIT_BYTES // SLICE_BYTES
