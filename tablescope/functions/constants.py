@@ -13,6 +13,9 @@ EXCEL_ERRORS = ["#N/A", "#REF!", "#VALUE!", "#DIV/0!", "#NAME?", "#NULL!", "#NUM
 CSV_NA_EXTRA = ["", "NA", "N/A", "NULL", "None"]
 CSV_NA_TOKENS = EXCEL_ERRORS + CSV_NA_EXTRA
 
+# --- fixed values: whitespace that is trimmed from cells (Unicode's White_Space, as in ``(?U)\\s``)
+WHITESPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # --- fixed values: characters removed before a number is parsed -----------
 NUMBER_STRIP_PATTERN = r"[\$,£€¥₹%\s]"
 CURRENCY_CHAR_PATTERN = r"[\$,£€¥₹]"

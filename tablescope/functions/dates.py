@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import DATE_FORMATS, EXCEL_ERRORS
+from .constants import DATE_FORMATS, EXCEL_ERRORS, WHITESPACE
 
 
 def _c(col) -> Column:
@@ -36,14 +36,18 @@ LAYOUT_SHAPES = {
 
 def to_timestamp_mixed(col, formats=DATE_FORMATS) -> Column:
     """Text → TIMESTAMP, trying each layout in order per value; bad → NULL."""
-    text = F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")
+    text = F.trim(_c(col).cast("string"), F.lit(WHITESPACE))
     tries = []
     for f in formats:
         attempt = F.try_to_timestamp(text, F.lit(f))
         shape = LAYOUT_SHAPES.get(f)
         tries.append(F.when(text.rlike(shape), attempt) if shape else attempt)
     parsed = F.coalesce(*tries)
-    return F.when(text.isNotNull() & (text != "") & ~text.isin(EXCEL_ERRORS), parsed)
+    ok = text.isNotNull() & (text != "") & ~text.isin(EXCEL_ERRORS)
+    if all(f in LAYOUT_SHAPES for f in formats):
+        # one test turns most texts away before the shapes are tried one by one
+        ok = ok & text.rlike("|".join(f"(?:{LAYOUT_SHAPES[f]})" for f in formats))
+    return F.when(ok, parsed)
 
 
 def as_timestamp(col, dtype) -> Column:
@@ -58,7 +62,7 @@ def as_timestamp(col, dtype) -> Column:
 
 def is_date_text(col) -> Column:
     """Header-scorer date test: ≥ 6 characters, not all digits, parses."""
-    text = F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")
+    text = F.trim(_c(col).cast("string"), F.lit(WHITESPACE))
     return (F.length(text) >= 6) & ~text.rlike(r"^[0-9]+$") & to_timestamp_mixed(text).isNotNull()
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .constants import CURRENCY_CHAR_PATTERN, NUMBER_SHAPE_PATTERN, NUMBER_STRIP_PATTERN, EXCEL_ERRORS
+from .constants import CURRENCY_CHAR_PATTERN, NUMBER_SHAPE_PATTERN, NUMBER_STRIP_PATTERN, EXCEL_ERRORS, WHITESPACE
 
 
 def _c(col) -> Column:
@@ -23,7 +23,7 @@ def to_number(col) -> Column:
     The shape check runs before the cast so Java's ``5d``/``5f`` suffixes,
     ``NaN`` and ``Infinity`` never count as numbers.
     """
-    text = F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")
+    text = F.trim(_c(col).cast("string"), F.lit(WHITESPACE))
     bare = strip_number_text(text)
     ok = text.isNotNull() & ~text.isin(EXCEL_ERRORS) & bare.rlike(NUMBER_SHAPE_PATTERN)
     return F.when(ok, bare.try_cast("double"))

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import EXCEL_ERRORS, TOTAL_ROW_PATTERN
+from .constants import EXCEL_ERRORS, TOTAL_ROW_PATTERN, WHITESPACE
 
 
 def _c(col) -> Column:
@@ -22,7 +22,7 @@ def filled(template: str, **parts) -> Column:
 
 def strip_ws(col) -> Column:
     """Remove leading and trailing whitespace of any kind (Python's ``str.strip``)."""
-    return F.regexp_replace(_c(col).cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.trim(_c(col).cast("string"), F.lit(WHITESPACE))
 
 
 def clean_text(col) -> Column:

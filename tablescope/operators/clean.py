@@ -73,7 +73,8 @@ def header_scores(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS, head: DataF
 def detect_header_row(raw: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFrame:
     """``(_file, header_rn, header_ord, cells)``: the best-scoring row per file
     (first maximum wins) and its trimmed cells; files where no row qualifies use their first row."""
-    head = head_rows(raw, scan_rows)
+    # at most scan_rows + 1 rows of a file, read twice
+    head = head_rows(raw, scan_rows).persist(StorageLevel.MEMORY_AND_DISK)
     sc = header_scores(raw, scan_rows, head)
     best = sc.groupBy("_file").agg(F.max_by("_rn", F.struct(F.col("score"), -F.col("_rn"))).alias("_best"))
     cells = F.array(*[F.trim(F.col(f"`{c}`")) for c in data_columns(raw)])
@@ -120,11 +121,12 @@ def promote_header(raw: DataFrame, header: DataFrame | None = None) -> DataFrame
     layout lacks is NULL there.
     """
     cols = data_columns(raw)
-    header = header if header is not None else detect_header_row(raw)
+    # one row per file, used for the layouts and again for the rows: broadcast, so that a file's rows stay where they were read
+    header = (header if header is not None else detect_header_row(raw)).persist(StorageLevel.MEMORY_AND_DISK)
     # one row per layout
     layouts = header.groupBy("cells").agg(F.min("_file").alias("_first")).orderBy("_first").collect()
     if len(layouts) <= 1:
-        body = raw.join(header.select("_file", "header_ord"), "_file").where(F.col("_row_ord") > F.col("header_ord"))
+        body = raw.join(F.broadcast(header.select("_file", "header_ord")), "_file").where(F.col("_row_ord") > F.col("header_ord"))
         given = _named(list(layouts[0]["cells"]) if layouts else [None] * len(cols))
         # unique from here on; what the header says stays with the column until empty ones are dropped
         return body.select("_file", "_row_ord", *[F.col(f"`{c}`").alias(n, metadata={"header": g})
@@ -139,7 +141,7 @@ def promote_header(raw: DataFrame, header: DataFrame | None = None) -> DataFrame
                                              "_cells array<string>, _places array<int>")
     files = header.select("_file", "header_ord", key("cells").alias("_k")).join(
         F.broadcast(known.select(key("_cells").alias("_k"), "_places")), "_k").drop("_k")
-    body = raw.join(files, "_file").where(F.col("_row_ord") > F.col("header_ord"))
+    body = raw.join(F.broadcast(files), "_file").where(F.col("_row_ord") > F.col("header_ord"))
     body = body.select("_file", "_row_ord", F.array(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "_places")
     return body.select("_file", "_row_ord", *[F.get("_row", F.get("_places", F.lit(i))).alias(n) for i, n in enumerate(names)])
 

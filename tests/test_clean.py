@@ -103,3 +103,32 @@ def test_multiline_wide_and_late_latin1(spark, tmp_path):
     assert (last["c1"], last["c2"], last["c3"]) == ("n60", "EXTRA", "CELLS")
     (tmp_path / "l.csv").write_bytes(("a,b\n" + "".join(f"{i},plain\n" for i in range(50)) + "50,café\n").encode("latin-1"))
     assert read_delimited(spark, str(tmp_path / "l.csv")).where("c0 = '50'").first()["c1"] == "café"
+
+
+def test_rows_of_a_file_stay_where_they_are_read(spark):
+    """The header row goes to the rows: they are not shuffled by their file, which may be all of them."""
+    from pyspark.sql import functions as F
+
+    from tablescope.operators.clean import promote_header
+    rows = spark.range(2000).select(F.lit("one").alias("_file"), F.struct(F.lit(0).cast("bigint").alias("block"), F.col("id").alias("row")).alias("_row_ord"),
+                                    F.when(F.col("id") == 0, "name").otherwise(F.concat(F.lit("n"), "id")).alias("c0"),
+                                    F.when(F.col("id") == 0, "amount").otherwise(F.col("id").cast("string")).alias("c1"))
+    body = promote_header(rows.repartition(4))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = body.groupBy(F.spark_partition_id()).count().collect()
+        plan = body._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum(r["count"] for r in parts) == 1999 and len(parts) == 4
+    assert "SortMergeJoin _file" not in plan.replace("[", " ")
+
+
+def test_cells_are_trimmed_of_any_whitespace(spark):
+    from tablescope.functions import clean_text, to_number, to_timestamp_mixed
+    blanks = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2007\u200a\u2028\u2029\u202f\u205f\u3000"
+    df = spark.createDataFrame([(blanks + t + blanks,) for t in ("a b", "1,200.5", "2024-03-05", "20240305", "", "Mar 5, 2024")], "t string")
+    got = [tuple(r) for r in df.select(clean_text("t"), to_number("t"), to_timestamp_mixed("t").cast("date").cast("string")).collect()]
+    assert got == [("a b", None, None), ("1,200.5", 1200.5, None), ("2024-03-05", None, "2024-03-05"),
+                   ("20240305", 20240305.0, "2024-03-05"), (None, None, None), ("Mar 5, 2024", None, "2024-03-05")]
