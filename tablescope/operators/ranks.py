@@ -41,7 +41,8 @@ def order_statistics(values: DataFrame, keys: list[str], ranks: Callable[[Column
     count ``n`` of a key, an array of structs with a field ``k``, the 1-based rank. Rows without a value do not count.
     """
     rows = values.select(*keys, F.col(order).cast("double").alias("_x"), F.col(weight).cast("long").alias("_w"))
-    rows = rows.withColumn("_key", order_key(F.col("_x"))).where(F.col("_key").isNotNull())
+    # the test stands before the key: a filter on the key itself would work the key out twice for every row
+    rows = rows.where(F.col("_x").isNotNull() & ~F.isnan("_x")).withColumn("_key", order_key(F.col("_x")))
     spark = values.sparkSession
     found, state = [], None
     for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):

@@ -64,3 +64,13 @@ def test_no_values(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert quantiles(frequency_table(df), ["x"]).count() == 0
     assert quantiles(frequency_table(df.limit(0)), ["x"]).count() == 0
+
+
+def test_missing_values_do_not_count(spark):
+    """Null and NaN are left out before their key is worked out; the plan works a row's key out once."""
+    from pyspark.sql import functions as F
+
+    from tablescope.operators.ranks import order_statistics
+    rows = spark.createDataFrame([("a", x, 1) for x in (3.0, None, float("nan"), 1.0, 2.0, float("inf"))], "c string, num double, cnt long")
+    got = order_statistics(rows, ["c"], lambda n: F.array(F.struct(F.lit(4).cast("bigint").alias("k")))).collect()
+    assert [(r["n"], r["value"]) for r in got] == [(4, float("inf"))]
