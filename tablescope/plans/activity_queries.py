@@ -137,20 +137,20 @@ s AS (SELECT *, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 m AS (SELECT *, min(running) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mn FROM s)
 SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, running - least(0.0, mn) AS active FROM m""")
 def q_stream_active_sessions(spark, sf):
-    """E2 per user as a stateful stream over four files that overlap in time, one file a trigger.
+    """E2 per user as a stateful stream over four portions that overlap in time, one portion a run.
 
-    Every file may span the whole table, so the watermark's delay is the table's span. A last file
+    Every portion may span the whole table, so the watermark's delay is the table's span. A last one
     with one later event (of no user) moves the watermark past all others."""
     ev = load(spark, sf, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     days = (ev.agg((F.max(at) - F.min(at)).alias("span")).first()["span"] or 0) // 86_400_000_000 + 1
     folder, out = scratch_path(spark, "session-events"), scratch_path(spark, "sessions")
     files = ev.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
-    for k in range(4):
-        files.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    portions = [files.where(F.col("_part") == k).drop("_part") for k in range(4)]
     late = ev.agg((F.max("ts") + F.expr(f"INTERVAL {2 * days + 1} DAYS")).alias("ts")).select(
         *[F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in ev.dtypes])
-    stream = read_events_stream(spark, folder, ev.schema, max_files_per_trigger=1)
+    portions[0].write.mode("append").parquet(folder)
+    stream = read_events_stream(spark, folder, ev.schema)
     res = stream_active_sessions(stream.where("user_id IS NOT NULL OR event_id IS NULL"), "user_id", "event_type",
                                  "click", "view", watermark=f"{days} days")
     checkpoint = scratch_path(spark, "sessions-ckpt")
@@ -161,8 +161,9 @@ def q_stream_active_sessions(spark, sf):
         q.awaitTermination()
 
     run()
-    late.coalesce(1).write.mode("append").parquet(folder)
-    run()
+    for more in [*portions[1:], late.coalesce(1)]:
+        more.write.mode("append").parquet(folder)
+        run()
     return spark.read.parquet(out).where("key IS NOT NULL AND event_id IS NOT NULL")
 
 
@@ -176,7 +177,7 @@ m AS (SELECT *, min(running) OVER (PARTITION BY user_id ORDER BY ts, event_id RO
 SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, running - least(0.0, mn) AS active, late FROM m
 UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, ts, NULL, late FROM l WHERE late""")
 def q_stream_sessions_late(spark, sf):
-    """E2 with a delay of a tenth of the table's span: six files in the order of time, every tenth event one file later than it should.
+    """E2 with a delay of a tenth of the table's span: six portions in the order of time, every tenth event one portion later than it should; one portion a run.
 
     Of those, the ones that the watermark has passed come out as late; all others count as in the batch form.
     """
@@ -188,16 +189,17 @@ def q_stream_sessions_late(spark, sf):
     file = F.least(F.lit(4), F.floor((at - t0) * 5 / F.lit(span))) + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0)
     folder, out, checkpoint = (scratch_path(spark, n) for n in ("late-events", "late-sessions", "late-ckpt"))
     files = ev.withColumn("_file", file)
-    for k in range(6):
-        files.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
-    sessions = stream_sessions(read_events_stream(spark, folder, ev.schema, max_files_per_trigger=1), "user_id", "event_type", "click", "view",
+    portions = [files.where(F.col("_file") == k).drop("_file") for k in range(6)]
+    portions[0].write.mode("append").parquet(folder)
+    sessions = stream_sessions(read_events_stream(spark, folder, ev.schema), "user_id", "event_type", "click", "view",
                                f"{span // 10_000_000} seconds")
     write_sessions(sessions, out, checkpoint)
     # one event of no user, behind all others, moves the watermark past them
     after = ev.agg(F.timestamp_micros(F.max(at) + 2 * span).alias("ts")).select(
         *[F.col("ts") if c == "ts" else F.lit(-1 if c == "event_id" else None).cast(t).alias(c) for c, t in ev.dtypes])
-    after.coalesce(1).write.mode("append").parquet(folder)
-    write_sessions(sessions, out, checkpoint)
+    for more in [*portions[1:], after.coalesce(1)]:
+        more.write.mode("append").parquet(folder)
+        write_sessions(sessions, out, checkpoint)
     return spark.read.parquet(out).where("key IS NOT NULL").select("key", "event_id", "ts", "active", F.col("late").cast("boolean").alias("late"))
 
 

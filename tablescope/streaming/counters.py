@@ -4,7 +4,7 @@
   keys that never occurred are filled in ``foreachBatch``, since a stream
   cannot be outer-joined with a static key list in complete mode.
 * ``stream_active_sessions``: clamped session count per key with
-  ``applyInPandasWithState``; events wait in the key's state until the watermark
+  ``applyInPandasWithState`` over buckets of keys; events wait in the bucket's state until the watermark
   has passed and are applied in event-time order, later ones are dropped.
 * ``stream_event_log``: append-only event log with a checkpoint (exactly once
   with the file sink).
@@ -15,11 +15,14 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.constants import COUNTER_KEYS
+from .buckets import BUCKETS, COUNTS, EVENTS, bucket, events_table, packed, released, unpacked
 
 
 def stream_event_counts(events: DataFrame, out_path: str, checkpoint: str, action: str = "action",
@@ -40,54 +43,48 @@ def stream_event_counts(events: DataFrame, out_path: str, checkpoint: str, actio
     return w.start()
 
 
-STATE_SCHEMA = "active double, ts array<bigint>, event_id array<bigint>, delta array<double>"
+STATE_SCHEMA = "counts binary, waiting binary"
 OUT_SCHEMA = "key string, event_id bigint, ts timestamp, active double"
 
 
-def _apply_sessions(start: str, end: str, kind: str):
+def _apply_sessions(start: str, end: str):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, ts, ids, deltas = state.get if state.exists else (0.0, [], [], [])
-        ts, ids, deltas = [np.asarray(ts, np.int64)], [np.asarray(ids, np.int64)], [np.asarray(deltas, float)]
+        counts, waiting = state.get if state.exists else (None, None)
+        counts, parts = unpacked(counts, COUNTS), [unpacked(waiting, EVENTS)]
         for pdf in pdfs:
-            ts.append(pdf["ts"].to_numpy("datetime64[us]").astype(np.int64))
-            ids.append(pdf["event_id"].to_numpy(np.int64))
-            deltas.append((pdf[kind] == start).to_numpy(float) - (pdf[kind] == end).to_numpy(float))
-        ts, ids, deltas = np.concatenate(ts), np.concatenate(ids), np.concatenate(deltas)
-        order = np.lexsort((ids, ts))
-        ts, ids, deltas = ts[order], ids[order], deltas[order]
+            kind = pdf["_kind"]
+            parts.append(events_table(
+                pdf["_key"].fillna("None"), pdf["ts"].to_numpy("datetime64[us]").astype(np.int64), pdf["event_id"].to_numpy(np.int64),
+                (kind == start).to_numpy(float) - (kind == end).to_numpy(float)))
         mark = state.getCurrentWatermarkMs()
         # nothing at or before the watermark can still arrive, so the order up to it is final
-        done = int(np.searchsorted(ts, mark * 1000, "right"))
-        # clamp at zero after every step, in closed form: y - min(0, running min of y)
-        y = active + np.cumsum(deltas[:done])
-        values = y - np.minimum(0.0, np.minimum.accumulate(y)) if done else y
-        active = float(values[-1]) if done else float(active)
-        state.update((active, ts[done:].tolist(), ids[done:].tolist(), deltas[done:].tolist()))
-        if done < len(ts):
-            state.setTimeoutTimestamp(max(int(ts[done]) // 1000 + 1, mark + 1))
-        if done:
-            yield pd.DataFrame({"key": [str(key[0])] * done, "event_id": ids[:done],
-                                "ts": ts[:done].astype("datetime64[us]"), "active": values})
+        done, values, rest, counts = released(pa.concat_tables(parts), counts, mark * 1000)
+        state.update((packed(counts), packed(rest)))
+        if rest.num_rows:
+            state.setTimeoutTimestamp(max(pc.min(rest.column("at")).as_py() // 1000 + 1, mark + 1))
+        if done.num_rows:
+            yield pd.DataFrame({"key": done.column("key").to_pandas(), "event_id": done.column("event_id").to_numpy(),
+                                "ts": done.column("at").to_numpy().astype("datetime64[us]"), "active": values})
     return fn
 
 
 def stream_active_sessions(events: DataFrame, key: str, kind: str, start: str, end: str,
-                           watermark: str = "1 hour") -> DataFrame:
+                           watermark: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """E2 on a stream: ``(key, event_id, ts, active)`` per event, in event-time order per key
     whatever order the events arrive in.
 
-    A key's state holds its count and the events that the watermark has not yet
-    passed; these are released in (ts, event_id) order once it has, also by a
-    timer when the key gets no further events. The state is bounded by the
+    Keys are dealt into ``buckets`` groups. A bucket's state holds its keys' counts and the events that the watermark
+    has not yet passed; these are released in (ts, event_id) order once it has, also by a
+    timer when the bucket gets no further events. The state is bounded by the
     events of one watermark delay; later ones are dropped by the engine.
     """
     from ..session import ship_package
     ship_package(events.sparkSession)
-    fn = _apply_sessions(start, end, kind)
+    fn = _apply_sessions(start, end)
     # watermarks need TIMESTAMP (session time zone), not TIMESTAMP_NTZ
-    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-            .withColumn("_key", F.col(key).cast("string")).groupBy("_key")
-            .applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).select(
+        bucket(F.col(key).cast("string"), buckets).alias("_bucket"), F.col(key).cast("string").alias("_key"), "event_id", "ts", F.col(kind).alias("_kind"))
+    return (timed.groupBy("_bucket").applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def stream_event_log(events: DataFrame, path: str, checkpoint: str, available_now: bool = True):

@@ -1,29 +1,33 @@
 """E2 on a stream with ``transformWithState``: clamped session counts, late events set apart.
 
-A key's state is its count and a list of the events that the watermark has not passed
-yet. A timer at the earliest of them releases, in (time, id) order, all that the watermark has
-passed by then and is set anew for the rest; a key whose count is 0 and whose
-list is empty keeps no state at all. An event at or before the watermark on its arrival is late: it comes
+Keys are dealt into buckets. A bucket's state is its keys' counts and a list of pieces with the events that the watermark
+has not passed yet. A timer at the earliest of them releases, in (time, id) order, all that the watermark has
+passed by then and is set anew for the rest; a key whose count is 0 and which has no
+events waiting keeps no state at all. An event at or before the watermark on its arrival is late: it comes
 out at once with ``late`` set and no count, and touches no state. The delay is the
 caller's; the state holds the events of one delay, not of the table.
 """
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from .buckets import BUCKETS, COUNTS, EVENTS, bucket, events_table, packed, released, unpacked
+
 OUT_SCHEMA = "key string, event_id bigint, ts timestamp, active double, late boolean"
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _rows(key, events: list[tuple], late: bool) -> pd.DataFrame:
-    """Output rows of (microseconds, id, count)."""
-    ts, ids, active = zip(*events)
-    return pd.DataFrame({"key": [key[0]] * len(events), "event_id": ids, "ts": pd.to_datetime(ts, unit="us").astype("datetime64[us]"),
-                         "active": pd.Series(active, dtype=float), "late": late})
+def _rows(events: pa.Table, active: np.ndarray, late: bool) -> pd.DataFrame:
+    """Output rows of events (microseconds) with their counts."""
+    return pd.DataFrame({"key": events.column("key").to_pandas(), "event_id": events.column("event_id").to_numpy(),
+                         "ts": events.column("at").to_numpy().astype("datetime64[us]"), "active": active, "late": late})
 
 
 class _Sessions(StatefulProcessor):
@@ -32,64 +36,57 @@ class _Sessions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "active double")
-        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, delta double")
+        self.counts = handle.getValueState("counts", "counts binary")
+        self.waiting = handle.getListState("waiting", "events binary")
 
     def handleInputRows(self, key, rows, timerValues):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        late, new = [], []
-        for pdf in rows:
-            for at, event_id, kind in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["kind"].tolist()):
-                if at <= mark:
-                    late.append((at, event_id, None))
-                else:
-                    new.append((at, event_id, float(kind == self.start) - float(kind == self.end)))
-        if new:
-            first = min(new)[0] // 1000 + 1
-            # timers that are later than this one find nothing left to release
-            self.handle.registerTimer(first)
-            self.waiting.appendList(new)
-        if late:
-            yield _rows(key, late, True)
+        parts = [events_table(pdf["key"], pdf["at"].to_numpy(np.int64), pdf["event_id"].to_numpy(np.int64),
+                              (pdf["kind"] == self.start).to_numpy(float) - (pdf["kind"] == self.end).to_numpy(float)) for pdf in rows]
+        events = pa.concat_tables(parts)
+        passed = pc.less_equal(events.column("at"), mark)
+        late, new = events.filter(passed), events.filter(pc.invert(passed))
+        if new.num_rows:
+            # timers that are later than the earliest one find nothing left to release
+            self.handle.registerTimer(pc.min(new.column("at")).as_py() // 1000 + 1)
+            self.waiting.appendList([(packed(new),)])
+        if late.num_rows:
+            yield _rows(late, np.full(late.num_rows, np.nan), True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
-        done = [e for e in events if e[0] <= mark]
-        if not done:
+        parts = [unpacked(e[0], EVENTS) for e in self.waiting.get()] if self.waiting.exists() else []
+        counts = unpacked(self.counts.get()[0] if self.counts.exists() else None, COUNTS)
+        done, values, rest, counts = released(pa.concat_tables([EVENTS.empty_table(), *parts]), counts, mark)
+        if not done.num_rows:
             return
-        rest = events[len(done):]
-        active = self.count.get()[0] if self.count.exists() else 0.0
-        out = []
-        for at, event_id, delta in done:
-            active = max(0.0, active + delta)
-            out.append((at, event_id, active))
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        if rest.num_rows:
+            self.waiting.put([(packed(rest),)])
+            self.handle.registerTimer(pc.min(rest.column("at")).as_py() // 1000 + 1)
         else:
             self.waiting.clear()
-        if active or rest:
-            self.count.update((active,))
+        if counts.num_rows:
+            self.counts.update((packed(counts),))
         else:
-            self.count.clear()
-        yield _rows(key, out, False)
+            self.counts.clear()
+        yield _rows(done, values, False)
 
     def close(self) -> None:
         pass
 
 
-def stream_sessions(events: DataFrame, key: str, kind: str, start: str, end: str, delay: str) -> DataFrame:
+def stream_sessions(events: DataFrame, key: str, kind: str, start: str, end: str, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """``(key, event_id, ts, active, late)`` per event of a stream (ts, event_id, ``key``, ``kind``)."""
     from ..session import ship_package
     spark = events.sparkSession
     ship_package(spark)
     spark.conf.set(*PROVIDER)
     # watermarks need TIMESTAMP; the time goes on as a number, so the engine does not drop late rows before they are counted
+    # names without an underscore: the frames are made of named tuples
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select(
-        F.col(key).cast("string").alias("_key"), F.unix_micros("ts").alias("at"), F.col("event_id").cast("bigint").alias("event_id"),
+        bucket(F.col(key).cast("string"), buckets).alias("bucket"), F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("at"), F.col("event_id").cast("bigint").alias("event_id"),
         F.col(kind).alias("kind"))
-    return timed.groupBy("_key").transformWithStateInPandas(_Sessions(start, end), OUT_SCHEMA, "append", "eventTime")
+    return timed.groupBy("bucket").transformWithStateInPandas(_Sessions(start, end), OUT_SCHEMA, "append", "eventTime")
 
 
 def write_sessions(sessions: DataFrame, path: str, checkpoint: str):

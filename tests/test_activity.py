@@ -162,3 +162,26 @@ def test_sessions_set_late_events_apart(spark, tmp_dir):
     got = [r for r in spark.read.parquet(out).collect() if r["key"] is not None]
     assert {r["event_id"] for r in got if str(r["late"]) in ("true", "True")} == late and late
     assert {r["event_id"]: r["active"] for r in got if r["event_id"] not in late} == want
+
+
+def test_sessions_are_grouped_by_buckets_of_keys(spark):
+    """More keys than buckets: a group of the stateful operator holds many keys, each counted by its own events."""
+    import numpy as np
+
+    from tablescope.streaming.buckets import BUCKETS, COUNTS, bucket, events_table, released
+    keys = spark.range(20 * BUCKETS).select(bucket(F.col("id").cast("string")).alias("b"))
+    assert keys.distinct().count() <= BUCKETS
+    random.seed(5)
+    rows = [(random.choice(["a", "b", None, "c"]), at, i, random.choice([1.0, -1.0, 0.0])) for i, at in enumerate(random.choices(range(400), k=500))]
+    counts, got, rest = COUNTS.empty_table(), {}, events_table(*zip(*rows))
+    for mark in (-1, 150, 150, 320, 1000):
+        done, values, rest, counts = released(rest, counts, mark)
+        got |= dict(zip(done.column("event_id").to_pylist(), np.asarray(values).tolist()))
+        assert 0.0 not in counts.column("active").to_pylist()
+    assert not rest.num_rows
+    want = {}
+    for key in {r[0] for r in rows}:
+        active = 0.0
+        for _, at, i, delta in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]):
+            want[i] = active = max(0.0, active + delta)
+    assert got == want
