@@ -110,3 +110,32 @@ def test_orders_against_dictionaries(spark):
             assert abs(got[i] - want) < 1e-6 * max(1, abs(want))
         total = sum(p(("the",) * (order - 1), w) for (w,) in counts[1]) + p(("the",) * (order - 1), "?")
         assert abs(total - 1) < 1e-9
+
+
+def test_hashes_are_ordered_like_a_stable_sort():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5000, 70000):
+        keys = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        keys[::3], keys[1::7] = keys[:1], keys[:1] ^ np.uint64(1)  # equal ones, and some that differ in the last bit
+        for some in (keys, keys >> np.uint64(50)):
+            order, ordered = kn._sorted(some)
+            want = np.argsort(some, kind="stable")
+            assert (order == want).all() and (ordered == some[want]).all()
+            distinct, place = kn._distinct(some)
+            assert (distinct == np.unique(some)).all() and (distinct[place] == some).all()
+
+
+def test_bytes_of_a_written_key_and_of_a_rare_word(tmp_path):
+    import numpy as np
+    keys = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 130000, dtype=np.uint64))
+    kn._save_keys(str(tmp_path), "0", keys)
+    assert sum(f.stat().st_size for f in tmp_path.iterdir()) < 5.1 * len(keys)  # 4 for the key; 5.5 to 6 in all before
+    reader = kn._Reader({"folder": str(tmp_path.parent), "shards": 1})
+    other = np.random.default_rng(6).integers(0, 1 << 64, 1000, dtype=np.uint64)
+    which, at = reader._places(tmp_path.name, 0, np.concatenate([other, keys]))
+    assert sorted(zip(which.tolist(), at.tolist())) == [(1000 + i, i) for i in range(len(keys))]
+    nothing = np.zeros(0, np.uint64)
+    packed, place = kn._list_words(keys, nothing)
+    assert (kn._listed(packed, nothing) == keys).all() and (place == np.arange(len(keys))).all()
+    assert len(packed[1]) < 6.6 * len(keys)  # 7 and more before
