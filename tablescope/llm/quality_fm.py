@@ -34,6 +34,8 @@ RANK = 8
 MAX_TRAIN = 6000
 EPOCHS = 6
 BATCH = 128
+#: Texts looked at together: every word of theirs takes some hundred bytes on the way to a score.
+RUN_BYTES = 1 << 19
 
 _RATIOS = np.array([0.0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9])
 _BUCKETS = 16
@@ -69,9 +71,9 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def vectors(texts: pa.Array, metas: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(slots, values, entries per document) for consecutive runs of documents of about 4 MB."""
+    """(slots, values, entries per document) for consecutive runs of documents of about ``RUN_BYTES``."""
     data, offsets = ta.flat(texts)
-    for i, j in ta.batches_of(np.diff(offsets), 4 << 20):
+    for i, j in ta.batches_of(np.diff(offsets), RUN_BYTES):
         off = offsets[i:j + 1] - offsets[i]
         part = data[offsets[i]:offsets[j]]
         h, start, end, counts = ta.words(part, off)
@@ -235,9 +237,13 @@ def filter_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text
         m = shared.value
         for b in batches:
             metas = [b.column(width + k) for k in range(len(names))]
-            parts = [_forward(m, *x)[0] for x in vectors(b.column(place), metas)]
-            raw = np.concatenate(parts) if parts else np.zeros(0)
-            good = pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) >= threshold)
-            yield pa.RecordBatch.from_arrays(b.columns[:width], b.schema.names[:width]).filter(good)
+            rows = pa.RecordBatch.from_arrays(b.columns[:width], b.schema.names[:width])
+            at = 0
+            for x in vectors(b.column(place), metas):
+                raw = _forward(m, *x)[0]
+                good = pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) >= threshold)
+                # a run at a time, so that what is kept is not copied as a whole
+                yield rows.slice(at, len(raw)).filter(good)
+                at += len(raw)
 
     return wide.mapInArrow(kept, docs.schema)

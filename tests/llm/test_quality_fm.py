@@ -71,3 +71,17 @@ def test_sample_is_taken_from_labels_of_given_rows(spark):
     finally:
         quality_fm.train = train
     assert len(seen) == 40 and sum(r[0] for r in seen) == 20
+
+
+def test_memory_does_not_follow_the_batch():
+    import tracemalloc
+    rng = random.Random(3)
+    some = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(5000)]
+    texts = pa.array([" ".join(rng.choices(some, k=400)) for _ in range(4000)] + [None, ""])
+    model = {"w0": 0.1, "w": np.ones(quality_fm.SLOTS), "v": np.ones((quality_fm.SLOTS, quality_fm.RANK))}
+    textarrays._powers(textarrays._P, 1), textarrays._powers(textarrays._P_INV, 1)
+    tracemalloc.start()
+    scored = [len(quality_fm._forward(model, *x)[0]) for x in quality_fm.vectors(texts, [])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(scored) == 4002 and peak < 64 << 20  # 166 MB in runs of 4 MB
