@@ -17,7 +17,7 @@ from ..functions.constants import (BAR_HORIZONTAL_OVER, BAR_TOP_N, CHART_MEASURE
 from ..session import ship_package
 from .freq import frequency_table
 from .groups import category_counts, group_sums, top_n_with_others
-from .profile import histogram, quantiles
+from .profile import FIVE_POINTS, histogram, quantiles
 from .ranks import order_statistics
 from .timeseries import resample_sums
 
@@ -107,11 +107,11 @@ def histogram_charts(freq: DataFrame, num_cols: list[str]) -> DataFrame:
                   label=F.col("label"), y=F.col("count"), **_texts("histogram", c))
 
 
-def boxplot_charts(df: DataFrame, freq: DataFrame, num_cols: list[str]) -> DataFrame:
-    """Five-number summary (min, Q1, median, Q3, max), needs ≥ 3 values."""
+def boxplot_charts(df: DataFrame, freq: DataFrame, num_cols: list[str], five: DataFrame | None = None) -> DataFrame:
+    """Five-number summary (min, Q1, median, Q3, max), needs ≥ 3 values; ``five`` are the columns' quantiles, where known."""
     if not num_cols:
         return None
-    q = quantiles(freq, num_cols, ps=(0.0, 0.25, 0.5, 0.75, 1.0))
+    q = five.where(F.col("column_name").isin(num_cols)) if five is not None else quantiles(freq, num_cols, ps=FIVE_POINTS)
     cnt = (freq.where(F.col("num").isNotNull() & F.col("column_name").isin(num_cols))
            .groupBy("column_name").agg(F.sum("cnt").alias("_n")))
     q = q.join(F.broadcast(cnt), "column_name").where(F.col("_n") >= 3)
@@ -205,13 +205,15 @@ def heatmap_chart(corr_long: DataFrame, k: int) -> DataFrame:
 
 
 def chart_points(df: DataFrame, types_rows: list[dict], order: list[Column], corr_long: DataFrame | None = None,
-                 freq: DataFrame | None = None) -> DataFrame:
-    """All recommended charts of a table as one long table (families stacked)."""
+                 freq: DataFrame | None = None, five: DataFrame | None = None) -> DataFrame:
+    """All recommended charts of a table as one long table (families stacked).
+
+    ``five`` are the ``quantiles`` at ``FIVE_POINTS`` of all its numeric columns, where they are known."""
     sets = chart_columns(types_rows)
     num, cat, dat = sets["numeric"], sets["categorical"], sets["date"]
     f = freq if freq is not None else frequency_table(df, num)
     parts = [trend_charts(df, dat, num), category_charts(df, cat, num), histogram_charts(f, num),
-             boxplot_charts(df, f, num), frequency_charts(df, cat), scatter_charts(df, num, order)]
+             boxplot_charts(df, f, num, five), frequency_charts(df, cat), scatter_charts(df, num, order)]
     if corr_long is not None and len(num) >= 2:
         parts.append(heatmap_chart(corr_long, len(num)))
     parts = [p for p in parts if p is not None]

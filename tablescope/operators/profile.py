@@ -17,6 +17,8 @@ from .ranks import order_statistics
 from .reshape import unpivot_structs
 
 QUARTILES = (0.25, 0.5, 0.75)
+#: Least and largest value besides, as boxplots have them.
+FIVE_POINTS = (0.0, *QUARTILES, 1.0)
 
 
 def merge_rows(*frames: DataFrame) -> DataFrame:
@@ -157,12 +159,12 @@ def outlier_counts(freq: DataFrame, columns: list[str], quarts: DataFrame) -> Da
                                    .cast("bigint").alias("outliers_count")))
 
 
-def numeric_stats(df: DataFrame, columns: list[str], freq: DataFrame | None = None) -> DataFrame:
+def numeric_stats(df: DataFrame, columns: list[str], freq: DataFrame | None = None, quarts: DataFrame | None = None) -> DataFrame:
     """A7-A13 for the given numeric columns, one row per column, all from the
-    frequency table (the data is scanned once)."""
+    frequency table (the data is scanned once). ``quarts`` are these columns' ``quantiles``, where they are known."""
     f = freq if freq is not None else frequency_table(df, columns, persist=True)
     mom = numeric_moments(df, columns, f)
-    qs = quantiles(f, columns)
+    qs = quarts if quarts is not None else quantiles(f, columns)
     q = qs.groupBy("column_name").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                                    for p, n in zip(QUARTILES, ("q1", "median", "q3"))])
     out = outlier_counts(f, columns, qs)

@@ -42,16 +42,18 @@ def order_statistics(values: DataFrame, keys: list[str], ranks: Callable[[Column
     """
     rows = values.select(*keys, F.col(order).cast("double").alias("_x"), F.col(weight).cast("long").alias("_w"))
     # the test stands before the key: a filter on the key itself would work the key out twice for every row
-    rows = rows.where(F.col("_x").isNotNull() & ~F.isnan("_x")).withColumn("_key", order_key(F.col("_x")))
+    rows = rows.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     spark = values.sparkSession
     found, state = [], None
     for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
         by = list(keys)
-        counted = rows.withColumn("_digits", F.shiftright("_key", shift))
+        counted = rows
         if state is not None:
             by.append("_prefix")
-            wanted = F.broadcast(state.select(*by).distinct())
-            counted = counted.withColumn("_prefix", F.shiftright("_digits", DIGIT_BITS)).join(wanted, by)
+            # a prefix is a range of values: the key is worked out only for rows in one of the wanted ranges
+            wanted = F.broadcast(state.select(*by, "_lo", "_hi").distinct())
+            counted = rows.join(wanted, keys).where(F.col("_x").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+        counted = counted.withColumn("_digits", F.shiftright(order_key(F.col("_x")), shift))
         counts = counted.groupBy(*by, "_digits").agg(F.sum("_w").alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         # at most 2^16 rows of counts for each prefix
         upto = Window.partitionBy(*by).orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,7 +62,7 @@ def order_statistics(values: DataFrame, keys: list[str], ranks: Callable[[Column
             total = F.sum("_c").over(Window.partitionBy(*keys))
             hits = counts.withColumn("n", total).withColumn("_rank", F.explode(ranks(F.col("n")))).withColumn("_k", F.col("_rank.k"))
         else:
-            hits = state.join(counts, by)
+            hits = state.drop("_lo", "_hi").join(counts, by)
         hits = hits.where((F.col("_k") > F.col("_end") - F.col("_c")) & (F.col("_k") <= F.col("_end")))
         hits = hits.select(*keys, "n", "_rank", (F.col("_k") - F.col("_end") + F.col("_c")).alias("_k"),
                            F.col("_digits").alias("_prefix"), "_lo", "_hi")
@@ -69,5 +71,5 @@ def order_statistics(values: DataFrame, keys: list[str], ranks: Callable[[Column
         left = [r for r in got if r["_lo"] != r["_hi"]]
         if not left:
             break
-        state = spark.createDataFrame(left, hits.schema).drop("_lo", "_hi")
+        state = spark.createDataFrame(left, hits.schema)
     return spark.createDataFrame(found, hits.schema).select(*keys, "n", "_rank.*", F.col("_lo").alias("value"))

@@ -19,8 +19,8 @@ from ..operators.filters import FilterSpec, apply_filters
 from ..operators.freq import frequency_table
 from ..operators.insights import insights
 from ..operators.paging import page, page_info, sort_orders
-from ..operators.profile import (column_counts, dataset_summary, date_ranges, histogram,
-                                 monthly_distribution, null_and_distinct, numeric_stats, top_values)
+from ..operators.profile import (FIVE_POINTS, column_counts, dataset_summary, date_ranges, histogram,
+                                 monthly_distribution, null_and_distinct, numeric_stats, quantiles, top_values)
 from ..operators.types import collect_types, column_types
 from ..functions.constants import COLUMN_WARNING
 
@@ -79,7 +79,9 @@ def analyze(df: DataFrame, spec: FilterSpec | dict | None = None, order: list[st
            ("Category", "Boolean", "Text", "Unique IDs")]
     dat = [t["column_name"] for t in types if t["is_date"]]
     summary = dataset_summary(filtered, types_df, freq)
-    stats = numeric_stats(filtered, num, freq) if num else None
+    # found once, for the statistics and the boxplots
+    five = quantiles(freq, num, FIVE_POINTS) if num else None
+    stats = numeric_stats(filtered, num, freq, five) if num else None
     nd = null_and_distinct(freq).join(column_counts(freq).select("column_name", "total_rows"), "column_name")
     per_column = nd.join(stats, "column_name", "left") if stats is not None else \
         nd.withColumn("outliers_count", F.lit(None).cast("bigint"))
@@ -101,7 +103,7 @@ def analyze(df: DataFrame, spec: FilterSpec | dict | None = None, order: list[st
         "correlation_matrix": correlation_matrix(corr, num) if corr is not None else None,
         "numeric_top_values": top_values(freq, num) if num else None,
         "numeric_bottom_values": top_values(freq, num, ascending=True) if num else None,
-        "charts": ch.chart_points(ordered, types, okeys, corr, freq),
+        "charts": ch.chart_points(ordered, types, okeys, corr, freq, five),
         "insights": insights(summary, per_column, corr, top_values(freq, cat, k=1)),
         "rows": page(ordered, spec.page, spec.page_size, sorted_orders or (okeys if order else None)).drop(*carried),
         "warnings": df.sparkSession.createDataFrame([(w,) for w in warnings], "warning string"),

@@ -40,3 +40,20 @@ def test_file_order_and_warnings(spark, tmp_path):
     assert res["rows"].columns == ["name", "amount", "position"] and [r["name"] for r in rows] == names[10:20]
     assert [r["column_name"] for r in res["columns"].orderBy("column_name").collect()] == ["amount", "name"]
     assert res["warnings"].count() == 1 and res["numeric_top_values"].count() == 10
+
+
+def test_quantiles_are_found_once(spark, monkeypatch):
+    from tablescope.operators import charts, profile
+    rows = [(i, float(i % 17), i * 0.5 if i % 3 else None, "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row int, a double, b double, kind string")
+    calls, found = [], profile.order_statistics
+    monkeypatch.setattr(profile, "order_statistics", lambda *a, **k: calls.append(1) or found(*a, **k))
+    res = analyze(df, order=["row"])
+    assert len(calls) == 1  # twice before: for the statistics and for the boxplots
+    boxes = charts.boxplot_charts(df, profile.frequency_table(df), ["row", "a", "b"])
+    assert len(calls) == 2
+    key = lambda t: sorted((r["series"], r["pos"], r["label"], r["y"], r["title"]) for r in t.collect())
+    assert key(res["charts"].where("type = 'boxplot'")) == key(boxes) and len(key(boxes)) == 15
+    stats = {r["column_name"]: r for r in profile.numeric_stats(df, ["row", "a", "b"]).collect()}
+    for r in res["columns"].where("is_numeric").collect():
+        assert all(r[c] == stats[r["column_name"]][c] for c in ("q1", "median", "q3", "iqr", "outliers_count"))

@@ -74,3 +74,16 @@ def test_missing_values_do_not_count(spark):
     rows = spark.createDataFrame([("a", x, 1) for x in (3.0, None, float("nan"), 1.0, 2.0, float("inf"))], "c string, num double, cnt long")
     got = order_statistics(rows, ["c"], lambda n: F.array(F.struct(F.lit(4).cast("bigint").alias("k")))).collect()
     assert [(r["n"], r["value"]) for r in got] == [(4, float("inf"))]
+
+
+def test_ranges_of_later_rounds(spark):
+    rng = random.Random(9)
+    # values with the same first bits, which only later rounds part; keys have different ranges
+    rows = [("a", 1.5 + i * 1e-9) for i in range(20)] + [("b", 1.5 + i * 1e-12) for i in range(20)] + [
+        (k, rng.choice([-1, 1]) * rng.uniform(2, 4) ** 9) for k in "ab" for _ in range(1000)] + [("a", -0.0), ("b", 0.0), ("a", None), (None, 3.0)]
+    table = spark.createDataFrame(rows, "g string, num double").withColumn("cnt", F.lit(1))
+    pick = lambda n: F.array(*[F.struct(F.lit(p).alias("p"), F.floor(n * p).cast("bigint").alias("k")) for p in (0.25, 0.5, 0.505, 1.0)])
+    got = {(r.g, r.p): r.value for r in order_statistics(table, ["g"], pick).collect()}
+    for g in "ab":
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        assert [got[g, p] for p in (0.25, 0.5, 0.505, 1.0)] == [values[math.floor(len(values) * p) - 1] for p in (0.25, 0.5, 0.505, 1.0)]
