@@ -84,3 +84,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 105), (105, 103), (7, 7), (50, 40)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {**{i: 0 for i in range(21)}, 100: 100, 105: 100, 103: 100, 50: 40, 40: 40}
+
+
+def test_components_in_few_tables(spark, monkeypatch):
+    """Stars take no round, and the last round is seen to be the last; tables stand for rounds, each of which the driver plans."""
+    kept = []
+    monkeypatch.setattr(graph, "written", lambda df, name, f=graph.written: kept.append(name) or f(df, name))
+    stars = [(5, 1), (7, 1), (9, 2), (9, 9)]
+    got = sorted(map(tuple, graph.components(spark.createDataFrame(stars, "u long, v long")).collect()))
+    assert got == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)] and len(kept) == 1
+    got = sorted(map(tuple, graph.components(spark.createDataFrame([(1, 2), (3, 2), (None, 4)], "u long, v long")).collect()))
+    assert got == [(1, 1), (2, 1), (3, 1)] and len(kept) == 3

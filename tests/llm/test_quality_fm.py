@@ -85,3 +85,14 @@ def test_memory_does_not_follow_the_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(scored) == 4002 and peak < 64 << 20  # 166 MB in runs of 4 MB
+
+
+def test_training_rows_come_as_arrow(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "good words here" if k % 2 else "# $ %") for k in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS quality")
+    monkeypatch.setattr(type(docs), "collect", lambda self: 1 / 0)
+    seen = []
+    monkeypatch.setattr(quality_fm, "train", lambda rows: seen.extend(rows))
+    quality_fm.fit(docs, labels)
+    assert [y for y, _, _ in seen] == [0, 1] * 20
+    assert all(len(s) == len(v) and v.dtype == float and (s < quality_fm.SLOTS).all() for _, s, v in seen)
