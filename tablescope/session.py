@@ -79,6 +79,23 @@ def small_splits(spark: SparkSession) -> None:
         spark.conf.set(name, str(SCAN_BYTES))
 
 
+#: What a reduce task of an aggregate reads: in its hash table that is several times as much.
+REDUCE_BYTES = 8 << 20
+#: Up to so many partitions a map task writes straight into files; beyond, Spark's writer holds the task's whole output.
+MOST_PARTITIONS = 200
+
+
+def small_reduces(spark: SparkSession, size: int) -> None:
+    """Hold what adaptive execution puts together for a reduce task at ``REDUCE_BYTES``, and let a table of
+    ``size`` bytes be shuffled into partitions that are about as small. A session that has smaller or more ones keeps them."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > REDUCE_BYTES:
+        spark.conf.set(name, str(REDUCE_BYTES))
+    wanted = min(MOST_PARTITIONS, -(-size // (REDUCE_BYTES // 4)))  # an aggregate's cells take up to some four times the file
+    if wanted > spark.range(0)._jdf.sparkSession().sessionState().conf().numShufflePartitions():
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -49,3 +49,26 @@ def test_tables_are_read_in_slices_that_do_not_grow(spark, tmp_dir):
     finally:
         spark.conf.set(name, before)
     assert slices(0, 12) == slices(12 * SLICE_BYTES, 12) == 12 and slices(SPLIT_BYTES, 12) == SPLIT_BYTES // SLICE_BYTES
+
+
+def test_reduce_tasks_read_little_however_large_the_table(spark):
+    """What adaptive execution puts together for a task, and the partitions it starts from, follow the table."""
+    from tablescope.session import MOST_PARTITIONS, REDUCE_BYTES, small_reduces
+    read, number = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before, start = spark.conf.get(read), spark.conf.get(number, None)
+    try:
+        spark.conf.set(read, "64MB")
+        spark.conf.set(number, "8")
+        small_reduces(spark, 1 << 20)
+        assert int(spark.conf.get(read)) == REDUCE_BYTES and spark.conf.get(number) == "8"
+        spark.conf.set(read, "1m")
+        small_reduces(spark, 20 * REDUCE_BYTES)
+        assert spark.conf.get(read) == "1m" and int(spark.conf.get(number)) == 80
+        small_reduces(spark, 1 << 40)
+        assert int(spark.conf.get(number)) == MOST_PARTITIONS
+        spark.conf.set(number, "500")
+        small_reduces(spark, 1 << 40)
+        assert spark.conf.get(number) == "500"
+    finally:
+        spark.conf.set(read, before)
+        spark.conf.unset(number) if start is None else spark.conf.set(number, start)
