@@ -164,13 +164,17 @@ def _label(tree, depth: int, prefix: int | None = None):
 
 
 def _adjacent(depth: int, least: int):
-    """LCPs of the sorted signatures of a range; its first and last one come out as well (``last`` 0 and 1)."""
+    """Edges (u, v, lcp) of the sorted signatures of a range: ``lcp`` is what u shares with its predecessor, v the first
+    signature of the range that shares as much with u. As edges to the predecessors they hang the same signatures together
+    at every depth, but in stars instead of chains, which take more rounds to be found as components.
+    The range's first and last signature come out as well (``last`` 0 and 1)."""
     names = ["u", "v", "lcp", "range", "last", "tree", "label"]
 
     def linked(batches):
         from pyspark import TaskContext
         number = TaskContext.get().partitionId()
         end = None  # the last row so far: tree, label, node
+        heads = {}  # by depth, the first node of those that share so many values with the last row
 
         def edge(row, last):
             return pa.RecordBatch.from_arrays(
@@ -184,14 +188,22 @@ def _adjacent(depth: int, least: int):
             values = np.frombuffer(b"".join(b.column("label").to_pylist()), ">u2").reshape(-1, depth)
             if end is None:
                 yield edge((int(tree[0]), values[0].tobytes(), int(node[0])), 0)
+                heads = dict.fromkeys(range(least, depth + 1), node[0])
             else:
                 tree, node = np.concatenate([[end[0]], tree]), np.concatenate([[end[2]], node])
                 values = np.concatenate([np.frombuffer(end[1], ">u2")[None, :], values])
-            end = (int(tree[-1]), values[-1].tobytes(), int(node[-1]))
+            # the label as it came: numpy swaps the bytes of the values where it joins them to others
+            end = (int(tree[-1]), b.column("label")[-1].as_py(), int(node[-1]))
             lcp = np.cumprod(values[1:] == values[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+            head = node[:-1].copy()
+            for d in range(least, depth + 1) if len(lcp) else ():
+                start = np.maximum.accumulate(np.where(lcp < d, np.arange(1, len(node)), 0))
+                first = np.where(start > 0, node[start], heads[d])
+                head[lcp == d] = first[lcp == d]
+                heads[d] = first[-1]
             at = np.flatnonzero(lcp >= least)
             nothing = pa.nulls(len(at), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(node[at + 1]), pa.array(node[at]), pa.array(lcp[at].astype(np.int32)), nothing, nothing,
+            yield pa.RecordBatch.from_arrays([pa.array(node[at + 1]), pa.array(head[at]), pa.array(lcp[at].astype(np.int32)), nothing, nothing,
                                               nothing, pa.nulls(len(at), pa.binary())], names)
         if end is not None:
             yield edge(end, 1)
@@ -200,7 +212,8 @@ def _adjacent(depth: int, least: int):
 
 
 def forest(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
-    """(u, v, lcp): neighbours in the sorted signatures of some tree with at least ``least`` common first values."""
+    """(u, v, lcp): edges that hang together what shares ``least`` or more first values in some tree: those of at least
+    d common values do so for every depth d."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     rows = classes.select("node", "labels", tree).select("tree", _label(F.col("tree"), depth).alias("label"), "node")
     rows = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")

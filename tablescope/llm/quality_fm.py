@@ -18,7 +18,7 @@ empty result; other columns are ignored by ``score`` and kept by ``filter_rows``
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +126,23 @@ def _forward(model: dict, slots: np.ndarray, values: np.ndarray, entries: np.nda
     return raw, total, v
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> dict:
+class _Rows(Sequence):
+    """(label, slots, values) by id, each made from the Arrow table when it is asked for: only a batch's are there at a time."""
+
+    def __init__(self, table: pa.Table):
+        ids = table.column("id").to_pylist()
+        self._order = sorted(range(len(ids)), key=ids.__getitem__)
+        self._y, self._slots, self._values = table.column("y").to_pylist(), table.column("slots"), table.column("values")
+
+    def __len__(self) -> int:
+        return len(self._order)
+
+    def __getitem__(self, at: int) -> tuple[int, np.ndarray, np.ndarray]:
+        k = self._order[at]
+        return self._y[k], self._slots[k].values.to_numpy(), self._values[k].values.to_numpy().astype(float)
+
+
+def train(rows: Sequence[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> dict:
     """Adagrad over mini-batches; ``rows`` are (label, slots, values)."""
     rng = np.random.default_rng(seed)
     model = {"w0": 0.0, "w": np.zeros(SLOTS), "v": rng.normal(0, 0.05, (SLOTS, RANK))}
@@ -197,9 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: s
     kind = dict(texts.dtypes)["_id"]
     # as Arrow, which takes 12 bytes an entry; as rows of Python objects an entry took some 70
     rows = texts.mapInArrow(vectorised, f"id {kind}, y int, slots array<int>, values array<float>").toArrow()
-    ids, y = rows.column("id").to_pylist(), rows.column("y").to_pylist()
-    slots, values = rows.column("slots"), rows.column("values")
-    return train([(y[k], slots[k].values.to_numpy(), values[k].values.to_numpy().astype(float)) for k in sorted(range(len(ids)), key=ids.__getitem__)])
+    return train(_Rows(rows))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",

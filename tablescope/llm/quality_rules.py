@@ -140,19 +140,23 @@ def votes() -> dict[str, Column]:
 def _fit(patterns: DataFrame, rules: tuple[str, ...], rounds: int) -> dict[str, float]:
     """EM over the pattern table; each round is one aggregate of it, the accuracies come back as literals.
 
+    The table has at most 2^(rules + 1) rows, so a round is one task without a shuffle. Its posterior is a column
+    of its own, named once: the driver keeps every round's plan and the code made for it.
+
     E step: every pattern's posterior; M step: a rule's accuracy is the posterior
     share of the documents it voted on where its vote is right, pulled to START
     with the weight of PULL of them and kept above chance.
     """
     model = dict.fromkeys(rules, START)
+    patterns = patterns.coalesce(1)
+    p, weight = F.col("_p"), F.col("n").cast("double")
     for _ in range(rounds):
-        p, weight = _posterior(model, rules), F.col("n").cast("double")
         sums = [F.sum(weight).alias("all")]
         for r in rules:
             right = F.when(F.col(r) == 1, p).when(F.col(r) == -1, 1 - p).otherwise(0.0)
             sums += [F.sum(weight * right).alias(f"{r}_right"),
                      F.sum(F.when(F.col(r) != 0, weight).otherwise(0.0)).alias(f"{r}_all")]
-        row = patterns.agg(*sums).first()
+        row = patterns.withColumn("_p", _posterior(model, rules)).agg(*sums).first()
         if not row["all"]:
             break
         new = {}
@@ -168,9 +172,10 @@ def _fit(patterns: DataFrame, rules: tuple[str, ...], rounds: int) -> dict[str,
 
 def _posterior(model: dict[str, float], rules: tuple[str, ...]) -> Column:
     """Posterior probability of a good document from its votes; an abstention says nothing."""
-    odds = F.lit(math.log(BALANCE / (1 - BALANCE)))
-    for r in rules:
-        odds = odds + F.col(r) * F.lit(math.log(model[r] / (1 - model[r])))
+    # an array of numbers, unlike single ones, is no part of the generated code, which so is made once for all models
+    each = F.zip_with(F.array(*[F.col(r) for r in rules]), F.array(*[F.lit(math.log(model[r] / (1 - model[r]))) for r in rules]),
+                      lambda vote, odds: vote * odds)
+    odds = F.aggregate(each, F.lit(math.log(BALANCE / (1 - BALANCE))), lambda a, x: a + x)
     return 1 / (1 + F.exp(-odds))
 
 

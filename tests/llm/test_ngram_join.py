@@ -95,3 +95,29 @@ def test_components_in_few_tables(spark, monkeypatch):
     assert got == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)] and len(kept) == 1
     got = sorted(map(tuple, graph.components(spark.createDataFrame([(1, 2), (3, 2), (None, 4)], "u long, v long")).collect()))
     assert got == [(1, 1), (2, 1), (3, 1)] and len(kept) == 3
+
+
+def test_forest_has_stars(spark):
+    """What shares a prefix hangs together at every depth, at a few first signatures."""
+    rng = random.Random(5)
+    labels = {n: bytes(x for _ in range(3) for x in (0, rng.choice([1, 1, 1, 2]))) for n in rng.sample(range(10 ** 6), 3000)}
+    classes = spark.createDataFrame([(n, bytearray(x)) for n, x in labels.items()], "node long, labels binary")
+    for size in (10_000, 64):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = [tuple(r) for r in ngram_join.forest(classes, 1, 3, 1).collect()]
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for d in (1, 2, 3):
+            parent = {n: n for n in labels}
+
+            def find(n):
+                while parent[n] != n:
+                    n = parent[n]
+                return n
+
+            for u, v, lcp in got:
+                assert labels[u][:2 * lcp] == labels[v][:2 * lcp]
+                if lcp >= d:
+                    parent[find(u)] = find(v)
+            kinds = {labels[n][:2 * d] for n in labels}
+            assert len({find(n) for n in labels}) == len(kinds) == len({(find(n), labels[n][:2 * d]) for n in labels})
+        assert len({v for _, v, _ in got}) < 200

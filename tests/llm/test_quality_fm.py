@@ -96,3 +96,12 @@ def test_training_rows_come_as_arrow(spark, monkeypatch):
     quality_fm.fit(docs, labels)
     assert [y for y, _, _ in seen] == [0, 1] * 20
     assert all(len(s) == len(v) and v.dtype == float and (s < quality_fm.SLOTS).all() for _, s, v in seen)
+
+
+def test_training_rows_are_made_when_asked_for(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "good words here" if k % 2 else "# $ %") for k in range(40)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality_fm, "train", lambda rows: seen.append(rows))
+    quality_fm.fit(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS quality"))
+    rows, = seen
+    assert len(rows) == 40 and rows[3][0] == 1 and rows[3][2] is not rows[3][2] and list(rows[3][1]) == list(rows[3][1])

@@ -95,3 +95,15 @@ def test_em_and_posteriors_against_a_plain_version(spark, rows):
     for r, v in zip(got, votes):
         assert abs(r.posterior - posterior(v)) < 1e-9
         assert r.kept == (not r.base_failed and posterior(v) >= quality_rules.THRESHOLD)
+
+
+def test_rounds_have_small_plans(spark, monkeypatch):
+    """The driver keeps every round's plan: none has a shuffle, and the posterior stands in it once, not once a rule."""
+    votes = [[(k * (r + 2)) % 3 - 1 for r in range(len(quality_rules.RULES))] for k in range(30)]
+    patterns = spark.createDataFrame([(k + 1, *v) for k, v in enumerate(votes)], "n long, " + ", ".join(f"{r} int" for r in quality_rules.RULES))
+    plans = []
+    first = type(patterns).first
+    monkeypatch.setattr(type(patterns), "first", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or first(self))
+    model = quality_rules._fit(patterns.repartition(4), quality_rules.RULES, 3)
+    assert set(model) == set(quality_rules.RULES) and len(plans) == 3
+    assert all("SinglePartition" not in x and x.lower().count("exp(") == 1 for x in plans)
