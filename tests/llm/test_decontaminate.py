@@ -56,3 +56,14 @@ def test_leaks_match_brute_force(spark):
     assert kept.columns == table.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in docs if d[0] not in {k for k, _ in want})
     assert dc.leaks(table.limit(0), bench).count() == 0 and dc.clean_rows(table, bench.limit(0)).count() == len(docs)
+
+
+def test_a_long_text_with_many_hits(spark):
+    """55 hits in each of 1000 passages: as rows with the whole text they would take over 50 GB."""
+    passage = [f"word{i}x{i * i}" for i in range(40)]
+    table = spark.createDataFrame([(1, " ".join(passage * 1000)), (2, " ".join(["before", *passage[3:30]])), (3, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(passage)), (8, " ".join(passage[:12])), (None, " ".join(passage))], "item_id long, text string")
+    for seeds in (dc.BROADCAST_SEEDS, 0):
+        got = sorted(tuple(r) for r in dc.leaks(table, bench, broadcast_seeds=seeds).collect())
+        assert got == [(1, 7, 0, 13, 13), (1, 8, 0, 12, 12), (2, 7, 1, 13, 13)]
+    assert [r.doc_id for r in dc.clean_rows(table, bench).collect()] == [3]
