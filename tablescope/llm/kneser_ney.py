@@ -12,12 +12,13 @@ hot: they are split by the first token, and their suffixes are dealt anew. Hot m
 
 Each shard writes its counts as sorted hash arrays: an index of the keys' first bits, the 32 bits
 behind them, and one byte for a count (or for the row of a table of common context sums) with a list
-of those that need more. A context that was seen once only is not written, as the
+of those that need more, all in one file. A context that was seen once only is not written, as the
 (n-1)-gram of the same tokens is.
 
 The files lie in the shared scratch folder. Scoring tasks map them into memory
 and look up the hashes of a batch, shard by shard, so a task
-holds a batch, not the model. c is the number of times an n-gram of the highest
+holds a batch, not the model. A map holds a file open; a task keeps as many as half of the files that its process
+may open, and opens those of further shards each time it needs them. c is the number of times an n-gram of the highest
 order was seen, and for the lower orders the number of different tokens before it
 (for n-grams that begin with a start mark, the number of times they were seen).
 With discounts D1, D2, D3+ of every order from its counts of counts, h the context
@@ -36,7 +37,10 @@ its own; an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
+import json
+import mmap
 import os
+import resource
 import tempfile
 from urllib.parse import unquote, urlparse
 
@@ -64,6 +68,8 @@ TASK_WORDS = 1 << 16
 BATCH_BYTES = 4 << 20
 #: An index of keys keeps whole numbers for one in 2^BLOCK_BITS of its entries.
 BLOCK_BITS = 6
+#: Files that a task keeps mapped, where its process may open more than twice as many; Linux allows a process 65530 maps.
+MOST_MAPS = 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,35 +112,53 @@ def _local(path: str) -> str | None:
     return unquote(url.path) if url.scheme in ("", "file") else None
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array so that a task that runs twice leaves one whole file."""
+def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Write arrays into one file, behind a head that says where they are; a task that runs twice leaves one whole file."""
+    places, size = {}, 0
+    for key, array in arrays.items():
+        places[key] = array.dtype.str, size, array.size
+        size += -(-array.nbytes // 8) * 8
+    head = json.dumps(places).encode()
+    head += b" " * (-len(head) % 8)
+    pieces = [np.array([len(head)], np.int64).tobytes(), head]
+    for array in arrays.values():
+        pieces += [np.ascontiguousarray(array).reshape(-1).view(np.uint8), bytes(-array.nbytes % 8)]
     local = _local(folder)
     if local is None:
         from pyarrow import fs
         store, at = fs.FileSystem.from_uri(folder)
         with store.open_output_stream(f"{at}/{name}") as out:
-            out.write(array.tobytes())
+            for piece in pieces:
+                out.write(piece)
         return
     os.makedirs(local, exist_ok=True)
     fd, temporary = tempfile.mkstemp(dir=local)
     with os.fdopen(fd, "wb") as out:
-        array.tofile(out)
+        for piece in pieces:
+            out.write(piece)
     os.replace(temporary, f"{local}/{name}")
 
 
-def _mapped(folder: str, name: str, kind) -> np.ndarray:
-    """The array as a read-only memory map; a file of a remote store is copied to an unnamed local one first."""
+def _arrays(file) -> dict[str, np.ndarray]:
+    """The arrays of a file as views of one read-only map."""
+    whole = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    end = 8 + int(np.frombuffer(whole, np.int64, 1)[0])
+    return {key: np.frombuffer(whole, kind, n, end + start) for key, (kind, start, n) in json.loads(whole[8:end]).items()}
+
+
+def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped; a file of a remote store is copied to an unnamed local one first."""
     local = _local(folder)
     if local is not None:
-        at = f"{local}/{name}"
-        return np.memmap(at, kind, "r") if os.path.getsize(at) else np.zeros(0, kind)
+        with open(f"{local}/{name}", "rb") as file:
+            return _arrays(file)
     from pyarrow import fs
     store, at = fs.FileSystem.from_uri(folder)
     with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{at}/{name}") as source:
         while part := source.read(1 << 22):
             copy.write(part)
         copy.flush()
-        return np.memmap(copy, kind, "r") if copy.tell() else np.zeros(0, kind)
+        return _arrays(copy)
 
 
 # -- counting ------------------------------------------------------------------------------------
@@ -316,8 +340,8 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[], [], []], _PARTS_ARROW)], schema=_PARTS_ARROW)
 
 
-def _save_keys(folder: str, name: str, keys: np.ndarray) -> None:
-    """Sorted 64-bit keys as an index of their first bits (about four keys each) and the 32 bits behind those.
+def _save_keys(folder: str, name: str, keys: np.ndarray, **more: np.ndarray) -> None:
+    """Sorted 64-bit keys as an index of their first bits (about four keys each) and the 32 bits behind those, and what belongs to them.
 
     The index has the start of every block of first bits, and the steps from there."""
     bits = max(BLOCK_BITS, (len(keys) // 4).bit_length())
@@ -326,30 +350,26 @@ def _save_keys(folder: str, name: str, keys: np.ndarray) -> None:
     steps = index - np.repeat(blocks, 1 << BLOCK_BITS)[:len(index)]
     if steps.max() >= 1 << 16:
         raise OverflowError("keys are not spread like hashes")
-    _save(folder, f"{name}.blocks", blocks.astype(np.uint32))
-    _save(folder, f"{name}.index", steps.astype(np.uint16))
-    _save(folder, f"{name}.keys", ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32))
+    _save(folder, name, blocks=blocks.astype(np.uint32), index=steps.astype(np.uint16),
+          keys=((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), **more)
 
 
 def _save_grams(folder: str, name: str, keys: np.ndarray, n: np.ndarray) -> None:
-    _save_keys(folder, name, keys)
-    _save(folder, f"{name}.counts", np.minimum(n, 255).astype(np.uint8))
     many = np.flatnonzero(n >= 255)
-    _save(folder, f"{name}.large", np.stack([many, n[many]], axis=1).astype(np.int64))
+    _save_keys(folder, name, keys, counts=np.minimum(n, 255).astype(np.uint8), large=np.stack([many, n[many]], axis=1).astype(np.int64))
 
 
 def _save_contexts(folder: str, name: str, keys: np.ndarray, sums: list[np.ndarray]) -> None:
     """Sums of contexts (sum, n1, n2, n3), one byte each: the row of a table of the most common ones, or 255 and a list."""
-    _save_keys(folder, name, keys)
     small = np.max(sums, axis=0, initial=0) < 1 << 15
     code = np.where(small, sum(c << (15 * k) for k, c in enumerate(sums)), -1)
     common, n = np.unique(code[small], return_counts=True)
     common = np.sort(common[np.argsort(-n, kind="stable")[:255]])
     at, found = _find(common, code)
-    _save(folder, f"{name}.codes", np.where(found, at, 255).astype(np.uint8))
-    _save(folder, f"{name}.table", np.stack([(common >> (15 * k)) & 0x7FFF for k in range(4)], axis=1).astype(np.int64))
     rest = np.flatnonzero(~found)
-    _save(folder, f"{name}.large", np.stack([rest, *[c[rest] for c in sums]], axis=1).astype(np.int64))
+    _save_keys(folder, name, keys, codes=np.where(found, at, 255).astype(np.uint8),
+               table=np.stack([(common >> (15 * k)) & 0x7FFF for k in range(4)], axis=1).astype(np.int64),
+               large=np.stack([rest, *[c[rest] for c in sums]], axis=1).astype(np.int64))
 
 
 def _bigrams(folder: str, name: str, grams: list[np.ndarray], n: np.ndarray, hot: np.ndarray) -> list[np.ndarray]:
@@ -383,6 +403,7 @@ def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", sh
 
         def flush():
             grams = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
             _, (n,), first = _summed(_chain(grams), np.ones(len(grams[0]), np.int64))
             grams = [g[first] for g in grams]
             shard, _ = _deal(order, grams, hot, shards)
@@ -461,9 +482,7 @@ def train(docs: DataFrame, use: Column | None = None, text_col: str = "text", sh
         keys = np.concatenate([_listed(r[:2], dictionary) for r in rows])
         columns = [np.concatenate([_stretch(r[k], np.int64) for r in rows]) for k in range(2, len(_WORD_COLUMNS) + 2)]
         keys, sums, _ = _summed(keys, *columns)
-        _save(f"{folder}/words", f"{shard}.keys", keys)
-        for name, values in zip(_WORD_COLUMNS, sums):
-            _save(f"{folder}/words", f"{shard}.{name}", values.astype(_WORD_KINDS[name]))
+        _save(f"{folder}/words", str(shard), keys=keys, **{c: values.astype(_WORD_KINDS[c]) for c, values in zip(_WORD_COLUMNS, sums)})
         count, cont = sums[:2]
         return pa.table({"words": [int((count > 0).sum())], "tokens": [int(count.sum())], "types": [int(cont.sum())],
                          "rest": [int((cont >= 3).sum())], **{f"f{k}": [int((cont == k).sum())] for k in (1, 2, 3, 4)}})
@@ -503,35 +522,46 @@ class _Reader:
     """The model's arrays, mapped when a shard is first asked for."""
 
     def __init__(self, model: dict):
-        self.model, self.maps = model, {}
-
-    def _map(self, folder: str, name: str, kind):
-        """The array, or None where the shard has none."""
-        if (folder, name) not in self.maps:
+        self.model, self.maps, self.held, self.last = model, {}, 0, (None, None)
+        allowed = resource.getrlimit(resource.RLIMIT_NOFILE)[0]
+        self.most = MOST_MAPS if allowed == resource.RLIM_INFINITY else min(MOST_MAPS, allowed // 2)
+
+    def _map(self, folder: str, s: int) -> dict[str, np.ndarray] | None:
+        """The arrays of a shard's file, or None where it has none."""
+        key = folder, s
+        if key in self.maps:
+            return self.maps[key]
+        if key != self.last[0]:
+            self.last = None, None
             try:
-                self.maps[folder, name] = _mapped(f"{self.model['folder']}/{folder}", name, kind)
+                self.last = key, _mapped(f"{self.model['folder']}/{folder}", str(s))
             except FileNotFoundError:
-                self.maps[folder, name] = None
-        return self.maps[folder, name]
+                self.maps[key] = None
+                return None
+            # once all that may be held are, the rest are opened anew each time: shards come in the same order again and again
+            if self.held < self.most:
+                self.maps[key] = self.last[1]
+                self.held += 1
+        return self.last[1]
 
     def words(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
         """The numbers of sorted distinct words; 0 where one is unknown."""
         out = {c: np.zeros(len(hashes), np.int64) for c in _WORD_COLUMNS}
         for s, own in _split(_range_of(hashes, self.model["shards"]), self.model["shards"]):
-            known = self._map("words", f"{s}.keys", np.uint64)
+            known = self._map("words", s)
             if known is None:
                 continue
-            at, found = _find(known, hashes[own])
+            at, found = _find(known["keys"], hashes[own])
             for c in _WORD_COLUMNS:
-                out[c][own[found]] = self._map("words", f"{s}.{c}", _WORD_KINDS[c])[at[found]]
+                out[c][own[found]] = known[c][at[found]]
         return out
 
     def _places(self, folder: str, s: int, keys: np.ndarray):
         """(which of the keys a shard's file has, where)."""
-        index = self._map(folder, f"{s}.index", np.uint16)
-        if index is None:
+        file = self._map(folder, s)
+        if file is None:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        blocks, known = self._map(folder, f"{s}.blocks", np.uint32), self._map(folder, f"{s}.keys", np.uint32)
+        index, blocks, known = file["index"], file["blocks"], file["keys"]
         bits = (len(index) - 1).bit_length() - 1
         bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
         at, end = [blocks[b >> BLOCK_BITS].astype(np.int64) + index[b] for b in (bucket, bucket + 1)]
@@ -549,7 +579,7 @@ class _Reader:
         return join(which), join(where)
 
     def _large(self, folder: str, s: int, at: np.ndarray, width: int) -> np.ndarray:
-        large = self._map(folder, f"{s}.large", np.int64).reshape(-1, width + 1)
+        large = self._map(folder, s)["large"].reshape(-1, width + 1)
         return large[np.searchsorted(large[:, 0], at), 1:]
 
     def grams(self, level: int, keys: np.ndarray, shard: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -563,7 +593,7 @@ class _Reader:
                 which, at = self._places(folder, s, keys[own])
                 if not len(which):
                     continue
-                n = self._map(folder, f"{s}.counts", np.uint8)[at].astype(np.int64)
+                n = self._map(folder, s)["counts"][at].astype(np.int64)
                 big = np.flatnonzero(n == 255)
                 if len(big):
                     n[big] = self._large(folder, s, at[big], 1)[:, 0]
@@ -578,8 +608,9 @@ class _Reader:
             which, at = self._places(folder, s, keys[own])
             if not len(which):
                 continue
-            code = self._map(folder, f"{s}.codes", np.uint8)[at]
-            table = np.concatenate([self._map(folder, f"{s}.table", np.int64).reshape(-1, 4), np.zeros((1, 4), np.int64)])
+            file = self._map(folder, s)
+            code = file["codes"][at]
+            table = np.concatenate([file["table"].reshape(-1, 4), np.zeros((1, 4), np.int64)])
             sums = table[np.minimum(code, len(table) - 1)]
             big = np.flatnonzero(code == 255)
             if len(big):

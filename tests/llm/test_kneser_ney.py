@@ -139,3 +139,29 @@ def test_bytes_of_a_written_key_and_of_a_rare_word(tmp_path):
     packed, place = kn._list_words(keys, nothing)
     assert (kn._listed(packed, nothing) == keys).all() and (place == np.arange(len(keys))).all()
     assert len(packed[1]) < 6.6 * len(keys)  # 7 and more before
+
+
+def test_more_shards_than_files_that_may_be_open(spark):
+    import os
+    import resource
+
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(7)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{int(rng.expovariate(0.02))}" for _ in range(200)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = kn.train(docs, use=docs.doc_id % 5 != 0, shard_tokens=60, order=3)
+    used = len(os.listdir("/proc/self/fd"))
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    assert model["shards"] > 4 * used
+    want = {r.doc_id: r.score for r in kn.score(docs, model).collect()}
+    (grams, sizes), = kn._batches(pa.array(texts), 3)
+    try:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (4 * used, hard))
+        reader = kn._Reader(model)
+        for _ in range(2):
+            _, _, _, own = kn._scored(reader, grams, sizes)
+            assert np.allclose(own, [want[i] for i in range(len(texts))])
+        assert reader.held == reader.most == 2 * used
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
